@@ -28,10 +28,10 @@ def nearest_votes(targets: DataFrame, context: DataFrame, k: int, temperature: f
 
 
 @query(f"""
-WITH e AS (SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) v,
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) v,
  substr(sha256('{SEED}:' || vec_id),1,16) < '{threshold_hex(FRACTION)}' AS val FROM embeddings),
-u AS (SELECT vec_id, label, val, list_transform(v, x -> x / sqrt(list_sum(list_transform(v, y -> y*y)))) v FROM e),
-p AS (SELECT t.vec_id t, c.label, round(list_sum(list_transform(list_zip(t.v, c.v), z -> z[1]*z[2])), 9) sim
+u AS (SELECT vec_id, label, val, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y*y)))) v FROM e),
+p AS (SELECT t.vec_id t, c.label, round(list_sum(list_transform(list_zip(t.v, c.v), lambda z: z[1]*z[2])), 9) sim
  FROM u t, u c WHERE t.val AND NOT c.val),
 r AS (SELECT *, rank() OVER (PARTITION BY t ORDER BY sim DESC) k FROM p),
 w AS (SELECT t, label, sum(exp(sim / {TEMPERATURE})) w FROM r WHERE k <= {NEAREST} GROUP BY 1, 2),
