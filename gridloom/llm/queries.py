@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, mixing, quality, token_counts, warc
 from gridloom.llm.common import checkpoint, read
@@ -35,7 +36,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_position")
+    return mixing.mix_documents(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.round("first_position", 9).alias("first_position"))
 
 
 def op9_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,9 +65,9 @@ f AS (SELECT *, CASE WHEN size > 0 AND place < floor(target) THEN place / target
 SELECT doc_id, size, source_size, target,
   CAST(greatest(least(floor(target) - place, size), 0) + greatest(least(floor(target) - source_size - place, size), 0)
    + greatest(least(floor(target) - 2 * source_size - place, size), 0) AS BIGINT) AS taken,
-  CASE c WHEN 0 THEN 2 * y / (1.5 + sqrt(2.25 - 2 * y))
+  round(CASE c WHEN 0 THEN 2 * y / (1.5 + sqrt(2.25 - 2 * y))
    WHEN 2 THEN 6 * y / (2 + sqrt(4 + 12 * y))
-   ELSE CASE WHEN y <= 0.5 THEN 4 * y / (1 + sqrt(1 + 16 * y)) ELSE 0.5 + 4 * (y - 0.5) / (3 + sqrt(greatest(9 - 16 * (y - 0.5), 0))) END END AS first_position
+   ELSE CASE WHEN y <= 0.5 THEN 4 * y / (1 + sqrt(1 + 16 * y)) ELSE 0.5 + 4 * (y - 0.5) / (3 + sqrt(greatest(9 - 16 * (y - 0.5), 0))) END END, 9) AS first_position
 FROM f
 """,
     "op9_warc_roundtrip": """
