@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, mixing, quality
+from gridloom.llm import bpe, dedup, mixing, quality
 from gridloom.llm.common import shared_folder
 from gridloom.llm.queries import rank_file
 
@@ -16,6 +16,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_documents(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component, that of the smallest id."""
+    return dedup.drop_near_duplicates(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training stream: each document once for each pass the mix makes over it, in training order."""
     return mixing.mixed_documents(docs)
@@ -26,7 +31,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, *rank_file())
 
 
-STAGES = [("quality rules", quality_rules), ("mixing", mix), ("bpe", encode)]
+STAGES = [("quality rules", quality_rules), ("near dedup", near_dedup), ("mixing", mix), ("bpe", encode)]
 
 #: The EM of the first stage and the library's merges are beyond SQL; tests use brute force.
 ORACLE_SQL = None

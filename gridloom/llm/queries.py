@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, mixing, quality, token_counts, warc
+from gridloom.llm import bpe, dedup, mixing, quality, token_counts, vector_dedup, warc
 from gridloom.llm.common import checkpoint, read
 
 
@@ -23,6 +23,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(read(spark, sf_dir, "documents"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), *rank_file(), with_ids=False)
 
@@ -39,16 +43,42 @@ def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.round("first_position", 9).alias("first_position"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = checkpoint(warc.write_archives(read(spark, sf_dir, "pages")))
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op4_bpe_roundtrip, op5_token_counts, op6_curriculum_mix, op9_warc_roundtrip)
+    f.__name__: f for f in (op2_quality_rules, op3_embedding_near_dedup, op4_bpe_roundtrip, op5_token_counts, op6_curriculum_mix, op7_minhash_near_dedup, op9_warc_roundtrip)
 }
 
 ORACLES: dict[str, str] = {
+    "op3_embedding_near_dedup": """
+WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) v FROM embeddings),
+u AS MATERIALIZED (SELECT vec_id, v, sqrt(list_dot_product(v, v)) n FROM e WHERE v IS NOT NULL),
+l AS MATERIALIZED (SELECT a.vec_id a, b.vec_id b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0 AND list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.9),
+r AS (SELECT a, a AS c FROM l UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.a),
+m AS (SELECT a, least(min(a), min(c)) c FROM r GROUP BY a),
+k AS (SELECT a, count(*) n FROM l GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(k.n, 0) AS BIGINT) n_links, coalesce(m.c, e.vec_id) component_id, coalesce(m.c, e.vec_id) = e.vec_id AS kept
+FROM e LEFT JOIN m ON m.a = e.vec_id LEFT JOIN k ON k.a = e.vec_id
+""",
+    "op7_minhash_near_dedup": """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i+4], ' ') END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) i FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id a, b.doc_id b, count(*) k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+r AS (SELECT a, a AS c FROM l UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.a),
+m AS (SELECT a, min(c) c FROM r GROUP BY a)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) n_shingles, coalesce(m.c, w.doc_id) component_id, coalesce(m.c, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN m ON m.a = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+""",
     "op6_curriculum_mix": """
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) size,
   md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) o FROM documents),
