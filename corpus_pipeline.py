@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, dedup, mixing, quality
+from gridloom.llm import bpe, dedup, mixing, pii, quality
 from gridloom.llm.common import shared_folder
-from gridloom.llm.queries import rank_file
+from gridloom.llm.queries import PII_KEY, rank_file
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,6 +21,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return dedup.drop_near_duplicates(docs)
 
 
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data in their texts replaced."""
+    return pii.with_pseudonyms(docs, PII_KEY, kinds_col=None)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training stream: each document once for each pass the mix makes over it, in training order."""
     return mixing.mixed_documents(docs)
@@ -31,7 +36,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, *rank_file())
 
 
-STAGES = [("quality rules", quality_rules), ("near dedup", near_dedup), ("mixing", mix), ("bpe", encode)]
+STAGES = [("quality rules", quality_rules), ("near dedup", near_dedup), ("pii", pseudonyms), ("mixing", mix), ("bpe", encode)]
 
 #: The EM of the first stage and the library's merges are beyond SQL; tests use brute force.
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, dedup, mixing, quality, token_counts, vector_dedup, warc
+from gridloom.llm import bpe, dedup, mixing, pii, quality, secrets, token_counts, vector_dedup, warc
 from gridloom.llm.common import checkpoint, read
 
 
@@ -47,13 +47,25 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+#: Of the production pseudonyms; a deployment passes its own.
+PII_KEY = "gridloom-pseudonyms-1"
+
+
+def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(read(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op9_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = checkpoint(warc.write_archives(read(spark, sf_dir, "pages")))
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents"), secrets.train(secrets.synthetic_findings(spark)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op3_embedding_near_dedup, op4_bpe_roundtrip, op5_token_counts, op6_curriculum_mix, op7_minhash_near_dedup, op9_warc_roundtrip)
+    f.__name__: f for f in (op2_quality_rules, op3_embedding_near_dedup, op4_bpe_roundtrip, op5_token_counts, op6_curriculum_mix, op7_minhash_near_dedup, op8_pii_pseudonyms, op9_warc_roundtrip, op10_secret_scan)
 }
 
 ORACLES: dict[str, str] = {
