@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, dedup, mixing, pii, quality, secrets, token_counts, vector_dedup, warc
+from gridloom.llm import bpe, dedup, lm, mixing, pii, quality, secrets, token_counts, vector_dedup, warc
 from gridloom.llm.common import checkpoint, read
 
 
@@ -19,6 +19,10 @@ def rank_file() -> tuple[bytes, str]:
         return f.read(), public_tokenizers.PATTERN
 
 
+def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(read(spark, sf_dir, "documents"))
 
@@ -65,7 +69,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op3_embedding_near_dedup, op4_bpe_roundtrip, op5_token_counts, op6_curriculum_mix, op7_minhash_near_dedup, op8_pii_pseudonyms, op9_warc_roundtrip, op10_secret_scan)
+    f.__name__: f for f in (op1_deleted_interpolation, op2_quality_rules, op3_embedding_near_dedup, op4_bpe_roundtrip, op5_token_counts, op6_curriculum_mix, op7_minhash_near_dedup, op8_pii_pseudonyms, op9_warc_roundtrip, op10_secret_scan)
 }
 
 ORACLES: dict[str, str] = {
