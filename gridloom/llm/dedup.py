@@ -198,6 +198,26 @@ def _tiled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("band", "t0", "t1").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
+def _placed(banded: DataFrame, parts: DataFrame) -> DataFrame:
+    """(band, id, comp) with each member's component so far."""
+    return checkpoint(banded.select("band", "id").join(parts, "id", "left").select("band", "id", F.coalesce("component", "id").alias("comp")))
+
+
+def _open(placed: DataFrame) -> DataFrame:
+    """(band, m) of bands whose m members lie in several components; of bands with the same members one is enough."""
+    mark = [F.sum(F.xxhash64("id", F.lit(s)).cast("decimal(38,0)")).alias(f"x{s}") for s in (1, 2)]
+    bands_ = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), *mark).where("lo < hi")
+    return bands_.groupBy("m", "x1", "x2").agg(F.min("band").alias("band")).select("band", "m")
+
+
+def _between(placed: DataFrame, open_: DataFrame, pick: Column) -> DataFrame:
+    """In each open band, a member of each component against one of the band's first component."""
+    one = placed.join(open_.select("band"), "band", "left_semi").groupBy("band", "comp").agg(pick.alias("id"))
+    first = one.groupBy("band").agg(F.min(F.struct("comp", "id")).alias("first"))
+    pairs = one.join(first, "band").where(F.col("comp") > F.col("first.comp"))
+    return pairs.select(F.col("id").alias("a"), F.col("first.id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 85) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row.
 
@@ -210,20 +230,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = valid.groupBy("digest").agg(F.min("id").alias("id"), F.min("n_shingles").alias("n"), F.min_by("reg", "id").alias("reg"))
     classes = checkpoint(classes)
     banded = _band_rows(classes)
-    shared = banded.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("members")).where("pivot < last").drop("last")
-    banded = checkpoint(banded.join(shared, "band").select("band", "id", "pivot", "members"))
+    shared = banded.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").drop("last")
+    banded = checkpoint(banded.join(shared, "band").select("band", "id", "pivot"))
     sets = checkpoint(_sets(docs, banded.select("id").distinct(), id_col, text_col, size))
     first = banded.where("pivot < id").groupBy("id").agg(F.min("pivot").alias("b")).select(F.col("id").alias("a"), "b")
     links = checkpoint(_verify(first, sets, percent))
     parts = connected_components(links)
-    placed = banded.select("band", "id", "members").join(parts, "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    # Bands still in several components; one of those with the same members is enough.
-    mark = [F.sum(F.xxhash64("id", F.lit(s)).cast("decimal(38,0)")).alias(f"x{s}") for s in (1, 2)]
-    open_ = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), *mark).where("lo < hi")
-    open_ = open_.groupBy("m", "x1", "x2").agg(F.min("band").alias("band"))
+    placed = _placed(banded, parts)
+    # A few more single comparisons between components of a band, of other members each time.
+    for pick in (F.min("id"), F.max("id"), F.min_by("id", F.xxhash64("id"))):
+        open_ = _open(placed)
+        if open_.isEmpty():
+            break
+        links = checkpoint(links.union(_verify(_between(placed, open_, pick), sets, percent)))
+        parts = connected_components(links)
+        placed = _placed(banded, parts)
+    open_ = _open(placed)
     tiles = F.ceil(F.col("m") / TILE).cast("int")
     left = placed.join(open_.select("band", tiles.alias("tiles")), "band").join(classes.select("id", "n", "reg"), "id")
-    more = _tiled(left.select("band", "id", "comp", "n", "reg", "tiles"), sets, percent)
+    more = checkpoint(_tiled(left.select("band", "id", "comp", "n", "reg", "tiles"), sets, percent))
     parts = connected_components(links.union(more))
     names = classes.select("digest", "id").join(parts, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     digest: Column = F.when(F.col("id").isNotNull(), F.col("digest"))
