@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gridloom.plans import datasets, texts, vectors
 from gridloom.plans.flagship import hash_split_accuracy
 
-__all__ = ["hash_split_accuracy"]
+__all__ = ["datasets", "hash_split_accuracy", "texts", "vectors"]
