@@ -14,7 +14,6 @@ from gridloom.plans.registry import query, table
 
 _V = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) v FROM embeddings),\n"
 _LONG = _V + "l AS (SELECT vec_id, label, unnest(v) x, generate_subscripts(v, 1) - 1 d FROM e),\n"
-_GRID = "WITH g AS (SELECT CAST(label AS BIGINT) image, CAST(vec_id % 25 AS INTEGER) r, CAST(vec_id // 25 AS INTEGER) c, CAST(embedding[1] AS DOUBLE) x, vec_id FROM embeddings WHERE vec_id < 500),\n"
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,13 +25,13 @@ def long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plane(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One dense image of 25 rows and 20 columns: the fixture's first 500 cells are its whole extent."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 500")
-    r, c = (F.col("vec_id") % 25).cast("int"), F.floor(F.col("vec_id") / 25).cast("int")
-    return e.select(F.lit(0).cast("bigint").alias("image"), r.alias("r"), c.alias("c"), F.get("embedding", F.lit(0)).cast("double").alias("x"), "label", "vec_id")
+    """All vectors as images of 25 rows and 20 columns, 500 consecutive ids each."""
+    e = table(spark, sf_dir, "embeddings")
+    r, c = (F.col("vec_id") % 25).cast("int"), (F.floor(F.col("vec_id") / 25) % 20).cast("int")
+    return e.select(F.floor(F.col("vec_id") / 500).alias("image"), r.alias("r"), c.alias("c"), F.get("embedding", F.lit(0)).cast("double").alias("x"), "label", "vec_id")
 
 
-_PLANE = "WITH g AS (SELECT CAST(vec_id % 25 AS INTEGER) r, CAST(vec_id // 25 AS INTEGER) c, CAST(embedding[1] AS DOUBLE) x, label, vec_id FROM embeddings WHERE vec_id < 500)"
+_PLANE = "WITH g AS (SELECT CAST(vec_id // 500 AS BIGINT) image, CAST(vec_id % 25 AS INTEGER) r, CAST(vec_id // 25 % 20 AS INTEGER) c, CAST(embedding[1] AS DOUBLE) x, label, vec_id FROM embeddings)"
 
 
 @query(_LONG + "m AS (SELECT label, d, avg(x) m FROM l GROUP BY 1, 2)\nSELECT l.label, CAST(l.d AS INTEGER) AS d, round(sum((0.2 * x + 0.8 * m) * (0.2 * x + 0.8 * m)), 6) AS energy FROM l JOIN m ON l.label = m.label AND l.d = m.d GROUP BY 1, 2")
@@ -112,7 +111,7 @@ def reconstruction_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("label").agg(F.round(F.avg("m"), 9).alias("mse"), F.round(nll, 9).alias("nll"), F.round(-F.sum(F.col("k") * F.ln(F.col("k") + 1e-8)), 6).alias("entropy"))
 
 
-@query(_PLANE + ", d AS (SELECT lead(x) OVER (PARTITION BY r ORDER BY c) - x a, lead(x) OVER (PARTITION BY c ORDER BY r) - x b FROM g)\nSELECT CAST(0 AS BIGINT) AS image, round((sum(a * a) + sum(b * b)) / count(*), 9) AS tv FROM d")
+@query(_PLANE + ", d AS (SELECT image, lead(x) OVER (PARTITION BY image, r ORDER BY c) - x a, lead(x) OVER (PARTITION BY image, c ORDER BY r) - x b FROM g)\nSELECT image, round((coalesce(sum(a * a), 0) + coalesce(sum(b * b), 0)) / count(*), 9) AS tv FROM d GROUP BY image")
 def total_variation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG13."""
     return G.total_variation(plane(spark, sf_dir)).select("image", F.round("tv", 9).alias("tv"))
@@ -204,14 +203,15 @@ def region_j(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.region_j(rows, ["frame"], void="void").select("frame", F.round("j", 9).alias("j"))
 
 
-_EDGE = """e AS (SELECT r, c, m, CASE WHEN r = 24 AND c = 19 THEN false WHEN r = 24 THEN m <> lead(m) OVER (PARTITION BY r ORDER BY c) WHEN c = 19 THEN m <> lead(m) OVER (PARTITION BY c ORDER BY r)
- ELSE m <> lead(m) OVER (PARTITION BY r ORDER BY c) OR m <> lead(m) OVER (PARTITION BY c ORDER BY r) OR m <> lead(m) OVER (PARTITION BY c - r ORDER BY r) END AS edge FROM {0})"""
+_EDGE = """{1} AS (SELECT image, r, c, m, coalesce(CASE WHEN r = 24 AND c = 19 THEN false WHEN r = 24 THEN m <> lead(m) OVER x WHEN c = 19 THEN m <> lead(m) OVER y
+ ELSE coalesce(m <> lead(m) OVER x, false) OR coalesce(m <> lead(m) OVER y, false) OR coalesce(m <> lead(m) OVER z, false) END, false) AS edge FROM {0}
+ WINDOW x AS (PARTITION BY image, r ORDER BY c), y AS (PARTITION BY image, c ORDER BY r), z AS (PARTITION BY image, c - r ORDER BY r))"""
 
 
-@query(_PLANE + ", t AS (SELECT r, c, label < 3 AS m FROM g), p AS (SELECT r, c, label < 4 AS m FROM g), " + _EDGE.format("t") + ", " + _EDGE.format("p").replace("e AS", "f AS", 1) + """,
-a AS (SELECT r, c FROM e WHERE edge), b AS (SELECT r, c FROM f WHERE edge),
-q AS (SELECT (SELECT avg(CASE WHEN EXISTS (SELECT 1 FROM a WHERE (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) <= 1) THEN 1.0 ELSE 0.0 END) FROM b) AS precision,
- (SELECT avg(CASE WHEN EXISTS (SELECT 1 FROM b WHERE (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) <= 1) THEN 1.0 ELSE 0.0 END) FROM a) AS recall)
+@query(_PLANE + ", t AS (SELECT image, r, c, label < 3 AS m FROM g), p AS (SELECT image, r, c, label < 4 AS m FROM g), " + _EDGE.format("t", "e") + ", " + _EDGE.format("p", "f") + """,
+a AS (SELECT * FROM e WHERE edge), b AS (SELECT * FROM f WHERE edge),
+q AS (SELECT (SELECT avg(CASE WHEN EXISTS (SELECT 1 FROM a WHERE a.image = b.image AND (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) <= 1) THEN 1.0 ELSE 0.0 END) FROM b) AS precision,
+ (SELECT avg(CASE WHEN EXISTS (SELECT 1 FROM b WHERE a.image = b.image AND (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) <= 1) THEN 1.0 ELSE 0.0 END) FROM a) AS recall)
 SELECT round(precision, 9) AS precision, round(recall, 9) AS recall, round(2 * precision * recall / (precision + recall), 9) AS f FROM q""")
 def boundary_f(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG6, IMG6, IMG7, WIN4: boundary precision and recall at a distance of 1."""
@@ -261,47 +261,47 @@ def optimal_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.optimal_assignment(s, "label", "o", "p", "x").groupBy("label").agg(F.round(F.sum("x"), 6).alias("total"))
 
 
-@query(_PLANE + "\nSELECT r, c FROM g WHERE label = 2")
+@query(_PLANE + "\nSELECT image, r, c FROM g WHERE label = 2")
 def rle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL13: a mask to column-major runs and back."""
     m = plane(spark, sf_dir).withColumn("m", F.col("label") == 2)
-    return G.decode_runs(G.run_lengths(m, 25), 25).select("r", "c")
+    return G.decode_runs(G.run_lengths(m, 25), 25).select("image", "r", "c")
 
 
-@query(_PLANE + "\nSELECT CAST(i AS INTEGER) AS r, CAST(j AS INTEGER) AS c, x FROM range(10) a(i), range(30) b(j) JOIN g ON g.r = i * 25 // 10 AND g.c = j * 20 // 30")
+@query(_PLANE + "\nSELECT image, CAST(i AS INTEGER) AS r, CAST(j AS INTEGER) AS c, x FROM range(10) a(i), range(30) b(j) JOIN g ON g.r = i * 25 // 10 AND g.c = j * 20 // 30")
 def resize_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IMG2."""
-    return G.resize_nearest(plane(spark, sf_dir), 25, 20, 10, 30).select("r", "c", "x")
+    return G.resize_nearest(plane(spark, sf_dir), 25, 20, 10, 30).select("image", "r", "c", "x")
 
 
 _TAP = """{0} AS (SELECT i, lo, p - lo AS f FROM (SELECT i, p, floor(p) lo FROM (SELECT i, greatest((i + 0.5) * {1} / {2} - 0.5, 0.0) p FROM range({2}) t(i)))),
 {0}2 AS (SELECT i, CAST(least(lo, {1} - 1) AS INTEGER) AS s, 1 - f AS w FROM {0} UNION ALL SELECT i, CAST(least(lo + 1, {1} - 1) AS INTEGER), f FROM {0})"""
 
 
-@query(_PLANE + ", " + _TAP.format("u", 25, 10) + ", " + _TAP.format("v", 20, 30) + "\nSELECT CAST(u2.i AS INTEGER) AS r, CAST(v2.i AS INTEGER) AS c, round(sum(g.x * u2.w * v2.w), 6) AS x FROM g JOIN u2 ON g.r = u2.s JOIN v2 ON g.c = v2.s GROUP BY 1, 2")
+@query(_PLANE + ", " + _TAP.format("u", 25, 10) + ", " + _TAP.format("v", 20, 30) + "\nSELECT image, CAST(u2.i AS INTEGER) AS r, CAST(v2.i AS INTEGER) AS c, round(sum(g.x * u2.w * v2.w), 6) AS x FROM g JOIN u2 ON g.r = u2.s JOIN v2 ON g.c = v2.s GROUP BY 1, 2, 3")
 def resize_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IMG1: half-pixel centres, clamped edges."""
-    return G.resize_bilinear(plane(spark, sf_dir), 25, 20, 10, 30).select("r", "c", F.round("x", 6).alias("x"))
+    return G.resize_bilinear(plane(spark, sf_dir), 25, 20, 10, 30).select("image", "r", "c", F.round("x", 6).alias("x"))
 
 
-@query(_PLANE + "\nSELECT a.r, a.c, round(sum(b.x) / 25, 6) AS x FROM g a JOIN g b ON abs(a.r - b.r) <= 2 AND abs(a.c - b.c) <= 2 GROUP BY 1, 2")
+@query(_PLANE + "\nSELECT a.image, a.r, a.c, round(sum(b.x) / 25, 6) AS x FROM g a JOIN g b ON a.image = b.image AND abs(a.r - b.r) <= 2 AND abs(a.c - b.c) <= 2 GROUP BY 1, 2, 3")
 def box_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IMG3."""
-    return G.box_blur(plane(spark, sf_dir)).select("r", "c", F.round("x", 6).alias("x"))
+    return G.box_blur(plane(spark, sf_dir)).select("image", "r", "c", F.round("x", 6).alias("x"))
 
 
-@query(_PLANE + """\nSELECT CAST(p AS INTEGER) AS pr, CAST(q AS INTEGER) AS pc, round(avg(g.x), 6) AS x FROM range(4) a(p), range(4) b(q), range(6) d(k), range(6) e(l) JOIN g ON g.r = p * 6 + k AND g.c = q * 4 + l GROUP BY 1, 2""")
+@query(_PLANE + """\nSELECT image, CAST(p AS INTEGER) AS pr, CAST(q AS INTEGER) AS pc, round(avg(g.x), 6) AS x FROM range(4) a(p), range(4) b(q), range(6) d(k), range(6) e(l) JOIN g ON g.r = p * 6 + k AND g.c = q * 4 + l GROUP BY 1, 2, 3""")
 def attention_downsample_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IMG4, IMG5: patches of 6 x 6 at 4 x 4 places, averaged with equal weights."""
     u = G.unfold(plane(spark, sf_dir), 25, 20, 6, 4)
-    return u.groupBy("pr", "pc").agg(F.round(F.avg("x"), 6).alias("x"))
+    return u.groupBy("image", "pr", "pc").agg(F.round(F.avg("x"), 6).alias("x"))
 
 
-@query(_PLANE + "\nSELECT r - 8 AS r, c - 4 AS c, x FROM g WHERE r BETWEEN 8 AND 15 AND c BETWEEN 4 AND 11 AND r < 24 AND c < 16")
+@query(_PLANE + "\nSELECT image, r - 8 AS r, c - 4 AS c, x FROM g WHERE r BETWEEN 8 AND 15 AND c BETWEEN 4 AND 11 AND r < 24 AND c < 16")
 def crop_and_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT9, FLT11, IMG10: a window inside the patch-aligned part."""
     g = plane(spark, sf_dir).where((F.col("r") < F.floor(F.lit(25) / 8) * 8) & (F.col("c") < F.floor(F.lit(20) / 8) * 8))
-    return g.where("r between 8 and 15 and c between 4 and 11").select((F.col("r") - 8).alias("r"), (F.col("c") - 4).alias("c"), "x")
+    return g.where("r between 8 and 15 and c between 4 and 11").select("image", (F.col("r") - 8).alias("r"), (F.col("c") - 4).alias("c"), "x")
 
 
 @query("SELECT CAST(i AS BIGINT) AS i, CAST((((i >> 0) & 1) << 7) | (((i >> 3) & 1) << 6) | (((i >> 6) & 1) << 5) AS BIGINT) AS red, CAST((((i >> 1) & 1) << 7) | (((i >> 4) & 1) << 6) | (((i >> 7) & 1) << 5) AS BIGINT) AS green, CAST((((i >> 2) & 1) << 7) | (((i >> 5) & 1) << 6) AS BIGINT) AS blue FROM range(256) t(i)")
