@@ -1,0 +1,368 @@
+"""Small fixtures with nulls, empty and long texts, ties, repeats, empty tables and clashing names; brute-force oracles."""
+
+import base64
+import hashlib
+import itertools
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gridloom.llm import bpe, components, dedup, hashing, lm, mixing, pii, quality, queries, secrets, token_counts, vector_dedup, warc
+from tests.support.compare import check
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+EXTRA = "doc_id bigint, text string, source string, kept string, n_words string, id string, block string"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, s, "x", "y", "z", "b") for i, t, s in rows], EXTRA)
+
+
+def sample(rng, n):
+    return " ".join("".join(rng.choice("abcde") for _ in range(rng.randint(1, 4))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    rng = random.Random(5)
+    base = [sample(rng, 80) for _ in range(6)]
+    rows = [(0, None, "a"), (1, "", None), (2, " \n\t ", "b"), (3, "One two", "a"), (4, "one TWO", "a"), (5, base[0], "a"), (6, base[0], "a"), (6, base[0], "a")]
+    for k, t in enumerate(base):
+        w = t.split()
+        w[3] = "zz"
+        rows += [(10 + 3 * k, t, "b"), (11 + 3 * k, " ".join(w), "c"), (12 + 3 * k, sample(rng, 60) + ".\nThe of and to.", None)]
+    rows.append((90, "word " * 30000 + "ünïcode 😀 end", "a"))
+    return rows
+
+
+def test_words_and_hashes(mixed):
+    texts = [(t or "").encode() for _, t, _ in mixed]
+    h, n = hashing.word_hashes(texts)
+    want = [WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)})) for _, t, _ in mixed]
+    assert n.tolist() == [len(w) for w in want]
+    seen = {}
+    for w, x in zip(itertools.chain(*want), h.tolist(), strict=True):
+        assert seen.setdefault(w, x) == x
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(12)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r["id"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {x: find(x) for x in linked}
+    assert components.connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def shingles(t):
+    w = WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def brute_components(rows):
+    sets = {i: shingles(t) for i, t, _ in rows}
+    comp = {i: i for i in sets}
+    links = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(comp[a], comp[b])
+            changed |= comp[a] != m or comp[b] != m
+            comp[a] = comp[b] = m
+    return {i: (len(sets[i]), comp[i]) for i in sets}
+
+
+def test_near_duplicates(spark, mixed):
+    rows = [r for r in mixed if r[0] != 6 or r is mixed[6]]
+    rows += [(200 + k, " ".join(f"g{i}" if i >= k * 2 or i < k * 2 - 6 else f"x{k}{i}" for i in range(400)), "a") for k in range(40)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in dedup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == brute_components(rows)
+    assert dedup.near_duplicates(docs(spark, [])).count() == 0
+    again = dedup.near_duplicates(docs(spark, [mixed[6], mixed[7], (None, mixed[6][1], "a")])).collect()
+    assert sorted((r["doc_id"] or -1, r["component_id"], r["kept"]) for r in again) == [(-1, None, True), (6, 6, True), (6, 6, True)]
+    left = dedup.drop_near_duplicates(docs(spark, rows))
+    assert left.columns == [c.split()[0] for c in EXTRA.split(", ")]
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(i for i, (_, c) in brute_components(rows).items() if i == c)
+
+
+def test_tiles_join_what_pivots_miss(spark):
+    """A chain whose ends differ: each text links with its neighbours only, and all are one component."""
+    rows = [(i, " ".join(f"w{j}" for j in range(i * 6, i * 6 + 200)), "a") for i in range(30)]
+    assert {r["component_id"] for r in dedup.near_duplicates(docs(spark, rows)).collect()} == {0}
+
+
+def test_estimate_is_near():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 2**63, 4000).astype(np.uint64)
+    b = np.concatenate((a[:3600], rng.integers(0, 2**63, 400).astype(np.uint64)))
+    ra, rb = dedup.registers(np.unique(a)), dedup.registers(np.unique(b))
+    assert abs(dedup.estimate(ra, rb[None], np.int64(4000), np.asarray([4000]))[0] - 3600 / 4400) < 0.15
+    far = dedup.registers(np.unique(rng.integers(0, 2**63, 4000).astype(np.uint64)))
+    assert dedup.estimate(ra, far[None], np.int64(4000), np.asarray([4000]))[0] < 0.05
+
+
+def test_vectors(spark):
+    rng = np.random.default_rng(2)
+    rows = [(0, None), (1, [0.0] * 8), (2, [1.0] * 7 + [None]), (3, [float("nan")] + [1.0] * 7), (4, [float("inf")] * 8), (5, [])]
+    for k in range(30):
+        v = rng.standard_normal(8)
+        rows.append((10 + k, v.tolist()))
+        if k % 3 == 0:
+            rows += [(100 + k, v.tolist()), (200 + k, (v + 0.05 * rng.standard_normal(8)).tolist()), (300 + k, (v * 1e150).tolist())]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_dedup.near_duplicate_vectors(spark.createDataFrame([(i, v, "l") for i, v in rows], "vec_id bigint, embedding array<double>, id string")).collect()}
+    good = {i: np.asarray(v) / np.abs(v).max() for i, v in rows if i >= 10}
+    good = {i: v / np.linalg.norm(v) for i, v in good.items()}
+    near = {i: {j for j in good if j != i and good[i] @ good[j] >= 0.9} for i in good}
+    assert {i: got[i][0] for i in good} == {i: len(near[i]) for i in good}
+    assert all(got[i] == (0, i) for i in range(6))
+    assert all(got[i][1] == got[j][1] for i in near for j in near[i])
+    assert vector_dedup.near_duplicate_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<double>")).count() == 0
+
+
+def test_lm_brute_force(spark, mixed):
+    got = lm.score_documents(docs(spark, mixed), block_bytes=4000).collect()
+    assert len(got) == len(mixed)
+    import collections
+    import zlib
+
+    tokens = {i: WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)})) + ["\n"] for i, t, _ in mixed}
+    counts = collections.Counter()
+    for i, _, _ in mixed:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            counts.update(tokens[i])
+    total, distinct = sum(counts.values()), len(counts)
+    for r in got:
+        w = tokens[r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(counts[x] > 0 for x in w), total)
+        assert r["base_score"] == pytest.approx(sum(math.log10((counts[x] + 0.5) / (total + 0.5 * (distinct + 1))) for x in w))
+        assert r["score"] < 0 and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1)
+    one = {r["doc_id"]: r["score"] for r in lm.score_documents(docs(spark, mixed)).collect()}
+    assert all(one[r["doc_id"]] == pytest.approx(r["score"]) for r in got)
+    assert lm.score_documents(docs(spark, [])).count() == 0
+    empty = lm.score_documents(docs(spark, [(3, None, "a")]), training=lambda c: F.lit(False)).collect()
+    assert empty[0]["n_known"] == 0 and empty[0]["score"] < 0.0001
+
+
+def test_lm_weights_sum_to_one():
+    w = lm.fit_weights([(0, -10_000, 4, 10), (3, 20, 4, 30), (3, -10_000, 8, 10)])
+    assert all(sum(x) == pytest.approx(1) for x in w.values()) and w[0][0] == 0 and w[3][0] > w[3][1]
+    assert np.allclose(lm.weight_table(w).sum(axis=1), 1) and np.allclose(lm.weight_table({}).sum(axis=1), 1)
+
+
+def test_pack_roundtrip():
+    rng = np.random.default_rng(0)
+    for x in (np.zeros(0, np.uint64), np.arange(5, dtype=np.uint64), rng.integers(0, 2**63, 100).astype(np.uint64)):
+        assert (lm.unpack(lm.pack(x)) == x).all() and (lm.unpack_sorted(lm.pack_sorted(np.sort(x))) == np.sort(x)).all()
+
+
+def figures(t):
+    t = t or ""
+    w = WORD.findall(t)
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    many = {x for x in windows if windows.count(x) > 1} if len(windows) < 3000 else {("word",) * 3}
+    covered = {j for i, x in enumerate(windows) if x in many for j in range(i, i + 3)}
+    return len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_figures(spark, mixed):
+    rows = [*mixed, (91, "a b c a b c\nx\nx\n\n#$ | & <b>\nx", "a"), (92, "q w e\nq w e\r\nq w e", "a")]
+    out = quality.score_documents(docs(spark, rows)).collect()
+    texts = {i: t for i, t, _ in rows}
+    for r in out:
+        want = figures(texts[r["doc_id"]])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want, r["doc_id"]
+        assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and not (r["kept"] and r["base_failed"])
+    assert quality.score_documents(docs(spark, [])).count() == 0
+    kept = quality.keep_documents(docs(spark, rows))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in out if r["kept"])
+    assert kept.columns == [c.split()[0] for c in EXTRA.split(", ")]
+
+
+def test_quality_against_labels(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/labels.parquet").select("doc_id", F.col("quality").alias("y"))
+    seen = {(r["y"], r["kept"]): r["count"] for r in quality.score_documents(d).where("not base_failed").join(labels, "doc_id").groupBy("y", "kept").count().collect()}
+    assert seen.get((1, True), 0) > 0.97 * (seen.get((1, True), 0) + seen.get((1, False), 0))
+    assert seen.get((0, False), 0) > 0.9 * (seen.get((0, False), 0) + seen.get((0, True), 0))
+
+
+def test_bpe_roundtrip(spark, mixed):
+    import tiktoken
+
+    ranks, pattern = queries.rank_file()
+    plain = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}, special_tokens={})
+    rows = [*mixed, (93, "a  b \n\n c" * 20000 + "'s 123 <|endoftext|>", "a")]
+    enc = bpe.encode_documents(docs(spark, rows), ranks, pattern)
+    texts = {i: t or "" for i, t, _ in rows}
+    got = enc.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        ids = plain.encode_ordinary(texts[r["doc_id"]])
+        assert r["ids"] == ids and r["n_tokens"] == len(ids)
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+        assert r["ids_sha256"] == hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest()
+    back = {r["doc_id"]: bytes(r["decoded"]) for r in bpe.decode_documents(enc, ranks, pattern).collect()}
+    assert all(back[i] == t.encode() for i, t in texts.items())
+
+
+def test_token_counts_brute_force(spark, mixed):
+    scores = token_counts.zipf_scores(["▁", "a", "b", "c", "d", "e", "ab", "cd", "▁a", "▁ab", "abc", "de", "cde"])
+    trie = token_counts.Trie(scores)
+
+    def best(w):
+        w = "▁" + w
+        top = {0: (0.0, 0)}
+        for end in range(1, len(w) + 1):
+            n = len(w[end - 1].encode())
+            options = [(top[end - 1][0] + trie.byte * n, -(top[end - 1][1] + n))]
+            options += [(top[b][0] + scores[w[b:end]], -(top[b][1] + 1)) for b in range(end) if w[b:end] in scores]
+            s, c = max(options)
+            top[end] = (s, -c)
+        return top[len(w)][1]
+
+    words = sorted({w for _, t, _ in mixed for w in WORD.findall(t or "")})
+    assert trie.counts(words) == {w: best(w) for w in words}
+    out = queries.token_counts.count_tokens(docs(spark, mixed), open(__import__("public_tokenizers").path("piece_bpe_32k.model"), "rb").read()).collect()
+    assert len(out) == len(mixed) and {r["doc_id"]: r["n_tokens"] for r in out}[0] == 0
+    assert all(r["n_tokens"] >= r["n_words"] for r in out)
+
+
+def test_mixing(spark, mixed):
+    out = mixing.mix_documents(docs(spark, mixed)).collect()
+    assert len(out) == len(mixed)
+    size = sum(r["size"] for r in out)
+    by = {}
+    for r in out:
+        assert r["size"] == 0 or r["taken"] <= 3 * r["size"]
+        by.setdefault((r["source_size"], r["target"]), []).append(r["taken"])
+    assert sum(t for _, t in by) == pytest.approx(size)
+    assert all(sum(v) == math.floor(t) and t <= 3 * s for (s, t), v in by.items())
+    assert [r["first_position"] for r in out if r["first_position"] is not None] == sorted(r["first_position"] for r in out if r["first_position"] is not None)
+    assert mixing.mix_documents(docs(spark, [])).count() == 0
+    stream = mixing.mixed_documents(docs(spark, [r for r in mixed if r[0] != 6]))
+    assert stream.columns == [c.split()[0] for c in EXTRA.split(", ")]
+
+
+@pytest.mark.parametrize("knots", mixing.SCHEDULES)
+def test_inverse_of_schedules(spark, knots):
+    for y in (0.0, 0.1, 0.5, 0.9, 1.0):
+        t = spark.range(1).select(mixing.invert(knots, F.lit(y))).first()[0]
+        used = 0.0
+        for (t0, w0), (t1, w1) in itertools.pairwise(knots):
+            d = min(max(t - t0, 0.0), t1 - t0)
+            used += d * w0 + (w1 - w0) / (t1 - t0) * d * d / 2
+        assert used / mixing.integral(knots) == pytest.approx(y, abs=1e-9)
+
+
+PII = [
+    (1, "mail a.b@x.org, +1 (743) 555-3824 or 212-555-0100; 10.0.0.255"), (2, "card 4111 1111 1111 1111 and 4111111111111111, ssn 123-45-6789"),
+    (3, "on 2024-02-29, not 2023-02-30, v1.2.3.4.5 and 4111111111111112"), (4, None), (5, ""), (6, "+1 (743) 555-3824 again, 19@mail5.example.com"),
+]
+
+
+def test_pseudonyms(spark):
+    rows = spark.createDataFrame([(i, t, "x") for i, t in PII], "doc_id bigint, text string, kept string")
+    out = {r["doc_id"]: r for r in pii.pseudonymise(rows, "key").collect()}
+    texts = {i: out[i]["text"] for i in out}
+    assert texts[4] is None and texts[5] == ""
+    assert re.fullmatch(r"mail [a-z]\.[a-z]@x\.org, \+1 \(\d{3}\) \d{3}-\d{4} or \d{3}-\d{3}-\d{4}; \d+(\.\d+){3}", texts[1])
+    for value in ("a.b@x.org", "743) 555-3824", "212-555-0100", "10.0.0.255"):
+        assert value not in texts[1]
+    phone = re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", texts[1])[0]
+    assert phone in texts[6] and "19@" not in texts[6]
+    m = re.fullmatch(r"card ((?:\d{4} ){3}\d{4}) and (\d{16}), ssn (\d{3}-\d{2}-\d{4})", texts[2])
+    assert m[1].replace(" ", "") == m[2] != "4111111111111111" and m[3] != "123-45-6789"
+    digits = [int(c) for c in m[2]][::-1]
+    assert sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(digits)) % 10 == 0
+    assert re.fullmatch(r"on \d{4}-\d\d-\d\d, not 2023-02-30, v1\.2\.3\.4\.5 and 4111111111111112", texts[3]) and "2024-02-29" not in texts[3]
+    other = {r["doc_id"]: r["text"] for r in pii.pseudonymise(rows, "other").collect()}
+    assert other[1] != texts[1]
+
+
+def test_pseudonyms_are_permutations(spark):
+    rows = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
+    got = [r[0] for r in rows.select(pii._digits(F.lit("t"), F.col("d"), "k")).collect()]
+    assert sorted(got) == [f"{i:03d}" for i in range(1000)] and all(f"{i:03d}" != g for i, g in enumerate(got))
+
+
+def test_pseudonyms_keep_columns(spark, mixed):
+    out = pii.with_pseudonyms(docs(spark, mixed), "k", kinds_col=None)
+    assert out.columns == [c.split()[0] for c in EXTRA.split(", ")] and out.count() == len(mixed)
+    assert pii.pseudonymise(docs(spark, []), "k").count() == 0
+
+
+def test_warc(spark):
+    rows = [(3, "http://a/x y\n", "same"), (1, None, "same"), (2, "u", None), (4, "u", ""), (5, "ü", "long é " * 300000), (None, "u", "same"), (1, "again", "same")]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id bigint, url string, html string, content string")
+    archives = warc.write_archives(pages)
+    out = warc.read_archives(archives).collect()
+    got = sorted(((r["page_id"] or -1, r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in out), key=repr)
+    first = {}
+    for i, _, h in rows:
+        if i is not None:
+            first[h or ""] = min(i, first.get(h or "", i))
+    want = []
+    for i, _, h in rows:
+        again = i is not None and first[h or ""] != i
+        want.append((-1 if i is None else i, len((h or "").encode()), warc.sha1_base32((h or "").encode()), "revisit" if again else "response", first[h or ""] if again else None))
+    assert got == sorted(want, key=repr)
+    assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
+
+
+def test_warc_errors():
+    good = warc.build_archive([warc.record(1, "u", b"x", None, False, "2024-01-01T00:00:00Z")], [b"s" * 50])
+    assert [r["payload"] for r in warc.read_archive(good)] == [b"x"]
+    for bad in (good[8:], good[:-3], b"", good[:12]):
+        with pytest.raises(Exception):  # noqa: B017
+            list(warc.read_archive(bad))
+    record = warc.record(1, "u", b"xyz", None, False, "2024-01-01T00:00:00Z")
+    for bad in (record.replace(b"xyz", b"xyw"), record.replace(b"WARC-Date", b"Date"), record[:-2], record.replace(b"WARC/1.1", b"HTTP/1.1")):
+        with pytest.raises(ValueError):
+            warc.parse_record(bad)
+
+
+def test_secrets(spark):
+    model = secrets.train(secrets.synthetic_findings(spark))
+    hexes = hashlib.sha1(b"1").hexdigest()
+    rows = [(1, f'x token = "{hexes}" y', "a"), (2, "thetionandmentinghere is a word /usr/share/doc/index.html", "a"), (3, None, "a"), (4, "", "a"), (5, "w " * 50000 + f'password: "{hexes}"', "a")]
+    out = {(r["doc_id"], r["place"]): r for r in secrets.scan(docs(spark, rows), model).collect()}
+    assert out[(1, 11)]["candidate"] == hexes and out[(1, 11)]["is_secret"]
+    assert out[(5, 100011)]["candidate"] == hexes and out[(5, 100011)]["is_secret"]
+    assert not any(r["is_secret"] for k, r in out.items() if k[0] == 2) and not any(k[0] in (3, 4) for k in out)
+    many = " ".join(f"{hashlib.sha1(str(i).encode()).hexdigest()}" for i in range(150))
+    places = [r["place"] for r in secrets.scan(docs(spark, [(1, many, "a")]), model).orderBy("place").collect()]
+    assert places == [41 * i for i in range(150)]
+    held = model.transform(secrets._assembled(secrets.synthetic_findings(spark, 6000).where("candidate is not null"))).where("label = _predicted").count()
+    assert held > 0.95 * 6000
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_match_sql(spark, sf_dir, name):
+    assert check(queries.QUERIES[name](spark, sf_dir), queries.ORACLES[name], sf_dir) > 0
+
+
+def test_pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, sf_dir)
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = quality.keep_documents(texts)
+    left = {r["doc_id"] for r in dedup.drop_near_duplicates(kept).collect()}
+    rows = out.collect()
+    assert rows and {r["doc_id"] for r in rows} <= left
+    assert all(len(r["ids"]) == r["n_tokens"] for r in rows)
