@@ -43,11 +43,11 @@ def _repeat_words(w: Column) -> Column:
     """
     n = F.size(w)
     windows = F.transform(F.slice(w, 1, n - 2), lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p")))
-    s = F.array_sort(windows)
+    s = F.sort_array(windows)
 
     def cover(s: Column) -> Column:
         twin = lambda x, i: (F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"])
-        places = F.array_sort(F.transform(F.filter(s, lambda x, i: F.coalesce(twin(x, i), F.lit(False))), lambda x: x["p"]))
+        places = F.sort_array(F.transform(F.filter(s, lambda x, i: F.coalesce(twin(x, i), F.lit(False))), lambda x: x["p"]))
         start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("total"))
         step = lambda a, p: F.struct(p.alias("last"), (a["total"] + F.least(F.lit(3), p - a["last"])).alias("total"))
         return F.aggregate(places, start, step, lambda a: a["total"])
@@ -77,7 +77,10 @@ def features(docs: DataFrame, text_col: str = "text", keep: list[str] | None = N
         long(F.size(F.filter("_w", lambda x: F.array_contains(wanted, x)))).alias("n_function"),
         long(F.size(ends)).alias("n_ends"),
     )
-    return base.select(*[F.col(c) for c in keep or []], figures.alias("_q"))
+    # Not deterministic by form (though always true), so that no filter on the figures is pushed
+    # below this projection, where each of its references would compute them anew.
+    once = F.when(F.monotonically_increasing_id() >= 0, figures)
+    return base.select(*[F.col(c) for c in keep or []], once.alias("_q"))
 
 
 def votes(q: Column) -> list[Column]:
