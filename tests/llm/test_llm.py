@@ -246,12 +246,12 @@ def test_mixing(spark, mixed):
     out = mixing.mix_documents(docs(spark, mixed)).collect()
     assert len(out) == len(mixed)
     size = sum(r["size"] for r in out)
-    by = {}
+    by, sources = {}, {i: s for i, _, s in mixed}
     for r in out:
         assert r["size"] == 0 or r["taken"] <= 3 * r["size"]
-        by.setdefault((r["source_size"], r["target"]), []).append(r["taken"])
-    assert sum(t for _, t in by) == pytest.approx(size)
-    assert all(sum(v) == math.floor(t) and t <= 3 * s for (s, t), v in by.items())
+        by.setdefault((sources[r["doc_id"]], r["source_size"], r["target"]), []).append(r["taken"])
+    assert sum(t for _, _, t in by) == pytest.approx(size)
+    assert all(sum(v) == math.floor(t) and t <= 3 * s for (_, s, t), v in by.items())
     assert [r["first_position"] for r in out if r["first_position"] is not None] == sorted(r["first_position"] for r in out if r["first_position"] is not None)
     assert mixing.mix_documents(docs(spark, [])).count() == 0
     stream = mixing.mixed_documents(docs(spark, [r for r in mixed if r[0] != 6]))
