@@ -56,7 +56,7 @@ def unit_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _keys(classes: DataFrame, passes: int) -> DataFrame:
-    """(pass, key, id, unit) for all passes."""
+    """(pass, key, id) for all passes; vectors are joined again after ranking, so they move once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64)
@@ -69,9 +69,9 @@ def _keys(classes: DataFrame, passes: int) -> DataFrame:
                     own = np.flatnonzero(sizes == size)
                     x = _matrix([units[i] for i in own])
                     key[own] = ((x @ _planes(x.shape[1], p)) > 0).astype(np.int64) @ place
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(units), p, np.int32)), pa.array(key), batch.column(0), batch.column(1)], names=["pass", "key", "id", "unit"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(units), p, np.int32)), pa.array(key), batch.column(0)], names=["pass", "key", "id"])
 
-    return classes.select("id", "unit").mapInArrow(run, f"pass int, key bigint, id {type_of(classes, 'id')}, unit binary")
+    return classes.select("id", "unit").mapInArrow(run, f"pass int, key bigint, id {type_of(classes, 'id')}")
 
 
 def _ranked(keys: DataFrame, count: int) -> DataFrame:
@@ -105,6 +105,13 @@ def _window_links(ranked: DataFrame, cosine: float, window: int) -> DataFrame:
         ids, units, passes = pdf["id"].to_numpy(), pdf["unit"].to_numpy(), pdf["pass"].to_numpy()
         own = (pdf["own"] == pdf["block"]).to_numpy()
         a, b = [], []
+        root: dict = {}
+
+        def find(x):
+            while x in root:
+                x = root[x]
+            return x
+
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         for size in np.unique(sizes):
             here = np.flatnonzero(sizes == size)
@@ -116,10 +123,14 @@ def _window_links(ranked: DataFrame, cosine: float, window: int) -> DataFrame:
                 near = (j > i) & (j - i <= window)
                 i, j = here[i[near] + start], here[j[near] + start]
                 good = own[i] & (passes[i] == passes[j])
-                a.append(ids[i[good]])
-                b.append(ids[j[good]])
-        # A block's tree of links is enough; repeats of a pair across passes fall to distinct().
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)} if a else {"a": ids[:0], "b": ids[:0]})
+                for x, y in zip(ids[i[good]].tolist(), ids[j[good]].tolist(), strict=True):
+                    # A spanning set of the block's links is enough to join its components.
+                    u, v = find(x), find(y)
+                    if u != v:
+                        root[max(u, v)] = min(u, v)
+                        a.append(x)
+                        b.append(y)
+        return pd.DataFrame({"a": pd.Series(a, dtype=ids.dtype), "b": pd.Series(b, dtype=ids.dtype)})
 
     return rows.select("block", "own", "rank", "pass", "id", "unit").groupBy("block").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
 
@@ -160,7 +171,7 @@ def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vector_col:
     rows = checkpoint(unit_vectors(table, id_col, vector_col))
     valid = rows.where("unit is not null and id is not null")
     classes = checkpoint(valid.groupBy("unit").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
-    ranked = _ranked(_keys(classes, passes), classes.count() * passes)
+    ranked = _ranked(_keys(classes, passes), classes.count() * passes).join(classes.select("id", "unit"), "id")
     parts = connected_components(checkpoint(_window_links(ranked, cosine, window)))
     members = classes.join(parts, "id")
     links = _count_links(members.select("component", "id", "unit", "copies"), cosine)
