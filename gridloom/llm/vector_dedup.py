@@ -107,10 +107,10 @@ def _window_links(ranked: DataFrame, cosine: float, window: int) -> DataFrame:
         a, b = [], []
         root: dict = {}
 
-        def find(x):
-            while x in root:
-                x = root[x]
-            return x
+        def find(node):
+            while node in root:
+                node = root[node]
+            return node
 
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         for size in np.unique(sizes):
@@ -123,13 +123,13 @@ def _window_links(ranked: DataFrame, cosine: float, window: int) -> DataFrame:
                 near = (j > i) & (j - i <= window)
                 i, j = here[i[near] + start], here[j[near] + start]
                 good = own[i] & (passes[i] == passes[j])
-                for x, y in zip(ids[i[good]].tolist(), ids[j[good]].tolist(), strict=True):
+                for one, other in zip(ids[i[good]].tolist(), ids[j[good]].tolist(), strict=True):
                     # A spanning set of the block's links is enough to join its components.
-                    u, v = find(x), find(y)
+                    u, v = find(one), find(other)
                     if u != v:
                         root[max(u, v)] = min(u, v)
-                        a.append(x)
-                        b.append(y)
+                        a.append(one)
+                        b.append(other)
         return pd.DataFrame({"a": pd.Series(a, dtype=ids.dtype), "b": pd.Series(b, dtype=ids.dtype)})
 
     return rows.select("block", "own", "rank", "pass", "id", "unit").groupBy("block").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
