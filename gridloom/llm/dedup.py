@@ -3,8 +3,8 @@
 1. One pass sketches each text: its distinct 5-word shingles fall in 128 buckets, and a bucket keeps its
    smallest hash as a 16-bit register, 6 bits of leading zeros and 10 bits of mantissa.
 2. Texts of equal shingle sets are one class, found by a 128-bit digest of the set.
-3. Classes are banded by four registers at a time (empty ones borrow another's), 32 bands in all: a pair of
-   similarity 0.85 misses all bands with a chance near 1e-10.
+3. Classes are banded by five registers at a time (empty ones borrow another's), 25 bands in all: a pair of
+   similarity 0.85 misses all bands with a chance near 4e-7.
 4. Each class is compared with one class of its bands, and verified links are joined to components. Bands whose
    members then still lie in several components are compared to the end, in tiles of bounded
    size: pairs of different components pass a collision-corrected Jaccard estimate from the
@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import batches_of, checkpoint, type_of
 from gridloom.llm.components import connected_components
-from gridloom.llm.hashing import mix, shingle_sets
+from gridloom.llm.hashing import combine, mix, shingle_sets
 
-K, ROWS, MANTISSA, EMPTY = 128, 4, 10, 0xFFFF
+K, ROWS, MANTISSA, EMPTY = 128, 5, 10, 0xFFFF
 #: Members of a tile, and the slack of the estimate: over seven standard deviations at 128 registers and 0.85.
-TILE, SLACK = 256, 0.25
+TILE, SLACK = 512, 0.25
 _U = np.uint64
 _PROBES = np.stack([np.random.Generator(np.random.PCG64(k)).permutation(K) for k in range(K)])
 
@@ -68,8 +68,9 @@ def densify(reg: np.ndarray) -> np.ndarray:
 
 def bands(reg: np.ndarray) -> np.ndarray:
     """One 64-bit key a band, of its registers and its number."""
-    packed = np.ascontiguousarray(densify(reg)).view("<u8").astype(np.uint64)
-    return mix(packed + np.arange(len(packed), dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
+    number = K // ROWS
+    table = densify(reg)[: number * ROWS].astype(np.uint64).reshape(number, ROWS)
+    return combine([*table.T, np.arange(number, dtype=np.uint64)])
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -147,15 +148,14 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _tiled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _tiled(members: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components inside each band, a spanning set of them from each pair of tiles.
 
-    members: (band, id, comp, n, reg, tiles). Each pair of tiles of a band meets in one task.
+    members: (band, id, comp, n, reg, shingles, tiles). Each pair of tiles of a band meets in one task.
     """
     tile = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
     rows = members.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("band", F.least("tile", "other").alias("t0"), F.greatest("tile", "other").alias("t1"), (F.col("tile") > F.col("other")).alias("right"), "id", "comp", "n", "reg")
-    rows = rows.join(sets, "id").select("band", "t0", "t1", "right", "id", "comp", "n", "reg", "shingles")
+    rows = rows.select("band", F.least("tile", "other").alias("t0"), F.greatest("tile", "other").alias("t1"), (F.col("tile") > F.col("other")).alias("right"), "id", "comp", "n", "reg", "shingles")
 
     def compare(table: pa.Table) -> pa.Table:
         ids, comps = table["id"].to_pylist(), table["comp"].to_pylist()
@@ -210,14 +210,6 @@ def _open(placed: DataFrame) -> DataFrame:
     return bands_.groupBy("m", "x1", "x2").agg(F.min("band").alias("band")).select("band", "m")
 
 
-def _between(placed: DataFrame, open_: DataFrame, pick: Column) -> DataFrame:
-    """In each open band, a member of each component against one of the band's first component."""
-    one = placed.join(open_.select("band"), "band", "left_semi").groupBy("band", "comp").agg(pick.alias("id"))
-    first = one.groupBy("band").agg(F.min(F.struct("comp", "id")).alias("first"))
-    pairs = one.join(first, "band").where(F.col("comp") > F.col("first.comp"))
-    return pairs.select(F.col("id").alias("a"), F.col("first.id").alias("b")).distinct()
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 85) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row.
 
@@ -237,18 +229,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = checkpoint(_verify(first, sets, percent))
     parts = connected_components(links)
     placed = _placed(banded, parts)
-    # A few more single comparisons between components of a band, of other members each time.
-    for pick in (F.min("id"), F.max("id"), F.min_by("id", F.xxhash64("id"))):
-        open_ = _open(placed)
-        if open_.isEmpty():
-            break
-        links = checkpoint(links.union(_verify(_between(placed, open_, pick), sets, percent)))
-        parts = connected_components(links)
-        placed = _placed(banded, parts)
-    open_ = _open(placed)
     tiles = F.ceil(F.col("m") / TILE).cast("int")
-    left = placed.join(open_.select("band", tiles.alias("tiles")), "band").join(classes.select("id", "n", "reg"), "id")
-    more = checkpoint(_tiled(left.select("band", "id", "comp", "n", "reg", "tiles"), sets, percent))
+    open_ = placed.join(_open(placed).select("band", tiles.alias("tiles")), "band")
+    facts = classes.select("id", "n", "reg").join(sets, "id")
+    more = checkpoint(_tiled(open_.join(facts, "id").select("band", "id", "comp", "n", "reg", "shingles", "tiles"), percent))
     parts = connected_components(links.union(more))
     names = classes.select("digest", "id").join(parts, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     digest: Column = F.when(F.col("id").isNotNull(), F.col("digest"))
