@@ -29,7 +29,7 @@ _U = np.uint64
 #: Fixed hashes of the start and the end of a text.
 START, END = _U(0x2545F4914F6CDD1D), _U(0x9E6C63D0876A9A47)
 #: Text bytes of a block; steps of an octave in the histogram of ratios; rounds of EM.
-BLOCK_BYTES, STEPS, ROUNDS = 24 << 20, 4, 60
+BLOCK_BYTES, STEPS, ROUNDS = 16 << 20, 4, 60
 #: One training document in so many is held out for the weights.
 HELD_OUT = 16
 
@@ -89,11 +89,14 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _block_arrays(texts: list[bytes]):
-    """Tokens of a block with its sorted distinct words and bigrams."""
+    """A block's starts of texts (a mask) and tokens a text; its sorted distinct words and bigrams, and each token's place among them."""
     w, c, n = tokens(texts)
-    bigram = combine([c, w]) if len(w) else w
-    uni = np.unique(np.concatenate((w, [START, END])) if len(w) else w)
-    return w, c, n, bigram, uni, np.unique(bigram)
+    # With an inverse, unique sorts; without, it builds a slower hash table.
+    bi, pairs = np.unique(combine([c, w]) if len(w) else w, return_inverse=True)
+    first = c == START
+    del c
+    uni, places = np.unique(np.concatenate((w, [START, END])), return_inverse=True)
+    return first, n, uni, places[:-2], bi, pairs
 
 
 def _cut(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -106,10 +109,10 @@ def _ask(table: pa.Table, ranges: int) -> pa.Table:
     """A block's keys and counts, a row for each level and hash range."""
     kind = table["kind"][0].as_py()
     texts = [t or b"" for t in table["text"].cast(pa.binary()).to_pylist()]
-    w, c, _, bigram, uni, bi = _block_arrays(texts)
+    _, _, uni, places, bi, pairs = _block_arrays(texts)
     rows: list[tuple] = []
-    for level, keys, seen in ((1, uni, w), (2, bi, bigram)):
-        counts = np.bincount(np.searchsorted(keys, seen), minlength=len(keys)) if kind != "score" else np.zeros(len(keys), np.int64)
+    for level, keys, seen in ((1, uni, places), (2, bi, pairs)):
+        counts = np.bincount(seen, minlength=len(keys)) if kind != "score" else np.zeros(len(keys), np.int64)
         cut = _cut(keys, ranges)
         rows += [(level, r, table["block"][0].as_py(), kind, pack_sorted(keys[i:j]), pack(counts[i:j].astype(np.uint64) + _U(1))) for r, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if j > i]
     names = ["level", "range", "block", "kind", "keys", "counts"]
@@ -173,13 +176,13 @@ def bucket_of(context: np.ndarray) -> np.ndarray:
 def _figures(docs: pa.Table, answers: pa.Table, column: str):
     """Per token of a block: count of its word, of its bigram and of its context; and tokens a text."""
     texts = [t or b"" for t in docs["text"].cast(pa.binary()).to_pylist()]
-    w, c, n, bigram, uni, bi = _block_arrays(texts)
+    first, n, uni, places, bi, pairs = _block_arrays(texts)
+    del texts
     by_word, by_bigram = _told(answers, column, uni, bi)
-    place = np.searchsorted(uni, w)
-    word, pair = by_word[place], by_bigram[np.searchsorted(bi, bigram)]
+    word, pair = by_word[places], by_bigram[pairs]
     # A context occurs as often as its word, a start as often as an end.
-    ends = by_word[np.searchsorted(uni, END)] if len(uni) else 0
-    context = np.where(c == START, ends, by_word[np.searchsorted(uni, c)]) if len(w) else word
+    ends = by_word[np.searchsorted(uni, END)]
+    context = np.where(first, ends, np.roll(word, 1))
     return word, pair, context, n
 
 
