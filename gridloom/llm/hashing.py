@@ -71,6 +71,12 @@ def combine(parts: list[np.ndarray]) -> np.ndarray:
     return h
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values of an array that is not empty; sorting is faster than the hash table of ``np.unique``."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))]
+
+
 def shingle_sets(texts: list[bytes], size: int = 5) -> list[np.ndarray]:
     """Each text's sorted distinct hashes of ``size`` lower-cased words in a row.
 
@@ -82,7 +88,7 @@ def shingle_sets(texts: list[bytes], size: int = 5) -> list[np.ndarray]:
     out, at = [], 0
     for count in counts.tolist():
         if count >= size:
-            out.append(np.unique(runs[at : at + count - size + 1]))
+            out.append(distinct(runs[at : at + count - size + 1]))
         elif count:
             out.append(combine([h[at + k : at + k + 1] for k in range(count)]))
         else:
