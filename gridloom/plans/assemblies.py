@@ -9,6 +9,7 @@ from gridloom.operators import assembly as A
 from gridloom.operators import grids as G
 from gridloom.operators import metrics as M
 from gridloom.operators import shards as S
+from gridloom.operators import streams as T
 from gridloom.plans.registry import query, table
 from gridloom.plans.vectors import _PLANE, plane
 
@@ -161,3 +162,18 @@ def preview_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = table(spark, sf_dir, "pages").select("page_id").orderBy("page_id").limit(30)
     rows = S.ordinals(first.withColumn("shard", F.lit(0)), "shard", ["page_id"], 1 << 30)
     return rows.where("ordinal between 10 and 29").select("page_id", F.col("ordinal").cast("bigint").alias("ordinal"))
+
+
+@query("SELECT o_orderpriority, count(*) AS n, count(DISTINCT o_orderkey) AS keys, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders GROUP BY o_orderpriority")
+def buffered_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRT4: a shuffle with a buffer of 1,000 rows is a permutation."""
+    rows = T.buffered_shuffle(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), 1000, 42)
+    return rows.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("keys"), F.sum("o_orderkey").alias("total"))
+
+
+@query("""WITH s AS (SELECT label, CAST(count(*) AS DOUBLE) n, CAST(sum(vec_id) AS DOUBLE) / 8 AS x FROM embeddings GROUP BY label)
+SELECT label, 'rows' AS measure, printf('rows: %.6f', n) AS line FROM s UNION ALL SELECT label, 'eighths', printf('eighths: %.6f', x) FROM s""")
+def score_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK7: measures as lines of text with six digits."""
+    s = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("rows"), (F.sum("vec_id") / 8).alias("eighths"))
+    return T.score_lines(s, ["label"])
