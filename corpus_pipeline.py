@@ -17,8 +17,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component, that of the smallest id."""
-    return dedup.drop_near_duplicates(docs)
+    """One document of each near-duplicate component (five-word shingles, similarity 0.8), that of the smallest id."""
+    return dedup.drop_near_duplicates(docs, percent=80)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

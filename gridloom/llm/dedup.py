@@ -4,7 +4,8 @@
    smallest hash as a 16-bit register, 6 bits of leading zeros and 10 bits of mantissa.
 2. Texts of equal shingle sets are one class, found by a 128-bit digest of the set.
 3. Classes are banded by five registers at a time (empty ones borrow another's), 25 bands in all: a pair of
-   similarity 0.85 misses all bands with a chance near 4e-7.
+   similarity 0.85 misses all bands with a chance near 4e-7. A lower threshold takes shorter bands, the longest
+   whose chance to miss a pair at it is below MISS: four registers and 32 bands at 0.80, with 5e-8.
 4. Each class is compared with one class of its bands, and verified links are joined to components. Bands whose
    members then still lie in several components are compared to the end, in tiles of bounded
    size: pairs of different components pass a collision-corrected Jaccard estimate from the
@@ -29,7 +30,9 @@ from gridloom.llm.components import connected_components
 from gridloom.llm.hashing import combine, mix, shingle_sets
 
 K, ROWS, MANTISSA, EMPTY = 128, 5, 10, 0xFFFF
-#: Members of a tile, and the slack of the estimate: over seven standard deviations at 128 registers and 0.85.
+#: The most that the chance to miss a pair at the threshold may be, where bands can be made that short.
+MISS = 1e-6
+#: Members of a tile, and the slack of the estimate: over seven standard deviations at 128 registers and 0.80 or 0.85.
 TILE, SLACK = 512, 0.25
 _U = np.uint64
 _PROBES = np.stack([np.random.Generator(np.random.PCG64(k)).permutation(K) for k in range(K)])
@@ -66,10 +69,16 @@ def densify(reg: np.ndarray) -> np.ndarray:
     return reg
 
 
-def bands(reg: np.ndarray) -> np.ndarray:
+def rows_for(percent: int) -> int:
+    """Registers of a band: at most ROWS, and as many as keep the chance to miss a pair at the threshold below MISS."""
+    miss = lambda rows: (1 - (percent / 100) ** rows) ** (K // rows)
+    return max((rows for rows in range(1, ROWS + 1) if miss(rows) < MISS), default=1)
+
+
+def bands(reg: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """One 64-bit key a band, of its registers and its number."""
-    number = K // ROWS
-    table = densify(reg)[: number * ROWS].astype(np.uint64).reshape(number, ROWS)
+    number = K // rows
+    table = densify(reg)[: number * rows].astype(np.uint64).reshape(number, rows)
     return combine([*table.T, np.arange(number, dtype=np.uint64)])
 
 
@@ -110,12 +119,12 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     return rows.mapInArrow(run, f"id {type_of(docs, id_col)}, n_shingles bigint, digest binary, reg binary")
 
 
-def _band_rows(classes: DataFrame) -> DataFrame:
-    """(band, id, n, reg) for each class and band."""
+def _band_rows(classes: DataFrame, size: int) -> DataFrame:
+    """(id, band) for each class and band of ``size`` registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [bands(np.frombuffer(r, np.uint16)).view(np.int64) for r in batch.column(1).to_pylist()]
+            keys = [bands(np.frombuffer(r, np.uint16), size).view(np.int64) for r in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["id", "bands"])
 
     kind = type_of(classes, "id")
@@ -221,7 +230,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     valid = rows.where("n_shingles > 0 and id is not null")
     classes = valid.groupBy("digest").agg(F.min("id").alias("id"), F.min("n_shingles").alias("n"), F.min_by("reg", "id").alias("reg"))
     classes = checkpoint(classes)
-    banded = _band_rows(classes)
+    banded = _band_rows(classes, rows_for(percent))
     shared = banded.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").drop("last")
     banded = checkpoint(banded.join(shared, "band").select("band", "id", "pivot"))
     sets = checkpoint(_sets(docs, banded.select("id").distinct(), id_col, text_col, size))

@@ -366,3 +366,21 @@ def test_pipeline(spark, sf_dir):
     rows = out.collect()
     assert rows and {r["doc_id"] for r in rows} <= left
     assert all(len(r["ids"]) == r["n_tokens"] for r in rows)
+
+
+def test_pipeline_near_dedup_at_80(spark):
+    """Pairs of similarity 0.80 to 0.85 are near copies for the pipeline's stage."""
+    import corpus_pipeline
+
+    rows, rng = [], random.Random(11)
+    for k in range(60):
+        w = [f"p{k}q{i}" for i in range(rng.randint(150, 400))]
+        other = list(w)
+        for j in range(rng.randint(1, 12)):
+            other[9 + 10 * j] = f"changed{j}"
+        rows += [(2 * k, " ".join(w), "a"), (2 * k + 1, " ".join(other), "a")]
+    share = {k: len(a & b) / len(a | b) for k in range(60) for a, b in [(shingles(rows[2 * k][1]), shingles(rows[2 * k + 1][1]))]}
+    assert sum(0.8 <= s < 0.85 for s in share.values()) >= 5 and any(s < 0.8 for s in share.values())
+    want = sorted([2 * k for k in share] + [2 * k + 1 for k, s in share.items() if s < 0.8])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs(spark, rows), "").collect()) == want
+    assert dedup.rows_for(85) == 5 and (1 - 0.8 ** dedup.rows_for(80)) ** (dedup.K // dedup.rows_for(80)) < 1e-6
