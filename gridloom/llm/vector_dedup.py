@@ -1,11 +1,15 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors by exhaustive tiles, inside buckets of sign bits where there are too many.
 
-Equal directions are one class first. Each pass draws random hyperplanes, concatenates the signs to a
-bit string, sorts all classes by it (range partitions, then blocks of consecutive ranks that overlap by the
-window) and compares each with a bounded window of those that follow. Pairs with a cosine of
+Equal directions are one class first. Up to EXACT classes are one bucket, and all pairs are compared. Above
+that, each pass draws random hyperplanes, whose signs are a class's bucket, and compares all pairs of every bucket
+to the end, however large it is. A pair at the threshold shares a bucket of b bits with the chance
+(1 - angle / pi) ** b, whatever the other vectors are; so the passes that keep its chance to be missed
+below MISS follow from b, and b from the work that the number of classes and the angles of a sample
+promise; it is none where comparing all pairs is less. Dense vectors take time, not recall.
+
+Buckets are split in tiles, and each pair of tiles meets in one task. Pairs with a cosine of
 at least the threshold in double precision are joined to components across passes. At the
-end the links inside each component are counted in full, tile by tile, so that a window
-narrower than a group loses no link of it; only counts leave a tile.
+end the links inside each component are counted in full, tile by tile; only counts leave a tile.
 """
 
 from __future__ import annotations
@@ -21,12 +25,13 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import checkpoint, type_of
 from gridloom.llm.components import connected_components
 
-#: Passes, sign bits of a key, neighbours compared with, ranks in a block, members of a tile.
-PASSES, BITS, WINDOW, BLOCK, TILE = 24, 62, 48, 2048, 1024
+#: Classes that are compared in full, the chance to miss a pair at the threshold above them, sign bits at most,
+#: comparisons that cost as much as moving a vector, classes sampled, members of a tile of a bucket and of a component.
+EXACT, MISS, BITS, MOVE, SAMPLE, BUCKET_TILE, TILE = 131_072, 1e-6, 20, 4_000, 2_000, 8_192, 1024
 
 
-def _planes(dimension: int, number: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64([number, 7])).standard_normal((dimension, BITS))
+def _planes(dimension: int, number: int, bits: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64([number, 7])).standard_normal((dimension, bits))
 
 
 def _matrix(column, dtype=np.float64) -> np.ndarray:
@@ -55,84 +60,81 @@ def unit_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"id {type_of(table, id_col)}, unit binary")
 
 
-def _keys(classes: DataFrame, passes: int) -> DataFrame:
-    """(pass, key, id) for all passes; vectors are joined again after ranking, so they move once."""
+def passes_for(bits: int, cosine: float, miss: float = MISS) -> int:
+    """Passes that leave a pair of the given cosine without a common bucket with a chance of at most ``miss``."""
+    shared = (1 - np.arccos(cosine) / np.pi) ** bits
+    return 1 if shared >= 1 else int(np.ceil(np.log(miss) / np.log1p(-shared)))
+
+
+def bits_for(count: int, units: list[bytes], cosine: float, miss: float = MISS) -> int:
+    """Sign bits of the least work, moves and comparisons, by the angles of sampled directions; 0 compares all pairs."""
+    share, sizes = np.zeros(BITS + 1), np.asarray([len(u) for u in units])
+    for size in np.unique(sizes):
+        x = _matrix([u for u in units if len(u) == size])
+        same = 1 - np.arccos(np.clip((x @ x.T)[np.triu_indices(len(x), 1)], -1, 1)) / np.pi
+        share += [(same**b).sum() for b in range(BITS + 1)]
+    mates = count * share / max(len(units) * (len(units) - 1) // 2, 1)
+    return min(range(BITS + 1), key=lambda b: passes_for(b, cosine, miss) * (MOVE * max(mates[b] / BUCKET_TILE, 1) + mates[b]))
+
+
+def _bucketed(classes: DataFrame, passes: int, bits: int) -> DataFrame:
+    """(pass, size, key, id) for all passes; vectors are joined again after counting."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+        place = np.int64(1) << np.arange(bits, dtype=np.int64)
         for batch in batches:
             units = batch.column(1).to_pylist()
             sizes = np.asarray([len(u) for u in units])
             for p in range(passes):
                 key = np.zeros(len(units), np.int64)
-                for size in np.unique(sizes):
+                for size in np.unique(sizes) if bits else ():
                     own = np.flatnonzero(sizes == size)
                     x = _matrix([units[i] for i in own])
-                    key[own] = ((x @ _planes(x.shape[1], p)) > 0).astype(np.int64) @ place
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(units), p, np.int32)), pa.array(key), batch.column(0)], names=["pass", "key", "id"])
-
-    return classes.select("id", "unit").mapInArrow(run, f"pass int, key bigint, id {type_of(classes, 'id')}")
-
+                    key[own] = ((x @ _planes(x.shape[1], p, bits)) > 0).astype(np.int64) @ place
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(units), p, np.int32)), pa.array(sizes.astype(np.int32)), pa.array(key), batch.column(0)], names=["pass", "size", "key", "id"])
+
+    return classes.select("id", "unit").mapInArrow(run, f"pass int, size int, key bigint, id {type_of(classes, 'id')}")
+
+
+def spanning_links(x: np.ndarray, y: np.ndarray | None, cosine: float) -> list[tuple[int, int]]:
+    """Pairs of rows of x (or of x and y, whose rows count on from x's) that join what all links join."""
+    both = x if y is None else np.concatenate((x, y))
+    label, out = np.arange(len(both)), []
+    base = 0 if y is None else len(x)
+    for start in range(0, len(x), 256):
+        near = (x[start : start + 256] @ both[base:].T) >= cosine
+        for k in np.flatnonzero(near.any(axis=1)).tolist():
+            i = start + k
+            js = np.flatnonzero(near[k]) + base
+            others, first = np.unique(label[js], return_index=True)
+            for other, at in zip(others.tolist(), first.tolist(), strict=True):
+                if other != label[i]:
+                    out.append((i, int(js[at])))
+                    label[label == other] = label[i]
+    return out
+
+
+def _bucket_links(classes: DataFrame, passes: int, bits: int, cosine: float) -> DataFrame:
+    """Verified pairs (a, b) that join what the links inside every bucket of every pass join."""
+    keys = checkpoint(_bucketed(classes, passes, bits))
+    # A bucket of everything is dealt over some tasks even where one tile would do.
+    tiles = F.greatest(F.ceil(F.col("m") / BUCKET_TILE), F.least(F.ceil(F.col("m") / 512), F.lit(6))).cast("int") if bits == 0 else F.ceil(F.col("m") / BUCKET_TILE).cast("int")
+    counts = keys.groupBy("pass", "size", "key").agg(F.count("*").alias("m")).where("m > 1").select("pass", "size", "key", tiles.alias("tiles"))
+    rows = keys.join(counts, ["pass", "size", "key"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("pass", "size", "key", F.least("tile", "other").alias("t0"), F.greatest("tile", "other").alias("t1"), (F.col("tile") > F.col("other")).alias("right"), "id").join(classes.select("id", "unit"), "id")
+    kind = type_of(classes, "id")
 
-def _ranked(keys: DataFrame, count: int) -> DataFrame:
-    """Adds ``rank``, the place by (pass, key, id), without a single task for all rows.
+    def compare(table: pa.Table) -> pa.Table:
+        x, right = _matrix(table["unit"].to_pylist()), np.asarray(table["right"].to_pylist(), bool)
+        one_tile = table["t0"][0].as_py() == table["t1"][0].as_py()
+        order = np.arange(len(x)) if one_tile else np.concatenate((np.flatnonzero(~right), np.flatnonzero(right)))
+        pairs = spanning_links(x, None, cosine) if one_tile else spanning_links(x[~right], x[right], cosine)
+        ids = table["id"].combine_chunks()
+        take = lambda side: ids.take(pa.array(order[[p[side] for p in pairs]] if pairs else [], pa.int64()))
+        return pa.table({"a": take(0), "b": take(1)})
 
-    The number of rows in each range partition goes to the driver, as offsets.
-    """
-    n = max(1, -(-count // 50_000))
-    rows = keys.repartitionByRange(n, "pass", "key", "id").sortWithinPartitions("pass", "key", "id")
-    rows = checkpoint(rows.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
-    counts = dict(sorted((r["part"], r["count"]) for r in rows.groupBy("part").count().collect()))
-    offsets, total = {}, 0
-    for part, c in counts.items():
-        offsets[part], total = total, total + c
-    if not offsets:
-        return rows.withColumn("rank", F.col("at"))
-    table = rows.sparkSession.createDataFrame([(p, o) for p, o in offsets.items()], "part int, base bigint")
-    return rows.join(F.broadcast(table), "part").withColumn("rank", F.col("base") + F.col("at"))
-
-
-def _window_links(ranked: DataFrame, cosine: float, window: int) -> DataFrame:
-    """Verified pairs of each row with the ``window`` rows after it in its pass."""
-    block = F.floor(F.col("rank") / BLOCK).cast("long")
-    early = (F.col("rank") % BLOCK < window) & (block > 0)
-    blocks = F.when(early, F.array(block, block - 1)).otherwise(F.array(block))
-    rows = ranked.withColumn("own", block).withColumn("block", F.explode(blocks))
-    kind = type_of(ranked, "id")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        ids, units, passes = pdf["id"].to_numpy(), pdf["unit"].to_numpy(), pdf["pass"].to_numpy()
-        own = (pdf["own"] == pdf["block"]).to_numpy()
-        a, b = [], []
-        root: dict = {}
-
-        def find(node):
-            while node in root:
-                node = root[node]
-            return node
-
-        sizes = np.fromiter(map(len, units), np.int64, len(units))
-        for size in np.unique(sizes):
-            here = np.flatnonzero(sizes == size)
-            x = _matrix(units[here])
-            for start in range(0, len(here), 256):
-                stop = min(start + 256 + window, len(here))
-                sims = x[start : min(start + 256, len(here))] @ x[start:stop].T
-                i, j = np.nonzero(sims >= cosine)
-                near = (j > i) & (j - i <= window)
-                i, j = here[i[near] + start], here[j[near] + start]
-                good = own[i] & (passes[i] == passes[j])
-                for one, other in zip(ids[i[good]].tolist(), ids[j[good]].tolist(), strict=True):
-                    # A spanning set of the block's links is enough to join its components.
-                    u, v = find(one), find(other)
-                    if u != v:
-                        root[max(u, v)] = min(u, v)
-                        a.append(one)
-                        b.append(other)
-        return pd.DataFrame({"a": pd.Series(a, dtype=ids.dtype), "b": pd.Series(b, dtype=ids.dtype)})
-
-    return rows.select("block", "own", "rank", "pass", "id", "unit").groupBy("block").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
+    return rows.groupBy("pass", "size", "key", "t0", "t1").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
 def _count_links(members: DataFrame, cosine: float) -> DataFrame:
@@ -161,18 +163,25 @@ def _count_links(members: DataFrame, cosine: float) -> DataFrame:
     return parts.groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, bits: int | None = None, miss: float = MISS) -> DataFrame:
     """(id, n_links, component_id, kept) of every row.
 
     Null, empty and zero vectors, and those with null or non-finite components, link with nothing, as do rows
     without an id; vectors of different lengths never link. Equal vectors link with each other.
-    Other columns are left aside; no rows give no rows. Ids are taken to be unique.
+    Other columns are left aside; no rows give no rows. Ids are taken to be unique. Up to EXACT distinct
+    directions no link is missed; above, one at the threshold is with a chance of at most ``miss``, unless
+    comparing all is less work. ``bits`` fixes the sign bits of a bucket instead.
     """
     rows = checkpoint(unit_vectors(table, id_col, vector_col))
     valid = rows.where("unit is not null and id is not null")
     classes = checkpoint(valid.groupBy("unit").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
-    ranked = _ranked(_keys(classes, passes), classes.count() * passes).join(classes.select("id", "unit"), "id")
-    parts = connected_components(checkpoint(_window_links(ranked, cosine, window)))
+    count = classes.count()
+    if bits is None and count <= EXACT:
+        bits = 0
+    elif bits is None:
+        # By a hash of the id, so that the sample is the same each time.
+        bits = bits_for(count, [r["unit"] for r in classes.select("unit").orderBy(F.xxhash64("id")).limit(SAMPLE).collect()], cosine, miss)
+    parts = connected_components(checkpoint(_bucket_links(classes, passes_for(bits, cosine, miss), bits, cosine)))
     members = classes.join(parts, "id")
     links = _count_links(members.select("component", "id", "unit", "copies"), cosine)
     named = classes.join(parts, "id", "left").join(links, "id", "left")

@@ -384,3 +384,34 @@ def test_pipeline_near_dedup_at_80(spark):
     want = sorted([2 * k for k in share] + [2 * k + 1 for k, s in share.items() if s < 0.8])
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs(spark, rows), "").collect()) == want
     assert dedup.rows_for(85) == 5 and (1 - 0.8 ** dedup.rows_for(80)) ** (dedup.K // dedup.rows_for(80)) < 1e-6
+
+
+def cone(n, pairs, mean, seed):
+    """Unit vectors of a mean cosine, and ``pairs`` more that are near copies of the first."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(math.sqrt(mean) * unit(rng.standard_normal(64)) + math.sqrt(1 - mean) * unit(rng.standard_normal((n, 64))))
+    noise = rng.standard_normal((pairs, 64))
+    noise = unit(noise - (noise * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs])
+    c = rng.uniform(0.9005, 0.91, (pairs, 1))
+    return np.concatenate((x, c * x[:pairs] + np.sqrt(1 - c * c) * noise))
+
+
+@pytest.mark.parametrize("bits", [None, 8])
+def test_dense_vectors_lose_no_link(spark, bits):
+    """Vectors of a mean cosine of 0.7: all pairs, or buckets that are compared to the end."""
+    x = cone(12_000 if bits is None else 4000, 400, 0.7, 4)
+    near = (x @ x.T) >= 0.9
+    np.fill_diagonal(near, False)
+    assert near.sum() >= 800
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in vector_dedup.near_duplicate_vectors(rows, bits=bits).collect()}
+    assert [got[i] for i in range(len(x))] == near.sum(axis=1).tolist()
+
+
+def test_passes_bound_the_chance_of_a_miss():
+    shared = 1 - math.acos(0.9) / math.pi
+    for bits in (0, 1, 8, 20):
+        assert (1 - shared**bits) ** vector_dedup.passes_for(bits, 0.9) <= 1e-6
+    spread, dense = ([v.tobytes() for v in cone(500, 1, mean, 6)] for mean in (0.0, 0.7))
+    assert vector_dedup.bits_for(100, spread, 0.9) == vector_dedup.bits_for(200_000, dense, 0.9) == 0 < vector_dedup.bits_for(400_000, spread, 0.9)
