@@ -19,7 +19,14 @@ IP = rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"
 SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
 DATE = r"(?<![0-9-])(?:1[89]|2[01])[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-PATTERN = "|".join((EMAIL, DATE, SSN, PHONE, IP, CARD))
+FIXED = "|".join((EMAIL, DATE, SSN, PHONE, IP))
+#: Stretches that may hold cards, and the groupings of a card that may stand beside other numbers, by preference.
+STRETCH = r"(?<![0-9])[0-9][0-9 -]{12,}+"
+GROUPINGS = (
+    r"[0-9]{13,19}", r"[0-9]{4}(?:[ -][0-9]{4}){3}", r"[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}",
+    *(rf"[0-9]{{4,}}(?:[ -][0-9]{{4,}}){{{k}}}" for k in (1, 2, 3)),
+    r"[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{1,3}", r"[0-9]{4}(?:[ -][0-9]{3}){3}",
+)
 KINDS = ("email", "date", "ssn", "phone", "ip", "card")
 #: Feistel rounds each way; days from 1800-01-01 to 2199-12-31 are 27 * 5411.
 ROUNDS, DAY_0, DAYS = 4, "1800-01-01", (27, 5411)
@@ -30,6 +37,36 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _is_card(m: Column) -> Column:
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
+
+
+def cards(text: Column) -> Column:
+    """The distinct strings of a text that are cards (Luhn), by preference.
+
+    Every group of digits may begin a card, so one next to another number is found. A run of any other
+    grouping is a card as a whole, unless a card of a usual grouping is inside.
+    """
+    found = F.array_join(F.regexp_extract_all(text, F.lit(STRETCH), F.lit(0)), "\n")
+
+    def listed(stretches: Column) -> Column:
+        # Looked ahead, so that proposals may overlap.
+        each = [F.regexp_extract_all(stretches, F.lit(rf"(?<![0-9])(?=({g})(?![0-9]))[0-9]"), F.lit(1)) for g in GROUPINGS]
+        usual = F.filter(F.array_distinct(F.concat(*each)), _is_card)
+        runs = F.filter(F.array_distinct(F.regexp_extract_all(stretches, F.lit(CARD), F.lit(0))), _is_card)
+        return _let(usual, lambda u: F.concat(u, F.filter(runs, lambda run: ~F.exists(u, lambda c: F.contains(run, c)))))
+
+    none = F.array().cast("array<string>")
+    return F.when(found == "", none).otherwise(_let(found, listed))
+
+
+def pattern(text: Column) -> Column:
+    """The regular expression of a text's personal data: the fixed formats, and its own cards."""
+    one = lambda c: F.when(F.size(c) == 0, F.lit(FIXED)).otherwise(F.concat(F.lit(f"{FIXED}|(?<![0-9])(?:"), F.array_join(c, "|"), F.lit(")(?![0-9])")))
+    return _let(cards(text), one)
+
+
 def kind_of(m: Column) -> Column:
     """The kind of a match that its validation confirms, else null."""
     digits = F.regexp_replace(m, "[^0-9]", "")
@@ -186,9 +223,10 @@ def with_pseudonyms(docs: DataFrame, key: str, text_col: str = "text", kinds_col
     Null stays null; the order and number of rows and all other columns stay. One pass, no shuffle.
     """
     text = F.col(text_col)
-    found = docs.withColumn("_m", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    found = docs.withColumn("_pattern", pattern(text))
+    found = found.withColumn("_m", F.regexp_extract_all(text, F.col("_pattern"), F.lit(0)))
     found = found.withColumn("_p", F.transform("_m", lambda m: pseudonym(m, key)))
-    parts = F.split(text, PATTERN, -1)
+    parts = F.split(text, F.col("_pattern"), -1)
     joined = _let(parts, lambda p: F.concat(F.get(p, F.lit(0)), F.array_join(F.transform("_p", lambda x, i: F.concat(x["value"], F.get(p, i + 1))), "")))
     new = F.when(F.size("_m") > 0, joined).otherwise(text)
     out = [new.alias(c) if c == text_col else docs[c] for c in docs.columns]

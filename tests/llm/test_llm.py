@@ -415,3 +415,25 @@ def test_passes_bound_the_chance_of_a_miss():
         assert (1 - shared**bits) ** vector_dedup.passes_for(bits, 0.9) <= 1e-6
     spread, dense = ([v.tobytes() for v in cone(500, 1, mean, 6)] for mean in (0.0, 0.7))
     assert vector_dedup.bits_for(100, spread, 0.9) == vector_dedup.bits_for(200_000, dense, 0.9) == 0 < vector_dedup.bits_for(400_000, spread, 0.9)
+
+
+BESIDE = [
+    "4111 1111 1111 1111 12/27", "4111111111111111 123 cvv", "order 7 4111111111111111", "7777 4111 1111 1111 1111", "1 2 3 4111-1111-1111-1111 4 5 6",
+    "4111 1111 1111 1111 5500 0000 0000 0004", "3782 822463 10005 1234", "41111111 11111111 99", "12345678901234567890 4111111111111111", "4111 1111 1111 1111 2027-05-01",
+    "4111111111111111 212-555-0100", "4111 1111 1111 1111 " + "7 " * 30000 + "4111111111111111",
+]
+
+
+def test_cards_beside_numbers(spark):
+    """A card next to another number is replaced as it is alone, and the other number stays."""
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*BESIDE, "4111111111111111", "411-1111 1111111-11"])], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymise(rows, "key").collect()}
+    alone = got[len(BESIDE)]["text"]
+    grouped = lambda c: f"{c[:4]} {c[4:8]} {c[8:12]} {c[12:]}"
+    assert alone != "4111111111111111" and all(got[i]["n_card"] >= 1 for i in got)
+    card = grouped(alone)
+    want = {0: f"{card} 12/27", 1: f"{alone} 123 cvv", 2: f"order 7 {alone}", 3: f"7777 {card}", 4: f"1 2 3 {card.replace(' ', '-')} 4 5 6", 7: f"{alone[:8]} {alone[8:]} 99", 8: f"12345678901234567890 {alone}", 11: f"{card} " + "7 " * 30000 + alone}
+    assert {i: got[i]["text"] for i in want} == want
+    assert got[5]["text"].startswith(card) and got[5]["n_card"] == 2 and "0004" not in got[5]["text"]
+    assert "822463" not in got[6]["text"] and got[6]["text"].endswith(" 1234")
+    assert got[9]["n_date"] == 1 and got[9]["text"].startswith(card) and got[10]["n_phone"] == 1 and got[10]["text"].startswith(alone)
