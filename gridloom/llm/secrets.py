@@ -1,4 +1,4 @@
-"""Secret scans: long tokens are candidates, and a random forest removes false positives.
+"""Secret scans: long tokens and short named values are candidates, and a random forest removes false positives.
 
 Features: length, character transitions, dictionary coverage, path shape and neighbouring words, all native
 expressions. The forest is Spark ML's, fitted on labelled findings; without any of
@@ -13,9 +13,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import checkpoint
+
 #: The shape of a candidate, words that name secrets, and common word parts.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,200}+(?![A-Za-z0-9+/_=.-])"
-NAMES = r"(?i)(?:token|secret|passw(?:or)?d|passwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)[\"']?\s*(?:=|:|=>|:=)\s*[\"']?$"
+_CHAR = "[A-Za-z0-9+/_.-]"
+_NAME = r"(?i:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)(?:s|[_-][A-Za-z0-9_-]{0,24})?"
+NAMES = _NAME + r"[\"']?\s*(?:=|:|=>|:=)\s*[\"']?$"
+#: Tokens of 16 characters and more, and shorter ones right after a name; "=" parts a name from its value, or pads an end.
+_AFTER_NAME = _NAME + r"[\"']?\s{0,16}(?:=|:|=>|:=)\s{0,16}[\"']?"
+CANDIDATE = rf"(?<!{_CHAR})(?:{_CHAR}{{16,}}+|{_CHAR}(?<=[=:>][\s\"']{{0,17}}{_CHAR})(?<={_AFTER_NAME}{_CHAR}){_CHAR}{{0,14}}+)(?:={{1,2}}+(?![A-Za-z0-9+/_.=\"'-]))?+"
 PARTS = r"the|and|ing|tion|ent|ment|with|that|for|are|you|her|all|not|but|our|com|example|http|www|index|test|file|data|name|user|page|image|config|version|sample|de|la|en|er|es|on|an|in|or|re|st|nd"
 COLUMNS = ("length", "digits", "uppers", "transitions", "distinct", "hex", "coverage", "path", "named", "assigned", "quoted")
 #: Bounds: synthetic labelled findings, trees and their depth.
@@ -39,25 +45,29 @@ def features(candidate: Column, before: Column, after: Column) -> Column:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", around: int = 40) -> DataFrame:
-    """(id, place, candidate, before, after) of every long token; place is the character offset, from 0."""
+    """(id, place, candidate, before, after) of every candidate; place is the character offset, from 0, and before and after are of the text around it."""
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col), F.split(text, CANDIDATE, -1).alias("_parts"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("_found")).where(F.size("_found") > 0)
+    rows = docs.select(F.col(id_col), text.alias("_text"), F.split(text, CANDIDATE, -1).alias("_parts"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("_found")).where(F.size("_found") > 0)
 
     def walk(s: Column, i: Column) -> Column:
         part, found = F.get("_parts", i), F.get("_found", i)
         place = s["at"] + F.length(part)
         after = F.substring(F.get("_parts", i + 1), 1, around)
-        row = F.struct(place.alias("place"), found.alias("candidate"), F.right(part, F.lit(around)).alias("before"), after.alias("after"))
-        return F.struct((place + F.length(found)).alias("at"), F.concat(s["rows"], F.array(row)).alias("rows"))
+        before = F.right(F.concat(s["tail"], part), F.lit(around))
+        row = F.struct(place.alias("place"), found.alias("candidate"), before.alias("before"), after.alias("after"))
+        tail = F.right(F.concat(before, found), F.lit(around))
+        return F.struct((place + F.length(found)).alias("at"), tail.alias("tail"), F.concat(s["rows"], F.array(row)).alias("rows"))
 
     empty = F.array().cast("array<struct<place:int,candidate:string,before:string,after:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("rows"))
     # Chunks of 64 keep the growing arrays short in a text of very many tokens.
     lengths = F.transform("_found", lambda m, i: F.length(F.get("_parts", i)) + F.length(m))
     rows = rows.withColumn("_lengths", lengths).withColumn("_chunks", F.transform(F.sequence(F.lit(0), F.floor((F.size("_found") - 1) / 64).cast("int")), lambda c: c * 64))
     offset = F.aggregate(F.transform("_chunks", lambda c: F.aggregate(F.slice("_lengths", c + 1, 64), F.lit(0), lambda a, x: a + x)), F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    rows = rows.withColumn("_offsets", offset).select("*", F.posexplode("_chunks").alias("_c", "_from"))
-    start = F.struct(F.get("_offsets", F.col("_c")).alias("at"), empty.alias("rows"))
+    rows = rows.withColumn("_offsets", offset)
+    # What lies before each chunk, once from the text.
+    tails = F.transform("_offsets", lambda at: F.substring(F.col("_text"), F.greatest(at - around, F.lit(0)) + 1, F.least(at, F.lit(around))))
+    rows = rows.withColumn("_tails", tails).drop("_text").select("*", F.posexplode("_chunks").alias("_c", "_from"))
+    start = F.struct(F.get("_offsets", F.col("_c")).alias("at"), F.get("_tails", F.col("_c")).alias("tail"), empty.alias("rows"))
     last = F.least(F.col("_from") + 63, F.size("_found") - 1)
     walked = F.aggregate(F.sequence(F.col("_from"), last), start, lambda s, i: walk(s, i), lambda s: s["rows"])
     return rows.select(id_col, F.inline(walked))
@@ -74,14 +84,24 @@ def synthetic_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     path = F.concat_ws("/", F.lit("src"), letter(20), letter(22), F.concat(letter(24), F.lit(".html")))
     dotted = F.concat_ws(".", F.lit("www"), letter(30), F.concat(letter(32), letter(34)), F.lit("example"), F.lit("com"))
     i = F.col("id")
-    secret = pick([F.substring(h, 1, 40), F.upper(F.substring(h, 1, 40)), F.substring(h, 1, 32), F.substring(base64, 1, 40), F.concat(F.lit("AKIA"), F.upper(F.substring(base64, 1, 16))), F.substring(h, 1, 64)], i / 2)
-    other = pick([word, path, dotted, F.initcap(word), F.repeat(letter(3), 8), F.substring(h, 1, 40), F.conv(F.substring(h, 1, 15), 16, 10), F.repeat(F.lit("x"), 24), F.concat_ws("-", word, letter(1))], i / 2)
-    named = pick(['token = "', 'TOKEN = "', "password: ", "api_key='", 'secret="', "access_key = "], i / 12)
+    # Short passwords, signed tokens and one-line keys of over 200 characters; long text that is none; names and short words after names.
+    blob = F.regexp_replace(F.base64(F.unhex(F.concat(h, F.sha2(F.concat(h, F.lit("b")), 512), F.sha2(F.concat(h, F.lit("c")), 512)))), r"[\r\n]", "")
+    short = F.concat(letter(3), F.substring(base64, 1, 4), F.substring(h, 9, 3))
+    token = F.concat(F.lit("eyJhbGciOiJIUzI1NiJ9.eyJ"), F.substring(blob, 1, 170), F.lit("."), F.substring(base64, 1, 43))
+    key_line, mixed = F.concat(F.lit("MII"), blob), F.substring(blob, 1, 24)
+    key_name = pick(["aws_secret_access_key", "database_password_production", "SERVICE_ACCOUNT_TOKEN", "production_api_key"], F.floor(i / 2) / 15)
+    short_word, long_word = F.concat(letter(3), letter(5)), F.repeat(F.concat(letter(1), F.lit("-"), word), 9)
+    secret = pick([F.substring(h, 1, 40), F.upper(F.substring(h, 1, 40)), F.substring(h, 1, 32), F.substring(base64, 1, 40), F.concat(F.lit("AKIA"), F.upper(F.substring(base64, 1, 16))), F.substring(h, 1, 64), short, token, key_line, mixed], i / 2)
+    other = pick([word, path, dotted, F.initcap(word), F.repeat(letter(3), 8), F.substring(h, 1, 40), F.conv(F.substring(h, 1, 15), 16, 10), F.repeat(F.lit("x"), 24), F.concat_ws("-", word, letter(1)), key_name, short_word, long_word, F.concat_ws("/", F.lit("/usr/share"), word, word, F.concat(letter(1), F.lit(".html")))], i / 2)
+    named = pick(['token = "', 'TOKEN = "', "password: ", "api_key='", 'secret="', "access_key = ", "API_TOKEN=", "export SERVICE_TOKEN=", 'aws_secret_access_key = "', "database_password_production: "], i / 20)
     plain = pick(["the ", "see ", "commit ", "sha1 of ", "", "| ", "http://", "id: "], i / 18)
-    bad_before = F.when(F.rlike(other, F.lit("^x+$")), named).otherwise(plain)
+    bad_before = F.when(F.rlike(other, F.lit("^x+$")) | (other == short_word), named).otherwise(plain)
     good = i % 2 == 0
-    after = F.when(good, F.when(F.rlike(named, F.lit("\"$")), '" ').otherwise(" ")).otherwise(" ")
-    return spark.range(n).select(F.when(good, secret).otherwise(other).alias("candidate"), F.when(good, named).otherwise(bad_before).alias("before"), after.alias("after"), good.cast("double").alias("label"))
+    # Signed tokens, cloud keys and one-line keys also stand alone.
+    bare = F.rlike(secret, F.lit("^(?:eyJ|AKIA|MII)")) & (F.floor(i / 20) % 2 == 0)
+    good_before = F.when(bare, plain).otherwise(named)
+    after = F.when(good & F.rlike(good_before, F.lit("\"$")), '" ').when(other == key_name, ' = "').otherwise(" ")
+    return spark.range(n).select(F.when(good, secret).otherwise(other).alias("candidate"), F.when(good, good_before).otherwise(bad_before).alias("before"), after.alias("after"), good.cast("double").alias("label"))
 
 
 def _assembled(rows: DataFrame) -> DataFrame:
@@ -92,7 +112,8 @@ def _assembled(rows: DataFrame) -> DataFrame:
 def train(labelled: DataFrame, seed: int = 17) -> RandomForestClassificationModel:
     """A forest fitted on (candidate, before, after, label 0.0 or 1.0)."""
     forest = RandomForestClassifier(labelCol="label", featuresCol="_features", probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_predicted", numTrees=TREES, maxDepth=DEPTH, seed=seed)
-    return forest.fit(_assembled(labelled))
+    # Materialised first: the expressions that make findings and those of the features are too large as one.
+    return forest.fit(_assembled(checkpoint(labelled)))
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:

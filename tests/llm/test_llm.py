@@ -437,3 +437,22 @@ def test_cards_beside_numbers(spark):
     assert got[5]["text"].startswith(card) and got[5]["n_card"] == 2 and "0004" not in got[5]["text"]
     assert "822463" not in got[6]["text"] and got[6]["text"].endswith(" 1234")
     assert got[9]["n_date"] == 1 and got[9]["text"].startswith(card) and got[10]["n_phone"] == 1 and got[10]["text"].startswith(alone)
+
+
+def test_secrets_of_any_length_and_name(spark):
+    """Long tokens, short named ones, NAME=value, and values after a name that is a candidate itself."""
+    hexes = hashlib.sha1(b"2").hexdigest()
+    jwt = "eyJhbGciOiJSUzI1NiJ9.eyJ" + base64.b64encode(hashlib.sha512(b"3").digest() * 4).decode().replace("=", "").replace("+", "-")[:300] + "." + hashlib.sha256(b"4").hexdigest()
+    padded = base64.b64encode(hashlib.sha256(b"5").digest()[:31]).decode()
+    value = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    texts = {1: (f"bearer {jwt} end", jwt), 2: ('password = "hx7Tq9Kd2"', "hx7Tq9Kd2"), 3: (f"API_TOKEN={hexes}", hexes), 4: (f'aws_secret_access_key = "{value}"', value), 5: (f"secret: {padded}", padded), 6: ("database_password_production: k3Vx91bQ", "k3Vx91bQ"), 7: (f'api_key="{jwt}"', jwt)}
+    many = "é " + " ".join(f'aws_secret_access_key = "{hashlib.sha1(str(i).encode()).hexdigest()}"' for i in range(100))
+    rows = docs(spark, [(i, t, "a") for i, (t, _) in texts.items()] + [(8, many, "a"), (9, "the token of the king is the secret of them", "a")])
+    out = secrets.scan(rows, secrets.train(secrets.synthetic_findings(spark))).collect()
+    found = {(r["doc_id"], r["candidate"]): r["is_secret"] for r in out}
+    assert {i: found.get((i, want)) for i, (_, want) in texts.items()} == dict.fromkeys(texts, True)
+    assert not any(s for (_, c), s in found.items() if c in ("aws_secret_access_key", "database_password_production"))
+    assert all(many[r["place"] :].startswith(r["candidate"]) for r in out if r["doc_id"] == 8) and sum(r["is_secret"] for r in out if r["doc_id"] == 8) == 100
+    around = secrets.candidates(rows.where("doc_id = 8")).collect()
+    assert len(around) == 200 and all(r["before"] == many[max(r["place"] - 40, 0) : r["place"]] for r in around)
+    assert not any(i == 9 for i, _ in found)
