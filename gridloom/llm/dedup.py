@@ -251,11 +251,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("id", "n_shingles", component.alias("component_id")).select(F.col("id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"))
 
 
+def _one_of_each_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows with an id, one of each: of repeated ones that of the smallest text, null last; the whole row decides ties."""
+    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_again")).count().where("count > 1").select("_again")
+    repeated = checkpoint(repeated)
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col(id_col).alias("_key"), F.col(text_col).alias("_text"))
+    if repeated.isEmpty():
+        return rows.select("_row.*")
+    place = F.struct(F.col("_text").isNull(), F.col("_text"), F.to_json("_row"))
+    one = rows.join(repeated, F.col("_key") == F.col("_again"), "left_semi").groupBy("_key").agg(F.min_by("_row", place).alias("_row"))
+    return rows.join(repeated, F.col("_key") == F.col("_again"), "left_anti").select("_row.*").union(one.select("_row.*"))
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The row of the smallest id of each component, with all its columns.
 
-    Rows that repeat an id with the same text all stay (they are one document).
+    Repeated rows of one id are one document: one row stays, that of the smallest text. Rows without an id
+    are documents of their own, compared by their texts like all others, and come after all ids.
     """
-    gone = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_key"))
-    return rows.join(gone, F.col("_key") == F.col("_gone"), "left_anti").select("_row.*")
+    named = _one_of_each_id(docs, id_col, text_col)
+    if docs.where(F.col(id_col).isNull()).isEmpty():
+        gone = near_duplicates(named, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias("_gone"))
+        rows = named.select(F.struct(*[named[c] for c in named.columns]).alias("_row"), named[id_col].alias("_key"))
+        return rows.join(gone, F.col("_key") == F.col("_gone"), "left_anti").select("_row.*")
+    # Numbered once and kept, so that a row has the same key each time it is read.
+    nameless = docs.where(F.col(id_col).isNull())
+    whole = lambda d, key: d.select(F.struct(*[d[c] for c in docs.columns]).alias("_row"), key.alias("_key"), d[id_col].alias("_id"), d[text_col].alias("_text"))
+    nameless = checkpoint(whole(nameless, F.concat(F.lit("n"), F.monotonically_increasing_id().cast("string"))))
+    rows = whole(named, F.concat(F.lit("i"), F.col(id_col).cast("string"))).union(nameless)
+    parts = near_duplicates(rows, "_key", "_text", **options).select(F.col("_key").alias("_k"), "component_id")
+    parts = checkpoint(parts.join(rows.select(F.col("_key"), "_id"), F.col("_k") == F.col("_key")).select("_k", "_id", "component_id"))
+    first = parts.groupBy("component_id").agg(F.min_by("_k", F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_k"))).alias("_stays"))
+    return rows.join(first.select("_stays"), F.col("_key") == F.col("_stays"), "left_semi").select("_row.*")

@@ -78,6 +78,7 @@ def plan_mix(
     schedules: Sequence[Knots] = SCHEDULES,
     repeats: int = REPEATS,
     seed: int = 0,
+    row: bool = False,
 ) -> DataFrame:
     """(id, size, source_size, target, taken, positions) of every row, not yet sorted.
 
@@ -85,18 +86,23 @@ def plan_mix(
     before a source's target is taken in part, so a source's sum is its target rounded down.
     ``positions`` are the training times of its passes. Null and blank texts have size 0, are never taken and
     have no positions; a null source is a source of its own; repeated rows each count; no rows give no rows.
+    With ``row`` each also carries its whole row, as ``_row``, and null ids are ordered by their texts.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    carried = ["_row"] if row else []
+    whole = [F.struct(*[docs[c] for c in docs.columns]).alias("_row")] if row else []
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *whole)
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
-    rows = rows.select("id", "size", "source", key.alias("source_key"), order.alias("o"), F.substring(order, 1, 3).alias("bucket"))
+    # With their rows, those without an id are dealt by their texts, not all to one bucket.
+    nameless = F.coalesce(F.md5(F.col("_row")[text_col]), F.lit("")) if row else F.lit("")
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), nameless)))
+    rows = rows.select("id", "size", "source", key.alias("source_key"), order.alias("o"), F.substring(order, 1, 3).alias("bucket"), *carried)
     buckets = rows.groupBy("source_key", "bucket").agg(F.sum("size").alias("n"), F.first("source").alias("source"))
     inside = W.partitionBy("source_key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = buckets.select("source_key", "bucket", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("offset"))
     sizes = buckets.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("n").alias("source_size"))
     wanted = offsets.join(targets(sizes, [integral(k) for k in schedules], repeats), "source_key")
     run = W.partitionBy("source_key", "bucket").orderBy("o", "id", "size").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.select("id", "size", "source_key", "bucket", F.coalesce(F.sum("size").over(run), F.lit(0)).alias("within"))
+    rows = rows.select("id", "size", "source_key", "bucket", F.coalesce(F.sum("size").over(run), F.lit(0)).alias("within"), *carried)
     rows = rows.join(wanted, ["source_key", "bucket"]).withColumn("at", F.col("offset") + F.col("within"))
     demand = F.floor("target").cast("long")
     taken = sum((F.least(F.greatest(demand - e * F.col("source_size") - F.col("at"), F.lit(0)), F.col("size")) for e in range(repeats)), F.lit(0))
@@ -113,7 +119,7 @@ def plan_mix(
             out = F.when(F.col("cycle") == i, t) if out is None else out.when(F.col("cycle") == i, t)
         return out
 
-    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), F.transform(starts, position).alias("positions"))
+    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), F.transform(starts, position).alias("positions"), *carried)
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
@@ -126,11 +132,9 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The training stream: whole rows of ``docs``, one for each pass, range-sorted by position.
 
-    Ids are taken to be unique, as after deduplication. A document in which a source's demand
-    ends comes whole.
+    Each row is placed by itself, so repeated and null ids each count once a pass. A document in
+    which a source's demand ends comes whole.
     """
-    plan = plan_mix(docs, id_col=id_col, **options)
-    slots = plan.select(F.col(id_col).alias("_id"), F.explode("positions").alias("_position"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_key"))
-    joined = rows.join(slots, F.col("_key").eqNullSafe(F.col("_id")))
-    return joined.orderBy("_position", "_id").select("_row.*")
+    plan = plan_mix(docs, id_col=id_col, row=True, **options)
+    slots = plan.select("_row", F.col(id_col).alias("_id"), F.explode("positions").alias("_position"))
+    return slots.orderBy("_position", "_id").select("_row.*")

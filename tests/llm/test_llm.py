@@ -456,3 +456,24 @@ def test_secrets_of_any_length_and_name(spark):
     around = secrets.candidates(rows.where("doc_id = 8")).collect()
     assert len(around) == 200 and all(r["before"] == many[max(r["place"] - 40, 0) : r["place"]] for r in around)
     assert not any(i == 9 for i, _ in found)
+
+
+def test_repeated_and_null_ids_stay_once(spark):
+    rng = random.Random(21)
+    texts = [sample(rng, 120) for _ in range(6)]
+    near = lambda t: " ".join(["changed", *t.split()[1:]])
+    rows = [(5, texts[0], "a")] * 3 + [(None, texts[0], "b"), (None, near(texts[0]), "a"), (4, near(texts[0]), "a"), (None, texts[1], "a"), (None, texts[1], "a"), (None, near(texts[1]), "a"), (7, texts[2], "a"), (7, texts[3], "a"), (7, None, "a"), (None, None, "a"), (None, texts[4], "a"), (9, texts[5], "c")]
+    left = [(r["doc_id"], r["text"]) for r in dedup.drop_near_duplicates(docs(spark, rows)).collect()]
+    fixed = {(4, near(texts[0])), (7, min(texts[2], texts[3])), (9, texts[5]), (None, None), (None, texts[4])}
+    assert fixed < set(left) and len(left) == 6 and sum(t in (texts[1], near(texts[1])) for _, t in left) == 1
+    only = dedup.drop_near_duplicates(docs(spark, [r for r in rows if r[0] is not None])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in only) == sorted((i, t) for i, t in fixed if i is not None)
+
+
+def test_mixed_documents_with_repeated_and_null_ids(spark):
+    """A row comes at most three times, whatever other rows share its id."""
+    rows = [(None, f"null {i} " + "w " * (i % 5), "a") for i in range(200)] + [(1, f"one {i} x", "b") for i in range(30)] + [(2 + i, f"other {i} " + "y " * 20, "c") for i in range(40)]
+    made = docs(spark, rows)
+    positions = sum(len(r["positions"]) for r in mixing.plan_mix(made, row=True).collect())
+    stream = [r["text"] for r in mixing.mixed_documents(made).collect()]
+    assert len(stream) == positions <= 3 * len(rows) and max(map(stream.count, set(stream))) <= 3
