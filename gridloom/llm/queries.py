@@ -51,12 +51,13 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-#: Of the production pseudonyms; a deployment passes its own.
-PII_KEY = "gridloom-pseudonyms-1"
+def pii_key(spark: SparkSession) -> str:
+    """The secret key that a deployment sets as ``gridloom.pii.key`` of its session; without it, one that is public and for tests only."""
+    return spark.conf.get("gridloom.pii.key", "public-test-key")
 
 
 def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(read(spark, sf_dir, "documents"), PII_KEY)
+    return pii.pseudonymise(read(spark, sf_dir, "documents"), pii_key(spark))
 
 
 def op9_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

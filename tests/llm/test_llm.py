@@ -301,7 +301,7 @@ def test_pseudonyms_are_permutations(spark):
 
 
 def test_pseudonyms_keep_columns(spark, mixed):
-    out = pii.with_pseudonyms(docs(spark, mixed), "k", kinds_col=None)
+    out = pii.with_pseudonyms(docs(spark, mixed), "k")
     assert out.columns == [c.split()[0] for c in EXTRA.split(", ")] and out.count() == len(mixed)
     assert pii.pseudonymise(docs(spark, []), "k").count() == 0
 
