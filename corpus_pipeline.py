@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import bpe, dedup, mixing, pii, quality
 from gridloom.llm.common import shared_folder
-from gridloom.llm.queries import PII_KEY, rank_file
+from gridloom.llm.queries import pii_key, rank_file
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data in their texts replaced."""
-    return pii.with_pseudonyms(docs, PII_KEY, kinds_col=None)
+    return pii.with_pseudonyms(docs, pii_key(spark))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
