@@ -1,15 +1,18 @@
-"""Near-duplicate vectors by exhaustive tiles, inside buckets of sign bits where there are too many.
-
-Equal directions are one class first. Up to EXACT classes are one bucket, and all pairs are compared. Above
-that, each pass draws random hyperplanes, whose signs are a class's bucket, and compares all pairs of every bucket
-to the end, however large it is. A pair at the threshold shares a bucket of b bits with the chance
-(1 - angle / pi) ** b, whatever the other vectors are; so the passes that keep its chance to be missed
-below MISS follow from b, and b from the work that the number of classes and the angles of a sample
-promise; it is none where comparing all pairs is less. Dense vectors take time, not recall.
-
-Buckets are split in tiles, and each pair of tiles meets in one task. Pairs with a cosine of
-at least the threshold in double precision are joined to components across passes. At the
-end the links inside each component are counted in full, tile by tile; only counts leave a tile.
+"""Near-duplicate vectors by sorted projection passes.
+
+Equal vectors are one class first. Each pass draws random hyperplanes, and a class's key is the string of
+its signs: concatenated random hashes, by which a pass orders the classes lexicographically. Neighbours
+in that order are compared in windows of at most WINDOW classes. A window reaches over the run of classes
+that share the leading ``bits`` of the key; a run longer than a window, as dense vectors make, is dealt to
+several windows, and each pair of its windows meets too, so no run is cut short. Pairs with a cosine of at
+least the threshold in double precision are joined to components across passes.
+
+A pair at the threshold shares a run with the chance (1 - angle / pi) ** bits in a pass, whatever the other
+vectors are, so the number of passes follows from ``bits`` and the stated chance MISS to lose it; ``bits``
+follows from the number of classes and the angles of a sample, for the least work. The same
+rule holds for every size. Dense vectors take time, not recall.
+
+At the end the links inside each component are counted in full, window by window; only counts leave a window.
 """
 
 from __future__ import annotations
@@ -25,39 +28,46 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import checkpoint, type_of
 from gridloom.llm.components import connected_components
 
-#: Classes that are compared in full, the chance to miss a pair at the threshold above them, sign bits at most,
-#: comparisons that cost as much as moving a vector, classes sampled, members of a tile of a bucket and of a component.
-EXACT, MISS, BITS, MOVE, SAMPLE, BUCKET_TILE, TILE = 131_072, 1e-6, 20, 4_000, 2_000, 8_192, 1024
+#: The chance to miss a pair at the threshold, the fewest and the most leading bits of a run, comparisons that cost
+#: as much as moving a vector, classes sampled for the choice between them, and classes of a window.
+MISS, FEWEST, BITS, MOVE, SAMPLE, WINDOW = 1e-5, 4, 24, 2_000, 2_000, 1024
 
 
 def _planes(dimension: int, number: int, bits: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64([number, 7])).standard_normal((dimension, bits))
 
 
-def _matrix(column, dtype=np.float64) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype).reshape(len(column), -1)
+def _matrix(column, dtype) -> np.ndarray:
+    """Unit rows in double precision of vectors of one length; scaled first, so squares neither overflow nor vanish."""
+    x = np.frombuffer(b"".join(column), dtype).reshape(len(column), -1).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def unit_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, unit binary): the direction in double precision; null where the vector can link with nothing."""
+def raw_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, raw binary): the components as they are; null where the vector can link with nothing."""
+    dtype = dtype_of(table, vector_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for v in batch.column(1).to_pylist():
-                unit = None
-                if v and None not in v:
-                    x = np.asarray(v, np.float64)
-                    # Scaled first, so squares neither overflow nor vanish.
-                    top = np.abs(x).max() if np.isfinite(x).all() else 0.0
-                    if top > 0:
-                        x = x / top
-                        unit = (x / np.sqrt(x @ x) + 0.0).tobytes()
-                out.append(unit)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "unit"])
+            lists = batch.column(1)
+            values = lists.values.to_numpy(zero_copy_only=False).astype(dtype)  # null components become NaN
+            at = lists.offsets.to_numpy()
+            good = np.isfinite(values)
+            bad = np.concatenate(([0], np.cumsum(~good)))
+            some = np.concatenate(([0], np.cumsum(good & (values != 0))))
+            usable = (bad[at[1:]] == bad[at[:-1]]) & (some[at[1:]] > some[at[:-1]]) & np.asarray(lists.is_valid())
+            # Adding 0.0 makes negative zeros positive.
+            raw = [(values[i:j] + dtype(0)).tobytes() if ok else None for i, j, ok in zip(at[:-1].tolist(), at[1:].tolist(), usable.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["id", "raw"])
 
     rows = table.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    return rows.mapInArrow(run, f"id {type_of(table, id_col)}, unit binary")
+    return rows.mapInArrow(run, f"id {type_of(table, id_col)}, raw binary")
+
+
+def dtype_of(table: DataFrame, vector_col: str) -> type:
+    """Float vectors stay floats while they move; all others are doubles. Cosines are always of doubles."""
+    return np.float32 if type_of(table, vector_col) == "array<float>" else np.float64
 
 
 def passes_for(bits: int, cosine: float, miss: float = MISS) -> int:
@@ -66,34 +76,34 @@ def passes_for(bits: int, cosine: float, miss: float = MISS) -> int:
     return 1 if shared >= 1 else int(np.ceil(np.log(miss) / np.log1p(-shared)))
 
 
-def bits_for(count: int, units: list[bytes], cosine: float, miss: float = MISS) -> int:
-    """Sign bits of the least work, moves and comparisons, by the angles of sampled directions; 0 compares all pairs."""
-    share, sizes = np.zeros(BITS + 1), np.asarray([len(u) for u in units])
+def bits_for(count: int, raws: list[bytes], cosine: float, dtype: type = np.float64, miss: float = MISS) -> int:
+    """Leading bits of the least work, moves and comparisons, by the angles of sampled classes."""
+    share, sizes = np.zeros(BITS + 1), np.asarray([len(u) for u in raws])
     for size in np.unique(sizes):
-        x = _matrix([u for u in units if len(u) == size])
+        x = _matrix([u for u in raws if len(u) == size], dtype)
         same = 1 - np.arccos(np.clip((x @ x.T)[np.triu_indices(len(x), 1)], -1, 1)) / np.pi
         share += [(same**b).sum() for b in range(BITS + 1)]
-    mates = count * share / max(len(units) * (len(units) - 1) // 2, 1)
-    return min(range(BITS + 1), key=lambda b: passes_for(b, cosine, miss) * (MOVE * max(mates[b] / BUCKET_TILE, 1) + mates[b]))
+    mates = count * share / max(len(raws) * (len(raws) - 1) // 2, 1)
+    return min(range(FEWEST, BITS + 1), key=lambda b: passes_for(b, cosine, miss) * (MOVE * max(mates[b] / WINDOW, 1) + mates[b]))
 
 
-def _bucketed(classes: DataFrame, passes: int, bits: int) -> DataFrame:
-    """(pass, size, key, id) for all passes; vectors are joined again after counting."""
+def _keyed(classes: DataFrame, passes: int, bits: int, dtype: type) -> DataFrame:
+    """(pass, size, run, key, id) for all passes: the whole key and its leading bits; vectors are joined after counting."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = np.int64(1) << np.arange(bits, dtype=np.int64)
+        place = np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64)
         for batch in batches:
-            units = batch.column(1).to_pylist()
-            sizes = np.asarray([len(u) for u in units])
+            raws = batch.column(1).to_pylist()
+            sizes = np.asarray([len(u) for u in raws])
             for p in range(passes):
-                key = np.zeros(len(units), np.int64)
-                for size in np.unique(sizes) if bits else ():
+                key = np.zeros(len(raws), np.int64)
+                for size in np.unique(sizes):
                     own = np.flatnonzero(sizes == size)
-                    x = _matrix([units[i] for i in own])
-                    key[own] = ((x @ _planes(x.shape[1], p, bits)) > 0).astype(np.int64) @ place
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(units), p, np.int32)), pa.array(sizes.astype(np.int32)), pa.array(key), batch.column(0)], names=["pass", "size", "key", "id"])
+                    x = _matrix([raws[i] for i in own], dtype)
+                    key[own] = ((x @ _planes(x.shape[1], p, BITS)) > 0).astype(np.int64) @ place
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raws), p, np.int32)), pa.array(sizes.astype(np.int32)), pa.array(key >> (BITS - bits)), pa.array(key), batch.column(0)], names=["pass", "size", "run", "key", "id"])
 
-    return classes.select("id", "unit").mapInArrow(run, f"pass int, size int, key bigint, id {type_of(classes, 'id')}")
+    return classes.select("id", "raw").mapInArrow(run, f"pass int, size int, run bigint, key bigint, id {type_of(classes, 'id')}")
 
 
 def spanning_links(x: np.ndarray, y: np.ndarray | None, cosine: float) -> list[tuple[int, int]]:
@@ -114,43 +124,42 @@ def spanning_links(x: np.ndarray, y: np.ndarray | None, cosine: float) -> list[t
     return out
 
 
-def _bucket_links(classes: DataFrame, passes: int, bits: int, cosine: float) -> DataFrame:
-    """Verified pairs (a, b) that join what the links inside every bucket of every pass join."""
-    keys = checkpoint(_bucketed(classes, passes, bits))
-    # A bucket of everything is dealt over some tasks even where one tile would do.
-    tiles = F.greatest(F.ceil(F.col("m") / BUCKET_TILE), F.least(F.ceil(F.col("m") / 512), F.lit(6))).cast("int") if bits == 0 else F.ceil(F.col("m") / BUCKET_TILE).cast("int")
-    counts = keys.groupBy("pass", "size", "key").agg(F.count("*").alias("m")).where("m > 1").select("pass", "size", "key", tiles.alias("tiles"))
-    rows = keys.join(counts, ["pass", "size", "key"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("pass", "size", "key", F.least("tile", "other").alias("t0"), F.greatest("tile", "other").alias("t1"), (F.col("tile") > F.col("other")).alias("right"), "id").join(classes.select("id", "unit"), "id")
+def _window_links(classes: DataFrame, passes: int, bits: int, cosine: float, dtype: type) -> DataFrame:
+    """Verified pairs (a, b) that join what the links inside every run of every pass join."""
+    keys = checkpoint(_keyed(classes, passes, bits, dtype))
+    windows = F.ceil(F.col("m") / WINDOW).cast("int")
+    counts = keys.groupBy("pass", "size", "run").agg(F.count("*").alias("m")).where("m > 1").select("pass", "size", "run", windows.alias("windows"))
+    rows = keys.join(counts, ["pass", "size", "run"]).withColumn("window", F.pmod(F.xxhash64("id"), F.col("windows")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)))
+    rows = rows.select("pass", "size", "run", F.least("window", "other").alias("w0"), F.greatest("window", "other").alias("w1"), (F.col("window") > F.col("other")).alias("right"), "key", "id").join(classes.select("id", "raw"), "id")
     kind = type_of(classes, "id")
 
     def compare(table: pa.Table) -> pa.Table:
-        x, right = _matrix(table["unit"].to_pylist()), np.asarray(table["right"].to_pylist(), bool)
-        one_tile = table["t0"][0].as_py() == table["t1"][0].as_py()
-        order = np.arange(len(x)) if one_tile else np.concatenate((np.flatnonzero(~right), np.flatnonzero(right)))
-        pairs = spanning_links(x, None, cosine) if one_tile else spanning_links(x[~right], x[right], cosine)
+        table = table.sort_by([("right", "ascending"), ("key", "ascending")])
+        x, right = _matrix(table["raw"].to_pylist(), dtype), np.asarray(table["right"].to_pylist(), bool)
+        one = table["w0"][0].as_py() == table["w1"][0].as_py()
+        pairs = spanning_links(x, None, cosine) if one else spanning_links(x[~right], x[right], cosine)
         ids = table["id"].combine_chunks()
-        take = lambda side: ids.take(pa.array(order[[p[side] for p in pairs]] if pairs else [], pa.int64()))
+        take = lambda side: ids.take(pa.array([p[side] for p in pairs], pa.int64()))
         return pa.table({"a": take(0), "b": take(1)})
 
-    return rows.groupBy("pass", "size", "key", "t0", "t1").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
+    return rows.groupBy("pass", "size", "run", "w0", "w1").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
-def _count_links(members: DataFrame, cosine: float) -> DataFrame:
+def _count_links(members: DataFrame, cosine: float, dtype: type) -> DataFrame:
     """(id, links): for each class, the vectors of other classes of its component with a cosine of at least ``cosine``.
 
-    members: (component, id, unit, copies). Pairs of tiles of a component meet; each class keeps its sum.
+    members: (component, id, raw, copies). Pairs of windows of a component meet; each class keeps its sum.
     """
-    counts = members.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    rows = members.join(counts, "component").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("component", F.least("tile", "other").alias("t0"), F.greatest("tile", "other").alias("t1"), (F.col("tile") > F.col("other")).alias("right"), "id", "unit", "copies")
+    counts = members.groupBy("component").agg(F.ceil(F.count("*") / WINDOW).cast("int").alias("windows"))
+    rows = members.join(counts, "component").withColumn("window", F.pmod(F.xxhash64("id"), F.col("windows")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)))
+    rows = rows.select("component", F.least("window", "other").alias("w0"), F.greatest("window", "other").alias("w1"), (F.col("window") > F.col("other")).alias("right"), "id", "raw", "copies")
     kind = type_of(members, "id")
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, copies = _matrix(pdf["unit"].to_numpy()), pdf["copies"].to_numpy()
-        if pdf["t0"].iloc[0] == pdf["t1"].iloc[0]:
+        x, copies = _matrix(pdf["raw"].to_numpy(), dtype), pdf["copies"].to_numpy()
+        if pdf["w0"].iloc[0] == pdf["w1"].iloc[0]:
             near = (x @ x.T) >= cosine
             np.fill_diagonal(near, False)
             return pd.DataFrame({"id": pdf["id"], "links": near @ copies})
@@ -159,7 +168,7 @@ def _count_links(members: DataFrame, cosine: float) -> DataFrame:
         ids = pdf["id"].to_numpy()
         return pd.DataFrame({"id": np.concatenate((ids[~r], ids[r])), "links": np.concatenate((near @ copies[r], near.T @ copies[~r]))})
 
-    parts = rows.groupBy("component", "t0", "t1").applyInPandas(count, f"id {kind}, links bigint")
+    parts = rows.groupBy("component", "w0", "w1").applyInPandas(count, f"id {kind}, links bigint")
     return parts.groupBy("id").agg(F.sum("links").alias("links"))
 
 
@@ -168,26 +177,30 @@ def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vector_col:
 
     Null, empty and zero vectors, and those with null or non-finite components, link with nothing, as do rows
     without an id; vectors of different lengths never link. Equal vectors link with each other.
-    Other columns are left aside; no rows give no rows. Ids are taken to be unique. Up to EXACT distinct
-    directions no link is missed; above, one at the threshold is with a chance of at most ``miss``, unless
-    comparing all is less work. ``bits`` fixes the sign bits of a bucket instead.
+    Rows that repeat an id are one vector, the first in byte order where they differ, and each has its
+    figures. Other columns are left aside; no rows give no rows. A pair at the threshold is missed
+    with a chance of at most ``miss``, a nearer pair with less. ``bits`` fixes the leading bits of a run instead of
+    their choice by size. Building the result runs jobs.
     """
-    rows = checkpoint(unit_vectors(table, id_col, vector_col))
-    valid = rows.where("unit is not null and id is not null")
-    classes = checkpoint(valid.groupBy("unit").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
-    count = classes.count()
-    if bits is None and count <= EXACT:
-        bits = 0
-    elif bits is None:
+    dtype = dtype_of(table, vector_col)
+    rows = checkpoint(raw_vectors(table, id_col, vector_col))
+    valid = rows.where("raw is not null and id is not null")
+    repeated = checkpoint(valid.groupBy("id").count().where("count > 1").select("id"))
+    if not repeated.isEmpty():
+        one = valid.join(repeated, "id", "left_semi").groupBy("id").agg(F.min("raw").alias("raw"))
+        valid = checkpoint(valid.join(repeated, "id", "left_anti").unionByName(one))
+    classes = checkpoint(valid.groupBy("raw").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
+    if bits is None:
         # By a hash of the id, so that the sample is the same each time.
-        bits = bits_for(count, [r["unit"] for r in classes.select("unit").orderBy(F.xxhash64("id")).limit(SAMPLE).collect()], cosine, miss)
-    parts = connected_components(checkpoint(_bucket_links(classes, passes_for(bits, cosine, miss), bits, cosine)))
+        bits = bits_for(classes.count(), [bytes(r["raw"]) for r in classes.select("raw").orderBy(F.xxhash64("id")).limit(SAMPLE).collect()], cosine, dtype, miss)
+    parts = connected_components(checkpoint(_window_links(classes, passes_for(bits, cosine, miss), bits, cosine, dtype)))
     members = classes.join(parts, "id")
-    links = _count_links(members.select("component", "id", "unit", "copies"), cosine)
+    links = _count_links(members.select("component", "id", "raw", "copies"), cosine, dtype)
     named = classes.join(parts, "id", "left").join(links, "id", "left")
-    named = named.select(F.col("unit").alias("u"), F.coalesce("component", "id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    unit = F.when(F.col("id").isNotNull(), F.col("unit"))
-    out = rows.select("id", unit.alias("unit")).join(named, F.col("unit") == F.col("u"), "left")
+    named = named.select("raw", F.coalesce("component", "id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    # Each id has one class now; rows without one stay alone.
+    own = valid.join(named, "raw").select(F.col("id").alias("own"), "component", "links")
+    out = rows.select("id", "raw").join(own, F.col("raw").isNotNull() & (F.col("id") == F.col("own")), "left")
     component = F.coalesce("component", "id")
     return out.select(
         F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept")
