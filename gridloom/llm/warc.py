@@ -124,16 +124,19 @@ def read_archive(content: bytes) -> Iterator[dict]:
 
 
 def with_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", least: int = 0) -> DataFrame:
-    """Adds _sha (of the UTF-8 payload), _first (the response's id) and _revisit.
+    """Adds _first (the response's id, of revisits only) and _revisit.
 
     Equal payloads of at least ``least`` bytes: the smallest id is the response. Rows without an id are responses.
-    Firsts are pre-aggregated by digest before the join, whose skewed side Spark may split.
+    Only ids and digests meet by digest, so a page that many urls share moves no payloads to one task: the
+    payloads are joined with the ids that revisit, by id and digest.
     """
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    rows = pages.withColumns({"_sha": F.sha2(payload, 256), "_bytes": F.octet_length(payload).cast("long")})
-    firsts = rows.groupBy(F.col("_sha").alias("_sha1")).agg(F.min(id_col).alias("_first"))
-    joined = rows.join(firsts, F.col("_sha") == F.col("_sha1")).drop("_sha1")
-    return joined.withColumn("_revisit", F.coalesce((F.col("_bytes") >= least) & (F.col(id_col) != F.col("_first")), F.lit(False)))
+    rows = pages.withColumn("_sha", F.sha2(payload, 256))
+    long = rows.where((F.octet_length(payload) >= least) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col("_sha").alias("_digest"))
+    firsts = long.groupBy(F.col("_digest").alias("_shared")).agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first <> _last").drop("_last")
+    again = long.join(firsts, F.col("_digest") == F.col("_shared")).where("_id <> _first").select("_id", "_digest", "_first").distinct()
+    joined = rows.join(again, (F.col(id_col) == F.col("_id")) & (F.col("_sha") == F.col("_digest")), "left")
+    return joined.withColumn("_revisit", F.col("_first").isNotNull()).drop("_sha", "_id", "_digest")
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
