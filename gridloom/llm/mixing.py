@@ -7,8 +7,9 @@ its source's stream is the number of words before it in a hashed order; invertin
 cumulative demand turns that place into a training position, once for each pass over the source.
 Documents are range-sorted by position.
 
-Prefix sums run in two levels: 4,096 hash buckets a source, whose offsets are summed over
-buckets, then rows inside a bucket; a source with most of the rows spreads over all tasks.
+Prefix sums run in two levels: hash buckets of a source, whose offsets are summed over
+buckets, then rows inside a bucket; a source with most of the rows spreads over all tasks. The buckets are
+4,096 a source, and sixteen times as many wherever a bucket would hold more than BUCKET rows.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import n_words
+from gridloom.llm.common import checkpoint, n_words
 
 Knots = Sequence[tuple[float, float]]
 
 #: Weights 1, 2 and 3 over the whole of training: falling, peaking halfway, rising.
 SCHEDULES: tuple[Knots, ...] = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (0.5, 3.0), (1.0, 1.0)), ((0.0, 2.0), (1.0, 4.0)))
 REPEATS = 3
+#: Rows of a bucket, about.
+BUCKET = 1 << 16
 
 
 def integral(knots: Knots) -> float:
@@ -86,8 +89,12 @@ def plan_mix(
     before a source's target is taken in part, so a source's sum is its target rounded down.
     ``positions`` are the training times of its passes. Null and blank texts have size 0, are never taken and
     have no positions; a null source is a source of its own; repeated rows each count; no rows give no rows.
-    With ``row`` each also carries its whole row, as ``_row``, and null ids are ordered by their texts.
+    With ``row`` each also carries its whole row, as ``_row``, and null ids are ordered by their texts. Without, the
+    sizes are checkpointed, so each text is read once.
     """
+    digits, count = 3, docs.count()
+    while 16**digits * BUCKET < count:
+        digits += 1
     carried = ["_row"] if row else []
     whole = [F.struct(*[docs[c] for c in docs.columns]).alias("_row")] if row else []
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *whole)
@@ -95,7 +102,9 @@ def plan_mix(
     # With their rows, those without an id are dealt by their texts, not all to one bucket.
     nameless = F.coalesce(F.md5(F.col("_row")[text_col]), F.lit("")) if row else F.lit("")
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), nameless)))
-    rows = rows.select("id", "size", "source", key.alias("source_key"), order.alias("o"), F.substring(order, 1, 3).alias("bucket"), *carried)
+    rows = rows.select("id", "size", "source", key.alias("source_key"), order.alias("o"), F.substring(order, 1, digits).alias("bucket"), *carried)
+    if not row:
+        rows = checkpoint(rows)
     buckets = rows.groupBy("source_key", "bucket").agg(F.sum("size").alias("n"), F.first("source").alias("source"))
     inside = W.partitionBy("source_key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = buckets.select("source_key", "bucket", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("offset"))
