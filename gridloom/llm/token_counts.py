@@ -1,9 +1,10 @@
 """Token counts by a unigram model whose forward scores are shared along a trie of pre-tokens.
 
-A batch's distinct pre-tokens are put in a trie: sorted by code point, each word with the length
+The distinct pre-tokens of a batch that the task has not met yet are put in a trie: sorted by code point, each word with the length
 of the prefix it shares with the one before is the trie in depth-first order, so a stack of
 scores by depth holds exactly the current path. Every trie node gets its forward
-score once, from the pieces that end there; each word's count is kept at its terminal node.
+score once, from the pieces that end there; each word's count is kept at its terminal node, and
+terminal counts stay over all batches of a task (up to KEPT words, then they start anew).
 
 Pieces come from a local model file. A unigram file brings its scores; a BPE file orders
 its pieces by rank only, so their log probabilities follow Zipf's law, -ln(rank + 2.7) (a fixed
@@ -22,7 +23,8 @@ from gridloom.llm.common import batches_of, type_of
 
 #: Fixed value: the mark of a word's start in such vocabularies.
 START = "▁"
-_vocabularies: dict[int, dict[str, float]] = {}
+#: Words whose counts a task keeps; a bound on memory only, as a word's count depends on the word alone.
+KEPT = 1_000_000
 
 
 def zipf_scores(pieces: list[str]) -> dict[str, float]:
@@ -89,15 +91,18 @@ def count_tokens(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col
     """(id, n_words, n_tokens) of every row, in one pass without a shuffle.
 
     Null and blank texts have 0 of both; repeated rows each give a row; other columns are left aside.
-    A word's count depends on the word alone, so batches may fall anywhere. Memory is bounded by a
-    batch's distinct words, or one text's.
+    A word's count depends on the word alone, so batches may fall anywhere. Memory is bounded by KEPT and
+    a batch's distinct words, or one text's. No rows give no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(load_pieces(model))
+        trie, counts = Trie(load_pieces(model)), {}
         for batch in batches_of(batches, 24 << 20):
             texts = [split(t) for t in batch.column(1).to_pylist()]
-            counts = trie.counts(list(set().union(*texts)))
+            new = set().union(*texts).difference(counts)
+            if len(counts) > KEPT:
+                counts, new = {}, new.union(*texts)
+            counts.update(trie.counts(list(new)))
             get = counts.__getitem__
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array((sum(map(get, t)) for t in texts), pa.int64())],
