@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import checkpoint, words
+from gridloom.llm.common import checkpoint, stored, words
 
 #: Frequent function words of four languages, which running prose has and lists lack.
 FUNCTION_WORDS = (
@@ -163,8 +163,12 @@ def posterior(model: LabelModel, vote: list[Column]) -> Column:
 
 def learn(figures: DataFrame) -> LabelModel:
     """Fit on the vote patterns of all rows of ``features``."""
-    counted = figures.select(F.array(*votes(F.col("_q"))).alias("v")).groupBy("v").count().collect()
-    return fit(sorted((tuple(r["v"]), r["count"]) for r in counted))
+    return fit(counted(figures.select(F.array(*votes(F.col("_q"))))))
+
+
+def counted(patterns: DataFrame) -> list[tuple[tuple[int, ...], int]]:
+    """Vote patterns of a one-column table and their counts; 3 ** rules rows at most."""
+    return sorted((tuple(r["v"]), r["count"]) for r in patterns.toDF("v").groupBy("v").count().collect())
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,10 +187,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns; texts are read twice and never shuffled."""
-    columns = docs.columns
-    model = learn(features(docs, text_col))
+    """The rows of ``docs`` that pass, with their columns, whatever their names.
+
+    The rows that the base rule leaves and the votes on all are written once to the shared folder, so the figures are computed
+    once and nothing is shuffled. Null, empty and blank texts go; repeated rows are judged alike; no rows give no rows.
+    """
     q = F.col("_q")
-    rows = docs.select(F.struct(*[docs[c] for c in columns]).alias("_row"), docs[text_col].alias("_given"))
-    scored = features(rows, "_given", ["_row"])
-    return scored.where(~base_failed(q) & (posterior(model, votes(q)) >= 0.5)).select("_row.*")
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), docs[text_col].alias("_given"))
+    figures = features(rows, "_given", ["_row"])
+    marked = stored(figures.select(F.when(~base_failed(q), F.col("_row")).alias("_row"), F.array(*votes(q)).alias("_v")))
+    model = fit(counted(marked.select("_v")))
+    chance = posterior(model, [F.get("_v", F.lit(k)) for k in range(len(RULES))])
+    return marked.where(F.col("_row").isNotNull() & (chance >= 0.5)).select("_row.*")
