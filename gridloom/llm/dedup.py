@@ -6,10 +6,10 @@
 3. Classes are banded by five registers at a time (empty ones borrow another's), 25 bands in all: a pair of
    similarity 0.85 misses all bands with a chance near 4e-7. A lower threshold takes shorter bands, the longest
    whose chance to miss a pair at it is below MISS: four registers and 32 bands at 0.80, with 5e-8.
-4. Each class is compared with one class of its bands, and verified links are joined to components. Bands whose
+4. Each class is compared with one class of its bands: pairs whose collision-corrected Jaccard estimate from the registers
+   is near the threshold are verified on full sets, and links are joined to components. Bands whose
    members then still lie in several components are compared to the end, in tiles of bounded
-   size: pairs of different components pass a collision-corrected Jaccard estimate from the
-   registers, then the full sets decide. No tile emits more links than it has members.
+   size: pairs of different components pass the same estimate, then the full sets decide. No tile emits more links than it has members.
 
 So no bucket is capped and no pair list grows with the square of a group: a group of near copies
 costs one comparison a member, and the rest is exact.
@@ -111,7 +111,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 1 << 18):
             sets = shingle_sets(_texts(batch), size)
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            digests = [_digest(s) for s in sets]
             regs = [registers(s).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())], names=["id", "n_shingles", "digest", "reg"])
 
@@ -131,18 +131,38 @@ def _band_rows(classes: DataFrame, size: int) -> DataFrame:
     return classes.select("id", "reg").mapInArrow(run, f"id {kind}, bands array<bigint>").select("id", F.explode("bands").alias("band"))
 
 
+def _digest(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, shingles binary) of the wanted ids only."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
+    """(id, shingles binary) of the wanted (id, digest) only."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted.select("id", "digest"), "id").select("id", "text", "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 1 << 18):
-            sets = [s.tobytes() for s in shingle_sets(_texts(batch), size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+            sets = shingle_sets(_texts(batch), size)
+            own = pa.array([_digest(s) == d for s, d in zip(sets, batch.column(2).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"]).filter(own)
 
     return rows.mapInArrow(run, f"id {type_of(docs, id_col)}, shingles binary").dropDuplicates(["id"])
 
 
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose estimate from the registers is not far below the threshold."""
+    facts = classes.select("id", "n", "reg")
+    rows = pairs.join(facts.toDF("a", "na", "ra"), "a").join(facts.toDF("b", "nb", "rb"), "b").select("a", "b", "na", "nb", "ra", "rb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ra, rb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, K) for k in (4, 5))
+            near = estimate(ra, rb, batch.column(2).to_numpy(), batch.column(3).to_numpy()) >= percent / 100 - SLACK
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near))
+
+    kind = type_of(pairs, "a")
+    return rows.mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets link."""
     rows = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
@@ -223,19 +243,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, n_shingles, component_id, kept) of every row.
 
     Null, empty and blank texts have no shingles and link with nothing; so do rows without an id (component null).
-    Repeated rows of one id are one document. Ties need no rule: a component is named by its
-    smallest id. Other columns are left aside; no rows give no rows.
+    Repeated rows of one id are one document: of several texts with words, that of the smallest digest stands for all.
+    Ties need no rule: a component is named by its smallest id. Other columns are left aside; no rows give no
+    rows. Building the result runs jobs.
     """
     rows = checkpoint(sketch(docs, id_col, text_col, size))
     valid = rows.where("n_shingles > 0 and id is not null")
+    several = checkpoint(valid.groupBy("id").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most").select("id", "least"))
+    if not several.isEmpty():
+        named = F.when(F.col("digest").isNotNull(), F.coalesce("least", "digest"))
+        valid = checkpoint(valid.join(several, "id", "left").where("least is null or least = digest").drop("least"))
+        rows = checkpoint(rows.join(several, "id", "left").select("id", "n_shingles", named.alias("digest")))
     classes = valid.groupBy("digest").agg(F.min("id").alias("id"), F.min("n_shingles").alias("n"), F.min_by("reg", "id").alias("reg"))
     classes = checkpoint(classes)
     banded = _band_rows(classes, rows_for(percent))
     shared = banded.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").drop("last")
     banded = checkpoint(banded.join(shared, "band").select("band", "id", "pivot"))
-    sets = checkpoint(_sets(docs, banded.select("id").distinct(), id_col, text_col, size))
+    sets = checkpoint(_sets(docs, classes.join(banded.select("id").distinct(), "id"), id_col, text_col, size))
     first = banded.where("pivot < id").groupBy("id").agg(F.min("pivot").alias("b")).select(F.col("id").alias("a"), "b")
-    links = checkpoint(_verify(first, sets, percent))
+    links = checkpoint(_verify(_likely(first, classes, percent), sets, percent))
     parts = connected_components(links)
     placed = _placed(banded, parts)
     tiles = F.ceil(F.col("m") / TILE).cast("int")
