@@ -66,7 +66,8 @@ def op9_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(read(spark, sf_dir, "documents"), secrets.train(secrets.synthetic_findings(spark)))
+    documents = read(spark, sf_dir, "documents")
+    return secrets.scan(documents, secrets.train(secrets.template_findings(spark), secrets.learn_lexicon(documents)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
