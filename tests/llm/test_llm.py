@@ -153,8 +153,23 @@ def test_lm_brute_force(spark, mixed):
     one = {r["doc_id"]: r["score"] for r in lm.score_documents(docs(spark, mixed)).collect()}
     assert all(one[r["doc_id"]] == pytest.approx(r["score"]) for r in got)
     assert lm.score_documents(docs(spark, [])).count() == 0
-    empty = lm.score_documents(docs(spark, [(3, None, "a")]), training=lambda c: F.lit(False)).collect()
-    assert empty[0]["n_known"] == 0 and empty[0]["score"] < 0.0001
+    empty = lm.score_documents(docs(spark, [(3, None, "a"), (4, "a b c", "a")]), training=lambda c: F.lit(False)).collect()
+    assert all(r["n_known"] == 0 and r["score"] == 0 for r in empty)
+    # The score itself, by given weights: bigram, word and uniform estimates of the bucket of the context's count.
+    weights = np.asarray([(0.0, 0.7, 0.3)] + [(0.1 + 0.01 * b, 0.6, 0.3 - 0.01 * b) for b in range(1, 66)])
+    given = {(r["doc_id"], r["n_tokens"]): r["score"] for r in lm.score_documents(docs(spark, mixed), block_bytes=3000, weights=weights).collect()}
+    bigrams, starts = collections.Counter(), 0
+    for i, _, _ in mixed:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            bigrams.update(zip(["start", *tokens[i]], tokens[i], strict=False))
+            starts += 1
+    for i, w in tokens.items():
+        want = 0.0
+        for v, x in zip(["start", *w], w, strict=False):
+            context = starts if v == "start" else counts[v]
+            a, u, z = weights[context.bit_length()]
+            want += math.log10(a * bigrams[v, x] / max(context, 1) + u * counts[x] / total + z / (distinct + 1))
+        assert given[i, len(w)] == pytest.approx(want)
 
 
 def test_lm_weights_sum_to_one():
