@@ -8,8 +8,9 @@
    whose chance to miss a pair at it is below MISS: four registers and 32 bands at 0.80, with 5e-8.
 4. Each class is compared with one class of its bands: pairs whose collision-corrected Jaccard estimate from the registers
    is near the threshold are verified on full sets, and links are joined to components. Bands whose
-   members then still lie in several components are compared to the end, in tiles of bounded
-   size: pairs of different components pass the same estimate, then the full sets decide. No tile emits more links than it has members.
+   members then still lie in several components are compared to the end, in tiles of bounded size: registers
+   alone first leave the members with a likely partner of another component, then the full sets of
+   those join them and decide. No tile emits more links than it has members.
 
 So no bucket is capped and no pair list grows with the square of a group: a group of near copies
 costs one comparison a member, and the rest is exact.
@@ -177,54 +178,80 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _tiled(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components inside each band, a spanning set of them from each pair of tiles.
-
-    members: (band, id, comp, n, reg, shingles, tiles). Each pair of tiles of a band meets in one task.
-    """
+def _tiles(members: DataFrame) -> DataFrame:
+    """members (band, id, comp, n, reg, tiles) with the tile pairs (t0, t1) of their bands in which each is, and whether on the right."""
     tile = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
     rows = members.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("band", F.least("tile", "other").alias("t0"), F.greatest("tile", "other").alias("t1"), (F.col("tile") > F.col("other")).alias("right"), "id", "comp", "n", "reg", "shingles")
+    return rows.select("band", F.least("tile", "other").alias("t0"), F.greatest("tile", "other").alias("t1"), (F.col("tile") > F.col("other")).alias("right"), "id", "comp", "n", "reg")
+
+
+class _Tile:
+    """One pair of tiles: its members in the order of their ids, and who of the later ones may link with each."""
+
+    def __init__(self, table: pa.Table, percent: int):
+        self.ids, self.comps = table["id"].to_pylist(), table["comp"].to_pylist()
+        self.order = np.asarray(sorted(range(len(self.ids)), key=lambda i: self.ids[i]))
+        self.number = np.unique(np.asarray(self.comps, dtype=object if isinstance(self.comps[0], str) else None), return_inverse=True)[1]
+        self.reg = np.frombuffer(b"".join(table["reg"].to_pylist()), np.uint16).reshape(-1, K)
+        self.n = table["n"].to_numpy()
+        self.right = np.asarray(table["right"].to_pylist(), bool)
+        self.one = table["t0"][0].as_py() == table["t1"][0].as_py()
+        self.least = percent / 100 - SLACK
+
+    def likely(self) -> Iterator[tuple[int, np.ndarray]]:
+        for at, i in enumerate(self.order.tolist()):
+            rest = self.order[at + 1 :]
+            rest = rest[self.number[rest] != self.number[i]]
+            if not self.one:
+                rest = rest[self.right[rest] != self.right[i]]
+            if len(rest):
+                yield i, rest[estimate(self.reg[i], self.reg[rest], self.n[i], self.n[rest]) >= self.least]
+
+
+def _marked(members: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``_tiles`` that have a likely partner of another component in their tile pair; registers decide, no sets move."""
+
+    def mark(table: pa.Table) -> pa.Table:
+        tile, own = _Tile(table, percent), np.zeros(table.num_rows, bool)
+        for i, rest in tile.likely():
+            own[rest] = True
+            own[i] |= len(rest) > 0
+        return table.filter(pa.array(own))
+
+    rows = _tiles(members)
+    kind = type_of(members, "id")
+    return rows.groupBy("band", "t0", "t1").applyInArrow(mark, f"band bigint, t0 int, t1 int, right boolean, id {kind}, comp {kind}, n bigint, reg binary")
+
+
+def _tile_links(marked: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components inside each band, a spanning set of them from each pair of tiles; marked rows with their sets."""
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, comps = table["id"].to_pylist(), table["comp"].to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: ids[i])
-        root: dict = {}
+        tile, root, sets = _Tile(table, percent), {}, {}
+        a, b = [], []
 
         def find(x):
             while x in root:
                 x = root[x]
             return x
 
-        reg = np.frombuffer(b"".join(table["reg"].to_pylist()), np.uint16).reshape(-1, K)
-        n = np.asarray(table["n"].to_pylist(), np.int64)
-        right = np.asarray(table["right"].to_pylist(), bool)
-        one_tile = table["t0"][0].as_py() == table["t1"][0].as_py()
-        sets: dict[int, np.ndarray] = {}
-
         def shingles(i: int) -> np.ndarray:
             if i not in sets:
                 sets[i] = np.frombuffer(table["shingles"][i].as_buffer(), _U)
             return sets[i]
 
-        a, b = [], []
-        places = np.asarray(order)
-        for at, i in enumerate(order):
-            rest = places[at + 1 :]
-            if not one_tile:
-                rest = rest[right[rest] != right[i]]
-            rest = rest[estimate(reg[i], reg[rest], n[i], n[rest]) >= percent / 100 - SLACK]
+        for i, rest in tile.likely():
             for j in rest.tolist():
-                x, y = find(comps[i]), find(comps[j])
+                x, y = find(tile.comps[i]), find(tile.comps[j])
                 if x != y and linked(shingles(i), shingles(j), percent):
                     root[max(x, y)] = min(x, y)
-                    a.append(ids[i])
-                    b.append(ids[j])
+                    a.append(tile.ids[i])
+                    b.append(tile.ids[j])
         kind = table.schema.field("id").type
         return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
 
-    kind = type_of(members, "id")
-    return rows.groupBy("band", "t0", "t1").applyInArrow(compare, f"a {kind}, b {kind}")
+    kind = type_of(marked, "id")
+    return marked.groupBy("band", "t0", "t1").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
 def _placed(banded: DataFrame, parts: DataFrame) -> DataFrame:
@@ -259,15 +286,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = _band_rows(classes, rows_for(percent))
     shared = banded.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").drop("last")
     banded = checkpoint(banded.join(shared, "band").select("band", "id", "pivot"))
-    sets = checkpoint(_sets(docs, classes.join(banded.select("id").distinct(), "id"), id_col, text_col, size))
     first = banded.where("pivot < id").groupBy("id").agg(F.min("pivot").alias("b")).select(F.col("id").alias("a"), "b")
-    links = checkpoint(_verify(_likely(first, classes, percent), sets, percent))
+    first = checkpoint(_likely(first, classes, percent))
+    # One pass over the texts, whichever pairs need their sets later.
+    sets = checkpoint(_sets(docs, classes.join(banded.select("id").distinct(), "id"), id_col, text_col, size))
+    links = checkpoint(_verify(first, sets, percent))
     parts = connected_components(links)
     placed = _placed(banded, parts)
     tiles = F.ceil(F.col("m") / TILE).cast("int")
-    open_ = placed.join(_open(placed).select("band", tiles.alias("tiles")), "band")
-    facts = classes.select("id", "n", "reg").join(sets, "id")
-    more = checkpoint(_tiled(open_.join(facts, "id").select("band", "id", "comp", "n", "reg", "shingles", "tiles"), percent))
+    open_ = placed.join(_open(placed).select("band", tiles.alias("tiles")), "band").join(classes.select("id", "n", "reg"), "id")
+    marked = checkpoint(_marked(open_.select("band", "id", "comp", "n", "reg", "tiles"), percent))
+    more = checkpoint(_tile_links(marked.join(sets, "id"), percent))
     parts = connected_components(links.union(more))
     names = classes.select("digest", "id").join(parts, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     digest: Column = F.when(F.col("id").isNotNull(), F.col("digest"))
