@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,52 +94,97 @@ def project(v: Column, matrix: list[list[float]]) -> Column:
     return F.array(*[dot(v, F.array(*[F.lit(x) for x in column])) for column in matrix])
 
 
+def second_moments(rows: DataFrame, left: str, right: str, group: str | None = None, held: int = 256) -> DataFrame:
+    """(group, n, sums of left, cells): cells are the sums of left[i] * right[j], by rows, as one array.
+
+    Each task adds up products of whole Arrow batches by matrix multiplication and sends one row a group (at most
+    ``held`` groups at a time), so no row is exploded to its d * d products. Without ``group`` it is 0.
+    """
+    kind = rows.schema[group].dataType.simpleString() if group else "int"
+    chosen = rows.select((F.col(group) if group else F.lit(0)).alias("g"), F.col(left).cast("array<double>").alias("a"), F.col(right).cast("array<double>").alias("b")).where("a is not null and b is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        key = pa.int32()
+
+        def packed():
+            out = list(sums.items())
+            lists = lambda values: pa.array(values, pa.list_(pa.float64()))
+            return pa.RecordBatch.from_arrays([pa.array([g for g, _ in out], key), pa.array([s[0] for _, s in out], pa.int64()), lists([s[1] for _, s in out]), lists([s[2].ravel() for _, s in out])], names=["g", "n", "sums", "cells"])
+
+        for batch in batches:
+            key = batch.schema.field(0).type
+            if not batch.num_rows:
+                continue
+            groups = np.asarray(batch.column(0).to_pylist(), dtype=object)
+            x, y = (batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for k in (1, 2))
+            for g in set(groups.tolist()):
+                own = np.asarray([h == g for h in groups])
+                p, q = x[own], y[own]
+                n, s, c = sums.get(g, (0, 0.0, 0.0))
+                sums[g] = (n + len(p), s + p.sum(axis=0), c + p.T @ q)
+            if len(sums) > held:
+                yield packed()
+                sums.clear()
+        if sums:
+            yield packed()
+
+    parts = chosen.mapInArrow(run, f"g {kind}, n bigint, sums array<double>, cells array<double>")
+    name = group or "g"
+    n = parts.groupBy(F.col("g").alias(name)).agg(F.sum("n").alias("n"))
+    added = lambda c: parts.select(F.col("g").alias(name), F.posexplode(c).alias("i", "x")).groupBy(name, "i").agg(F.sum("x").alias("x")).groupBy(name).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias(c))
+    return n.join(added("sums"), name).join(added("cells"), name)
+
+
 def affinity_gram(pairs: DataFrame, group: str, a: str, b: str, eps: float = 1e-6) -> DataFrame:
     """(group, mse): mean squared difference of the two cosine matrices of a group, by second moments.
 
-    ||XX'||^2 + ||YY'||^2 - 2 ||XY'||^2 over n^2, with the moments summed map-side; no pair of rows is formed.
+    ||XX'||^2 + ||YY'||^2 - 2 ||XY'||^2 over n^2, with the moments summed before the shuffle; no pair of rows is formed.
     """
-    unit = lambda c: F.transform(F.col(c), lambda x: x / (norm(F.col(c)) + eps))
+    unit = lambda c: F.transform(F.col(c).cast("array<double>"), lambda x: x / (norm(F.col(c)) + eps))
     rows = pairs.select(group, unit(a).alias("_a"), unit(b).alias("_b"))
-    both = rows.select(group, F.posexplode("_a").alias("i", "ai"), "_a", "_b").withColumn("bi", F.get("_b", F.col("i")))
-    cells = both.select(group, "i", "ai", "bi", F.posexplode(F.arrays_zip("_a", "_b")).alias("j", "z"))
-    sums = cells.groupBy(group, "i", "j").agg(
-        F.sum(F.col("ai") * F.col("z._a")).alias("xx"), F.sum(F.col("bi") * F.col("z._b")).alias("yy"), F.sum(F.col("ai") * F.col("z._b")).alias("xy")
-    )
-    total = sums.groupBy(group).agg(F.sum(F.col("xx") * F.col("xx") + F.col("yy") * F.col("yy") - 2 * F.col("xy") * F.col("xy")).alias("s"))
-    n = rows.groupBy(group).agg(F.count("*").alias("n"))
-    return total.join(n, group).select(group, F.greatest(F.col("s") / (F.col("n") * F.col("n")), F.lit(0.0)).alias("mse"))
+    square = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x)
+    both = rows.select(group, F.concat("_a", "_b").alias("_z"), F.size("_a").alias("_d"))
+    m = second_moments(both, "_z", "_z", group)
+    # Cells of [X Y]'[X Y]: the blocks XX, XY and YY by place, with the width of X from its size.
+    width = both.groupBy(group).agg(F.max("_d").alias("_d"))
+    cells = m.join(width, group).select(group, "n", "_d", F.sqrt(F.size("cells")).cast("int").alias("_w"), "cells")
+    sign = lambda i: F.when((F.floor(i / F.col("_w")) < F.col("_d")) == (i % F.col("_w") < F.col("_d")), 1.0).otherwise(-1.0)
+    total = F.aggregate(F.transform("cells", lambda x, i: sign(i) * x * x), F.lit(0.0), lambda s, x: s + x)
+    return cells.select(group, F.greatest(total / (F.col("n") * F.col("n")), F.lit(0.0)).alias("mse"))
 
 
 def principal_components(rows: DataFrame, vector: str, k: int):
     """(mean, components, variances) of array rows from d * d second moments; only those reach the driver."""
-    import numpy as np
-
-    d = rows.select(F.max(F.size(vector))).first()[0] or 0
-    cells = rows.select(F.col(vector).alias("v"), F.posexplode(vector).alias("i", "x")).select("i", "x", F.posexplode("v").alias("j", "y"))
-    moments = cells.groupBy("i", "j").agg(F.avg(F.col("x") * F.col("y")).alias("m")).collect()
-    means = np.zeros(d)
-    for r in rows.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).collect():
-        means[r["i"]] = r["m"]
-    cov = np.zeros((d, d))
-    for r in moments:
-        cov[r["i"], r["j"]] = r["m"]
-    values, vectors = np.linalg.eigh(cov - np.outer(means, means))
+    first = second_moments(rows, vector, vector).collect()
+    if not first:
+        return np.zeros(0), np.zeros((0, 0)), np.zeros(0)
+    n, means = first[0]["n"], np.asarray(first[0]["sums"]) / first[0]["n"]
+    cov = np.asarray(first[0]["cells"]).reshape(len(means), len(means)) / n - np.outer(means, means)
+    values, vectors = np.linalg.eigh(cov)
     top = np.argsort(values)[::-1][:k]
     return means, vectors[:, top].T, values[top]
 
 
-def ema(rows: DataFrame, group: str, step: str, value: str, beta: float, every: int = 1, after: int = 0) -> DataFrame:
+def ema(rows: DataFrame, group: str, step: str, value: str, beta: float, every: int = 1, after: int = 0, block: int = 4096, bucket: Column | None = None) -> DataFrame:
     """(group, ema): an average that copies the first value and until ``after``, then every ``every`` steps moves by 1 - beta.
 
-    The fold is ordered, so a group is one array; groups run in parallel.
+    A step is the map a -> p a + q: copying is (0, x), moving (beta, (1 - beta) x), resting (1, 0). Maps are composed inside
+    blocks of ``block`` steps and then over the blocks of a group, so a long series spreads over tasks. ``bucket`` never falls
+    along ``step`` and spreads the numbering of the steps.
     """
-    series = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(step, value))).alias("_s"))
-    values = F.transform("_s", lambda s, i: F.struct(i.alias("i"), s[value].cast("double").alias("x")))
-    start = F.lit(None).cast("double")
+    from gridloom.operators.loaders import places
+
+    numbered = places(rows.select(group, step, F.col(value).cast("double").alias("_x")), [group], F.lit(0) if bucket is None else bucket, [step, "_x"], "_i")
+    pair = lambda p, q: F.struct(p.cast("double").alias("p"), q.cast("double").alias("q"))
+    start = pair(F.lit(1.0), F.lit(0.0))
 
-    def move(a: Column, s: Column) -> Column:
-        lerp = a + (s["x"] - a) * (1 - beta)
-        return F.when(a.isNull() | ((s["i"] <= after) & (s["i"] % every == 0)), s["x"]).when(s["i"] % every == 0, lerp).otherwise(a)
+    def step_map(s: Column) -> Column:
+        due = s["i"] % every == 0
+        return F.when((s["i"] == 0) | ((s["i"] <= after) & due), pair(F.lit(0.0), s["x"])).when(due, pair(F.lit(beta), (1 - beta) * s["x"])).otherwise(start)
 
-    return series.select(group, F.aggregate(values, start, move).alias("ema"))
+    then = lambda a, b: pair(a["p"] * b["p"], a["q"] * b["p"] + b["q"])
+    blocks = numbered.groupBy(group, F.floor(F.col("_i") / block).alias("_k")).agg(F.array_sort(F.collect_list(F.struct(F.col("_i").alias("i"), F.col("_x").alias("x")))).alias("_s"))
+    maps = blocks.select(group, "_k", F.aggregate(F.transform("_s", step_map), start, then).alias("_m"))
+    whole = maps.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_m"))), lambda s: s["_m"]).alias("_all"))
+    return whole.select(group, F.aggregate("_all", start, then)["q"].alias("ema"))

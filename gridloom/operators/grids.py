@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridloom.functions.vectors import dot
+
 
 def band_join(left: DataFrame, right: DataFrame, reach: int, key: str) -> DataFrame:
     """Pairs of points of one key within ``reach`` rows and columns.
@@ -32,23 +34,74 @@ def resize_nearest(grid: DataFrame, height: int, width: int, new_height: int, ne
     return grid.join(F.broadcast(rows), "r").join(F.broadcast(cols), "c").drop("r", "c").withColumnsRenamed({"nr": "r", "nc": "c"})
 
 
-def _taps(spark, name: str, size: int, new: int) -> DataFrame:
-    """(new index, source index, weight) of linear interpolation at half-pixel centres with clamped edges."""
-    at = F.greatest((F.col("id") + 0.5) * size / new - 0.5, F.lit(0.0))
+def _taps(spark, name: str, size: int, new: int, ratio: float | None = None) -> DataFrame:
+    """(new index, source index, weight) of linear interpolation at half-pixel centres with clamped edges; ``ratio`` is size / new if not given."""
+    at = F.greatest((F.col("id") + 0.5) * (F.lit(size) / new if ratio is None else F.lit(ratio)) - 0.5, F.lit(0.0))
     low = F.floor(at)
     t = spark.range(new).select(F.col("id").cast("int").alias(f"n{name}"), low.alias("lo"), (at - low).alias("f"))
     pairs = F.array(F.struct(F.least(F.col("lo"), F.lit(size - 1)).cast("int").alias(name), (1 - F.col("f")).alias(f"w{name}")), F.struct(F.least(F.col("lo") + 1, F.lit(size - 1)).cast("int").alias(name), F.col("f").alias(f"w{name}")))
     return t.select(f"n{name}", F.inline(pairs))
 
 
-def resize_bilinear(grid: DataFrame, height: int, width: int, new_height: int, new_width: int, key: str = "image") -> DataFrame:
-    """Bilinear interpolation; tap tables have two rows an output row or column and are broadcast for that bound."""
-    spark = grid.sparkSession
-    joined = grid.join(F.broadcast(_taps(spark, "r", height, new_height)), "r").join(F.broadcast(_taps(spark, "c", width, new_width)), "c")
+def _cubic_taps(spark, name: str, size: int, new: int, a: float = -0.75) -> DataFrame:
+    """(new index, source index, weight) of cubic convolution: four taps at half-pixel centres, indices clamped to the edges."""
+    at = (F.col("id") + 0.5) * size / new - 0.5
+    f = at - F.floor(at)
+    inner = lambda d: ((a + 2) * d - (a + 3)) * d * d + 1
+    outer = lambda d: ((a * d - 5 * a) * d + 8 * a) * d - 4 * a
+    weights = (outer(f + 1), inner(f), inner(1 - f), outer(2 - f))
+    place = lambda k: F.greatest(F.least(F.floor(at) + k - 1, F.lit(size - 1)), F.lit(0)).cast("int")
+    pairs = F.array(*[F.struct(place(k).alias(name), w.cast("double").alias(f"w{name}")) for k, w in enumerate(weights)])
+    return spark.range(new).select(F.col("id").cast("int").alias(f"n{name}"), F.inline(pairs))
+
+
+def _weighted(grid: DataFrame, rows: DataFrame, cols: DataFrame, key: str) -> DataFrame:
+    """Taps have at most four rows an output row or column and are broadcast for that bound."""
+    joined = grid.join(F.broadcast(rows), "r").join(F.broadcast(cols), "c")
     out = joined.groupBy(key, "nr", "nc").agg(F.sum(F.col("x") * F.col("wr") * F.col("wc")).alias("x"))
     return out.select(key, F.col("nr").alias("r"), F.col("nc").alias("c"), "x")
 
 
+def resize_bilinear(grid: DataFrame, height: int, width: int, new_height: int, new_width: int, key: str = "image") -> DataFrame:
+    """Bilinear interpolation with half-pixel centres and clamped edges."""
+    spark = grid.sparkSession
+    return _weighted(grid, _taps(spark, "r", height, new_height), _taps(spark, "c", width, new_width), key)
+
+
+def resize_bicubic(grid: DataFrame, height: int, width: int, new_height: int, new_width: int, key: str = "image") -> DataFrame:
+    """Bicubic interpolation with half-pixel centres and clamped edges."""
+    spark = grid.sparkSession
+    return _weighted(grid, _cubic_taps(spark, "r", height, new_height), _cubic_taps(spark, "c", width, new_width), key)
+
+
+def reflect_pad(grid: DataFrame, height: int, width: int, rows: int, cols: int) -> DataFrame:
+    """The grid with that many more rows and columns on each side, mirrored without repeating the edge."""
+    if rows >= height or cols >= width or min(rows, cols) < 0:
+        raise ValueError("padding must be smaller than the grid")
+
+    def mirrored(name: str, size: int, pad: int) -> DataFrame:
+        j = F.abs(F.col("id") - pad)
+        back = F.when(j >= size, 2 * (size - 1) - j).otherwise(j)
+        return grid.sparkSession.range(size + 2 * pad).select(F.col("id").cast("int").alias(f"n{name}"), back.cast("int").alias(name))
+
+    out = grid.join(F.broadcast(mirrored("r", height, rows)), "r").join(F.broadcast(mirrored("c", width, cols)), "c")
+    return out.drop("r", "c").withColumnsRenamed({"nr": "r", "nc": "c"})
+
+
+def jitter(grid: DataFrame, height: int, width: int, pad_x: int, pad_y: int, zoom_x: float, zoom_y: float, rotate: float = 0.0, key: str = "image") -> DataFrame:
+    """Mirrored padding (``pad_x`` columns, ``pad_y`` rows a side), then bilinear zoom: rows by ``zoom_x``, columns by ``zoom_y``.
+
+    Sizes are rounded down, and source places follow the zoom given, not the rounded sizes. ``rotate`` is taken and left aside.
+    """
+    if pad_x or pad_y:
+        grid, height, width = reflect_pad(grid, height, width, pad_y, pad_x), height + 2 * pad_y, width + 2 * pad_x
+    if zoom_x == 1 and zoom_y == 1:
+        return grid
+    spark = grid.sparkSession
+    rows, cols = _taps(spark, "r", height, int(height * zoom_x), 1 / zoom_x), _taps(spark, "c", width, int(width * zoom_y), 1 / zoom_y)
+    return _weighted(grid, rows, cols, key)
+
+
 def box_blur(grid: DataFrame, size: int = 5, key: str = "image") -> DataFrame:
     """Mean over size x size with zero padding counted, as two running sums."""
     half = size // 2
@@ -57,14 +110,42 @@ def box_blur(grid: DataFrame, size: int = 5, key: str = "image") -> DataFrame:
     return grid.withColumn("_s", F.sum("x").over(by_row)).withColumn("x", F.sum("_s").over(by_col) / (size * size)).drop("_s")
 
 
-def unfold(grid: DataFrame, height: int, width: int, kernel: int, out: int) -> DataFrame:
-    """(image, pr, pc, kr, kc, x): patches of out x out places, stride (size - kernel) div (out - 1)."""
-    sr, sc = (height - kernel) // (out - 1), (width - kernel) // (out - 1)
+def patch_places(height: int, width: int, kernel: int) -> tuple[int, int]:
+    """Places of a kernel that fit beside one another along each axis; a grid smaller than the kernel is an error."""
+    if min(height, width) < kernel:
+        raise ValueError("the grid must be at least as large as the kernel")
+    return height // kernel, width // kernel
+
+
+def unfold(grid: DataFrame, height: int, width: int, kernel: int, out: int | tuple[int, int]) -> DataFrame:
+    """(image, pr, pc, kr, kc, x): patches of out x out (or rows, columns) places, stride (size - kernel) div (out - 1), or the kernel for one."""
     spark = grid.sparkSession
-    p = spark.range(out).select(F.col("id").cast("int").alias("p"))
-    k = spark.range(kernel).select(F.col("id").cast("int").alias("k"))
-    at = lambda n, s: p.crossJoin(k).select(F.col("p").alias(f"p{n}"), F.col("k").alias(f"k{n}"), (F.col("p") * s + F.col("k")).alias(n))
-    return grid.join(F.broadcast(at("r", sr)), "r").join(F.broadcast(at("c", sc)), "c").drop("r", "c")
+
+    def at(n: str, size: int, many: int) -> DataFrame:
+        stride = (size - kernel) // (many - 1) if many > 1 else kernel
+        p, k = F.floor(F.col("id") / kernel).cast("int"), (F.col("id") % kernel).cast("int")
+        return spark.range(many * kernel).select(p.alias(f"p{n}"), k.alias(f"k{n}"), (p * stride + k).cast("int").alias(n))
+
+    rows, cols = (out, out) if isinstance(out, int) else out
+    return grid.join(F.broadcast(at("r", height, rows)), "r").join(F.broadcast(at("c", width, cols)), "c").drop("r", "c")
+
+
+def attention_downsample(grid: DataFrame, height: int, width: int, kernel: int, linear: list[float], scale: list[float], bias: list[float], vector: str = "v", key: str = "image") -> DataFrame:
+    """(image, pr, pc, v): vectors of each patch averaged with weights softmax(score * scale + bias) over its cells.
+
+    The score of a cell is the dot product of its vector with ``linear``; ``scale`` and ``bias`` have a value for each
+    cell of the kernel by rows. All zero in ``linear`` and ``bias`` is average pooling. A patch is one group of kernel
+    * kernel cells, summed in partial aggregates by component.
+    """
+    if len(scale) != kernel * kernel or len(bias) != kernel * kernel:
+        raise ValueError("scale and bias need a value for each cell of the kernel")
+    cells = unfold(grid, height, width, kernel, patch_places(height, width, kernel))
+    number = F.col("kr") * kernel + F.col("kc")
+    pick = lambda values: F.get(F.array(*[F.lit(float(x)) for x in values]), number)
+    cells = cells.withColumn("_w", F.exp(dot(F.col(vector), F.array(*[F.lit(float(x)) for x in linear])) * pick(scale) + pick(bias)))
+    total = cells.groupBy(key, "pr", "pc").agg(F.sum("_w").alias("_t"))
+    parts = cells.select(key, "pr", "pc", "_w", F.posexplode(vector).alias("d", "x")).groupBy(key, "pr", "pc", "d").agg(F.sum(F.col("_w") * F.col("x")).alias("s"))
+    return parts.join(total, [key, "pr", "pc"]).select(key, "pr", "pc", "d", (F.col("s") / F.col("_t")).alias("x"))
 
 
 def total_variation(grid: DataFrame, key: str = "image") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,20 +31,68 @@ def region_j(pixels: DataFrame, keys: list[str], truth: str = "truth", predicted
     return rows.groupBy(*keys).agg(F.when(either == 0, 1.0).otherwise(F.try_divide(both, either)).alias("j"))
 
 
-def boundary_f(precision, recall):
-    """2 P R / (P + R), 0 where both are 0."""
-    return F.when(precision + recall == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
+def bound_radius(height: int, width: int, bound: float = 0.008) -> int:
+    """The distance that still matches: a share of the diagonal rounded up, or pixels from 1 on."""
+    return int(bound) if bound >= 1 else math.ceil(bound * math.hypot(height, width))
+
+
+def boundary_f(pixels: DataFrame, height: int, width: int, key: str = "image", bound: float = 0.008) -> DataFrame:
+    """(key, precision, recall, f) of the boundaries of ``truth`` and ``pred`` in pixels (key, r, c, truth, pred) of one size.
+
+    One empty boundary gives precision or recall 1 to its own side and 0 to the other, two give 1 and 1.
+    """
+    from gridloom.operators import grids as G
+
+    radius = bound_radius(height, width, bound)
+    edges = {m: G.boundary(pixels.withColumn("m", F.col(m)), height, width, key).where("edge").select(key, "r", "c") for m in ("truth", "pred")}
+
+    def matched(points: str, near: str, name: str) -> DataFrame:
+        hit = edges[points].join(G.dilate(edges[near], radius, key).withColumn("hit", F.lit(1)), [key, "r", "c"], "left")
+        return hit.groupBy(key).agg(F.count("*").alias(f"n_{name}"), F.count("hit").alias(f"hit_{name}"))
+
+    rows = pixels.select(key).distinct().join(matched("pred", "truth", "p"), key, "left").join(matched("truth", "pred", "r"), key, "left")
+    n_p, n_r = F.coalesce("n_p", F.lit(0)), F.coalesce("n_r", F.lit(0))
+    precision = F.when(n_p == 0, 1.0).when(n_r == 0, 0.0).otherwise(F.col("hit_p") / n_p)
+    recall = F.when(n_r == 0, 1.0).when(n_p == 0, 0.0).otherwise(F.col("hit_r") / n_r)
+    rows = rows.select(key, precision.alias("precision"), recall.alias("recall"))
+    p, r = F.col("precision"), F.col("recall")
+    return rows.withColumn("f", F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r)))
 
 
-def sequence_statistics(rows: DataFrame, keys: list[str], frame: str, value: str) -> DataFrame:
+def proposal_scores(pixels: DataFrame, group: str, frame: str, truth: str, predicted: str, objects: int, proposals: int) -> DataFrame:
+    """(group, object, proposal, j): J of every object and proposal in every frame, averaged over the frames of the group.
+
+    Labels of pixels are counted once (a confusion table a frame), so no pixel meets a pair. Proposals are padded to the
+    number of objects; a label above them is an error.
+    """
+    if proposals < 1 or objects < 1:
+        raise ValueError("there must be an object and a proposal")
+    wide = max(objects, proposals)
+    cells = pixels.groupBy(group, frame, F.col(truth).alias("t"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
+    above = F.raise_error(F.lit("a label is above the number of proposals")).cast("int")
+    cells = cells.withColumn("p", F.when(F.col("p") > proposals, above).otherwise(F.col("p")))
+    frames = cells.select(group, frame).distinct()
+    every = frames.withColumn("object", F.explode(F.sequence(F.lit(1), F.lit(objects)))).withColumn("proposal", F.explode(F.sequence(F.lit(1), F.lit(wide))))
+    t = cells.groupBy(group, frame, F.col("t").alias("object")).agg(F.sum("n").alias("nt"))
+    p = cells.groupBy(group, frame, F.col("p").alias("proposal")).agg(F.sum("n").alias("np"))
+    both = cells.select(group, frame, F.col("t").alias("object"), F.col("p").alias("proposal"), "n")
+    rows = every.join(t, [group, frame, "object"], "left").join(p, [group, frame, "proposal"], "left").join(both, [group, frame, "object", "proposal"], "left").na.fill(0, ["nt", "np", "n"])
+    union = F.col("nt") + F.col("np") - F.col("n")
+    return rows.groupBy(group, "object", "proposal").agg(F.avg(F.when(union == 0, 1.0).otherwise(F.col("n") / union)).alias("j"))
+
+
+def sequence_statistics(rows: DataFrame, keys: list[str], frame: str, value: str, wrap: bool = True) -> DataFrame:
     """(keys, mean, recall, decay): NaN frames left out of means; recall is the share over 0.5.
 
-    Decay is the mean of the first quarter less that of the last, with edges (2 (n - 1) i + 4) div 8, both ends in.
+    Decay is the mean of the first quarter less that of the last, with edges (2 (n - 1) i + 4) div 8, both ends in. With
+    ``wrap`` edges are bytes, as in the usual evaluation code: from 257 frames on they count modulo 256, and a
+    quarter whose end comes before its start is empty and makes the decay null.
     """
     by = W.partitionBy(*keys)
     rows = rows.withColumns({"_i": F.row_number().over(by.orderBy(frame)) - 1, "_n": F.count("*").over(by)})
     ok = F.when(~F.isnan(value), F.col(value))
-    edge = lambda i: F.floor((2 * (F.col("_n") - 1) * i + 4) / 8)
+    plain = lambda i: F.floor((2 * (F.col("_n") - 1) * i + 4) / 8)
+    edge = lambda i: F.pmod(plain(i), F.lit(256)) if wrap else plain(i)
     first, last = F.when(F.col("_i").between(edge(0), edge(1)), ok), F.when(F.col("_i").between(edge(3), edge(4)), ok)
     over = F.avg((F.coalesce(ok, F.lit(0.0)) > 0.5).cast("double"))
     return rows.groupBy(*keys).agg(F.avg(ok).alias("mean"), over.alias("recall"), (F.avg(first) - F.avg(last)).alias("decay"))

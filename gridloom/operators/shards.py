@@ -47,7 +47,7 @@ def consumer_quota(batches: int, worker: Column, workers: int, batch_size: int)
 
 
 def ordinals(rows: DataFrame, shard: str, order: list[str], per_shard: int) -> DataFrame:
-    """Adds the global ordinal shard * per_shard + place; the window partitions by shard, never by all rows."""
+    """Adds the global ordinal shard * per_shard + place; a shard, which is bounded, is one group."""
     place = F.row_number().over(W.partitionBy(shard).orderBy(*order)) - 1
     return rows.withColumn("ordinal", (F.col(shard) * per_shard + place).cast("bigint"))
 
@@ -59,22 +59,28 @@ def interval(rows: DataFrame, start: int, count: int) -> DataFrame:
     return rows.where(F.col("ordinal").between(start, start + count - 1))
 
 
-def slice_of(ordinal: Column, start: int, count: int, batch: int, workers: int) -> Column:
+def slice_of(ordinal: Column, start: int | Column, count: int, batch: int, workers: int) -> Column:
     """The worker whose contiguous, batch-aligned slice of the interval holds an ordinal."""
     if count % batch:
         raise ValueError("the interval must be whole batches")
     batches = count // batch
-    at = F.floor((ordinal - start) / batch)
+    at = F.floor((ordinal - start) / F.lit(batch))
     return F.floor(((at + 1) * workers - 1) / batches).cast("int")
 
 
-def equal_shards(rows: DataFrame, group: str, order: list[str], size: int, keep_remainder: bool = False) -> DataFrame:
-    """Adds ``shard``: consecutive groups of ``size`` rows inside each source group; a last partial one is kept or left."""
-    by = W.partitionBy(group)
-    rows = rows.withColumn("shard", F.floor((F.row_number().over(by.orderBy(*order)) - 1) / size).cast("bigint"))
+def equal_shards(rows: DataFrame, group: str, order: list[str], size: int, keep_remainder: bool = False, bucket: Column | None = None) -> DataFrame:
+    """Adds ``shard``: consecutive groups of ``size`` rows inside each source group; a last partial one is kept or left.
+
+    ``bucket`` never falls along ``order`` and spreads a group over tasks; without it a group is one.
+    """
+    from gridloom.operators.loaders import places
+
+    rows = places(rows, [group], F.lit(0) if bucket is None else bucket, order, "_place")
+    rows = rows.withColumn("shard", F.floor(F.col("_place") / size).cast("bigint")).drop("_place")
     if keep_remainder:
         return rows
-    return rows.withColumn("_whole", F.floor(F.count("*").over(by) / size)).where("shard < _whole").drop("_whole")
+    whole = rows.groupBy(F.col(group).alias("_of")).agg(F.floor(F.count("*") / size).alias("_whole"))
+    return rows.join(whole, F.col(group).eqNullSafe(F.col("_of"))).where("shard < _whole").drop("_whole", "_of")
 
 
 def complete_pairs(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

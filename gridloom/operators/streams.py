@@ -50,7 +50,21 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.select("line").write.mode("errorifexists").text(path)
 
 
-def write_result_table(scores: DataFrame, path: str, digits: int = 3) -> None:
+def cached_results(paths: list[str], compute, spark) -> list[DataFrame]:
+    """The result tables at the paths if all are there, else those that ``compute()`` gives, written there and read back."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import AnalysisException
+
+    read = lambda p: spark.read.option("header", True).option("inferSchema", True).csv(p)
+    try:
+        return [read(p) for p in paths]
+    except (AnalysisException, Py4JJavaError):
+        for p, table in zip(paths, compute(), strict=True):
+            write_result_table(table, p, mode="overwrite")
+        return [read(p) for p in paths]
+
+
+def write_result_table(scores: DataFrame, path: str, digits: int = 3, mode: str = "errorifexists") -> None:
     """Scores as CSV with a header; doubles are rounded."""
     rounded = [F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in scores.dtypes]
-    scores.select(*rounded).write.mode("errorifexists").option("header", True).csv(path)
+    scores.select(*rounded).write.mode(mode).option("header", True).csv(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.operators import assembly as A
@@ -19,7 +20,10 @@ SELECT conv_id, array_to_string(list_transform(range(0, 8), lambda i: coalesce(l
 def cap_and_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT6, SRC2, SRC19: the first 8 turns of a conversation, missing ones -1."""
     size = F.coalesce(F.length("text"), F.lit(-1))
-    g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", size.alias("n")))).alias("s"))
+    # Only the first eight turns are collected, however long a conversation is.
+    first = table(spark, sf_dir, "conversations").select("conv_id", "turn", size.alias("n"))
+    first = first.withColumn("k", F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "n"))).where("k <= 8")
+    g = first.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("k", "n"))).alias("s"))
     return g.select("conv_id", F.array_join(A.cap_and_pad(F.transform("s", lambda x: x["n"]), 8), ",").alias("lengths"))
 
 
@@ -38,10 +42,10 @@ def required_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("source", F.array_join("p", ",").alias("parts"), (F.size("p") == 4).alias("complete"))
 
 
-@query("SELECT CAST(doc_id % 3 AS INTEGER) AS part, count(*) AS n FROM documents WHERE doc_id % 3 < 2 GROUP BY 1")
+@query("SELECT CAST(doc_id % 2 AS INTEGER) AS part, count(*) AS n FROM documents GROUP BY 1")
 def split_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SET2, SRC3: two splits as one."""
-    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 3).cast("int").alias("part"))
+    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 2).cast("int").alias("part"))
     return d.where("part = 0").unionByName(d.where("part = 1")).groupBy("part").agg(F.count("*").alias("n"))
 
 
@@ -62,11 +66,11 @@ def pipeline_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("recent", F.array_join("recent", ","))
 
 
-@query("""WITH e AS (SELECT label, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) v FROM embeddings)
+@query("""WITH e AS (SELECT label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) v FROM embeddings)
 SELECT label, round(avg(ln(list_sum(list_transform(v, lambda x: exp(x)))) - v[label + 1]), 6) AS loss FROM e GROUP BY label""")
 def cross_entropy_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG17: softmax cross entropy with the first ten components as logits."""
-    e = table(spark, sf_dir, "embeddings").select("label", F.slice("embedding", 1, 10).cast("array<double>").alias("v"))
+    """AGG17: softmax cross entropy with all components as logits."""
+    e = table(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v"))
     return e.groupBy("label").agg(F.round(F.avg(A.cross_entropy(F.col("v"), F.col("label"))), 6).alias("loss"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.plans import assemblies, datasets, texts, vectors
+from gridloom.plans import assemblies, datasets, scans, texts, vectors
 from gridloom.plans.flagship import hash_split_accuracy
 
-__all__ = ["assemblies", "datasets", "hash_split_accuracy", "texts", "vectors"]
+__all__ = ["assemblies", "datasets", "hash_split_accuracy", "scans", "texts", "vectors"]

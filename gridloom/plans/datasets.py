@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.splits import threshold_hex
+from gridloom.operators import loaders as L
 from gridloom.operators import shards as S
 from gridloom.plans.registry import query, table
 
@@ -36,18 +37,25 @@ def path_parse_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.element_at(F.split("url", "/"), -1).alias("base"), F.when(number != "", number.cast("bigint")).alias("number"))
 
 
-#: A fine to coarse map; what it lacks becomes 0, and 255 is ignored.
-COARSE = {0: 3, 1: 3, 2: 1, 3: 1, 4: 2, 5: 7}
+#: The coarse class of the fine classes 0 to 181, in order; what is not listed becomes 0, and 255 is ignored.
+COARSE = (
+    9, 11, 11, 11, 11, 11, 11, 11, 11, 8, 8, 8, 8, 8, 8, 7, 7, 7, 7, 7, 7, 7, 7, 7, 7, 6, 6, 6, 6, 6, 6, 6, 6, 10, 10, 10, 10, 10, 10, 10, 10, 10, 10, 5, 5, 5, 5, 5, 5, 5, 5, 2, 2, 2, 2, 2, 2, 2, 2, 2, 2,
+    3, 3, 3, 3, 3, 3, 3, 3, 3, 3, 0, 0, 0, 0, 0, 0, 1, 1, 1, 1, 1, 1, 4, 4, 4, 4, 4, 4, 4, 4, 17, 17, 22, 20, 20, 22, 15, 25, 16, 13, 12, 12, 17, 17, 23, 15, 15, 17, 15, 21, 15, 25, 13, 13, 13, 13, 13, 22,
+    26, 14, 14, 15, 22, 21, 21, 24, 20, 22, 15, 17, 16, 15, 22, 24, 21, 17, 25, 16, 21, 17, 22, 16, 21, 21, 25, 21, 26, 21, 24, 20, 17, 14, 21, 26, 15, 23, 20, 21, 24, 15, 24, 22, 25, 15, 20, 17, 17, 22,
+    14, 18, 18, 18, 18, 18, 18, 18, 26, 26, 19, 19, 24,
+)
 
 
-@query("""SELECT coarse, count(*) AS n FROM (SELECT CASE WHEN l = 255 THEN -1 ELSE CASE l WHEN 0 THEN 3 WHEN 1 THEN 3 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 2 WHEN 5 THEN 7 ELSE 0 END END AS coarse
-FROM (SELECT CASE WHEN label = 9 THEN 255 ELSE label END l FROM embeddings)) WHERE coarse > -1 GROUP BY coarse""")
+@query(f"""
+SELECT coarse, count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS keys FROM (SELECT p_partkey, CAST(CASE WHEN l = 255 THEN -1 ELSE coalesce(({list(COARSE)!r})[l + 1], 0) END AS INTEGER) AS coarse
+FROM (SELECT p_partkey, p_partkey % 256 AS l FROM part)) WHERE coarse > -1 GROUP BY coarse
+""")
 def label_remap_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SCL8, FLT3: fine labels to coarse ones; unmapped give 0, ignored ones go."""
-    fine = F.when(F.col("label") == 9, 255).otherwise(F.col("label"))
-    mapping = F.create_map(*[F.lit(x) for kv in COARSE.items() for x in kv])
-    coarse = F.when(fine == 255, -1).otherwise(F.coalesce(F.try_element_at(mapping, fine), F.lit(0)))
-    return table(spark, sf_dir, "embeddings").select(coarse.alias("coarse")).where("coarse > -1").groupBy("coarse").agg(F.count("*").alias("n"))
+    """SCL8, FLT3: fine labels 0 to 255 to coarse ones; unmapped give 0, ignored ones go."""
+    fine = (F.col("p_partkey") % 256).cast("int")
+    coarse = F.when(fine == 255, -1).otherwise(F.coalesce(F.get(F.array(*[F.lit(x) for x in COARSE]), fine), F.lit(0)))
+    rows = table(spark, sf_dir, "part").select("p_partkey", coarse.alias("coarse")).where("coarse > -1")
+    return rows.groupBy("coarse").agg(F.count("*").alias("n"), F.sum("p_partkey").alias("keys"))
 
 
 @query("SELECT i AS class, CAST(sum(CASE WHEN label = i THEN 1 ELSE 0 END) AS BIGINT) AS n, CAST(sum((label >> 1) & 1) AS BIGINT) AS bit_1 FROM embeddings, range(10) t(i) GROUP BY i")
@@ -96,7 +104,8 @@ FROM o WHERE ordinal BETWEEN 200000 AND 299999 GROUP BY 1, 2""")
 def finite_interval_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC13, PAR2, PAR4, FLT7: an ordinal interval cut in contiguous batch-aligned slices."""
     o = table(spark, sf_dir, "orders").withColumn("shard", F.col("o_orderkey") % SHARDS)
-    rows = S.interval(S.ordinals(o, "shard", ["o_orderkey"], PER_SHARD), 200_000, 100_000)
+    numbered = L.places(o, ["shard"], F.floor(F.col("o_orderkey") / 65536), ["o_orderkey"]).withColumn("ordinal", F.col("shard") * PER_SHARD + F.col("place"))
+    rows = S.interval(numbered, 200_000, 100_000)
     worker = S.slice_of(F.col("ordinal"), 200_000, 100_000, 8, 4)
     return rows.groupBy(worker.alias("worker"), "shard").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
 
@@ -105,7 +114,7 @@ def finite_interval_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT g AS o_orderpriority, CAST(shard AS BIGINT) AS shard, count(*) AS n, CAST(min(o_orderkey) AS BIGINT) AS first, CAST(max(o_orderkey) AS BIGINT) AS last FROM o WHERE shard < whole GROUP BY 1, 2""")
 def equal_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK1, AGG20: shards of 64 records; the remainder is retained."""
-    rows = S.equal_shards(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", ["o_orderkey"], 64)
+    rows = S.equal_shards(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", ["o_orderkey"], 64, bucket=F.floor(F.col("o_orderkey") / 65536))
     return rows.groupBy("o_orderpriority", "shard").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import text as X
 from gridloom.plans.registry import query, table
-from gridloom.sources.wordpiece import encode_words
+from gridloom.sources.wordpiece import decode_words, encode_words
 
 
 def _undo(sql: str) -> str:
@@ -33,10 +33,10 @@ def pretokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.size(X.pretokens(X.normalise(F.col("text")))).cast("bigint").alias("n"))
 
 
-@query("SELECT conv_id, turn, substr(trim(regexp_replace(regexp_replace(replace(text, 'the', '[redacted]'), 'https?://\\S+', '[url]', 'g'), '\\s+', ' ', 'g')), 1, 80) AS text FROM conversations")
+@query("SELECT conv_id, turn, substr(trim(regexp_replace(regexp_replace(replace(text, 'the', '[redacted]'), 'https?://\\S+', '[url]', 'g'), '\\s+', ' ', 'g')), 1, 500) AS text FROM conversations")
 def redacted_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL12."""
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.redact(F.col("text"), ["the"], 80).alias("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.redact(F.col("text"), ["the"]).alias("text"))
 
 
 @query()
@@ -44,3 +44,9 @@ def bpe_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL3, SCL5, SCL6: ids of a word-end BPE vocabulary, packed to a context of 77."""
     ids = encode_words(table(spark, sf_dir, "benchmark"), "item_id", "text")
     return ids.select("item_id", F.size("ids").alias("n"), X.pack_context(F.col("ids"), 49406, 49407).alias("context"))
+
+
+@query(rf"SELECT item_id, array_to_string(regexp_extract_all(lower(text), '''s|''t|''re|''ve|''m|''ll|''d|\p{{L}}+|\p{{N}}|[^\s\p{{L}}\p{{N}}]+'), ' ') AS text FROM benchmark")
+def bpe_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL5, SCL3: ids of the word-end vocabulary back to text; pre-tokens come back with blanks between them."""
+    return decode_words(encode_words(table(spark, sf_dir, "benchmark"), "item_id", "text"), "item_id")

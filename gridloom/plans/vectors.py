@@ -11,6 +11,7 @@ from gridloom.operators import features as V
 from gridloom.operators import grids as G
 from gridloom.operators import metrics as M
 from gridloom.plans.registry import query, table
+from gridloom.sources.registry import upsampler
 
 _V = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) v FROM embeddings),\n"
 _LONG = _V + "l AS (SELECT vec_id, label, unnest(v) x, generate_subscripts(v, 1) - 1 d FROM e),\n"
@@ -77,7 +78,7 @@ def random_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("vec_id", *[F.round(F.get("p", F.lit(k)), 6).alias(f"p{k}") for k in range(3)])
 
 
-_PAIRS = _V + """u AS (SELECT vec_id, label, v[1:16] a, v[17:32] b FROM e),
+_PAIRS = _V + """u AS (SELECT vec_id, label, v[1:32] a, v[33:64] b FROM e),
 n AS (SELECT vec_id, label, list_transform(a, lambda x: x / (sqrt(list_dot_product(a, a)) + 1e-6)) a, list_transform(b, lambda x: x / (sqrt(list_dot_product(b, b)) + 1e-6)) b FROM u)
 SELECT p.label, round(avg(pow(list_dot_product(p.a, q.a) - list_dot_product(p.b, q.b), 2)), 9) AS mse FROM n p JOIN n q ON p.label = q.label GROUP BY p.label"""
 
@@ -85,19 +86,32 @@ SELECT p.label, round(avg(pow(list_dot_product(p.a, q.a) - list_dot_product(p.b,
 @query(_PAIRS)
 def affinity_mse_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG15, AGG16: affinities of student and teacher by second moments; the oracle is the dense form."""
-    e = vectors(spark, sf_dir).select("label", F.slice("v", 1, 16).alias("a"), F.slice("v", 17, 16).alias("b"))
+    e = vectors(spark, sf_dir).select("label", F.slice("v", 1, 32).alias("a"), F.slice("v", 33, 32).alias("b"))
     return V.affinity_gram(e, "label", "a", "b").select("label", F.round("mse", 9).alias("mse"))
 
 
+@query(_LONG + """m AS (SELECT d, avg(x) m FROM l GROUP BY d)
+SELECT CAST(a.d AS INTEGER) AS i, CAST(b.d AS INTEGER) AS j, round(avg(a.x * b.x) - any_value(p.m) * any_value(q.m), 9) AS cov
+FROM l a JOIN l b ON a.vec_id = b.vec_id JOIN m p ON p.d = a.d JOIN m q ON q.d = b.d GROUP BY a.d, b.d""")
+def pca_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL24: the covariances that principal components come from, by matrix products of whole batches."""
+    m = V.second_moments(vectors(spark, sf_dir), "v", "v")
+    d = F.size("sums")
+    cells = m.select("n", "sums", d.alias("d"), F.posexplode("cells").alias("k", "x")).withColumn("i", F.floor(F.col("k") / F.col("d")).cast("int")).withColumn("j", (F.col("k") % F.col("d")).cast("int"))
+    mean = lambda c: F.get("sums", F.col(c)) / F.col("n")
+    return cells.select("i", "j", F.round(F.col("x") / F.col("n") - mean("i") * mean("j"), 9).alias("cov"))
+
+
 @query()
 def pca_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SCL24: projections on two components, scaled to 0..1 (signs are free, so no oracle)."""
+    """SCL24: projections on two components, scaled to 0..1 (signs are free, so no oracle; compared with a full decomposition in tests)."""
     rows = vectors(spark, sf_dir)
     mean, components, _ = V.principal_components(rows, "v", 2)
     centred = F.zip_with("v", F.array(*[F.lit(float(m)) for m in mean]), lambda x, m: x - m)
     p = rows.select("vec_id", V.project(centred, [[float(x) for x in c] for c in components]).alias("p")).select("vec_id", F.get("p", F.lit(0)).alias("p0"), F.get("p", F.lit(1)).alias("p1"))
     span = p.agg(*[f(c).alias(f"{c}{n}") for c in ("p0", "p1") for n, f in (("lo", F.min), ("hi", F.max))])
     scaled = [F.round(F.try_divide(F.col(c) - F.col(f"{c}lo"), F.col(f"{c}hi") - F.col(f"{c}lo")), 6).alias(c) for c in ("p0", "p1")]
+    # One row by construction.
     return p.crossJoin(F.broadcast(span)).select("vec_id", *scaled)
 
 
@@ -176,7 +190,7 @@ f AS (SELECT user_id, i, x AS a FROM s WHERE i = 1 UNION ALL SELECT s.user_id, s
 SELECT user_id, round(arg_max(a, i), 6) AS ema FROM f GROUP BY user_id""")
 def ema_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG18: an ordered fold per user."""
-    return V.ema(table(spark, sf_dir, "events"), "user_id", "event_id", "value", 0.9).select("user_id", F.round("ema", 6).alias("ema"))
+    return V.ema(table(spark, sf_dir, "events"), "user_id", "event_id", "value", 0.9, bucket=F.floor(F.col("event_id") / 65536)).select("user_id", F.round("ema", 6).alias("ema"))
 
 
 _PRED = "CAST(vec_id * 7 % 10 AS INTEGER)"
@@ -209,27 +223,21 @@ _EDGE = """{1} AS (SELECT image, r, c, m, coalesce(CASE WHEN r = 24 AND c = 19 T
 
 
 @query(_PLANE + ", t AS (SELECT image, r, c, label < 3 AS m FROM g), p AS (SELECT image, r, c, label < 4 AS m FROM g), " + _EDGE.format("t", "e") + ", " + _EDGE.format("p", "f") + """,
-a AS (SELECT * FROM e WHERE edge), b AS (SELECT * FROM f WHERE edge),
-q AS (SELECT (SELECT avg(CASE WHEN EXISTS (SELECT 1 FROM a WHERE a.image = b.image AND (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) <= 1) THEN 1.0 ELSE 0.0 END) FROM b) AS precision,
- (SELECT avg(CASE WHEN EXISTS (SELECT 1 FROM b WHERE a.image = b.image AND (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) <= 1) THEN 1.0 ELSE 0.0 END) FROM a) AS recall)
-SELECT round(precision, 9) AS precision, round(recall, 9) AS recall, round(2 * precision * recall / (precision + recall), 9) AS f FROM q""")
+a AS (SELECT * FROM e WHERE edge), b AS (SELECT * FROM f WHERE edge), i AS (SELECT DISTINCT image FROM g),
+pp AS (SELECT image, avg(CASE WHEN EXISTS (SELECT 1 FROM a WHERE a.image = b.image AND (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) <= 1) THEN 1.0 ELSE 0.0 END) AS precision FROM b GROUP BY image),
+rr AS (SELECT image, avg(CASE WHEN EXISTS (SELECT 1 FROM b WHERE a.image = b.image AND (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) <= 1) THEN 1.0 ELSE 0.0 END) AS recall FROM a GROUP BY image),
+q AS (SELECT i.image, CASE WHEN pp.image IS NULL THEN 1.0 WHEN rr.image IS NULL THEN 0.0 ELSE precision END AS precision, CASE WHEN rr.image IS NULL THEN 1.0 WHEN pp.image IS NULL THEN 0.0 ELSE recall END AS recall
+ FROM i LEFT JOIN pp ON pp.image = i.image LEFT JOIN rr ON rr.image = i.image)
+SELECT image, round(precision, 9) AS precision, round(recall, 9) AS recall, round(CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END, 9) AS f FROM q""")
 def boundary_f(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG6, IMG6, IMG7, WIN4: boundary precision and recall at a distance of 1."""
-    g = plane(spark, sf_dir)
-    edges = lambda k: G.boundary(g.withColumn("m", F.col("label") < k), 25, 20).where("edge").select("image", "r", "c")
-    truth, pred = edges(3), edges(4)
-
-    def share(points: DataFrame, near: DataFrame, name: str) -> DataFrame:
-        hit = points.join(G.dilate(near, 1).withColumn("hit", F.lit(1.0)), ["image", "r", "c"], "left")
-        return hit.agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias(name))
-
-    both = share(pred, truth, "precision").crossJoin(share(truth, pred, "recall"))
-    return both.select(F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"), F.round(M.boundary_f(F.col("precision"), F.col("recall")), 9).alias("f"))
+    """AGG6, IMG6, IMG7, WIN4: boundary precision and recall of each image, at a distance that follows from its size."""
+    pixels = plane(spark, sf_dir).select("image", "r", "c", (F.col("label") < 3).alias("truth"), (F.col("label") < 4).alias("pred"))
+    return M.boundary_f(pixels, 25, 20).select("image", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f")])
 
 
 _STATS = """WITH s AS (SELECT user_id, event_id, value / 100 AS x, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) n FROM events),
 q AS (SELECT user_id, avg(x) m, avg(CASE WHEN x > 0.5 THEN 1.0 ELSE 0.0 END) r,
- avg(CASE WHEN i BETWEEN 4 // 8 AND (2 * (n - 1) + 4) // 8 THEN x END) - avg(CASE WHEN i BETWEEN (6 * (n - 1) + 4) // 8 AND (8 * (n - 1) + 4) // 8 THEN x END) d FROM s GROUP BY user_id)
+ avg(CASE WHEN i BETWEEN 4 // 8 AND (2 * (n - 1) + 4) // 8 % 256 THEN x END) - avg(CASE WHEN i BETWEEN (6 * (n - 1) + 4) // 8 % 256 AND (8 * (n - 1) + 4) // 8 % 256 THEN x END) d FROM s GROUP BY user_id)
 """
 
 
@@ -261,6 +269,20 @@ def optimal_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.optimal_assignment(s, "label", "o", "p", "x").groupBy("label").agg(F.round(F.sum("x"), 6).alias("total"))
 
 
+_FRAMES = _PLANE + """, x AS (SELECT image, r AS frame, label % 4 AS t, (label * 3 + vec_id % 2) % 4 AS p FROM g),
+k AS (SELECT image, frame, o, q, sum(CASE WHEN t = o AND p = q THEN 1 ELSE 0 END) AS i, sum(CASE WHEN t = o OR p = q THEN 1 ELSE 0 END) AS u FROM x, range(1, 4) a(o), range(1, 4) b(q) GROUP BY 1, 2, 3, 4),
+s AS (SELECT image, o, q, avg(CASE WHEN u = 0 THEN 1.0 ELSE i / u END) AS j FROM k GROUP BY 1, 2, 3)
+"""
+
+
+@query(_FRAMES + "SELECT a.image, round(max(a.j + b.j + c.j), 6) AS total FROM s a JOIN s b ON a.image = b.image AND b.o = 2 AND b.q <> a.q JOIN s c ON c.image = a.image AND c.o = 3 AND c.q NOT IN (a.q, b.q) WHERE a.o = 1 GROUP BY a.image")
+def unsupervised_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOI8, JOI9: J of every proposal and object in every frame, averaged, and the best one-to-one matches; the oracle tries all permutations."""
+    x = plane(spark, sf_dir).select("image", F.col("r").alias("frame"), (F.col("label") % 4).cast("int").alias("t"), ((F.col("label") * 3 + F.col("vec_id") % 2) % 4).cast("int").alias("p"))
+    scores = M.proposal_scores(x, "image", "frame", "t", "p", 3, 3)
+    return M.optimal_assignment(scores, "image", "object", "proposal", "j").groupBy("image").agg(F.round(F.sum("j"), 6).alias("total"))
+
+
 @query(_PLANE + "\nSELECT image, r, c FROM g WHERE label = 2")
 def rle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL13: a mask to column-major runs and back."""
@@ -284,6 +306,53 @@ def resize_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.resize_bilinear(plane(spark, sf_dir), 25, 20, 10, 30).select("image", "r", "c", F.round("x", 6).alias("x"))
 
 
+def _cubic(name: str, size: int, new: int) -> str:
+    """Four taps of each output index with a = -0.75, as a table of (i, s, w)."""
+    taps = (("pos - lo + 1", -1, "((-0.75 * {d} + 3.75) * {d} - 6) * {d} + 3"), ("pos - lo", 0, "(1.25 * {d} - 2.25) * {d} * {d} + 1"), ("1 - pos + lo", 1, "(1.25 * {d} - 2.25) * {d} * {d} + 1"), ("2 - pos + lo", 2, "((-0.75 * {d} + 3.75) * {d} - 6) * {d} + 3"))
+    base = f"(SELECT i, pos, floor(pos) AS lo FROM (SELECT i, (i + 0.5) * {size} / {new} - 0.5 AS pos FROM range({new}) t(i)))"
+    parts = " UNION ALL ".join(f"SELECT i, CAST(least(greatest(lo + {k}, 0), {size} - 1) AS INTEGER) AS s, {w.format(d='(' + d + ')')} AS w FROM {base}" for d, k, w in taps)
+    return f"{name} AS ({parts})"
+
+
+@query(_PLANE + ", " + _cubic("u", 25, 10) + ", " + _cubic("v", 20, 30) + "\nSELECT image, CAST(u.i AS INTEGER) AS r, CAST(v.i AS INTEGER) AS c, round(sum(g.x * u.w * v.w), 6) AS x FROM g JOIN u ON g.r = u.s JOIN v ON g.c = v.s GROUP BY 1, 2, 3")
+def resize_bicubic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMG1, UDF3: cubic convolution by its name in the registry of upsamplers."""
+    return upsampler("bicubic")(plane(spark, sf_dir), 25, 20, 10, 30).select("image", "r", "c", F.round("x", 6).alias("x"))
+
+
+@query(_PLANE + ", " + _TAP.format("u", 25, 12) + ", " + _TAP.format("v", 20, 10) + "\nSELECT image, CAST(u2.i * 10 + v2.i AS INTEGER) AS row, round(sum(g.x * u2.w * v2.w), 6) AS x FROM g JOIN u2 ON g.r = u2.s JOIN v2 ON g.c = v2.s GROUP BY 1, 2")
+def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMG13: features resized to half the frame and flattened to numbered rows."""
+    half = G.resize_bilinear(plane(spark, sf_dir), 25, 20, 25 // 2, 20 // 2)
+    return half.select("image", (F.col("r") * 10 + F.col("c")).cast("int").alias("row"), F.round("x", 6).alias("x"))
+
+
+_JITTER = """, y AS (SELECT i, CASE WHEN abs(i - 3) >= 25 THEN 48 - abs(i - 3) ELSE abs(i - 3) END AS r FROM range(31) t(i)), z AS (SELECT i, CASE WHEN abs(i - 2) >= 20 THEN 38 - abs(i - 2) ELSE abs(i - 2) END AS c FROM range(24) t(i)),
+h AS (SELECT image, y.i AS r, z.i AS c, x FROM g JOIN y ON y.r = g.r JOIN z ON z.c = g.c),
+u AS (SELECT i, p, floor(p) lo FROM (SELECT i, greatest((i + 0.5) / 1.25 - 0.5, 0.0) p FROM range(38) t(i))), v AS (SELECT i, p, floor(p) lo FROM (SELECT i, greatest((i + 0.5) / 0.75 - 0.5, 0.0) p FROM range(18) t(i))),
+u2 AS (SELECT i, least(lo, 30) s, 1 - p + lo w FROM u UNION ALL SELECT i, least(lo + 1, 30), p - lo FROM u), v2 AS (SELECT i, least(lo, 23) s, 1 - p + lo w FROM v UNION ALL SELECT i, least(lo + 1, 23), p - lo FROM v)
+SELECT image, CAST(u2.i AS INTEGER) AS r, CAST(v2.i AS INTEGER) AS c, round(sum(h.x * u2.w * v2.w), 6) AS x FROM h JOIN u2 ON h.r = u2.s JOIN v2 ON h.c = v2.s GROUP BY 1, 2, 3"""
+
+
+@query(_PLANE + _JITTER)
+def jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMG8: two columns and three rows of mirrored padding, then zoom by 1.25 and 0.75."""
+    return G.jitter(plane(spark, sf_dir), 25, 20, 2, 3, 1.25, 0.75, 30.0).select("image", "r", "c", F.round("x", 6).alias("x"))
+
+
+_LINEAR, _SCALE, _BIAS = [((k * 7) % 11 - 5) / 5 for k in range(64)], [1 + (k % 5 - 2) / 50 for k in range(36)], [(k % 7 - 3) / 50 for k in range(36)]
+
+
+@query(f"""WITH g AS (SELECT CAST(vec_id // 500 AS BIGINT) image, CAST(vec_id % 25 AS INTEGER) r, CAST(vec_id // 25 % 20 AS INTEGER) c, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) v FROM embeddings),
+k AS (SELECT image, p, q, v, exp(list_dot_product(v, {_LINEAR!r}::DOUBLE[]) * ({_SCALE!r}::DOUBLE[])[i * 6 + j + 1] + ({_BIAS!r}::DOUBLE[])[i * 6 + j + 1]) AS w FROM range(4) a(p), range(3) b(q), range(6) d(i), range(6) e(j) JOIN g ON g.r = p * 6 + i AND g.c = q * 7 + j),
+l AS (SELECT image, p, q, w, unnest(v) x, generate_subscripts(v, 1) - 1 d FROM k)
+SELECT image, CAST(p AS INTEGER) AS pr, CAST(q AS INTEGER) AS pc, CAST(d AS INTEGER) AS d, round(sum(w * x) / sum(w), 6) AS x FROM l GROUP BY 1, 2, 3, 4""")
+def attention_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMG5: patches of 6 x 6 averaged by softmax weights of their own vectors' scores."""
+    v = plane(spark, sf_dir).select("image", "r", "c", "vec_id").join(vectors(spark, sf_dir).select("vec_id", "v"), "vec_id").drop("vec_id")
+    return G.attention_downsample(v, 25, 20, 6, _LINEAR, _SCALE, _BIAS).select("image", "pr", "pc", "d", F.round("x", 6).alias("x"))
+
+
 @query(_PLANE + "\nSELECT a.image, a.r, a.c, round(sum(b.x) / 25, 6) AS x FROM g a JOIN g b ON a.image = b.image AND abs(a.r - b.r) <= 2 AND abs(a.c - b.c) <= 2 GROUP BY 1, 2, 3")
 def box_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IMG3."""

@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; a temporary one in a local session only, since executors must share it."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridloom-"))
+    return context.getCheckpointDir()
+
+
 def local_session(cpus: int = 8, partitions: int | None = None, memory: str = "8g") -> SparkSession:
     """A local session with adaptive execution, UTC and no UI."""
     return (
@@ -16,5 +29,6 @@ def local_session(cpus: int = 8, partitions: int | None = None, memory: str = "8
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )

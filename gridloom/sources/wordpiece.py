@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,12 +11,41 @@ from pyspark.sql import DataFrame
 _loaded: dict[int, object] = {}
 
 
+def default_vocabulary() -> str:
+    """The JSON of the public vocabulary with word ends."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+def byte_of() -> dict[str, int]:
+    """The byte that each character of a piece stands for: printable ones themselves, the k-th other one 256 + k."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
+def decode_words(rows: DataFrame, key: str, ids: str = "ids", vocabulary: str | None = None) -> DataFrame:
+    """(key, text): pieces joined, a blank after each word end, and bytes that are no UTF-8 replaced; null ids give an empty text."""
+    vocabulary = vocabulary or default_vocabulary()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = {i: p for p, i in json.loads(vocabulary)["model"]["vocab"].items()}
+        to_byte = byte_of()
+        for batch in batches:
+            out = []
+            for own in batch.column(1).to_pylist():
+                words = "".join(pieces.get(i, "") for i in own or []).split("</w>")
+                out.append(" ".join(bytes(to_byte[c] for c in w).decode("utf-8", "replace") for w in words).strip())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=[key, "text"])
+
+    return rows.select(key, ids).mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, text string")
+
+
 def encode_words(rows: DataFrame, key: str, text: str, vocabulary: str | None = None) -> DataFrame:
     """(key, ids array<int>); the vocabulary's JSON travels in the closure, null texts give no ids."""
-    if vocabulary is None:
-        import public_tokenizers
-
-        vocabulary = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    vocabulary = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
@@ -28,4 +58,4 @@ def encode_words(rows: DataFrame, key: str, text: str, vocabulary: str | None =
             found = tokenizer.encode_batch([t or "" for t in batch.column(1).to_pylist()], add_special_tokens=False)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([e.ids for e in found], pa.list_(pa.int32()))], names=[key, "ids"])
 
-    return rows.select(key, text).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, ids array<int>")
+    return rows.select(key, text).mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, ids array<int>")

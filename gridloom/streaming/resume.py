@@ -13,20 +13,37 @@ def stream_shards(spark: SparkSession, source: str, schema: str, files_per_trigg
 
 
 def write_once(stream: DataFrame, out: str, checkpoint: str):
-    """Process what is there and stop; a batch overwrites only its own folder, so a replay repeats nothing."""
+    """Process what is there and stop; a batch overwrites only the folders of its own shards, so a replay repeats nothing.
+
+    That holds even where the stream's checkpoint is lost, since folders are named by shard and not by batch.
+    """
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(out)
 
     query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
-def running_accuracy(stream: DataFrame, name: str):
-    """A running count and accuracy of (label, pred) as an in-memory table in complete mode."""
+def running_accuracy(stream: DataFrame, out: str, checkpoint: str, reset: str = "epoch"):
+    """A running count and accuracy of (epoch, label, pred) by epoch, which starts anew with each; the whole state is one row an epoch.
+
+    Each micro-batch replaces the rows of the epochs that it changed under ``out``.
+    """
     right = (F.col("label") == F.col("pred")).cast("double")
-    totals = stream.groupBy().agg(F.count("*").alias("n"), F.avg(right).alias("accuracy"))
-    query = totals.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    totals = stream.groupBy(reset).agg(F.count("*").alias("n"), F.avg(right).alias("accuracy"))
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(reset).parquet(out)
+
+    query = totals.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def bounded(stream: DataFrame, quota: int, place: str = "place") -> DataFrame:
+    """Rows of a stream whose place in their consumer's order is below a quota: an epoch of bounded length."""
+    if quota < 1:
+        raise ValueError("a quota is positive")
+    return stream.where(F.col(place) < quota)

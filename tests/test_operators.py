@@ -58,9 +58,13 @@ def test_stream_exactly_once(spark, tmp_path):
 
 
 def test_running_accuracy(spark, tmp_path):
-    spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4)], "label int, pred int").write.parquet(str(tmp_path / "p"))
-    resume.running_accuracy(spark.readStream.schema("label int, pred int").parquet(str(tmp_path / "p")), "acc")
-    assert spark.table("acc").collect()[0].asDict() == {"n": 4, "accuracy": 0.75}
+    """Counts go on over runs of the same checkpoint and start anew with each epoch."""
+    where, out, place = (str(tmp_path / n) for n in ("p", "out", "place"))
+    for rows in ([(0, 1, 1), (0, 2, 1), (0, 3, 3), (0, 4, 4)], [(0, 1, 2), (1, 5, 5)]):
+        spark.createDataFrame(rows, "epoch int, label int, pred int").write.mode("append").parquet(where)
+        resume.running_accuracy(spark.readStream.schema("epoch int, label int, pred int").parquet(where), out, place)
+    got = {r["epoch"]: (r["n"], r["accuracy"]) for r in spark.read.parquet(out).collect()}
+    assert got == {0: (5, 0.6), 1: (1, 1.0)}
 
 
 def test_split_properties(spark):
