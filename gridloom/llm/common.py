@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -54,13 +55,39 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Tables that ``stored`` wrote inside the innermost ``temporary_tables``.
+_written: list[list[str]] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """The rows written once as a Parquet table in the shared folder and read again: compressed, and read by column."""
+    """The rows written once as a Parquet table in the shared folder and read again: compressed, and read by column.
+
+    The table stays, as a checkpoint does, unless it is written inside ``temporary_tables``.
+    """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    if _written:
+        _written[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store that the session can write to."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``stored`` writes inside are deleted at the end; results that read them must be written by then."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        for path in _written.pop():
+            remove(spark, path)
+
+
 def type_of(df: DataFrame, name: str) -> str:
     """A column's type as DDL."""
     return df.schema[name].dataType.simpleString()
