@@ -10,30 +10,31 @@ from gridloom.plans.registry import query, table
 from gridloom.sources.wordpiece import decode_words, encode_words
 
 
-def _undo(sql: str) -> str:
-    for _ in range(2):
-        for name, value in X.ENTITIES:
-            quoted = value.replace("'", "''")
-            sql = f"replace({sql}, '{name}', '{quoted}')"
-    return sql
+#: The references that the tables hold, with the characters; an ampersand comes last and by way of a mark, so that a pass is one pass.
+_HELD = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "\x01"), ("&amp", "\x01"), ("\x01", "&"))
 
 
-_NORMAL = f"lower(trim(regexp_replace({_undo('text')}, '\\s+', ' ', 'g')))"
+def _normal(column: str) -> str:
+    sql = column
+    for _ in range(2):
+        for name, value in _HELD:
+            sql = f"replace({sql}, '{name}', '{value.replace(chr(39), chr(39) * 2)}')"
+    return f"lower(trim(regexp_replace({sql}, '\\s+', ' ', 'g')))"
 
 
-@query(f"SELECT item_id, {_NORMAL} AS text FROM benchmark")
+@query(f"SELECT page_id, {_normal('html')} AS text FROM pages")
 def text_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL1."""
-    return table(spark, sf_dir, "benchmark").select("item_id", X.normalise(F.col("text")).alias("text"))
+    return table(spark, sf_dir, "pages").select("page_id", X.normalise(F.col("html")).alias("text"))
 
 
-@query(rf"SELECT item_id, CAST(len(regexp_extract_all({_NORMAL}, '''s|''t|''re|''ve|''m|''ll|''d|\p{{L}}+|\p{{N}}|[^\s\p{{L}}\p{{N}}]+')) AS BIGINT) AS n FROM benchmark")
+@query(rf"SELECT doc_id, CAST(len(regexp_extract_all({_normal('text')}, '''s|''t|''re|''ve|''m|''ll|''d|\p{{L}}+|\p{{N}}|[^\s\p{{L}}\p{{N}}]+')) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL")
 def pretokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SCL2."""
-    return table(spark, sf_dir, "benchmark").select("item_id", F.size(X.pretokens(X.normalise(F.col("text")))).cast("bigint").alias("n"))
+    """SCL2 over all documents."""
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(X.pretokens(X.normalise(F.col("text")))).cast("bigint").alias("n"))
 
 
-@query("SELECT conv_id, turn, substr(trim(regexp_replace(regexp_replace(replace(text, 'the', '[redacted]'), 'https?://\\S+', '[url]', 'g'), '\\s+', ' ', 'g')), 1, 500) AS text FROM conversations")
+@query("SELECT conv_id, turn, substr(trim(regexp_replace(regexp_replace(replace(text, 'the', '[redacted]'), 'https?://\\S+', '[URL redacted]', 'g'), '\\s+', ' ', 'g')), 1, 500) AS text FROM conversations")
 def redacted_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL12."""
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.redact(F.col("text"), ["the"]).alias("text"))

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.functions import text as X
 from gridloom.operators import features as V
 from gridloom.operators import grids as G
 from gridloom.operators import loaders as L
@@ -348,3 +349,17 @@ def test_word_bpe_merges(spark):
     got = {r["id"]: r["ids"] for r in ids.collect()}
     assert got == {1: [i for w in words for i in merged(w)], 2: [], 3: []}
     assert {r["id"]: r["text"] for r in decode_words(ids, "id").collect()} == {1: " ".join(words), 2: "", 3: ""}
+
+
+REFERENCES = [
+    "&lt;b&gt; &amp;amp; &eacute;&#8217;&#x1F600;&#X41;", "&copyright; &notit; &not; &unknown; &amp &ampersand", "&#0; &#128; &#x110000; &#xD800; &#1; &#99999999999999;", "a & b &; &# &#x; &&lt;", None, "", "&nbsp;&NotEqualTilde;",
+]
+
+
+def test_unescape_as_the_standard_library(spark):
+    import html
+
+    rows = spark.createDataFrame(list(enumerate(REFERENCES)), "i int, t string")
+    got = {r["i"]: r["u"] for r in rows.select("i", X.unescape(F.col("t")).alias("u")).collect()}
+    assert got == {i: None if t is None else html.unescape(t) for i, t in enumerate(REFERENCES)}
+    assert rows.where("i = 6").select(X.normalise(F.col("t"))).first()[0] == html.unescape("&NotEqualTilde;").lower()
