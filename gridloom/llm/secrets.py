@@ -100,7 +100,10 @@ def features(lexicon: Lexicon) -> Column:
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", around: int = 40) -> DataFrame:
     """(id, place, candidate, before, after) of every candidate; place is the character offset, from 0, and before and after are of the text around it."""
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col), text.alias("_text"), F.split(text, CANDIDATE, -1).alias("_parts"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("_found")).where(F.size("_found") > 0)
+    # Generated, not filtered: a filter on the findings would be pushed down and search each text again.
+    found = F.filter(F.array(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))), lambda m: F.size(m) > 0)
+    rows = docs.select(F.col(id_col), text.alias("_text"), F.explode(found).alias("_found"))
+    rows = rows.withColumn("_parts", F.split("_text", CANDIDATE, -1))
 
     def walk(s: Column, i: Column) -> Column:
         part, found = F.get("_parts", i), F.get("_found", i)
