@@ -150,13 +150,15 @@ def compressed_rle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.decode_runs(text.select("image", A.expand_counts(F.col("t")).alias("counts")), 25).select("image", "r", "c")
 
 
-@query("SELECT vec_id, round((embedding[1] - 0.485) / 0.229, 5) AS red, round((embedding[2] - 0.456) / 0.224, 5) AS green, round((embedding[3] - 0.406) / 0.225, 5) AS blue FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) embedding FROM embeddings)")
+@query("""SELECT vec_id, CAST(d AS INTEGER) AS d, round((x - [0.485, 0.456, 0.406][d % 3 + 1]) / [0.229, 0.224, 0.225][d % 3 + 1], 5) AS x
+FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS d, unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS x FROM embeddings)""")
 def channel_standardise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SCL17: less the mean, by the deviation."""
+    """SCL17: less the mean, by the deviation, with the components dealt to three channels in turn."""
     # Means and deviations of the three channels.
-    constants = (("red", 0.485, 0.229), ("green", 0.456, 0.224), ("blue", 0.406, 0.225))
-    e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", *[F.round((F.get("embedding", F.lit(k)).cast("double") - m) / s, 5).alias(n) for k, (n, m, s) in enumerate(constants)])
+    means, deviations = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), F.col("d") % 3)
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("d", "x"))
+    return e.select("vec_id", "d", F.round((F.col("x") - pick(means)) / pick(deviations), 5).alias("x"))
 
 
 @query("""WITH o AS (SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS ordinal FROM pages)

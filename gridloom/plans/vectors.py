@@ -25,14 +25,20 @@ def long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.exploded(vectors(spark, sf_dir), ["vec_id", "label"], "v")
 
 
+def mean_of(vector: str):
+    """The mean of a vector's components, to nine digits so that the order of the sum does not show."""
+    total = F.aggregate(as_double(F.col(vector)), F.lit(0.0), lambda s, x: s + x)
+    return F.round(total / F.size(vector), 9)
+
+
 def plane(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All vectors as images of 25 rows and 20 columns, 500 consecutive ids each."""
+    """All vectors as images of 25 rows and 20 columns, 500 consecutive ids each; x is the mean of a vector's components."""
     e = table(spark, sf_dir, "embeddings")
     r, c = (F.col("vec_id") % 25).cast("int"), (F.floor(F.col("vec_id") / 25) % 20).cast("int")
-    return e.select(F.floor(F.col("vec_id") / 500).alias("image"), r.alias("r"), c.alias("c"), F.get("embedding", F.lit(0)).cast("double").alias("x"), "label", "vec_id")
+    return e.select(F.floor(F.col("vec_id") / 500).alias("image"), r.alias("r"), c.alias("c"), mean_of("embedding").alias("x"), "label", "vec_id")
 
 
-_PLANE = "WITH g AS (SELECT CAST(vec_id // 500 AS BIGINT) image, CAST(vec_id % 25 AS INTEGER) r, CAST(vec_id // 25 % 20 AS INTEGER) c, CAST(embedding[1] AS DOUBLE) x, label, vec_id FROM embeddings)"
+_PLANE = "WITH g AS (SELECT CAST(vec_id // 500 AS BIGINT) image, CAST(vec_id % 25 AS INTEGER) r, CAST(vec_id // 25 % 20 AS INTEGER) c, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / len(embedding), 9) x, label, vec_id FROM embeddings)"
 
 
 @query(_LONG + "m AS (SELECT label, d, avg(x) m FROM l GROUP BY 1, 2)\nSELECT l.label, CAST(l.d AS INTEGER) AS d, round(sum((0.2 * x + 0.8 * m) * (0.2 * x + 0.8 * m)), 6) AS energy FROM l JOIN m ON l.label = m.label AND l.d = m.d GROUP BY 1, 2")
@@ -48,11 +54,11 @@ def mask_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.dispersion(long(spark, sf_dir), "label").select("label", F.round("dispersion", 9).alias("dispersion"))
 
 
-@query(_V + "m AS (SELECT vec_id, v, list_sum(v) / len(v) m, list_sum(list_transform(v, lambda x: x * x)) / len(v) q FROM e)\nSELECT vec_id, round((v[1] - m) / sqrt(q - m * m + 1e-6), 6) AS first, round((v[64] - m) / sqrt(q - m * m + 1e-6), 6) AS last FROM m")
+@query(_V + "m AS (SELECT vec_id, v, list_sum(v) / len(v) m, list_sum(list_transform(v, lambda x: x * x)) / len(v) q FROM e)\nSELECT vec_id, CAST(unnest(range(0, len(v))) AS INTEGER) AS d, round(unnest(list_transform(v, lambda x: (x - m) / sqrt(q - m * m + 1e-6))), 6) AS x FROM m")
 def channel_layer_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL18."""
     n = V.layer_norm(F.col("v"))
-    return vectors(spark, sf_dir).select("vec_id", n.alias("n")).select("vec_id", F.round(F.get("n", F.lit(0)), 6).alias("first"), F.round(F.get("n", F.lit(63)), 6).alias("last"))
+    return vectors(spark, sf_dir).select("vec_id", F.posexplode(n).alias("d", "x")).select("vec_id", "d", F.round("x", 6).alias("x"))
 
 
 @query(_LONG + "m AS (SELECT d, min(x) lo, max(x) hi FROM l GROUP BY d)\nSELECT CAST(l.d AS INTEGER) AS d, round(sum((x - lo) / greatest(hi - lo, 1e-4) - 0.5), 6) AS total, round(max((x - lo) / greatest(hi - lo, 1e-4) - 0.5), 6) AS top FROM l JOIN m ON l.d = m.d GROUP BY l.d")
@@ -259,12 +265,12 @@ def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.sequence_statistics(e, ["user_id"], "event_id", "x")
 
 
-@query("""WITH s AS (SELECT CAST(label AS INTEGER) g, CAST(vec_id % 3 AS INTEGER) o, CAST(vec_id // 3 % 3 AS INTEGER) p, avg(CAST(embedding[1] AS DOUBLE)) + 1 AS x FROM embeddings GROUP BY 1, 2, 3),
+@query("""WITH s AS (SELECT CAST(label AS INTEGER) g, CAST(vec_id % 3 AS INTEGER) o, CAST(vec_id // 3 % 3 AS INTEGER) p, avg(round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / len(embedding), 9)) + 1 AS x FROM embeddings GROUP BY 1, 2, 3),
 f AS (SELECT g.g, o.o, p.p, coalesce(s.x, 0) x FROM (SELECT DISTINCT g FROM s) g CROSS JOIN (SELECT i o FROM range(3) t(i)) o CROSS JOIN (SELECT i p FROM range(3) t(i)) p LEFT JOIN s ON s.g = g.g AND s.o = o.o AND s.p = p.p)
 SELECT a.g AS label, round(max(a.x + b.x + c.x), 6) AS total FROM f a JOIN f b ON a.g = b.g AND b.o = 1 AND b.p <> a.p JOIN f c ON a.g = c.g AND c.o = 2 AND c.p <> a.p AND c.p <> b.p WHERE a.o = 0 GROUP BY a.g""")
 def optimal_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOI8, JOI9: the greatest total of one-to-one matches; the oracle tries all permutations."""
-    e = table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 3).cast("int").alias("o"), (F.floor(F.col("vec_id") / 3) % 3).cast("int").alias("p"), F.get("embedding", F.lit(0)).cast("double").alias("x"))
+    e = table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 3).cast("int").alias("o"), (F.floor(F.col("vec_id") / 3) % 3).cast("int").alias("p"), mean_of("embedding").alias("x"))
     s = e.groupBy("label", "o", "p").agg((F.avg("x") + 1).alias("x"))
     return M.optimal_assignment(s, "label", "o", "p", "x").groupBy("label").agg(F.round(F.sum("x"), 6).alias("total"))
 
