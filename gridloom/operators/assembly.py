@@ -70,11 +70,14 @@ def relabel(rows: DataFrame, group: str, label: str, n: int, seed: int) -> DataF
     return rows.withColumn(label, F.array_position(order, F.col(label)).cast("int"))
 
 
-def object_masks(frames: DataFrame, frame: str, label: str, void: int = 255) -> DataFrame:
-    """A row for each pixel and object: ``truth`` of the object, ``void`` of the pixel. Objects are 1 to the greatest label of frame 0."""
+def object_masks(frames: DataFrame, frame: str, label: str, void: int = 255, all_frames: bool = False) -> DataFrame:
+    """A row for each pixel and object: ``truth`` of the object, ``void`` of the pixel.
+
+    Objects are 1 to the greatest label of frame 0 (truth), or of all frames (predictions).
+    """
     ids = F.when(F.col(label) == void, 0).otherwise(F.col(label))
     rows = frames.withColumn("void", F.col(label) == void).withColumn(label, ids)
-    count = rows.where(F.col(frame) == 0).agg(F.coalesce(F.max(label), F.lit(0)).alias("_n"))
+    count = (rows if all_frames else rows.where(F.col(frame) == 0)).agg(F.coalesce(F.max(label), F.lit(0)).alias("_n"))
     rows = rows.crossJoin(F.broadcast(count)).where("_n > 0").withColumn("object", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
     return rows.withColumn("truth", F.col(label) == F.col("object")).drop("_n")
 

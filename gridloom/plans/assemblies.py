@@ -103,6 +103,33 @@ def mask_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("image", "object").agg(F.count_if("truth").alias("pixels"), F.count_if("void").alias("void"))
 
 
+@query(_PLANE + """, f AS (SELECT image, CASE WHEN image = 0 THEN label % 4 ELSE label % 8 END l FROM g)
+SELECT image, CAST(o AS INTEGER) AS object, CAST(count_if(l = o) AS BIGINT) AS pixels FROM f, range(1, 9) t(o) WHERE o <= (SELECT max(l) FROM f) GROUP BY 1, 2""")
+def prediction_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC21: predicted masks; objects count over all frames, not the first alone."""
+    frames = plane(spark, sf_dir).withColumn("label", F.when(F.col("image") == 0, F.col("label") % 4).otherwise(F.col("label") % 8).cast("int"))
+    return A.object_masks(frames, "image", "label", all_frames=True).groupBy("image", "object").agg(F.count_if("truth").alias("pixels"))
+
+
+@query(_PLANE + """, m AS (SELECT image, label, count(*) AS n, CAST(sum(r) AS BIGINT) AS rows FROM g GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY label) - 1 AS i FROM m)
+SELECT a.image, CAST(x.i AS INTEGER) AS mask, CAST(coalesce(k.label, -1) AS INTEGER) AS id, CAST(coalesce(k.n, -1) AS BIGINT) AS pixels, CAST(coalesce(k.rows, -1) AS BIGINT) AS rows
+FROM (SELECT DISTINCT image FROM g) a CROSS JOIN range(12) x(i) LEFT JOIN k ON k.image = a.image AND k.i = x.i""")
+def pair_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC2, SRC11: annotations as JSON with compressed run lengths, decoded, stacked in order and padded with -1 to twelve masks."""
+    g = plane(spark, sf_dir)
+    masks = g.select("image", "r", "c", "label").withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("m", F.col("label") == F.col("id"))
+    runs = G.run_lengths(masks.withColumn("key", F.struct("image", "id")), 25, "key").where(F.size("counts") > 1)
+    one = F.struct(F.col("key.id").alias("id"), F.struct(F.array(F.lit(25), F.lit(20)).alias("size"), A.compress_counts(F.col("counts")).alias("counts")).alias("segmentation"))
+    text = runs.groupBy(F.col("key.image").alias("image")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(one)).alias("annotations"))).alias("json"))
+    shape = "annotations array<struct<id int, segmentation struct<size array<int>, counts string>>>"
+    parsed = text.select("image", F.from_json("json", shape)["annotations"].alias("a"))
+    held = parsed.select("image", F.posexplode("a").alias("mask", "a")).select(F.struct("image", "mask", F.col("a.id").alias("id")).alias("key"), A.expand_counts(F.col("a.segmentation.counts")).alias("counts"))
+    pixels = G.decode_runs(held, 25, "key").groupBy("key").agg(F.count("*").alias("pixels"), F.sum("r").alias("rows"))
+    slots = parsed.select("image", F.posexplode(A.cap_and_pad(F.transform("a", lambda x: x["id"]), 12)).alias("mask", "id"))
+    out = slots.join(pixels.select("key.image", "key.mask", "pixels", "rows"), ["image", "mask"], "left")
+    return out.na.fill(-1, ["pixels", "rows"])
+
+
 @query(_PLANE + """, m AS (SELECT image, r, c, o, label = o AS t, (vec_id * 7) % 8 = o AS p FROM g, range(1, 10) x(o))
 SELECT image, CAST(o AS INTEGER) AS object, round(CASE WHEN count_if(t OR p) = 0 THEN 1.0 ELSE count_if(t AND p) / count_if(t OR p) END, 6) AS j FROM m GROUP BY 1, 2""")
 def padded_truth_match(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,6 +48,18 @@ def group_mean_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("label", "d").agg(F.round(F.sum(F.col("pulled") * F.col("pulled")), 6).alias("energy"))
 
 
+@query(_V + """l AS (SELECT vec_id, CAST(vec_id // 500 AS BIGINT) AS image, label, unnest(v) x, generate_subscripts(v, 1) - 1 d FROM e),
+m AS (SELECT image, d, avg(x) m FROM l WHERE label < 5 GROUP BY 1, 2), a AS (SELECT l.*, CASE WHEN label < 5 THEN 0.2 * x + 0.8 * m ELSE x END y FROM l JOIN m ON m.image = l.image AND m.d = l.d),
+n AS (SELECT image, d, avg(y) n FROM a WHERE vec_id % 2 = 0 GROUP BY 1, 2)
+SELECT a.image, CAST(a.d AS INTEGER) AS d, round(sum(pow(CASE WHEN vec_id % 2 = 0 THEN 0.2 * y + 0.8 * n ELSE y END, 2)), 6) AS energy FROM a JOIN n ON n.image = a.image AND n.d = a.d GROUP BY 1, 2""")
+def sequential_mask_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG1 for overlapping masks: the second mask sees what the first has changed."""
+    e = vectors(spark, sf_dir).select(F.floor(F.col("vec_id") / 500).alias("image"), F.col("vec_id").alias("pixel"), "label", "v")
+    masks = e.where("label < 5").select("image", F.lit(0).alias("mask"), F.col("pixel").alias("member")).unionByName(e.where("pixel % 2 = 0").select("image", F.lit(1).alias("mask"), F.col("pixel").alias("member")))
+    out = V.sequential_pull(e.select("image", "pixel", "v"), masks.select(F.col("image").alias("image"), "mask", F.col("member").alias("pixel")), 0.8)
+    return out.select("image", F.posexplode("v").alias("d", "x")).groupBy("image", "d").agg(F.round(F.sum(F.col("x") * F.col("x")), 6).alias("energy"))
+
+
 @query(_LONG + "v AS (SELECT label, d, var_pop(x) v FROM l GROUP BY 1, 2)\nSELECT label, round(avg(v), 9) AS dispersion FROM v GROUP BY label")
 def mask_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG2, FLT4."""
