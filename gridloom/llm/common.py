@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -55,6 +56,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files behind checkpoints that are written by now.
+
+    It deletes them once the driver has collected their objects, which by itself may take half an hour, while
+    executors' disks fill.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Tables that ``stored`` wrote inside the innermost ``temporary_tables``.
 _written: list[list[str]] = []
 

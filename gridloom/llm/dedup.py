@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import batches_of, checkpoint, type_of
+from gridloom.llm.common import batches_of, checkpoint, release, type_of
 from gridloom.llm.components import connected_components
 from gridloom.llm.hashing import combine, mix, shingle_sets
 
@@ -286,17 +286,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = _band_rows(classes, rows_for(percent))
     shared = banded.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").drop("last")
     banded = checkpoint(banded.join(shared, "band").select("band", "id", "pivot"))
+    release(docs.sparkSession)
     first = banded.where("pivot < id").groupBy("id").agg(F.min("pivot").alias("b")).select(F.col("id").alias("a"), "b")
     first = checkpoint(_likely(first, classes, percent))
     # One pass over the texts, whichever pairs need their sets later.
     sets = checkpoint(_sets(docs, classes.join(banded.select("id").distinct(), "id"), id_col, text_col, size))
+    release(docs.sparkSession)
     links = checkpoint(_verify(first, sets, percent))
+    release(docs.sparkSession)
     parts = connected_components(links)
     placed = _placed(banded, parts)
     tiles = F.ceil(F.col("m") / TILE).cast("int")
     open_ = placed.join(_open(placed).select("band", tiles.alias("tiles")), "band").join(classes.select("id", "n", "reg"), "id")
     marked = checkpoint(_marked(open_.select("band", "id", "comp", "n", "reg", "tiles"), percent))
+    release(docs.sparkSession)
     more = checkpoint(_tile_links(marked.join(sets, "id"), percent))
+    release(docs.sparkSession)
     parts = connected_components(links.union(more))
     names = classes.select("digest", "id").join(parts, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     digest: Column = F.when(F.col("id").isNotNull(), F.col("digest"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import checkpoint, type_of
+from gridloom.llm.common import checkpoint, release, type_of
 from gridloom.llm.components import connected_components
 
 #: The chance to miss a pair at the threshold, the fewest and the most leading bits of a run, comparisons that cost
@@ -193,7 +193,9 @@ def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vector_col:
     if bits is None:
         # By a hash of the id, so that the sample is the same each time.
         bits = bits_for(classes.count(), [bytes(r["raw"]) for r in classes.select("raw").orderBy(F.xxhash64("id")).limit(SAMPLE).collect()], cosine, dtype, miss)
-    parts = connected_components(checkpoint(_window_links(classes, passes_for(bits, cosine, miss), bits, cosine, dtype)))
+    found = checkpoint(_window_links(classes, passes_for(bits, cosine, miss), bits, cosine, dtype))
+    release(table.sparkSession)
+    parts = connected_components(found)
     members = classes.join(parts, "id")
     links = _count_links(members.select("component", "id", "raw", "copies"), cosine, dtype)
     named = classes.join(parts, "id", "left").join(links, "id", "left")
