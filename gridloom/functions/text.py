@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import html.entities
+import json
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,8 +28,9 @@ def _from_code(code: Column) -> Column:
 
 def _character(reference: Column) -> Column:
     """What a match of REFERENCE stands for: an unknown name is cut to the longest known one without a semicolon, or stays."""
-    named = {n: c for n, c in html.entities.html5.items()}
-    table = F.create_map(*[F.lit(x) for pair in named.items() for x in pair])
+    named = html.entities.html5
+    # One literal, which the optimiser makes a map.
+    table = F.from_json(F.lit(json.dumps(named)), "map<string,string>")
     old = "|".join(sorted((n for n in named if not n.endswith(";")), key=len, reverse=True))
     name = F.substring(reference, F.lit(2), F.length(reference))
     digits = F.regexp_replace(name, "[#;xX]", "")
