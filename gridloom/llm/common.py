@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -60,12 +61,22 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files behind checkpoints that are written by now.
 
     It deletes them once the driver has collected their objects, which by itself may take half an hour, while
-    executors' disks fill.
+    executors' disks fill. Python's gateway passes on what it has let go within a second, so this takes a little more; it is
+    skipped within SHORT seconds of the last time, when little can have been written.
     """
+    global _released
+    if time.monotonic() - _released < SHORT:
+        return
     gc.collect()
+    time.sleep(1.2)
+    # The first collection frees what holds the shuffles, the second the shuffles.
     spark._jvm.System.gc()
+    time.sleep(0.3)
+    spark._jvm.System.gc()
+    _released = time.monotonic()
 
 
+SHORT, _released = 5.0, time.monotonic()
 #: Tables that ``stored`` wrote inside the innermost ``temporary_tables``.
 _written: list[list[str]] = []
 
@@ -99,6 +110,11 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, whatever their names."""
+    return F.struct(*[df["`" + c.replace("`", "``") + "`"] for c in df.columns])
+
+
 def type_of(df: DataFrame, name: str) -> str:
     """A column's type as DDL."""
     return df.schema[name].dataType.simpleString()

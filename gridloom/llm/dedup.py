@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import batches_of, checkpoint, release, type_of
+from gridloom.llm.common import batches_of, checkpoint, release, type_of, whole_row
 from gridloom.llm.components import connected_components
 from gridloom.llm.hashing import combine, mix, shingle_sets
 
@@ -315,7 +315,7 @@ def _one_of_each_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows with an id, one of each: of repeated ones that of the smallest text, null last; the whole row decides ties."""
     repeated = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_again")).count().where("count > 1").select("_again")
     repeated = checkpoint(repeated)
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col(id_col).alias("_key"), F.col(text_col).alias("_text"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(whole_row(docs).alias("_row"), F.col(id_col).alias("_key"), F.col(text_col).alias("_text"))
     if repeated.isEmpty():
         return rows.select("_row.*")
     place = F.struct(F.col("_text").isNull(), F.col("_text"), F.to_json("_row"))
@@ -332,11 +332,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     named = _one_of_each_id(docs, id_col, text_col)
     if docs.where(F.col(id_col).isNull()).isEmpty():
         gone = near_duplicates(named, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias("_gone"))
-        rows = named.select(F.struct(*[named[c] for c in named.columns]).alias("_row"), named[id_col].alias("_key"))
+        rows = named.select(whole_row(named).alias("_row"), named[id_col].alias("_key"))
         return rows.join(gone, F.col("_key") == F.col("_gone"), "left_anti").select("_row.*")
     # Numbered once and kept, so that a row has the same key each time it is read.
     nameless = docs.where(F.col(id_col).isNull())
-    whole = lambda d, key: d.select(F.struct(*[d[c] for c in docs.columns]).alias("_row"), key.alias("_key"), d[id_col].alias("_id"), d[text_col].alias("_text"))
+    whole = lambda d, key: d.select(whole_row(d).alias("_row"), key.alias("_key"), d[id_col].alias("_id"), d[text_col].alias("_text"))
     nameless = checkpoint(whole(nameless, F.concat(F.lit("n"), F.monotonically_increasing_id().cast("string"))))
     rows = whole(named, F.concat(F.lit("i"), F.col(id_col).cast("string"))).union(nameless)
     parts = near_duplicates(rows, "_key", "_text", **options).select(F.col("_key").alias("_k"), "component_id")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import checkpoint, n_words
+from gridloom.llm.common import checkpoint, n_words, whole_row
 
 Knots = Sequence[tuple[float, float]]
 
@@ -96,7 +96,7 @@ def plan_mix(
     while 16**digits * BUCKET < count:
         digits += 1
     carried = ["_row"] if row else []
-    whole = [F.struct(*[docs[c] for c in docs.columns]).alias("_row")] if row else []
+    whole = [whole_row(docs).alias("_row")] if row else []
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *whole)
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
     # With their rows, those without an id are dealt by their texts, not all to one bucket.

@@ -18,6 +18,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import whole_row
+
 #: Formats as Java regular expressions.
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]*[A-Za-z0-9-]\.[A-Za-z]{2,}"
@@ -305,7 +307,7 @@ def _replaced(docs: DataFrame, key: str, text_col: str) -> DataFrame:
     Own columns stand beside one struct, so no column of ``docs`` can have the name of one.
     """
     text = F.col("row")[text_col]
-    found = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    found = docs.select(whole_row(docs).alias("row"))
     found = found.withColumn("pattern", pattern(text))
     found = found.withColumn("found", F.transform(F.regexp_extract_all(text, F.col("pattern"), F.lit(0)), lambda m: pseudonym(m, key)))
     parts = F.split(text, F.col("pattern"), -1)

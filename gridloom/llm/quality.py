@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import checkpoint, stored, words
+from gridloom.llm.common import checkpoint, stored, whole_row, words
 
 #: Frequent function words of four languages, which running prose has and lists lack.
 FUNCTION_WORDS = (
@@ -193,7 +193,7 @@ def keep_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     once and nothing is shuffled. Null, empty and blank texts go; repeated rows are judged alike; no rows give no rows.
     """
     q = F.col("_q")
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), docs[text_col].alias("_given"))
+    rows = docs.select(whole_row(docs).alias("_row"), docs[text_col].alias("_given"))
     figures = features(rows, "_given", ["_row"])
     marked = stored(figures.select(F.when(~base_failed(q), F.col("_row")).alias("_row"), F.array(*votes(q)).alias("_v")))
     model = fit(counted(marked.select("_v")))

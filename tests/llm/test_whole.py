@@ -16,11 +16,11 @@ from gridloom.llm import bpe, dedup, mixing, quality, queries, token_counts
 from tests.llm import test_pii
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id bigint, text string, source string, _row string, _key string, _text string, _gone string, positions string, digest string, id string"
+SCHEMA = "doc_id bigint, text string, source string, _row string, _key string, _text string, _gone string, positions string, digest string, id string, `a.b` string, `c``d` string"
 
 
 def made(spark, rows):
-    return spark.createDataFrame([(*r, *"abcdefg") for r in rows], SCHEMA)
+    return spark.createDataFrame([(*r, *"abcdefghi") for r in rows], SCHEMA)
 
 
 def words(t):
