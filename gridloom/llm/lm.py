@@ -8,15 +8,19 @@ depend on the corpus, reaches the driver; ratios are rounded to a quarter of an
 unknown sum to 1.
 
 Counts travel packed. Documents are dealt to blocks of bounded bytes by a hash. A block sends its sorted
-distinct word and bigram hashes with their counts, cut into hash ranges; a range adds up the counts of all
-blocks and answers each block in the order of its question, so answers carry no keys. A frequent
-word is one entry a block, so no range is hot. Hashes have 64 bits (see hashing). There are as many ranges as
-blocks, and a block sends a message to each range in which it has a key: messages grow with the square of the corpus
-until each holds one key, and in proportion from there on.
+distinct word and bigram hashes with their counts, cut into hash ranges, and answers come back in the order of
+each question, so they carry no keys. A frequent word is one entry a block, so no range is hot. Hashes
+have 64 bits (see hashing).
+
+The exchange has two levels, as B blocks that wrote to B ranges each would make B * B messages: about sqrt(B)
+blocks are a group and sqrt(B) ranges a coarse range. Blocks send to coarse ranges, where each group's questions
+are merged; merged ones go on to the ranges, which add up all groups; answers return the same way. That makes about
+4 * B ** 1.5 messages, each of a group's or a block's keys of one range.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable
 
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import checkpoint, type_of
+from gridloom.llm.common import checkpoint, release, type_of
 from gridloom.llm.hashing import combine, word_hashes
 
 _U = np.uint64
@@ -102,66 +106,95 @@ def _block_arrays(texts: list[bytes]):
     return first, n, uni, places[:-2], bi, pairs
 
 
-def _cut(keys: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
-    """(range, start, end) of the equal hash ranges that have some of the sorted keys."""
-    number = ((keys >> _U(32)) * _U(ranges)) >> _U(32)
+def _cut(keys: np.ndarray, ranges: int, together: int = 1) -> list[tuple[int, int, int]]:
+    """(number, start, end) of the equal hash ranges, or runs of ``together`` of them, that have some of the sorted keys."""
+    number = (((keys >> _U(32)) * _U(ranges)) >> _U(32)) // _U(together)
     starts = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1]))) if len(keys) else []
     ends = [*starts[1:], len(keys)]
     return [(int(number[i]), int(i), int(j)) for i, j in zip(starts, ends, strict=False)]
 
 
-def _ask(table: pa.Table, ranges: int) -> pa.Table:
-    """A block's keys and counts, a row for each level and hash range."""
-    kind = table["kind"][0].as_py()
+def _counts(values: np.ndarray) -> bytes:
+    return pack(values.astype(np.uint64) + _U(1))
+
+
+def _uncounted(data: bytes) -> np.ndarray:
+    return (unpack(data) - _U(1)).astype(np.int64)
+
+
+def _table(rows: list[tuple], names: list[str]) -> pa.Table:
+    types = {"level": pa.int32(), "coarse": pa.int32(), "fine": pa.int32(), "kind": pa.string(), "block": pa.int64(), "family": pa.int64(), "sums": pa.list_(pa.int64())}
+    return pa.table([pa.array([r[i] for r in rows], types.get(n, pa.binary())) for i, n in enumerate(names)], names=names)
+
+
+def _ask(table: pa.Table, ranges: int, together: int) -> pa.Table:
+    """A block's keys and counts, a row for each level and coarse range."""
+    block, family, kind = (table[c][0].as_py() for c in ("block", "family", "kind"))
     texts = [t or b"" for t in table["text"].cast(pa.binary()).to_pylist()]
     _, _, uni, places, bi, pairs = _block_arrays(texts)
     rows: list[tuple] = []
     for level, keys, seen in ((1, uni, places), (2, bi, pairs)):
         counts = np.bincount(seen, minlength=len(keys)) if kind != "score" else np.zeros(len(keys), np.int64)
-        rows += [(level, r, table["block"][0].as_py(), kind, pack_sorted(keys[i:j]), pack(counts[i:j].astype(np.uint64) + _U(1))) for r, i, j in _cut(keys, ranges)]
-    names = ["level", "range", "block", "kind", "keys", "counts"]
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary()]
-    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+        rows += [(level, r, family, block, kind, pack_sorted(keys[i:j]), _counts(counts[i:j])) for r, i, j in _cut(keys, ranges, together)]
+    return _table(rows, ["level", "coarse", "family", "block", "kind", "keys", "counts"])
+
+
+def _questions(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The sorted distinct keys of all rows, and each row's places among them."""
+    keys = [unpack_sorted(k) for k in table["keys"].to_pylist()]
+    every, place = np.unique(np.concatenate(keys), return_inverse=True)
+    return every, np.split(place, np.cumsum([len(k) for k in keys])[:-1])
+
+
+def _merge(table: pa.Table, ranges: int, together: int) -> pa.Table:
+    """The questions of one group of blocks for one level and coarse range as one, a row for each range."""
+    every, where = _questions(table)
+    known = np.zeros(len(every), np.int64)
+    for own, counts in zip(where, table["counts"].to_pylist(), strict=True):
+        known[own] += _uncounted(counts)
+    level, coarse, family, kind = (table[c][0].as_py() for c in ("level", "coarse", "family", "kind"))
+    rows = [(level, coarse, r % together, family, kind, pack_sorted(every[i:j]), _counts(known[i:j])) for r, i, j in _cut(every, ranges)]
+    return _table(rows, ["level", "coarse", "fine", "family", "kind", "keys", "counts"])
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """All blocks' questions for one level and range: sums of counts, back in the order of each question.
+    """All groups' questions for one level and range: sums of counts, back in the order of each question.
 
-    ``known`` are counts over all training texts, ``early`` those without the held-out ones.
-    The row of block -1 has the range's number of known words and its tokens.
+    ``known`` are counts over all training texts, ``early`` those without the held-out ones, which only groups of
+    held-out blocks need. The row of family -1 has the range's number of known words and its tokens.
     """
+    every, where = _questions(table)
     kinds = table["kind"].to_pylist()
-    keys = [unpack_sorted(k) for k in table["keys"].to_pylist()]
-    counts = [unpack(k) - _U(1) for k in table["counts"].to_pylist()]
-    every, place = np.unique(np.concatenate(keys), return_inverse=True)
     known, held = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
-    at, where = 0, []
-    for k, c, kind in zip(keys, counts, kinds, strict=True):
-        own = place[at : at + len(k)]
-        at += len(k)
-        where.append(own)
+    for own, counts, kind in zip(where, table["counts"].to_pylist(), kinds, strict=True):
         if kind != "score":
-            known[own] += c.astype(np.int64)
-            if kind == "held":
-                held[own] += c.astype(np.int64)
-    n = len(kinds)
-    level, range_ = table["level"][0].as_py(), table["range"][0].as_py()
-    out_known = [pack(known[own].astype(np.uint64) + _U(1)) for own in where]
-    # Only held-out blocks need the counts without themselves.
-    out_early = [pack((known - held)[own].astype(np.uint64) + _U(1)) if kind == "held" else None for own, kind in zip(where, kinds, strict=True)]
+            known[own] += _uncounted(counts)
+        if kind == "held":
+            held[own] += _uncounted(counts)
     early = known - held
-    sums = [int((known > 0).sum()), int(known.sum()), int((early > 0).sum()), int(early.sum())]
-    arrays = {
-        "level": pa.array([level] * (n + 1), pa.int32()), "range": pa.array([range_] * (n + 1), pa.int32()),
-        "block": pa.array([*table["block"].to_pylist(), -1], pa.int64()), "known": pa.array([*out_known, None], pa.binary()),
-        "early": pa.array([*out_early, None], pa.binary()), "sums": pa.array([None] * n + [sums], pa.list_(pa.int64())),
-    }
-    return pa.table(arrays)
+    level, coarse, fine = (table[c][0].as_py() for c in ("level", "coarse", "fine"))
+    rows = [(level, coarse, fine, f, _counts(known[own]), _counts(early[own]) if kind == "held" else None, None) for f, own, kind in zip(table["family"].to_pylist(), where, kinds, strict=True)]
+    rows.append((level, coarse, fine, -1, None, None, [int((known > 0).sum()), int(known.sum()), int((early > 0).sum()), int(early.sum())]))
+    return _table(rows, ["level", "coarse", "fine", "family", "known", "early", "sums"])
+
+
+def _hand_back(asked: pa.Table, answers: pa.Table) -> pa.Table:
+    """The ranges' answers to a group's question, handed to its blocks in the order of each one's own; sums go through."""
+    names = ["level", "coarse", "block", "known", "early", "sums"]
+    answers = answers.sort_by("fine")
+    if not asked.num_rows:
+        return _table([(*r, -1, None, None, sums) for *r, sums in zip(*(answers[c].to_pylist() for c in ("level", "coarse", "sums")), strict=True)], names)
+    every, where = _questions(asked)
+    joined = {c: np.concatenate([_uncounted(x) for x in answers[c].to_pylist()]) if answers[c].null_count == 0 else None for c in ("known", "early")}
+    if len(joined["known"]) != len(every):
+        raise ValueError("a group's answers do not match its question")
+    part = lambda c, own: None if joined[c] is None else _counts(joined[c][own])
+    return _table([(level, coarse, block, part("known", own), part("early", own), None) for level, coarse, block, own in zip(*(asked[c].to_pylist() for c in ("level", "coarse", "block")), where, strict=True)], names)
 
 
 def _told(answers: pa.Table, column: str, uni: np.ndarray, bi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A block's counts by word and by bigram, from the answers of all ranges."""
-    rows = sorted(zip(answers["level"].to_pylist(), answers["range"].to_pylist(), answers[column].to_pylist(), strict=True), key=lambda r: r[:2])
+    rows = sorted(zip(answers["level"].to_pylist(), answers["coarse"].to_pylist(), answers[column].to_pylist(), strict=True), key=lambda r: r[:2])
     parts = {level: [unpack(r[2]) - _U(1) for r in rows if r[0] == level] for level in (1, 2)}
     out = []
     for level, keys in ((1, uni), (2, bi)):
@@ -282,16 +315,26 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = rows.groupBy("kind").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64).alias("n")).collect()
     blocks = {r["kind"]: max(1, -(-r["n"] // block_bytes)) for r in sizes}
     number = {k: i for i, k in enumerate(("train", "held", "score"))}
-    ranges = max(1, sum(blocks.values()))
-    place = F.lit(0)
+    total_blocks = max(1, sum(blocks.values()))
+    # Ranges of a coarse range, and blocks of a family (a group of blocks of one kind).
+    together = math.isqrt(total_blocks - 1) + 1
+    ranges = -(-total_blocks // together) * together
+    place = family = F.lit(0)
     for k, n in blocks.items():
-        place = F.when(F.col("kind") == k, F.pmod(F.xxhash64("id", F.length("text")), F.lit(n)) * 3 + number[k]).otherwise(place)
+        of_kind = F.pmod(F.xxhash64("id", F.length("text")), F.lit(n))
+        place = F.when(F.col("kind") == k, of_kind * 3 + number[k]).otherwise(place)
+        family = F.when(F.col("kind") == k, F.floor(of_kind / together) * 3 + number[k]).otherwise(family)
     # A task is about one block: hashing to a fixed number of partitions would make tasks grow with the corpus.
-    dealt = lambda df: df.repartition(ranges, "block")
-    rows = dealt(rows.withColumn("block", place.cast("bigint")))
-    asked = rows.groupBy("block").applyInArrow(lambda t: _ask(t, ranges), "level int, range int, block bigint, kind string, keys binary, counts binary")
-    answered = asked.groupBy("level", "range").applyInArrow(lambda t: _answer(t), "level int, range int, block bigint, known binary, early binary, sums array<bigint>")
-    answered = checkpoint(answered)
+    dealt = lambda df: df.repartition(total_blocks, "block")
+    rows = dealt(rows.withColumns({"block": place.cast("bigint"), "family": family.cast("bigint")}))
+    asked = rows.groupBy("block").applyInArrow(lambda t: _ask(t, ranges, together), "level int, coarse int, family bigint, block bigint, kind string, keys binary, counts binary")
+    questions = ["level", "coarse", "family"]
+    merged = asked.groupBy(*questions).applyInArrow(lambda t: _merge(t, ranges, together), "level int, coarse int, fine int, family bigint, kind string, keys binary, counts binary")
+    answered = merged.groupBy("level", "coarse", "fine").applyInArrow(lambda t: _answer(t), "level int, coarse int, fine int, family bigint, known binary, early binary, sums array<bigint>")
+    both = asked.groupBy(*questions).cogroup(answered.groupBy(*questions))
+    # Not named before, as a name would hold on to its shuffles.
+    answered = checkpoint(both.applyInArrow(_hand_back, "level int, coarse int, block bigint, known binary, early binary, sums array<bigint>"))
+    release(docs.sparkSession)
     sums = [F.coalesce(F.sum(F.get("sums", F.lit(i))), F.lit(0)) for i in range(4)]
     distinct, total, early_distinct, early_total = answered.where("block = -1 and level = 1").agg(*sums).first()
     answers = answered.where("block >= 0").drop("sums")
