@@ -53,7 +53,9 @@ def split_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id, l[1:3] = list_slice(['user', 'assistant', 'user'], 1, len(l[1:3])) AND len(l) >= 3 AS regular FROM g""")
 def prefix_compatible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOI13: whether an earlier list begins the later one."""
-    g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("s"))
+    # Only as many turns as the prefix has are collected.
+    first = table(spark, sf_dir, "conversations").withColumn("k", F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role"))).where("k <= 3")
+    g = first.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("k", "role"))).alias("s"))
     return g.select("conv_id", A.is_prefix(F.array(*map(F.lit, ("user", "assistant", "user"))), F.transform("s", lambda x: x["role"])).alias("regular"))
 
 
@@ -151,10 +153,16 @@ def prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.with_prefix(table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("name")), "name", "Brand#")
 
 
-@query("SELECT CAST(i AS BIGINT) AS byte, CAST(CASE WHEN i BETWEEN 33 AND 126 OR i BETWEEN 161 AND 172 OR i >= 174 THEN i ELSE 255 + sum(CASE WHEN i BETWEEN 33 AND 126 OR i BETWEEN 161 AND 172 OR i >= 174 THEN 0 ELSE 1 END) OVER (ORDER BY i) END AS BIGINT) AS code FROM range(256) t(i)")
+@query("""WITH c AS (SELECT i, CASE WHEN i BETWEEN 33 AND 126 OR i BETWEEN 161 AND 172 OR i >= 174 THEN i ELSE 255 + sum(CASE WHEN i BETWEEN 33 AND 126 OR i BETWEEN 161 AND 172 OR i >= 174 THEN 0 ELSE 1 END) OVER (ORDER BY i) END AS code FROM range(256) t(i)),
+b AS (SELECT page_id, k, CAST('0x' || substr(h, 2 * k + 1, 2) AS INTEGER) AS byte FROM (SELECT page_id, h, unnest(range(0, len(h) // 2)) AS k FROM (SELECT page_id, hex(encode(url)) AS h FROM pages)))
+SELECT page_id, count(*) AS n, CAST(sum(code * (k % 100 + 1)) AS BIGINT) AS mark FROM b JOIN c ON c.i = b.byte GROUP BY page_id""")
 def byte_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SCL4: the reversible map of bytes to printable code points."""
-    return spark.range(256).select(F.col("id").alias("byte"), A.byte_alphabet(F.col("id")).alias("code"))
+    """SCL4: the bytes of every address by the reversible map to printable code points."""
+    held = table(spark, sf_dir, "pages").where("url is not null").select("page_id", F.hex(F.encode("url", "UTF-8")).alias("h"))
+    # Two hex digits a byte.
+    pairs = F.transform(F.regexp_extract_all("h", F.lit(".."), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("int"))
+    rows = held.select("page_id", F.posexplode(pairs).alias("k", "byte"))
+    return rows.groupBy("page_id").agg(F.count("*").alias("n"), F.sum(A.byte_alphabet(F.col("byte")) * (F.col("k") % 100 + 1)).cast("bigint").alias("mark"))
 
 
 @query("SELECT CAST(i AS BIGINT) AS attempt, CAST(least(pow(2, i), 30) AS DOUBLE) AS delay FROM range(12) t(i)")

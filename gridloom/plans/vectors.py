@@ -79,11 +79,13 @@ def minmax_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.minmax_scale(long(spark, sf_dir)).groupBy("d").agg(F.round(F.sum("scaled"), 6).alias("total"), F.round(F.max("scaled"), 6).alias("top"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS i, CAST(k AS INTEGER) AS k, round(CASE WHEN k < 10 THEN sin((-1 + 2 * i / 24.0) * exp(-2 + 12.0 * k / 9)) ELSE cos((-1 + 2 * i / 24.0) * exp(-2 + 12.0 * (k - 10) / 9)) END, 6) AS f FROM range(25) a(i), range(20) b(k)")
+@query("""SELECT vec_id, CAST(k AS INTEGER) AS k, round(CASE WHEN k < 10 THEN sin(p * exp(-2 + 12.0 * k / 9)) ELSE cos(p * exp(-2 + 12.0 * (k - 10) / 9)) END, 6) AS f
+FROM (SELECT vec_id, -1 + 2 * (vec_id % 25) / 24.0 AS p FROM embeddings), range(20) b(k)""")
 def fourier_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SCL20 on a row of 25 coordinates."""
-    at = F.lit(-1) + 2 * F.col("id") / F.lit(24.0)
-    return spark.range(25).select(F.col("id").alias("i"), F.posexplode(V.fourier(at, 10)).alias("k", "f")).withColumn("f", F.round("f", 6))
+    """SCL20 on the row coordinate of every vector."""
+    at = F.lit(-1) + 2 * (F.col("vec_id") % 25) / F.lit(24.0)
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.posexplode(V.fourier(at, 10)).alias("k", "f")).withColumn("f", F.round("f", 6))
 
 
 _MATRIX = V.projection_matrix(64, 3)
@@ -391,13 +393,16 @@ def crop_and_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.where("r between 8 and 15 and c between 4 and 11").select("image", (F.col("r") - 8).alias("r"), (F.col("c") - 4).alias("c"), "x")
 
 
-@query("SELECT CAST(i AS BIGINT) AS i, CAST((((i >> 0) & 1) << 7) | (((i >> 3) & 1) << 6) | (((i >> 6) & 1) << 5) AS BIGINT) AS red, CAST((((i >> 1) & 1) << 7) | (((i >> 4) & 1) << 6) | (((i >> 7) & 1) << 5) AS BIGINT) AS green, CAST((((i >> 2) & 1) << 7) | (((i >> 5) & 1) << 6) AS BIGINT) AS blue FROM range(256) t(i)")
+@query("""SELECT p_partkey, CAST((((i >> 0) & 1) << 7) | (((i >> 3) & 1) << 6) | (((i >> 6) & 1) << 5) AS BIGINT) AS red, CAST((((i >> 1) & 1) << 7) | (((i >> 4) & 1) << 6) | (((i >> 7) & 1) << 5) AS BIGINT) AS green,
+ CAST((((i >> 2) & 1) << 7) | (((i >> 5) & 1) << 6) AS BIGINT) AS blue FROM (SELECT p_partkey, p_partkey % 256 AS i FROM part)""")
 def palette(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL16: bits of an index dealt to three channels in turn."""
+    index = F.col("p_partkey") % 256
+
     def channel(k: int):
         out = F.lit(0).cast("bigint")
         for j, bit in enumerate(range(k, 8, 3)):
-            out = out.bitwiseOR(F.shiftleft(F.shiftright("id", bit).bitwiseAND(1), 7 - j))
+            out = out.bitwiseOR(F.shiftleft(F.shiftright(index, bit).bitwiseAND(1), 7 - j))
         return out
 
-    return spark.range(256).select(F.col("id").alias("i"), *[channel(k).alias(n) for k, n in enumerate(("red", "green", "blue"))])
+    return table(spark, sf_dir, "part").select("p_partkey", *[channel(k).alias(n) for k, n in enumerate(("red", "green", "blue"))])

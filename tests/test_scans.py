@@ -363,3 +363,23 @@ def test_unescape_as_the_standard_library(spark):
     got = {r["i"]: r["u"] for r in rows.select("i", X.unescape(F.col("t")).alias("u")).collect()}
     assert got == {i: None if t is None else html.unescape(t) for i, t in enumerate(REFERENCES)}
     assert rows.where("i = 6").select(X.normalise(F.col("t"))).first()[0] == html.unescape("&NotEqualTilde;").lower()
+
+
+def test_shards_over_http(spark, tmp_path):
+    """A web address is a shard of its own: fetched as a stream by the task that reads it."""
+    import functools
+    import http.server
+    import threading
+
+    K.write_shards(samples(spark, 6), str(tmp_path), 3)
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), functools.partial(http.server.SimpleHTTPRequestHandler, directory=str(tmp_path)))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        urls = [f"http://127.0.0.1:{server.server_port}/{K.shard_name(k)}" for k in (0, 1)]
+        spark.dataSource.register(ShardSource)
+        rows = spark.read.format("tarshards").option("paths", json.dumps(urls)).load().collect()
+        assert sorted(r["key"] for r in rows) == [f"sa_{i}" for i in range(6)] and {r["url"] for r in rows} == set(urls)
+        with pytest.raises(Exception, match="404"):
+            spark.read.format("tarshards").load(urls[0].replace("000000", "000009")).collect()
+    finally:
+        server.shutdown()
