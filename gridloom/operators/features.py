@@ -131,9 +131,11 @@ def second_moments(rows: DataFrame, left: str, right: str, group: str | None = N
 
     parts = chosen.mapInArrow(run, f"g {kind}, n bigint, sums array<double>, cells array<double>")
     name = group or "g"
-    n = parts.groupBy(F.col("g").alias(name)).agg(F.sum("n").alias("n"))
-    added = lambda c: parts.select(F.col("g").alias(name), F.posexplode(c).alias("i", "x")).groupBy(name, "i").agg(F.sum("x").alias("x")).groupBy(name).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias(c))
-    return n.join(added("sums"), name).join(added("cells"), name)
+    # Count, sums and cells as one array, so that the products are made once.
+    flat = parts.select(F.col("g").alias(name), F.size("sums").alias("_d"), F.posexplode(F.concat(F.array(F.col("n").cast("double")), "sums", "cells")).alias("i", "x"))
+    added = flat.groupBy(name, "_d", "i").agg(F.sum("x").alias("x"))
+    whole = added.groupBy(name, "_d").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
+    return whole.select(name, F.get("v", F.lit(0)).cast("bigint").alias("n"), F.slice("v", F.lit(2), F.col("_d")).alias("sums"), F.slice("v", F.col("_d") + 2, F.size("v")).alias("cells"))
 
 
 def affinity_gram(pairs: DataFrame, group: str, a: str, b: str, eps: float = 1e-6) -> DataFrame:
