@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, dedup, lm, mixing, pii, quality, secrets, token_counts, vector_dedup, warc
+from gridloom.llm import alignment, bpe, dedup, lm, mixing, pii, quality, secrets, token_counts, vector_dedup, warc
 from gridloom.llm.common import checkpoint, read
 
 
@@ -70,8 +70,20 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents, secrets.train(secrets.template_findings(spark), secrets.learn_lexicon(documents)))
 
 
+def alignment_files() -> tuple[bytes, bytes]:
+    """The two tokenizers' files: a byte-level JSON file and a piece model."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as a, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as b:
+        return a.read(), b.read()
+
+
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(read(spark, sf_dir, "documents"), *alignment_files())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_deleted_interpolation, op2_quality_rules, op3_embedding_near_dedup, op4_bpe_roundtrip, op5_token_counts, op6_curriculum_mix, op7_minhash_near_dedup, op8_pii_pseudonyms, op9_warc_roundtrip, op10_secret_scan)
+    f.__name__: f for f in (op1_deleted_interpolation, op2_quality_rules, op3_embedding_near_dedup, op4_bpe_roundtrip, op5_token_counts, op6_curriculum_mix, op7_minhash_near_dedup, op8_pii_pseudonyms, op9_warc_roundtrip, op10_secret_scan, op11_token_alignment)
 }
 
 ORACLES: dict[str, str] = {
