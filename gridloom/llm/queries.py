@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import alignment, bpe, dedup, lm, mixing, pii, quality, secrets, token_counts, vector_dedup, warc
+from gridloom.llm import alignment, bpe, dedup, hard_negatives, lm, mixing, pii, quality, secrets, sharding, token_counts, vector_dedup, warc
 from gridloom.llm.common import checkpoint, read
 
 
@@ -82,8 +82,20 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_tokens(read(spark, sf_dir, "documents"), *alignment_files())
 
 
+def op12_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    narrow = read(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + F.lit(8)).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"))
+    return sharding.place_rows(narrow).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.quantised(e.withColumn("label", moved)), "id % 100 = 0")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_deleted_interpolation, op2_quality_rules, op3_embedding_near_dedup, op4_bpe_roundtrip, op5_token_counts, op6_curriculum_mix, op7_minhash_near_dedup, op8_pii_pseudonyms, op9_warc_roundtrip, op10_secret_scan, op11_token_alignment)
+    f.__name__: f for f in (op1_deleted_interpolation, op2_quality_rules, op3_embedding_near_dedup, op4_bpe_roundtrip, op5_token_counts, op6_curriculum_mix, op7_minhash_near_dedup, op8_pii_pseudonyms, op9_warc_roundtrip, op10_secret_scan, op11_token_alignment, op12_uniform_shards, op13_hard_negatives)
 }
 
 ORACLES: dict[str, str] = {
@@ -139,5 +151,19 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM d
+""",
+    "op13_hard_negatives": """
+WITH q AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike,
+  CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM q a JOIN q b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike AND 100 * s.score BETWEEN 30 * positive_score AND 90 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 10
 """,
 }
