@@ -86,3 +86,29 @@ def load_state(url: str) -> dict | None:
         return None
     with system.open_input_stream(path) as stream:
         return json.loads(stream.read())
+
+
+def exists(url: str) -> bool:
+    """Whether a file or folder of that name is there."""
+    from pyarrow import fs
+
+    system, path = store(url)
+    return system.get_file_info(path).type != fs.FileType.NotFound
+
+
+def move(file: str, name: str) -> None:
+    """Give a file another name in its store, in place of what has that name."""
+    system, path = store(file)
+    system.move(path, store(name)[1])
+
+
+def remove(url: str) -> None:
+    """Delete a file, or a folder with all it holds; one that is not there is no error."""
+    from pyarrow import fs
+
+    system, path = store(url)
+    kind = system.get_file_info(path).type
+    if kind == fs.FileType.Directory:
+        system.delete_dir(path)
+    elif kind != fs.FileType.NotFound:
+        system.delete_file(path)
