@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions import repair as RP
 from gridloom.functions import text as X
 from gridloom.plans.registry import query, table
 from gridloom.sources.wordpiece import decode_words, encode_words
@@ -51,3 +52,12 @@ def bpe_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL5, SCL3: ids of the word-end vocabulary back to text; pre-tokens come back with blanks between them."""
     return decode_words(encode_words(table(spark, sf_dir, "benchmark"), "item_id", "text"), "item_id")
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents WHERE text IS NOT NULL")
+def text_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL1: all texts, a third of them decoded by the wrong table once and a third twice, repaired; the clean third must stay."""
+    worse = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+    text, turn = F.col("text"), F.col("doc_id") % 3
+    damaged = F.when(turn == 1, worse(text)).when(turn == 2, worse(worse(text))).otherwise(text)
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5(RP.repaired_text(damaged)).alias("digest"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.vectors import as_double, dot, norm
 from gridloom.operators import features as V
 from gridloom.operators import grids as G
+from gridloom.operators import lowrank as LR
 from gridloom.operators import metrics as M
 from gridloom.plans.registry import query, table
 from gridloom.sources.registry import upsampler
@@ -406,3 +407,29 @@ def palette(spark: SparkSession, sf_dir: str) -> DataFrame:
         return out
 
     return table(spark, sf_dir, "part").select("p_partkey", *[channel(k).alias(n) for k, n in enumerate(("red", "green", "blue"))])
+
+
+_ROUNDS = 1000
+
+
+def _power(k: int) -> str:
+    """Component k by power rounds on the covariances, with the components before it taken out."""
+    taken = "".join(f" - b{j}.l[1] * b{j}.v[i] * list_dot_product(b{j}.v, p.v)" for j in range(1, k))
+    step = f"list_transform(range(1, 65), lambda i: list_dot_product(m.c[i], p.v){taken})"
+    tables = "".join(f", b{j}" for j in range(1, k))
+    return f"""p{k} AS (SELECT 0 AS t, list_transform(range(1, 65), lambda i: 1.0::DOUBLE + i * 0.37 % 1) AS v, 0.0::DOUBLE AS l
+ UNION ALL SELECT t + 1, list_transform(y, lambda x: x / sqrt(list_dot_product(y, y))), sqrt(list_dot_product(y, y)) FROM (SELECT t, {step} AS y FROM p{k} p, m{tables} WHERE t < {_ROUNDS})),
+b{k} AS MATERIALIZED (SELECT [l] AS l, v FROM p{k} WHERE t = {_ROUNDS})"""
+
+
+@query("WITH RECURSIVE " + _LONG.removeprefix("WITH ") + """a AS (SELECT d, avg(x) AS m FROM l GROUP BY d),
+z AS MATERIALIZED (SELECT vec_id, list(x - a.m ORDER BY l.d) AS v FROM l JOIN a ON a.d = l.d GROUP BY vec_id),
+c AS (SELECT i, list(s ORDER BY j) AS r FROM (SELECT i, j, avg(v[i] * v[j]) AS s FROM z, range(1, 65) x(i), range(1, 65) y(j) GROUP BY i, j) GROUP BY i),
+m AS MATERIALIZED (SELECT list(r ORDER BY i) AS c, count(*) AS d FROM c),
+""" + ",\n".join(_power(k) for k in (1, 2, 3)) + "\nSELECT CAST(k AS INTEGER) AS component, round(l[1], 7) AS variance FROM (SELECT 1 AS k, l FROM b1 UNION ALL SELECT 2, l FROM b2 UNION ALL SELECT 3, l FROM b3)")
+def low_rank_variances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL24: the variances along the first three components, found without a d x d matrix, measured again over all projected rows."""
+    e = vectors(spark, sf_dir)
+    fit = LR.low_rank_components(e, "v", 3)
+    long = LR.project(e.select("v"), "v", fit).select(F.posexplode("projected").alias("i", "x"))
+    return long.groupBy((F.col("i") + 1).cast("int").alias("component")).agg(F.round(F.var_pop("x"), 7).alias("variance"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -32,3 +33,10 @@ def local_session(cpus: int = 8, partitions: int | None = None, memory: str = "8
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written once as a Parquet table below the folder that executors share, and read again: what follows starts from there."""
+    path = f"{work_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
