@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import batches_of, stored, type_of
 
 #: Bytes of text in a block, and characters of units that a task remembers; bounds on memory only.
-BLOCK, KEPT = 32 << 20, 16 << 20
+BLOCK, KEPT = 8 << 20, 4 << 20
 #: Where both tokenizers end a token: before a space that follows something else than white space.
 CUT = re.compile(r"(?<=\S)(?= )")
 #: Other white space before a space; without it and without two spaces in a row, every space is such a place.
