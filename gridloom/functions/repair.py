@@ -45,7 +45,7 @@ class Damage:
         self.runs = re.compile(f"(?:{some(0xC2, 0xDF)}{more}|{some(0xE0, 0xEF)}{more}{{2}}|{some(0xF0, 0xF4)}{more}{{3}})+")
 
     def decoded(self, run: str) -> str | None:
-        """The run as it was before, or None: bytes that are no UTF-8, or with ``signs`` a sequence of letters alone."""
+        """The run as it was before, or None: bytes that are no UTF-8, or with ``signs`` a sequence of letters of one script alone."""
         try:
             again = bytes(map(self.bytes.__getitem__, run)).decode("utf-8")
         except UnicodeDecodeError:
@@ -53,14 +53,14 @@ class Damage:
         at = 0
         for c in again if self.signs else "":
             size = len(c.encode())
-            if run[at : at + size].isalpha():
+            if run[at : at + size].isalpha() and len({_class(x)[1] for x in run[at : at + size]}) == 1:
                 return None
             at += size
         return again
 
 
 #: The Western table and its subset without the extra signs are one here, as damage mixes them; then those of two old systems, where
-#: runs of accented letters may be whole sequences too, so that a sequence must hold a sign.
+#: runs of accented letters may be whole sequences too, so that a sequence must hold a sign or letters of two scripts.
 TABLES = (Damage("cp1252", "latin-1"), Damage("mac_roman", signs=True), Damage("cp437", signs=True))
 
 
@@ -75,6 +75,10 @@ def _class(c: str) -> tuple[int, str]:
         return 0, ""
     if kind in ("Cc", "Co", "Cn", "Cs") or c == "�":
         return 8, ""
+    if kind[0] == "M":
+        # A mark goes with letters of its own script; general marks go with any.
+        script = unicodedata.name(c, "").partition(" ")[0].lower()
+        return 2, "" if script == "combining" else f"{script} mark"
     return (4 if kind == "Cf" else 2), ""
 
 
@@ -84,7 +88,10 @@ def cost(text: str) -> int:
     for c in text:
         own, script = _class(c)
         total += own
-        if script:
+        if script.endswith(" mark"):
+            script = script.removesuffix(" mark")
+            total += 4 if before != script else 0
+        elif script:
             if before and script != before:
                 total += 4
             if small and not c.isascii() and c.isupper():

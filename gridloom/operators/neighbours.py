@@ -29,7 +29,7 @@ class Cells:
 
     def __init__(self, pivots: np.ndarray, count: np.ndarray, least: np.ndarray, most: np.ndarray):
         self.pivots, self.count, self.least, self.most = pivots, count, least, most
-        self.between = distances(pivots, pivots)
+        self.between = distances(pivots, pivots) if len(pivots) else np.zeros((0, 0))
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -145,10 +145,10 @@ def nearest(targets: DataFrame, context: DataFrame, k: int, pivots: int | None =
     """
     rows, cells = pivot_cells(context, pivots)
     plain = targets.select("id", F.col("v").cast("array<double>").alias("v"), F.lit(-2.0).alias("floor"))
-    asked = _asked(plain, cells, k, False) if len(cells.pivots) else None
-    if asked is None:
-        none = rows.select(F.col("id").alias("near"), "label")
-        return targets.select(F.col("id").alias("t")).limit(0).crossJoin(none.limit(0)).withColumn("sim", F.lit(0.0)), 0.0
+    if not len(cells.pivots):
+        kind = {"t": targets.schema["id"], "near": rows.schema["id"], "label": rows.schema["label"]}
+        return targets.sparkSession.createDataFrame([], ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in kind.items()) + ", sim double"), 0.0
+    asked = _asked(plain, cells, k, False)
     found, one = _met(asked, rows, cells, k)
     best = W.partitionBy("t").orderBy(F.desc("sim"))
     top = lambda d: d.withColumn("_r", F.rank().over(best)).where(F.col("_r") <= k).drop("_r")

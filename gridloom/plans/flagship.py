@@ -2,46 +2,25 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions.splits import is_validation, threshold_hex
 from gridloom.functions.vectors import as_double, norm
+from gridloom.operators import neighbours as N
 from gridloom.plans.registry import query, table
 
 NEAREST, FRACTION, SEED, TEMPERATURE = 5, 0.2, 42, 0.1
 
 
-def nearest_votes(targets: DataFrame, context: DataFrame, k: int, temperature: float, block: int = 2048) -> DataFrame:
-    """Softmax votes of each target's k most similar context rows, ties at the k-th kept.
+def nearest_votes(targets: DataFrame, context: DataFrame, k: int, temperature: float) -> DataFrame:
+    """Softmax votes (t, label, w) of each target's k most similar context rows, ties at the k-th kept.
 
-    Both sides: (id, v array<double> of unit length, label). Rows are dealt to blocks by hash; each pair of a target
-    block and a context block is one matrix product, of which only each target's k best (with ties) leave the task, and the
-    blocks' best are ranked once more. All rows of both sides are compared.
+    Both sides: (id, v array<double> of unit length, label). Targets meet only the cells of the context that their bounds do not rule out.
     """
-    many = lambda d: max(1, -(-d.count() // block))
-    n_targets, n_context = many(targets), many(context)
-    dealt = lambda d, own, other, n, m: d.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    left = dealt(targets.select("id", "v"), "tb", "cb", n_targets, n_context).select("tb", "cb", "id", "v", F.lit(None).cast("int").alias("label"))
-    # The right side has names of its own: two sides of one table would otherwise share attributes, which pruning then drops.
-    right = dealt(context.select("id", "v", "label"), "cb", "tb", n_context, n_targets).select("tb", "cb", F.col("v").alias("cv"), F.col("label").cast("int").alias("label"))
-
-    def best(t: pa.Table, c: pa.Table) -> pa.Table:
-        empty = pa.table({"t": pa.array([], pa.int64()), "label": pa.array([], pa.int32()), "sim": pa.array([], pa.float64())})
-        if not t.num_rows or not c.num_rows:
-            return empty
-        x, y = (d[n].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(d.num_rows, -1) for d, n in ((t, "v"), (c, "cv")))
-        sims = np.round(x @ y.T, 9)
-        kth = np.partition(sims, -k, axis=1)[:, -k] if sims.shape[1] > k else np.full(len(sims), -np.inf)
-        rows, cols = np.nonzero(sims >= kth[:, None])
-        return pa.table({"t": t["id"].combine_chunks().take(pa.array(rows)), "label": c["label"].combine_chunks().take(pa.array(cols)), "sim": sims[rows, cols]})
-
-    sims = left.groupBy("tb", "cb").cogroup(right.groupBy("tb", "cb")).applyInArrow(best, "t bigint, label int, sim double")
-    ranked = sims.withColumn("r", F.rank().over(W.partitionBy("t").orderBy(F.desc("sim")))).where(f"r <= {k}")
-    return ranked.groupBy("t", "label").agg(F.sum(F.exp(F.col("sim") / temperature)).alias("w"))
+    found, _ = N.nearest(targets.select("id", "v"), context.select("id", "v", F.col("label").cast("int").alias("label")), k)
+    return found.groupBy("t", "label").agg(F.sum(F.exp(F.col("sim") / temperature)).alias("w"))
 
 
 @query(f"""
@@ -73,3 +52,19 @@ def hash_split_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("label")
         .agg(F.count("*").alias("n_val"), F.sum(right).cast("bigint").alias("n_right"), F.round(F.avg(right.cast("double")), 6).alias("accuracy"))
     )
+
+
+@query("""
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) v FROM embeddings),
+u AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) v FROM e),
+p AS (SELECT t.vec_id t, c.vec_id AS near, round(list_dot_product(t.v, c.v), 9) sim FROM u t, u c WHERE t.vec_id % 5 = 0 AND c.vec_id % 5 <> 0),
+r AS (SELECT *, rank() OVER (PARTITION BY t ORDER BY sim DESC) k FROM p)
+SELECT t, near, sim FROM r WHERE k <= 3
+""")
+def pivot_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOI11, WIN2: the three nearest of four fifths of the vectors for each other one, by cells around pivots."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", as_double(F.col("embedding")).alias("v"))
+    n = norm(F.col("v"))
+    e = e.select("id", "label", F.transform("v", lambda x: x / n).alias("v"))
+    found, _ = N.nearest(e.where("id % 5 = 0"), e.where("id % 5 <> 0"), 3)
+    return found.select("t", "near", "sim")
