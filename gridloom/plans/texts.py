@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import repair as RP
 from gridloom.functions import text as X
 from gridloom.plans.registry import query, table
-from gridloom.sources.wordpiece import decode_words, encode_words
+from gridloom.sources.wordpiece import byte_of, decode_words, encode_words
 
 
 #: The references that the tables hold, with the characters; an ampersand comes last and by way of a mark, so that a pass is one pass.
@@ -41,11 +41,42 @@ def redacted_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.redact(F.col("text"), ["the"]).alias("text"))
 
 
-@query()
+def _encoded(name: str, key: str) -> str:
+    """SQL of ``ids`` (key, ids) by the vocabulary's file: a word is a string of marked symbols, and a round joins its pair of the lowest rank everywhere."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    letters = {b: c for c, b in byte_of().items()}
+    table = ", ".join("'" + letters[b].replace("'", "''") + "'" for b in range(256))
+    return rf"""WITH RECURSIVE f AS MATERIALIZED (SELECT content AS j FROM read_text('{path}')),
+g AS MATERIALIZED (SELECT k AS rank, m[1] AS a, m[2] AS b FROM (SELECT unnest(l) AS m, generate_subscripts(l, 1) AS k FROM (SELECT CAST(json_extract(j, '$.model.merges') AS VARCHAR[][]) AS l FROM f))),
+v AS MATERIALIZED (SELECT e.key AS s, e.value AS id FROM (SELECT unnest(map_entries(CAST(json_extract(j, '$.model.vocab') AS MAP(VARCHAR, INTEGER)))) AS e FROM f)),
+t AS MATERIALIZED (SELECT [{table}] AS l),
+p AS MATERIALIZED (SELECT {key}, unnest(l) AS w, generate_subscripts(l, 1) AS place FROM (SELECT {key}, regexp_extract_all({_normal("text")}, '''s|''t|''re|''ve|''m|''ll|''d|\p{{L}}+|\p{{N}}|[^\s\p{{L}}\p{{N}}]+') AS l FROM {name})),
+x AS (SELECT w, hex(encode(w)) AS x FROM (SELECT DISTINCT w FROM p)),
+m AS (SELECT w, chr(1) || array_to_string(list_transform(range(0, len(x) // 2), lambda i: t.l[CAST('0x' || substr(x, 2 * i + 1, 2) AS INTEGER) + 1]), chr(2) || chr(1)) || '</w>' || chr(2) AS s FROM x, t
+ UNION ALL SELECT w, replace(s, chr(1) || o.a || chr(2) || chr(1) || o.b || chr(2), chr(1) || o.a || o.b || chr(2)) FROM (
+  SELECT w, s, arg_min(struct_pack(a := g.a, b := g.b), rank) AS o FROM (
+   SELECT w, s, unnest(list_zip(l[:-2], l[2:]), recursive := false) AS q FROM (SELECT w, s, string_split(substr(s, 2, len(s) - 2), chr(2) || chr(1)) AS l FROM m)) JOIN g ON g.a = q[1] AND g.b = q[2] GROUP BY w, s)),
+e AS (SELECT w, arg_min(s, len(s)) AS s FROM m GROUP BY w),
+i AS MATERIALIZED (SELECT w, list(v.id ORDER BY k) AS ids FROM (SELECT w, unnest(l) AS s, generate_subscripts(l, 1) AS k FROM (SELECT w, string_split(substr(s, 2, len(s) - 2), chr(2) || chr(1)) AS l FROM e)) JOIN v USING (s) GROUP BY w),
+ids AS (SELECT n.{key}, coalesce(flatten(list(i.ids ORDER BY place) FILTER (i.ids IS NOT NULL)), []) AS ids FROM (SELECT DISTINCT {key} FROM {name}) n LEFT JOIN p ON p.{key} = n.{key} LEFT JOIN i ON i.w = p.w GROUP BY n.{key})
+"""
+
+
+@query(_encoded("documents", "doc_id") + "SELECT doc_id, CAST(len(ids) AS INTEGER) AS n, md5(array_to_string(ids, ',')) AS digest FROM ids")
+def bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL3, SCL5: ids of all texts by the merges of a word-end vocabulary."""
+    ids = encode_words(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return ids.select("doc_id", F.size("ids").alias("n"), F.md5(F.array_join("ids", ",")).alias("digest"))
+
+
+@query(_encoded("benchmark", "item_id") + """SELECT item_id, CAST(len(ids) AS INTEGER) AS n,
+ array_to_string(CASE WHEN len(ids) <= 75 THEN list_concat([49406], ids, [49407], list_transform(range(0, 75 - len(ids)), lambda i: 0)) ELSE list_concat([49406], ids[:75], [49407]) END, ',') AS context FROM ids""")
 def bpe_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL3, SCL5, SCL6: ids of a word-end BPE vocabulary, packed to a context of 77."""
     ids = encode_words(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    return ids.select("item_id", F.size("ids").alias("n"), X.pack_context(F.col("ids"), 49406, 49407).alias("context"))
+    return ids.select("item_id", F.size("ids").alias("n"), F.array_join(X.pack_context(F.col("ids"), 49406, 49407), ",").alias("context"))
 
 
 @query(rf"SELECT item_id, array_to_string(regexp_extract_all(lower(text), '''s|''t|''re|''ve|''m|''ll|''d|\p{{L}}+|\p{{N}}|[^\s\p{{L}}\p{{N}}]+'), ' ') AS text FROM benchmark")

@@ -7,8 +7,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-_loaded: dict[int, object] = {}
+from gridloom.functions.text import normalise, pretokens
+
+#: Words whose ids a task remembers; a bound on memory only.
+KEPT = 500_000
+_loaded: dict[int, Merges] = {}
 
 
 def default_vocabulary() -> str:
@@ -43,19 +48,64 @@ def decode_words(rows: DataFrame, key: str, ids: str = "ids", vocabulary: str |
     return rows.select(key, ids).mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, text string")
 
 
+class Merges:
+    """A vocabulary's merges applied to words: the pair of the lowest rank is joined wherever it stands, until none is left.
+
+    A word's ids depend on the word alone and are remembered, up to KEPT words.
+    """
+
+    def __init__(self, vocabulary: str):
+        model = json.loads(vocabulary)["model"]
+        self.ids: dict[str, int] = model["vocab"]
+        self.end: str = model.get("end_of_word_suffix") or ""
+        pairs = (tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"])
+        self.ranks = {pair: rank for rank, pair in enumerate(pairs)}
+        self.letters = {b: c for c, b in byte_of().items()}
+        self.known: dict[str, list[int]] = {}
+
+    def of(self, word: str) -> list[int]:
+        """Ids of a word that is not empty; symbols without an id are left out."""
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= KEPT:
+                self.known.clear()
+            found = self.known[word] = [self.ids[s] for s in self.merged(word) if s in self.ids]
+        return found
+
+    def merged(self, word: str) -> list[str]:
+        """The word's symbols once no pair is left to join; pairs of one rank are one pair, of those that overlap the first is joined."""
+        symbols = [self.letters[b] for b in word.encode()]
+        symbols[-1] += self.end
+        none = len(self.ranks)
+        while len(symbols) > 1:
+            ranks = [self.ranks.get(pair, none) for pair in zip(symbols, symbols[1:], strict=False)]
+            best = min(ranks)
+            if best == none:
+                break
+            out, i = [], 0
+            while i < len(symbols):
+                joined = i < len(ranks) and ranks[i] == best
+                out.append(symbols[i] + symbols[i + 1] if joined else symbols[i])
+                i += 2 if joined else 1
+            symbols = out
+        return symbols
+
+
 def encode_words(rows: DataFrame, key: str, text: str, vocabulary: str | None = None) -> DataFrame:
-    """(key, ids array<int>); the vocabulary's JSON travels in the closure, null texts give no ids."""
+    """(key, ids array<int>) of texts: normalised and cut in pre-tokens by expressions, words merged in Arrow batches without a shuffle.
+
+    The vocabulary's JSON travels in the closure; null and blank texts give no ids.
+    """
     vocabulary = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        if hash(vocabulary) not in _loaded:
-            _loaded[hash(vocabulary)] = Tokenizer.from_str(vocabulary)
-        tokenizer = _loaded[hash(vocabulary)]
-        tokenizer.encode_special_tokens = True
+        at = hash(vocabulary)
+        if at not in _loaded:
+            _loaded[at] = Merges(vocabulary)
+        merges = _loaded[at]
         for batch in batches:
-            found = tokenizer.encode_batch([t or "" for t in batch.column(1).to_pylist()], add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([e.ids for e in found], pa.list_(pa.int32()))], names=[key, "ids"])
+            ids = [[i for w in words or () for i in merges.of(w)] for words in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
 
-    return rows.select(key, text).mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, ids array<int>")
+    words = rows.select(key, pretokens(normalise(F.col(text))).alias("_words"))
+    return words.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, ids array<int>")
