@@ -132,30 +132,48 @@ def _met(asked: DataFrame, rows: DataFrame, cells: Cells, k: int) -> tuple[DataF
     left = asked.select("id", "v", "floor", F.explode("cells").alias("cell")).join(table, F.col("cell") == F.col("cut"))
     left = left.select("id", "v", "floor", "cell", every("blocks").alias("block"), dealt("id", F.col("turns")).alias("turn"))
     right = rows.join(table, F.col("cell") == F.col("cut")).select(F.col("id").alias("cid"), F.col("v").alias("cv"), "label", F.col("cell").alias("ccell"), dealt("id", F.col("blocks")).alias("cblock"), every("turns").alias("cturn"))
-    kind = {"t": asked.schema["id"], "near": rows.schema["id"], "label": rows.schema["label"]}
-    out = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in kind.items()) + ", sim double"
+    out = _result(asked, rows)
     return left.groupBy("cell", "block", "turn").cogroup(right.groupBy("ccell", "cblock", "cturn")).applyInArrow(_best(k), out), pairs
 
 
+def _top(found: DataFrame, k: int) -> DataFrame:
+    ranked = found.withColumn("_r", F.rank().over(W.partitionBy("t").orderBy(F.desc("sim"))))
+    return ranked.where(F.col("_r") <= k).drop("_r")
+
+
+def _result(ids: DataFrame, context: DataFrame) -> str:
+    kind = {"t": ids.schema["id"], "near": context.schema["id"], "label": context.schema["label"]}
+    return ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in kind.items()) + ", sim double"
+
+
+def _whole(targets: DataFrame, context: DataFrame, k: int) -> DataFrame:
+    """The best of a context of one block for blocks of targets."""
+    turns = max(1, -(-targets.count() // TARGETS))
+    left = targets.select("id", F.col("v").cast("array<double>").alias("v"), F.lit(-2.0).alias("floor"), F.pmod(F.xxhash64("id"), F.lit(turns)).alias("turn"))
+    right = context.select(F.col("id").alias("cid"), F.col("v").cast("array<double>").alias("cv"), F.col("label").alias("label"), F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("cturn"))
+    return left.groupBy("turn").cogroup(right.groupBy("cturn")).applyInArrow(_best(k), _result(targets, context))
+
+
 def nearest(targets: DataFrame, context: DataFrame, k: int, pivots: int | None = None) -> tuple[DataFrame, float]:
     """(t, near, label, sim): each target's k most similar context rows with all ties of the last; and the share of all pairs that was compared.
 
     Both sides have (id, v), v an array of doubles of unit length; the context also has a label. Every target's result is that of
-    comparing it with all rows. Fewer than k context rows all come; none give no rows.
+    comparing it with all rows. Fewer than k context rows all come; none give no rows. A context of one block needs no cells,
+    unless ``pivots`` says how many.
     """
+    n = context.count()
+    if pivots is None and 0 < n <= BLOCK:
+        return _top(_whole(targets, context, k), k), 1.0
     rows, cells = pivot_cells(context, pivots)
     plain = targets.select("id", F.col("v").cast("array<double>").alias("v"), F.lit(-2.0).alias("floor"))
     if not len(cells.pivots):
-        kind = {"t": targets.schema["id"], "near": rows.schema["id"], "label": rows.schema["label"]}
-        return targets.sparkSession.createDataFrame([], ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in kind.items()) + ", sim double"), 0.0
+        return targets.sparkSession.createDataFrame([], _result(targets, rows)), 0.0
     asked = _asked(plain, cells, k, False)
     found, one = _met(asked, rows, cells, k)
-    best = W.partitionBy("t").orderBy(F.desc("sim"))
-    top = lambda d: d.withColumn("_r", F.rank().over(best)).where(F.col("_r") <= k).drop("_r")
-    first = stored(top(found))
+    first = stored(_top(found, k))
     # The k-th similarity so far; with fewer than k rows found there are no others.
     floors = first.groupBy(F.col("t").alias("of")).agg(F.min("sim").alias("least"))
     bounded = asked.select("id", "v").join(floors, F.col("id") == F.col("of")).select("id", "v", F.col("least").alias("floor"))
     more, two = _met(_asked(bounded, cells, k, True), rows, cells, k)
     n = asked.count()
-    return top(first.unionByName(more)), (one + two) / max(1, n * int(cells.count.sum()))
+    return _top(first.unionByName(more), k), (one + two) / max(1, n * int(cells.count.sum()))

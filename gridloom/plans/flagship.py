@@ -66,5 +66,5 @@ def pivot_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", as_double(F.col("embedding")).alias("v"))
     n = norm(F.col("v"))
     e = e.select("id", "label", F.transform("v", lambda x: x / n).alias("v"))
-    found, _ = N.nearest(e.where("id % 5 = 0"), e.where("id % 5 <> 0"), 3)
+    found, _ = N.nearest(e.where("id % 5 = 0"), e.where("id % 5 <> 0"), 3, pivots=16)
     return found.select("t", "near", "sim")

@@ -37,7 +37,7 @@ def test_all_neighbours(spark, seed, n, m, d, k, pivots):
     rng = np.random.default_rng(seed)
     # Few directions, so that ties and copies are many.
     x, y = (unit(rng.integers(-2, 3, (c, d)) + 0.25) for c in (n, m))
-    found, share = N.nearest(frame(spark, x), frame(spark, y), k, pivots)
+    found, share = N.nearest(frame(spark, x), frame(spark, y), k, pivots or 8)
     assert got(found) == plain(x, y, k) and 0 < share <= 1
 
 
@@ -56,7 +56,7 @@ def test_hot_vector(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 16)
     y = unit(np.asarray([[1.0, 0.0] if k % 4 else [1.0, k] for k in range(200)]))
     x = unit(np.asarray([[1.0, 0.01], [0.0, 1.0]]))
-    assert got(N.nearest(frame(spark, x), frame(spark, y), 2)[0]) == plain(x, y, 2)
+    assert got(N.nearest(frame(spark, x), frame(spark, y), 2, 9)[0]) == plain(x, y, 2)
 
 
 def test_no_rows(spark):
@@ -148,3 +148,11 @@ def test_fixed_forms(spark):
     rows = spark.createDataFrame([*cases, (None, None)], "a string, b string")
     assert rows.select(R.fixed_text(F.col("a")).eqNullSafe(F.col("b")).alias("same")).where("not same").count() == 0
     assert rows.select(R.repaired_text(F.col("a")).alias("x")).where("x is null").count() == 1
+
+
+def test_one_block(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x, y = (unit(rng.integers(-2, 3, (c, 4)) + 0.25) for c in (50, 90))
+    monkeypatch.setattr(N, "TARGETS", 9)
+    found, share = N.nearest(frame(spark, x), frame(spark, y), 5)
+    assert got(found) == plain(x, y, 5) and share == 1.0
