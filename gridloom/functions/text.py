@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import html.entities
 import json
 
@@ -15,10 +14,22 @@ REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]{0,31};?)"
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
+def moved_codes() -> dict[int, str]:
+    """Codes that HTML reads as another character: 0, the line end, and the upper controls by the Western table where it has a sign."""
+    western = {b: bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0)}
+    return {0x00: "\ufffd", 0x0D: "\r"} | western
+
+
+def forbidden_codes() -> list[int]:
+    """Codes that HTML leaves out: controls, and the code points that are no characters."""
+    controls = [*range(0x1, 0x9), 0xB, *range(0xE, 0x20), *range(0x7F, 0xA0)]
+    return controls + [*range(0xFDD0, 0xFDF0)] + [plane << 16 | low for plane in range(17) for low in (0xFFFE, 0xFFFF)]
+
+
 def _from_code(code: Column) -> Column:
     """The character of a code point; codes that HTML maps elsewhere or forbids as its rules say."""
-    moved = F.create_map(*[F.lit(x) for pair in html._invalid_charrefs.items() for x in pair])
-    forbidden = F.array(*[F.lit(x) for x in sorted(html._invalid_codepoints)])
+    moved = F.create_map(*[F.lit(x) for pair in moved_codes().items() for x in pair])
+    forbidden = F.array(*[F.lit(x) for x in forbidden_codes()])
     plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
     return (
         F.when(code.isNull() | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), "\ufffd")

@@ -177,7 +177,7 @@ def ema(rows: DataFrame, group: str, step: str, value: str, beta: float, every:
     """
     from gridloom.operators.loaders import places
 
-    numbered = places(rows.select(group, step, F.col(value).cast("double").alias("_x")), [group], F.lit(0) if bucket is None else bucket, [step, "_x"], "_i")
+    numbered = places(rows.select(group, step, F.col(value).cast("double").alias("_x")), [group], bucket, [step, "_x"], "_i")
     pair = lambda p, q: F.struct(p.cast("double").alias("p"), q.cast("double").alias("q"))
     start = pair(F.lit(1.0), F.lit(0.0))
 

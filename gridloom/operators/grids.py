@@ -68,6 +68,21 @@ def resize_bilinear(grid: DataFrame, height: int, width: int, new_height: int, n
     return _weighted(grid, _taps(spark, "r", height, new_height), _taps(spark, "c", width, new_width), key)
 
 
+def centre_square(grid: DataFrame, height: int, width: int, side: int, key: str = "image", labels: bool = False) -> DataFrame:
+    """The shorter side resized to ``side``, the longer in proportion and rounded down, then the square in the middle.
+
+    Values are interpolated; ``labels`` are taken from the nearest pixel under the same geometry.
+    """
+    if side < 1:
+        raise ValueError("a side has at least one pixel")
+    new_height, new_width = (side, side * width // height) if height <= width else (side * height // width, side)
+    resized = resize_nearest(grid, height, width, new_height, new_width) if labels else resize_bilinear(grid, height, width, new_height, new_width, key)
+    # Half of what is over goes to either side, halves to the even number.
+    top, left = round((new_height - side) / 2), round((new_width - side) / 2)
+    inside = resized.where(F.col("r").between(top, top + side - 1) & F.col("c").between(left, left + side - 1))
+    return inside.withColumn("r", (F.col("r") - top).cast("int")).withColumn("c", (F.col("c") - left).cast("int"))
+
+
 def resize_bicubic(grid: DataFrame, height: int, width: int, new_height: int, new_width: int, key: str = "image") -> DataFrame:
     """Bicubic interpolation with half-pixel centres and clamped edges."""
     spark = grid.sparkSession

@@ -10,12 +10,14 @@ from gridloom.functions.splits import is_validation
 from gridloom.operators import shards as S
 
 
-def places(rows: DataFrame, group: list[str], bucket: Column, order: list[str], name: str = "place") -> DataFrame:
+def places(rows: DataFrame, group: list[str], bucket: Column | None, order: list[str], name: str = "place") -> DataFrame:
     """Adds each row's place in its group, from 0, where ``bucket`` never falls along ``order``.
 
     Rows are numbered inside a bucket, and buckets' sizes are summed over the narrow table of buckets, so a
-    group of any size spreads over its buckets.
+    group of any size spreads over its buckets. Without a bucket a group is one, in one exchange.
     """
+    if bucket is None:
+        return rows.withColumn(name, (F.row_number().over(W.partitionBy(*group).orderBy(*order)) - 1).cast("bigint"))
     rows = rows.withColumn("_bucket", bucket)
     own = [*group, "_bucket"]
     sizes = rows.groupBy(*own).agg(F.count("*").alias("_n"))

@@ -75,7 +75,7 @@ def equal_shards(rows: DataFrame, group: str, order: list[str], size: int, keep_
     """
     from gridloom.operators.loaders import places
 
-    rows = places(rows, [group], F.lit(0) if bucket is None else bucket, order, "_place")
+    rows = places(rows, [group], bucket, order, "_place")
     rows = rows.withColumn("shard", F.floor(F.col("_place") / size).cast("bigint")).drop("_place")
     if keep_remainder:
         return rows

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,61 @@ def buffered_shuffle(rows: DataFrame, size: int, seed: int = 0) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
+def reservoir_shuffle(rows: DataFrame, group: str, order: list[str], size: int, seed: int = 0) -> DataFrame:
+    """Each group's stream of rows in shuffled order, with ``position``: once the buffer is full, every row takes the place of a random one, which is given up.
+
+    At the end the rest comes in random order. Slots come from a hash of seed, group and place, so a task that runs again gives the
+    same order. A group is one stream and passes through one task, which holds ``size`` rows and an Arrow batch.
+    """
+    if size <= 0:
+        raise ValueError("size must be positive")
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    at = rows.columns.index(group)
+
+    def slot(key, i: int) -> int:
+        return int(hashlib.md5(f"{seed}:{key}:{i}".encode()).hexdigest()[:8], 16) % size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, seen, held = None, 0, []
+        # Rows are places in a pool of at most ``size`` held rows and the batch.
+        pool = None
+
+        def ended() -> list:
+            """Places of the rest, in order."""
+            return sorted(range(len(held)), key=lambda j: (hashlib.md5(f"{seed}:{key}:rest:{j}".encode()).hexdigest(), j))
+
+        def given(table: pa.Table, places: list[int], positions: list[int]) -> list[pa.RecordBatch]:
+            return table.take(pa.array(places, pa.int64())).append_column("position", pa.array(positions, pa.int64())).combine_chunks().to_batches()
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            base = 0 if pool is None else pool.num_rows
+            pool = table if pool is None else pa.concat_tables([pool, table])
+            places, positions = [], []
+            for k, own in enumerate(batch.column(at).to_pylist(), base):
+                if seen and own != key:
+                    places += [held[j] for j in ended()]
+                    positions += range(seen - len(held), seen)
+                    seen, held = 0, []
+                key = own
+                if seen < size:
+                    held.append(k)
+                else:
+                    j = slot(key, seen)
+                    places.append(held[j])
+                    positions.append(seen - size)
+                    held[j] = k
+                seen += 1
+            yield from given(pool, places, positions)
+            # take() copies, so what is held keeps no batch alive.
+            pool, held = pool.take(pa.array(held, pa.int64())), list(range(len(held)))
+        if held:
+            yield from given(pool, ended(), list(range(seen - len(held), seen)))
+
+    sorted_ = rows.repartition(group).sortWithinPartitions(group, *order)
+    return sorted_.mapInArrow(run, f"{columns}, position bigint")
+
+
 def score_lines(scores: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
     """(keys, measure, line) for each further column: ``Name: value`` with fixed digits."""
     names = [c for c in scores.columns if c not in keys]

@@ -165,10 +165,13 @@ def byte_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("page_id").agg(F.count("*").alias("n"), F.sum(A.byte_alphabet(F.col("byte")) * (F.col("k") % 100 + 1)).cast("bigint").alias("mark"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS attempt, CAST(least(pow(2, i), 30) AS DOUBLE) AS delay FROM range(12) t(i)")
+@query("""SELECT l_orderkey, l_linenumber, CAST(least(pow(2, l_linenumber - 1), 30) AS DOUBLE) AS delay,
+ CAST(sum(least(pow(2, l_linenumber - 1), 30)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS DOUBLE) AS waited FROM lineitem""")
 def retry_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN7: doubling delays up to 30 seconds."""
-    return spark.range(12).select(F.col("id").alias("attempt"), F.least(F.pow(2.0, "id"), F.lit(30.0)).alias("delay"))
+    """WIN7: the lines of an order as attempts with doubling delays up to 30 seconds, and the time waited so far."""
+    delay = F.least(F.pow(2.0, F.col("l_linenumber") - 1), F.lit(30.0))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", delay.alias("delay"))
+    return rows.withColumn("waited", F.sum("delay").over(W.partitionBy("l_orderkey").orderBy("l_linenumber")))
 
 
 @query("SELECT event_id, value FROM events WHERE event_id > 0 AND event_id % 250 = 0")
@@ -205,11 +208,24 @@ def preview_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("ordinal between 10 and 29").select("page_id", F.col("ordinal").cast("bigint").alias("ordinal"))
 
 
-@query("SELECT o_orderpriority, count(*) AS n, count(DISTINCT o_orderkey) AS keys, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders GROUP BY o_orderpriority")
+_SIZE, _SEED = 10, 42
+
+
+@query(f"""WITH RECURSIVE o AS MATERIALIZED (SELECT page_id % 4 AS consumer, page_id, row_number() OVER (PARTITION BY page_id % 4 ORDER BY page_id) - 1 AS i FROM pages),
+s AS (SELECT consumer, CAST(-1 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS held, CAST(NULL AS BIGINT) AS page_id FROM (SELECT DISTINCT consumer FROM o)
+ UNION ALL SELECT s.consumer, o.i,
+  CASE WHEN o.i < {_SIZE} THEN list_append(s.held, o.page_id) ELSE list_concat(s.held[:k], [o.page_id], s.held[k + 2:]) END,
+  CASE WHEN o.i < {_SIZE} THEN NULL ELSE s.held[k + 1] END
+  FROM s JOIN (SELECT *, CAST(CAST('0x' || substr(md5('{_SEED}:' || consumer || ':' || i), 1, 8) AS BIGINT) % {_SIZE} AS INTEGER) AS k FROM o) o ON o.consumer = s.consumer AND o.i = s.i + 1),
+e AS (SELECT consumer, i - {_SIZE} AS position, page_id FROM s WHERE page_id IS NOT NULL),
+n AS (SELECT consumer, count(*) AS n FROM o GROUP BY consumer),
+r AS (SELECT consumer, unnest(held) AS page_id, generate_subscripts(held, 1) - 1 AS j FROM s JOIN n USING (consumer) WHERE s.i = n.n - 1)
+SELECT consumer, CAST(position AS BIGINT) AS position, page_id FROM e
+UNION ALL SELECT r.consumer, CAST(greatest(n.n - {_SIZE}, 0) + row_number() OVER (PARTITION BY r.consumer ORDER BY md5('{_SEED}:' || r.consumer || ':rest:' || j), j) - 1 AS BIGINT), page_id FROM r JOIN n USING (consumer)""")
 def buffered_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRT4: a shuffle with a buffer of 1,000 rows is a permutation."""
-    rows = T.buffered_shuffle(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), 1000, 42)
-    return rows.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("keys"), F.sum("o_orderkey").alias("total"))
+    """SRT4: pages of four consumers in the order in which a buffer of ten gives them up: a random slot each time, the rest at the end."""
+    rows = table(spark, sf_dir, "pages").select((F.col("page_id") % 4).alias("consumer"), "page_id")
+    return T.reservoir_shuffle(rows, "consumer", ["page_id"], _SIZE, _SEED).select("consumer", "position", "page_id")
 
 
 @query("""WITH s AS (SELECT label, CAST(count(*) AS DOUBLE) n, CAST(sum(vec_id) AS DOUBLE) / 8 AS x FROM embeddings GROUP BY label)

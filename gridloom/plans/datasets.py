@@ -92,22 +92,33 @@ def consumer_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy(S.consumer_of(F.col("shard"), SHARDS, 3).alias("consumer")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
 
 
-@query("SELECT CAST(i AS INTEGER) AS consumer, CAST(i % 3 AS INTEGER) AS shard, CAST(i // 3 AS INTEGER) AS owner, CAST(ceil((8 - i % 3) / 3) AS INTEGER) AS owners, CAST(greatest(0, ceil((100 - i) / 8)) * 2 AS BIGINT) AS quota FROM range(8) t(i)")
+@query("""WITH s AS (SELECT o_orderkey % 3 AS shard, row_number() OVER (PARTITION BY o_orderkey % 3 ORDER BY o_orderkey) - 1 AS place FROM orders),
+o AS (SELECT i, i % 3 AS shard, i // 3 AS owner, CAST(ceil((8 - i % 3) / 3) AS INTEGER) AS owners FROM range(8) t(i))
+SELECT CAST(i AS INTEGER) AS consumer, CAST(o.shard AS INTEGER) AS shard, CAST(owner AS INTEGER) AS owner, owners, CAST(greatest(0, ceil((100 - i) / 8)) * 2 AS BIGINT) AS quota, count(*) AS n
+FROM o JOIN s ON s.shard = o.shard AND s.place % owners = owner GROUP BY ALL""")
 def shared_shard_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PAR1, AGG19: eight consumers share three shards; records each owes of 100 batches of 2."""
-    return S.shared_shards(spark, 3, 8).withColumn("quota", S.consumer_quota(100, F.col("consumer"), 8, 2))
-
-
-@query("""WITH o AS (SELECT o_orderkey, (o_orderkey % 10) * 100000 + row_number() OVER (PARTITION BY o_orderkey % 10 ORDER BY o_orderkey) - 1 AS ordinal FROM orders)
-SELECT CAST((((ordinal - 200000) // 8 + 1) * 4 - 1) // 12500 AS INTEGER) AS worker, CAST(ordinal // 100000 AS BIGINT) AS shard, count(*) AS n, CAST(min(o_orderkey) AS BIGINT) AS first
-FROM o WHERE ordinal BETWEEN 200000 AND 299999 GROUP BY 1, 2""")
+    """PAR1, AGG19: eight consumers share three shards of orders; how many rows each owns, and what it owes of 100 batches of 2."""
+    owners = S.shared_shards(spark, 3, 8).withColumn("quota", S.consumer_quota(100, F.col("consumer"), 8, 2))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 3).cast("int").alias("shard"))
+    rows = L.places(o, ["shard"], F.floor(F.col("o_orderkey") / 65536), ["o_orderkey"])
+    # The owners are one row a consumer.
+    met = rows.join(F.broadcast(owners), "shard").where(F.pmod(F.col("place"), F.col("owners")) == F.col("owner"))
+    return met.groupBy("consumer", "shard", "owner", "owners", "quota").agg(F.count("*").alias("n"))
+
+
+@query("""WITH n AS (SELECT count(*) AS n, count(*) // 10 AS each, count(*) // 4 AS start, count(*) // 2 // 32 * 32 AS many FROM orders),
+o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS ordinal FROM orders)
+SELECT CAST((((ordinal - start) // 8 + 1) * 4 - 1) // (many // 8) AS INTEGER) AS worker, CAST(ordinal // each AS BIGINT) AS shard, count(*) AS n, CAST(min(o_orderkey) AS BIGINT) AS first
+FROM o, n WHERE ordinal >= start AND ordinal < start + many GROUP BY 1, 2""")
 def finite_interval_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC13, PAR2, PAR4, FLT7: an ordinal interval cut in contiguous batch-aligned slices."""
-    o = table(spark, sf_dir, "orders").withColumn("shard", F.col("o_orderkey") % SHARDS)
-    numbered = L.places(o, ["shard"], F.floor(F.col("o_orderkey") / 65536), ["o_orderkey"]).withColumn("ordinal", F.col("shard") * PER_SHARD + F.col("place"))
-    rows = S.interval(numbered, 200_000, 100_000)
-    worker = S.slice_of(F.col("ordinal"), 200_000, 100_000, 8, 4)
-    return rows.groupBy(worker.alias("worker"), "shard").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
+    """SRC13, PAR2, PAR4, FLT7: the middle half of all ordinals cut in contiguous batch-aligned slices."""
+    o = table(spark, sf_dir, "orders").withColumn("all", F.lit(0))
+    n = o.count()
+    start, many = n // 4, n // 2 // 32 * 32
+    numbered = L.places(o, ["all"], F.floor(F.col("o_orderkey") / 65536), ["o_orderkey"], "ordinal")
+    worker = S.slice_of(F.col("ordinal"), start, many, 8, 4)
+    shard = F.floor(F.col("ordinal") / (n // 10))
+    return S.interval(numbered, start, many).groupBy(worker.alias("worker"), shard.alias("shard")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
 
 
 @query("""WITH o AS (SELECT o_orderkey, o_orderpriority g, (row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) // 64 AS shard, count(*) OVER (PARTITION BY o_orderpriority) // 64 AS whole FROM orders)

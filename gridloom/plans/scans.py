@@ -186,13 +186,13 @@ def cycling_val_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 o AS (SELECT CAST(i AS INTEGER) AS consumer, CAST(i % {SHARDS} AS BIGINT) AS shard, i // {SHARDS} AS owner, CAST(ceil((12 - i % {SHARDS}) / {SHARDS}) AS INTEGER) AS owners FROM range(12) t(i)),
 c AS (SELECT s.*, o.consumer FROM s JOIN o ON o.shard = s.shard AND s.place % o.owners = o.owner WHERE NOT s.val),
 n AS (SELECT consumer, count(*) AS n FROM c GROUP BY consumer),
-p AS (SELECT c.*, n.n, k, row_number() OVER (PARTITION BY c.consumer, k ORDER BY sha256('42:' || k || ':' || key), key) - 1 + k * n.n AS position FROM c JOIN n USING (consumer), range(0, 3) x(k))
-SELECT consumer, count(*) AS n, CAST(max(position) AS BIGINT) AS last, CAST(sum(key * (position % 1000)) AS BIGINT) AS mark FROM p WHERE position < least(3 * n, 2000) GROUP BY consumer
+p AS (SELECT c.*, n.n, k, row_number() OVER (PARTITION BY c.consumer, k ORDER BY sha256('42:' || k || ':' || key), key) - 1 + k * n.n AS position FROM c JOIN n USING (consumer), range(0, 6) x(k))
+SELECT consumer, count(*) AS n, CAST(max(position) AS BIGINT) AS last, CAST(sum(key * (position % 1000)) AS BIGINT) AS mark FROM p WHERE position < (SELECT count(*) // 10 * 2 FROM orders) GROUP BY consumer
 """)
 def cycling_train_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC12, PAR1: twelve consumers share ten shards; each pass over the train split comes in an order of its own."""
-    rows = L.cycling_stream(order_samples(spark, sf_dir), SHARDS, "train", 1000, 2, world=12)
-    return rows.where("pass < 3").groupBy("consumer").agg(F.count("*").alias("n"), F.max("position").alias("last"), F.sum(F.col("key") * (F.col("position") % 1000)).alias("mark"))
+    """SRC12, PAR1: twelve consumers share ten shards for two to five passes; each pass over the train split comes in an order of its own."""
+    rows = L.cycling_stream(order_samples(spark, sf_dir), SHARDS, "train", table(spark, sf_dir, "orders").count() // 10, 2, world=12)
+    return rows.groupBy("consumer").agg(F.count("*").alias("n"), F.max("position").alias("last"), F.sum(F.col("key") * (F.col("position") % 1000)).alias("mark"))
 
 
 @query(f"""{_SAMPLES}

@@ -327,6 +327,18 @@ def resize_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.resize_bilinear(plane(spark, sf_dir), 25, 20, 10, 30).select("image", "r", "c", F.round("x", 6).alias("x"))
 
 
+@query(_PLANE + ", " + _TAP.format("u", 25, 15) + ", " + _TAP.format("v", 20, 12) + """,
+x AS (SELECT image, u2.i AS r, v2.i AS c, round(sum(g.x * u2.w * v2.w), 6) AS x FROM g JOIN u2 ON g.r = u2.s JOIN v2 ON g.c = v2.s GROUP BY 1, 2, 3),
+y AS (SELECT image, i AS r, j AS c, label FROM range(15) a(i), range(12) b(j) JOIN g ON g.r = i * 25 // 15 AND g.c = j * 20 // 12)
+SELECT image, CAST(r - 2 AS INTEGER) AS r, CAST(c AS INTEGER) AS c, x, label FROM x JOIN y USING (image, r, c) WHERE r BETWEEN 2 AND 13""")
+def centre_square(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMG10: the shorter side of images and labels resized to 12, then the square in the middle."""
+    g = plane(spark, sf_dir)
+    x = G.centre_square(g.select("image", "r", "c", "x"), 25, 20, 12).select("image", "r", "c", F.round("x", 6).alias("x"))
+    labels = G.centre_square(g.select("image", "r", "c", "label"), 25, 20, 12, labels=True)
+    return x.join(labels, ["image", "r", "c"]).select("image", "r", "c", "x", "label")
+
+
 def _cubic(name: str, size: int, new: int) -> str:
     """Four taps of each output index with a = -0.75, as a table of (i, s, w)."""
     taps = (("pos - lo + 1", -1, "((-0.75 * {d} + 3.75) * {d} - 6) * {d} + 3"), ("pos - lo", 0, "(1.25 * {d} - 2.25) * {d} * {d} + 1"), ("1 - pos + lo", 1, "(1.25 * {d} - 2.25) * {d} * {d} + 1"), ("2 - pos + lo", 2, "((-0.75 * {d} + 3.75) * {d} - 6) * {d} + 3"))

@@ -148,3 +148,43 @@ def test_ema_copies_first(spark):
 def test_latest_breaks_ties_by_path(spark):
     rows = spark.createDataFrame([(0, "a", 5), (0, "b", 5), (0, "z", 1)], "g int, p string, t int")
     assert S.latest(rows, "g", "p", "t").collect()[0]["p"] == "b"
+
+
+def test_code_tables_are_those_of_the_standard():
+    import html
+
+    from gridloom.functions.text import forbidden_codes, moved_codes
+
+    assert moved_codes() == html._invalid_charrefs and set(forbidden_codes()) == html._invalid_codepoints
+
+
+def test_own_merges_are_the_library_s(spark):
+    """All words of documents, and odd ones, by the merges and by the tokenizers library."""
+    from tokenizers import Tokenizer
+
+    from gridloom.sources.wordpiece import Merges, default_vocabulary, encode_words
+
+    library = Tokenizer.from_str(default_vocabulary())
+    library.encode_special_tokens = True
+    texts = ["", "   ", "a", "aaaa aaaaa", "The quick brown fox's 1234 jumps!!! over", "naïve café — ½", "привет мир", "日本語", "😀😀 ok", "don't can't we'll", "x" * 300, "supercalifragilistic" * 3, None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    got = {r["id"]: list(r["ids"]) for r in encode_words(rows, "id", "text").collect()}
+    assert got == {k: library.encode(t or "", add_special_tokens=False).ids for k, t in enumerate(texts)}
+    merges = Merges(default_vocabulary())
+    assert merges.merged("aaaaa") == [library.id_to_token(i) for i in library.encode("aaaaa", add_special_tokens=False).ids]
+
+
+def test_centre_square(spark):
+    import numpy as np
+
+    from gridloom.operators import grids as G
+
+    rng = np.random.default_rng(1)
+    for h, w, side in ((9, 14, 6), (14, 9, 6), (8, 8, 8)):
+        x = rng.random((h, w))
+        rows = spark.createDataFrame([(0, r, c, float(x[r, c])) for r in range(h) for c in range(w)], "image int, r int, c int, x double")
+        nh, nw = (side, side * w // h) if h <= w else (side * h // w, side)
+        top, left = round((nh - side) / 2), round((nw - side) / 2)
+        got = {(r["r"], r["c"]): r["x"] for r in G.centre_square(rows, h, w, side, labels=True).collect()}
+        assert got == {(r, c): x[int((r + top) * h / nh), int((c + left) * w / nw)] for r in range(side) for c in range(side)}
+        assert len(G.centre_square(rows, h, w, side).collect()) == side * side
