@@ -1,16 +1,15 @@
 """Near-duplicate vectors by sorted projection passes.
 
 Equal vectors are one class first. Each pass draws random hyperplanes, and a class's key is the string of
-its signs: concatenated random hashes, by which a pass orders the classes lexicographically. Neighbours
-in that order are compared in windows of at most WINDOW classes. A window reaches over the run of classes
-that share the leading ``bits`` of the key; a run longer than a window, as dense vectors make, is dealt to
-several windows, and each pair of its windows meets too, so no run is cut short. Pairs with a cosine of at
-least the threshold in double precision are joined to components across passes.
+its signs: concatenated random hashes, by which the pass range-sorts the classes lexicographically. The order is cut into
+contiguous windows of WINDOW classes, and each window is compared with itself and with the next one, whatever prefix their keys
+share. Pairs with a cosine of at least the threshold in double precision are joined to components across passes.
 
-A pair at the threshold shares a run with the chance (1 - angle / pi) ** bits in a pass, whatever the other
-vectors are, so the number of passes follows from ``bits`` and the stated chance MISS to lose it; ``bits``
-follows from the number of classes and the angles of a sample, for the least work. The same
-rule holds for every size. Dense vectors take time, not recall.
+A run of classes that share the leading ``bits`` of the key may be longer than that, as dense vectors make it; then the windows it covers
+are compared with each other to the end, so any two classes of a run meet. A pair at the threshold shares a run with the
+chance (1 - angle / pi) ** bits in a pass, whatever the other vectors are, so the number of passes follows from ``bits`` and the
+stated chance MISS to lose it; ``bits`` follows from the number of classes and the angles of a sample, for the least
+work. The same rule holds for every size. Dense vectors take time, not recall.
 
 At the end the links inside each component are counted in full, window by window; only counts leave a window.
 """
@@ -25,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import checkpoint, release, type_of
+from gridloom.llm.common import checkpoint, release, stored, type_of
 from gridloom.llm.components import connected_components
 
 #: The chance to miss a pair at the threshold, the fewest and the most leading bits of a run, comparisons that cost
 #: as much as moving a vector, classes sampled for the choice between them, and classes of a window.
-MISS, FEWEST, BITS, MOVE, SAMPLE, WINDOW = 1e-5, 4, 24, 2_000, 2_000, 1024
+MISS, FEWEST, BITS, MOVE, SAMPLE, WINDOW = 1e-5, 4, 24, 2_000, 2_000, 512
+#: Classes of a window in the count of links.
+COUNT_WINDOW = 1024
 
 
 def _planes(dimension: int, number: int, bits: int) -> np.ndarray:
@@ -124,26 +125,51 @@ def spanning_links(x: np.ndarray, y: np.ndarray | None, cosine: float) -> list[t
     return out
 
 
+def _ordered(keys: DataFrame) -> DataFrame:
+    """The keyed rows with their place in the order of pass, size and key; ties go by a hash of the id, so that a frequent key spreads.
+
+    The range-sorted rows are stored, so that a row's partition and its place in it are fixed; only partitions' sizes reach the driver.
+    """
+    order = ["pass", "size", "key", "h", "id"]
+    rows = keys.withColumn("h", F.xxhash64("id"))
+    rows = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()).drop("h"))
+    part = F.shiftright("at", 33).cast("int")
+    sizes = sorted((r["part"], r["n"]) for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    starts = np.concatenate(([0], np.cumsum([n for _, n in sizes]))).tolist()
+    # One row a partition.
+    offsets = F.broadcast(rows.sparkSession.createDataFrame([(p, at) for (p, _), at in zip(sizes, starts, strict=False)], "part int, start bigint"))
+    place = F.col("start") + (F.col("at") - F.shiftleft(F.col("part").cast("bigint"), 33))
+    return rows.withColumn("part", part).join(offsets, "part").select("pass", "size", "run", "id", place.alias("place"))
+
+
 def _window_links(classes: DataFrame, passes: int, bits: int, cosine: float, dtype: type) -> DataFrame:
-    """Verified pairs (a, b) that join what the links inside every run of every pass join."""
-    keys = checkpoint(_keyed(classes, passes, bits, dtype))
-    windows = F.ceil(F.col("m") / WINDOW).cast("int")
-    counts = keys.groupBy("pass", "size", "run").agg(F.count("*").alias("m")).where("m > 1").select("pass", "size", "run", windows.alias("windows"))
-    rows = keys.join(counts, ["pass", "size", "run"]).withColumn("window", F.pmod(F.xxhash64("id"), F.col("windows")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)))
-    rows = rows.select("pass", "size", "run", F.least("window", "other").alias("w0"), F.greatest("window", "other").alias("w1"), (F.col("window") > F.col("other")).alias("right"), "key", "id").join(classes.select("id", "raw"), "id")
+    """Verified pairs (a, b) that join what the links join of each window with itself and the next, and of the windows of each long run."""
+    rows = _ordered(_keyed(classes, passes, bits, dtype)).withColumn("w", F.floor(F.col("place") / WINDOW))
+    columns = ["pass", "size", "id", "w0", "w1", "right"]
+    side = lambda w, right: F.struct(w.alias("w0"), (w + 1).alias("w1"), F.lit(right).alias("right"))
+    near = rows.select("pass", "size", "id", F.inline(F.array(side(F.col("w"), False), side(F.col("w") - 1, True)))).where("w0 >= 0")
+    long = rows.groupBy("pass", "size", "run").agg(F.min("w").alias("a"), F.max("w").alias("b")).where("b - a >= 2")
+    far = rows.join(long, ["pass", "size", "run"]).withColumn("other", F.explode(F.sequence("a", "b"))).where("abs(other - w) >= 2")
+    far = far.select("pass", "size", "id", F.least("w", "other").alias("w0"), F.greatest("w", "other").alias("w1"), (F.col("w") > F.col("other")).alias("right"))
+    sent = near.select(*columns).unionByName(far.select(*columns)).join(classes.select("id", "raw"), "id")
     kind = type_of(classes, "id")
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("right", "ascending"), ("key", "ascending")])
-        x, right = _matrix(table["raw"].to_pylist(), dtype), np.asarray(table["right"].to_pylist(), bool)
-        one = table["w0"][0].as_py() == table["w1"][0].as_py()
-        pairs = spanning_links(x, None, cosine) if one else spanning_links(x[~right], x[right], cosine)
-        ids = table["id"].combine_chunks()
+        # A window may hold the end of one pass and the start of the next.
+        table = table.sort_by([("pass", "ascending"), ("size", "ascending"), ("right", "ascending"), ("id", "ascending")])
+        right, ids, raws = table["right"].to_numpy(zero_copy_only=False), table["id"].combine_chunks(), table["raw"].to_pylist()
+        part = table["pass"].to_numpy().astype(np.int64) << 32 | table["size"].to_numpy()
+        beside = table["w1"][0].as_py() == table["w0"][0].as_py() + 1
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        pairs = []
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            x, n = _matrix(raws[i:j], dtype), int((~right[i:j]).sum())
+            found = spanning_links(x[:n], None, cosine) if beside else []
+            pairs += [(i + k, i + m) for k, m in (*found, *(spanning_links(x[:n], x[n:], cosine) if 0 < n < j - i else ()))]
         take = lambda side: ids.take(pa.array([p[side] for p in pairs], pa.int64()))
         return pa.table({"a": take(0), "b": take(1)})
 
-    return rows.groupBy("pass", "size", "run", "w0", "w1").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
+    return sent.groupBy("w0", "w1").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
 def _count_links(members: DataFrame, cosine: float, dtype: type) -> DataFrame:
@@ -151,7 +177,7 @@ def _count_links(members: DataFrame, cosine: float, dtype: type) -> DataFrame:
 
     members: (component, id, raw, copies). Pairs of windows of a component meet; each class keeps its sum.
     """
-    counts = members.groupBy("component").agg(F.ceil(F.count("*") / WINDOW).cast("int").alias("windows"))
+    counts = members.groupBy("component").agg(F.ceil(F.count("*") / COUNT_WINDOW).cast("int").alias("windows"))
     rows = members.join(counts, "component").withColumn("window", F.pmod(F.xxhash64("id"), F.col("windows")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)))
     rows = rows.select("component", F.least("window", "other").alias("w0"), F.greatest("window", "other").alias("w1"), (F.col("window") > F.col("other")).alias("right"), "id", "raw", "copies")

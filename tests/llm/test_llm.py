@@ -558,3 +558,40 @@ def test_mixed_documents_with_repeated_and_null_ids(spark):
     positions = sum(len(r["positions"]) for r in mixing.plan_mix(made, row=True).collect())
     stream = [r["text"] for r in mixing.mixed_documents(made).collect()]
     assert len(stream) == positions <= 3 * len(rows) and max(map(stream.count, set(stream))) <= 3
+
+
+def test_windows_follow_the_order(spark, monkeypatch):
+    """Windows are contiguous in the key's order: neighbours of other prefixes meet, and long runs meet to their end."""
+    monkeypatch.setattr(vector_dedup, "WINDOW", 6)
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((400, 5))
+    x[100:180] = x[0] + 0.02 * rng.standard_normal((80, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    classes = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in enumerate(x)], "id bigint, raw binary").repartition(3)
+    for bits in (6, 20):
+        keys = vector_dedup._keyed(classes, 2, bits, np.float64)
+        rows = vector_dedup._ordered(keys).collect()
+        key = {(r["pass"], r["id"]): r["key"] for r in keys.collect()}
+        assert sorted(r["place"] for r in rows) == list(range(800))
+        in_order = [(r["pass"], key[r["pass"], r["id"]]) for r in sorted(rows, key=lambda r: r["place"])]
+        assert in_order == sorted(in_order)
+        links = set()
+        for p in (0, 1):
+            own = [(r["id"], r["run"], r["place"] // 6) for r in rows if r["pass"] == p]
+            links |= {(a, b) for (a, r, v), (b, s, w) in itertools.combinations(own, 2) if (r == s or abs(v - w) <= 1) and x[a] @ x[b] >= 0.8}
+        found = [(r["a"], r["b"]) for r in vector_dedup._window_links(classes, 2, bits, 0.8, np.float64).collect()]
+        assert all(x[a] @ x[b] >= 0.8 for a, b in found)
+        roots = []
+        for pairs in (links, found):
+            parent = list(range(400))
+
+            def root(k, parent=parent):
+                while parent[k] != k:
+                    k = parent[k]
+                return k
+
+            for a, b in pairs:
+                a, b = root(a), root(b)
+                parent[max(a, b)] = min(a, b)
+            roots.append([root(k) for k in range(400)])
+        assert roots[0] == roots[1]
