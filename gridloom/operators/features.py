@@ -45,23 +45,32 @@ def group_mean_pull(long: DataFrame, group: str, alpha: float = 0.8) -> DataFram
 def sequential_pull(rows: DataFrame, members: DataFrame, alpha: float = 0.8) -> DataFrame:
     """The pull by overlapping masks in order: (image, pixel, v) after masks (image, mask, pixel).
 
-    An image is one group, as later masks see what earlier ones changed.
+    Pixels of the same masks move alike: each ends as a share of itself plus a vector that they have in common. So
+    pixels are summed up by their set of masks, the masks are folded over these sums, and the outcome is joined back; a
+    task holds the sums of an image and never its pixels. Repeated members count once.
     """
-    import numpy as np
-    import pandas as pd
-
-    def run(key, values: pd.DataFrame, masks: pd.DataFrame) -> pd.DataFrame:
-        values = values.sort_values("pixel").reset_index(drop=True)
-        x = np.asarray(values["v"].tolist(), np.float64)
-        place = {p: i for i, p in enumerate(values["pixel"])}
-        for _, own in masks.sort_values("mask").groupby("mask", sort=True):
-            at = [place[p] for p in own["pixel"] if p in place]
-            if at:
-                x[at] = (1 - alpha) * x[at] + alpha * x[at].mean(axis=0)
-        values["v"] = list(x)
-        return values[["image", "pixel", "v"]]
-
-    return rows.groupBy("image").cogroup(members.groupBy("image")).applyInPandas(run, "image bigint, pixel bigint, v array<double>")
+    sets = members.groupBy("image", "pixel").agg(F.sort_array(F.collect_set("mask")).alias("_set"))
+    none = F.array().cast(sets.schema["_set"].dataType)
+    marked = rows.select("image", "pixel", F.col("v").cast("array<double>").alias("v")).join(sets, ["image", "pixel"], "left").withColumn("_set", F.coalesce("_set", none))
+    means = marked.select("image", "_set", F.posexplode("v").alias("d", "x")).groupBy("image", "_set", "d").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    sums = means.where("size(_set) > 0").groupBy("image", "_set").agg(F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("sum"))
+
+    def fold(table: pa.Table) -> pa.Table:
+        own, n = table["_set"].to_pylist(), table["n"].to_numpy().astype(np.float64)
+        total = np.asarray(table["sum"].to_pylist(), np.float64)
+        share, moved = np.ones(len(own)), np.zeros(total.shape)
+        for mask in sorted({m for s in own for m in s}):
+            at = [k for k, s in enumerate(own) if mask in s]
+            mean = (share[at, None] * total[at] + n[at, None] * moved[at]).sum(axis=0) / n[at].sum()
+            share[at] *= 1 - alpha
+            moved[at] = (1 - alpha) * moved[at] + alpha * mean
+        sets_ = table["_set"].cast(pa.list_(table["_set"].type.value_type))
+        return pa.table({"image": table["image"], "_set": sets_, "share": share, "moved": pa.array(list(moved), pa.list_(pa.float64()))})
+
+    kind = sums.schema
+    outcome = sums.groupBy("image").applyInArrow(fold, f"image {kind['image'].dataType.simpleString()}, _set {kind['_set'].dataType.simpleString()}, share double, moved array<double>")
+    pulled = F.when(F.col("share").isNull(), F.col("v")).otherwise(F.zip_with("v", "moved", lambda x, m: F.col("share") * x + m))
+    return marked.join(outcome, ["image", "_set"], "left").select(F.col("image").cast("bigint").alias("image"), F.col("pixel").cast("bigint").alias("pixel"), pulled.alias("v"))
 
 
 def dispersion(long: DataFrame, group: str) -> DataFrame:
@@ -116,11 +125,14 @@ def second_moments(rows: DataFrame, left: str, right: str, group: str | None = N
             key = batch.schema.field(0).type
             if not batch.num_rows:
                 continue
-            groups = np.asarray(batch.column(0).to_pylist(), dtype=object)
             x, y = (batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for k in (1, 2))
-            for g in set(groups.tolist()):
-                own = np.asarray([h == g for h in groups])
-                p, q = x[own], y[own]
+            coded = batch.column(0).dictionary_encode(null_encoding="encode")
+            codes, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+            # Rows sorted by group, cut where it changes.
+            order = np.argsort(codes, kind="stable")
+            ends = np.flatnonzero(np.diff(codes[order], append=-1)) + 1
+            for i, j in zip([0, *ends.tolist()], ends.tolist(), strict=False):
+                g, p, q = names[codes[order[i]]], x[order[i:j]], y[order[i:j]]
                 n, s, c = sums.get(g, (0, 0.0, 0.0))
                 sums[g] = (n + len(p), s + p.sum(axis=0), c + p.T @ q)
             if len(sums) > held:

@@ -33,7 +33,7 @@ def featurizer(name: str) -> tuple[str, int, int]:
     for names, patch, dim in FEATURIZERS:
         if name.lower() in names:
             return names[0], patch, dim
-    raise ValueError(f"unknown model: {name}")
+    raise ValueError(f"{name!r} names no backbone; there are {', '.join(n for names, *_ in FEATURIZERS for n in names)}")
 
 
 def kernel_size(model: Column) -> Column:
@@ -48,7 +48,7 @@ UPSAMPLERS: dict[str, Callable[..., DataFrame]] = {"bilinear": grids.resize_bili
 def upsampler(name: str) -> Callable[..., DataFrame]:
     """The resampling of a name; an unknown name is an error."""
     if name not in UPSAMPLERS:
-        raise ValueError(f"upsampler {name} is not implemented")
+        raise ValueError(f"{name!r} names no upsampler; there are {', '.join(UPSAMPLERS)}")
     return UPSAMPLERS[name]
 
 
@@ -60,7 +60,7 @@ def dataset(spark: SparkSession, name: str, root: str, split: str, **options) ->
         return scans.city_scan(spark, f"{root}/cityscapes", split)
     if name == "sa1b":
         return scans.split_pairs(scans.paired(scans.files(spark, root)), split, **options)
-    raise ValueError(f"Unknown dataset {name}")
+    raise ValueError(f"{name!r} names no data set; there are cityscapes, cocostuff and sa1b")
 
 
 def make_loaders(samples: DataFrame, options: Mapping[str, Any]) -> tuple[DataFrame, DataFrame]:

@@ -63,10 +63,10 @@ class Shard(InputPartition):
 
 class ShardReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.shards = resolve(json.loads(options["paths"]) if "paths" in options else options["path"])
+        self.source = json.loads(options["paths"]) if "paths" in options else options["path"]
 
     def partitions(self):
-        return [Shard(url) for url in self.shards]
+        return [Shard(url) for url in resolve(self.source)]
 
     def read(self, partition):
         return pairs_of(partition.url)

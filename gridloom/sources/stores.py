@@ -5,8 +5,12 @@ from __future__ import annotations
 import glob
 import json
 import os
+import time
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import ExitStack, closing, contextmanager
+from dataclasses import dataclass
+from pathlib import PurePosixPath
+from typing import BinaryIO
 from urllib.parse import urlparse
 
 #: Schemes of stores that can be listed and written, and those that can only be read.
@@ -25,41 +29,71 @@ def store(url: str):
     return fs.FileSystem.from_uri(str(url).replace("s3a://", "s3://", 1))
 
 
+@dataclass(frozen=True)
+class Access:
+    """How patient reads over the web are: seconds without an answer, and further tries when a server is busy or does not answer."""
+
+    timeout: float = 60.0
+    tries: int = 3
+    wait: float = 0.5
+
+
+def _from_web(url: str, access: Access) -> BinaryIO:
+    from urllib.error import HTTPError, URLError
+    from urllib.request import urlopen
+
+    for left in reversed(range(max(1, access.tries))):
+        try:
+            return urlopen(url, timeout=access.timeout)
+        except HTTPError as answer:
+            # What a server refuses for good stays refused.
+            if answer.code < 500 or not left:
+                raise
+        except URLError:
+            if not left:
+                raise
+        time.sleep(access.wait)
+    raise AssertionError("not reached")
+
+
+def _from_store(url: str, access: Access) -> BinaryIO:
+    system, path = store(url)
+    return system.open_input_stream(path)
+
+
 @contextmanager
-def opened(url: str) -> Iterator:
-    """A stream of a file's bytes, closed in every case; an error says which file it was reading."""
-    try:
-        if urlparse(str(url)).scheme in WEB:
-            from urllib.request import urlopen
-
-            stream = urlopen(str(url), timeout=120)
-        else:
-            system, path = store(url)
-            stream = system.open_input_stream(path)
+def opened(url: str, access: Access = Access()) -> Iterator[BinaryIO]:
+    """A file's bytes as a stream that ends with the block; what fails inside the block names the file."""
+    find = _from_web if urlparse(str(url)).scheme in WEB else _from_store
+    with ExitStack() as held:
         try:
-            yield stream
-        finally:
-            stream.close()
-    except Exception as error:
-        error.add_note(f"While reading {url}")
-        raise
+            yield held.enter_context(closing(find(str(url), access)))
+        except Exception as error:
+            error.add_note(f"in the file {url}")
+            raise
 
 
 def listed(source: str) -> list[str]:
-    """The files of a folder, those that a local glob matches, or the source itself if it is a file."""
+    """The files of a folder, those that a pattern matches (in any store; ** for folders of any depth), or the source itself if it is a file."""
     from pyarrow import fs
 
     scheme = urlparse(source).scheme
     if scheme in WEB:
         return [source]
-    if not scheme and glob.has_magic(source):
-        return sorted(glob.glob(os.path.expanduser(source)))
+    prefix = f"{scheme}://" if scheme else ""
+    if glob.has_magic(source):
+        # Everything below the last folder without a sign of a pattern, matched by whole names.
+        parts = (os.path.abspath(os.path.expanduser(source)) if not scheme else source.removeprefix(prefix)).split("/")
+        fixed = next(k for k, part in enumerate(parts) if glob.has_magic(part))
+        system, top = store(prefix + ("/".join(parts[:fixed]) or "/"))
+        deep = "**" in parts or len(parts) > fixed + 1
+        entries = system.get_file_info(fs.FileSelector(top, recursive=deep, allow_not_found=True))
+        pattern = "/".join([top.rstrip("/"), *parts[fixed:]])
+        return sorted(prefix + f.path for f in entries if f.type == fs.FileType.File and PurePosixPath(f.path).full_match(pattern))
     system, path = store(source)
     info = system.get_file_info(path)
     if info.type == fs.FileType.Directory:
-        found = [f.path for f in system.get_file_info(fs.FileSelector(path)) if f.type == fs.FileType.File]
-        prefix = f"{scheme}://" if scheme else ""
-        return sorted(prefix + f for f in found)
+        return sorted(prefix + f.path for f in system.get_file_info(fs.FileSelector(path)) if f.type == fs.FileType.File)
     return [source] if info.type == fs.FileType.File else []
 
 

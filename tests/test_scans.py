@@ -133,12 +133,16 @@ def test_resolve_and_open(tmp_path):
     for bad in (str(tmp_path / "b.tar.part"), [str(tmp_path / "c.pending")], [], str(tmp_path / "none"), f"{tmp_path}/*.zip"):
         with pytest.raises(ValueError):
             resolve(bad)
+    touch(tmp_path, "d/f/g.tar")
+    names = lambda pattern: [os.path.relpath(f.removeprefix("file://"), tmp_path) for f in stores.listed(pattern)]
+    assert names(f"file://{tmp_path}/*.tar") == ["a.tar"] == names(f"{tmp_path}/[ab].tar") and names(f"{tmp_path}/*/*.tar") == ["d/e.tar"]
+    assert names(f"file://{tmp_path}/**/*.tar") == ["a.tar", "d/e.tar", "d/f/g.tar"] and names(f"{tmp_path}/none/*.tar") == []
     with stores.opened(f"file://{tmp_path}/a.tar") as stream:
         assert stream.read() == b"x"
     for bad in ("ftp://h/a.tar", str(tmp_path / "none.tar")):
         with pytest.raises(Exception) as caught, stores.opened(bad):
             pass
-        assert any("While reading" in n for n in caught.value.__notes__)
+        assert any("in the file" in n for n in caught.value.__notes__)
 
 
 def test_broken_pairs_are_errors(spark, tmp_path):
