@@ -7,22 +7,20 @@ iterate is light: frame after frame, weights meet the soft labels of the frames
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.session import work_folder
+from gridloom.session import fresh_folder
 
 #: Digits to which affinities count as equal, so that ties do not hang on the order of a sum.
 DIGITS = 9
 
 
-def _tile_votes(reach: int, topk: int, temperature: float, queue: int):
-    """A task's votes: the targets of a tile of one frame against its context pixels, one context frame's matrix at a time."""
+def _tile_votes(reach: int, topk: int, temperature: float):
+    """A task's votes: the targets of a tile of one frame against the context pixels around it, by matrix products."""
 
     def run(targets: pa.Table, sources: pa.Table) -> pa.Table:
         n, m = targets.num_rows, sources.num_rows
@@ -34,19 +32,21 @@ def _tile_votes(reach: int, topk: int, temperature: float, queue: int):
         # Rows of the context in their own order, so that equal votes add up in the same order in every run.
         order = np.lexsort((sc, sr, frame))
         y, sr, sc, frame = y[order], sr[order], sc[order], frame[order]
-        votes = []
+        many, at, weights = [], [], []
         for i in range(0, n, 256):
             sims = np.round(x[i : i + 256] @ y.T, DIGITS)
             near = (np.abs(r[i : i + 256, None] - sr[None]) <= reach) & (np.abs(c[i : i + 256, None] - sc[None]) <= reach)
             sims[~near] = -np.inf
+            # All that are as near as the k-th vote; fewer neighbours than that all do.
             kth = np.partition(sims, m - topk, axis=1)[:, m - topk] if m > topk else np.full(len(sims), -np.inf)
-            for s, least in zip(sims, kth, strict=True):
-                # All that are as near as the k-th vote; fewer neighbours than that all do.
-                at = np.flatnonzero((s >= least) & (s > -np.inf))
-                w = np.exp(s[at] / temperature)
-                w /= w.sum()
-                votes.append([{"frame": f, "r": a, "c": b, "w": v} for f, a, b, v in zip(frame[at].tolist(), sr[at].tolist(), sc[at].tolist(), w.tolist(), strict=True)])
-        return pa.table({"sequence": targets["sequence"], "frame": targets["frame"], "r": targets["r"], "c": targets["c"], "votes": pa.array(votes, _VOTES)})
+            row, column = np.nonzero(near & (sims >= kth[:, None]))
+            w = np.exp(sims[row, column] / temperature)
+            w /= np.bincount(row, w, len(sims))[row]
+            many.append(np.bincount(row, minlength=len(sims))), at.append(column), weights.append(w)
+        at, offsets = np.concatenate(at), np.concatenate(([0], np.cumsum(np.concatenate(many))))
+        chosen = pa.StructArray.from_arrays([pa.array(frame[at], pa.int64()), pa.array(sr[at], pa.int32()), pa.array(sc[at], pa.int32()), pa.array(np.concatenate(weights))], fields=list(_VOTES.value_type))
+        votes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), chosen)
+        return pa.table({"sequence": targets["sequence"], "frame": targets["frame"], "r": targets["r"], "c": targets["c"], "votes": votes})
 
     return run
 
@@ -81,7 +81,7 @@ def context_votes(features: DataFrame, queue: int = 7, reach: int = 12, topk: in
     sources = sources.where(F.col("frame") < F.col("last")).withColumn("st", F.explode(F.sequence(F.col("frame") + 1, until)))
     tiles = lambda x: F.explode(F.sequence(cell(F.col(x) - reach), cell(F.col(x) + reach)))
     sources = sources.select(F.col("sequence").alias("ss"), "st", F.col("frame").alias("sframe"), F.col("r").alias("sr"), F.col("c").alias("sc"), F.col("v").alias("sv"), tiles("r").alias("str")).withColumn("stc", tiles("sc"))
-    return targets.groupBy("sequence", "t", "tr", "tc").cogroup(sources.groupBy("ss", "st", "str", "stc")).applyInArrow(_tile_votes(reach, topk, temperature, queue), _VOTES_DDL)
+    return targets.groupBy("sequence", "t", "tr", "tc").cogroup(sources.groupBy("ss", "st", "str", "stc")).applyInArrow(_tile_votes(reach, topk, temperature), _VOTES_DDL)
 
 
 def weighted_sum(rows: Column, size: Column) -> Column:
@@ -95,13 +95,13 @@ def propagate(features: DataFrame, first: DataFrame, queue: int = 7, reach: int
 
     ``features``: (sequence, frame, r, c, v); ``first``: (sequence, r, c, soft), an array of a share for each class. Frame t is the
     weighted mean of the soft labels of its context, and goes back into the queue as it is, not as its greatest class.
-    Every frame is one table of ``folder`` once it is made (by default a new folder below the one that executors share), so a
+    Every frame is one table of ``folder`` once it is made (by default a folder that ends with the driver), so a
     frame reads the tables of its queue alone: the state never holds more than ``queue`` + 1 frames, the
     oldest leaves as a new one comes, and a lost executor repeats no more than one frame. A run over a folder that holds
     frames already goes on after the last whole one. A pixel of which no context pixel is near gets no row.
     """
     spark = features.sparkSession
-    folder = folder or f"{work_folder(spark)}/propagated-{uuid.uuid4().hex}"
+    folder = folder or fresh_folder(spark, "propagated")
     place = lambda t: f"{folder}/soft/frame={t}"
     if not _whole(spark, f"{folder}/votes"):
         votes = context_votes(features, queue, reach, topk, temperature)

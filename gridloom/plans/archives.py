@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.plans.registry import query, table
-from gridloom.plans.scans import fresh_folder, page_samples
+from gridloom.plans.scans import page_samples
+from gridloom.session import fresh_folder
 from gridloom.sinks import shards as K
 from gridloom.sources import label_images as I
 from gridloom.sources.arrays import ArraySource

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from gridloom.functions.splits import threshold_hex
 from gridloom.operators import loaders as L
 from gridloom.operators import streams as T
 from gridloom.plans.registry import query, table
-from gridloom.session import work_folder
+from gridloom.session import fresh_folder
 from gridloom.sinks import shards as K
 from gridloom.sources import registry as R
 from gridloom.sources import scans as C
@@ -21,11 +19,6 @@ from gridloom.streaming import resume
 SHARDS = 10
 
 
-def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that executors share, as a plain path where it is local."""
-    return f"{work_folder(spark).removeprefix('file:')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("""
 WITH p AS (SELECT DISTINCT 'data/sa_' || d.doc_id AS stem, 'sa_' || d.doc_id AS name FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
 o AS (SELECT *, row_number() OVER (ORDER BY substr(sha256('42:' || name), 1, 16), name) AS k, count(*) OVER () AS n FROM p)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,8 +37,28 @@ def local_session(cpus: int = 8, partitions: int | None = None, memory: str = "8
     )
 
 
+#: Folders made for intermediate tables and files, removed when the driver's Python ends.
+_made: list[str] = []
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that executors share, as a plain path where it is local; it ends with the driver."""
+    if not _made:
+        atexit.register(_clean)
+    _made.append(f"{work_folder(spark).removeprefix('file:')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def _clean() -> None:
+    from gridloom.sources.stores import remove
+
+    while _made:
+        with suppress(OSError, ValueError):
+            remove(_made.pop())
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows written once as a Parquet table below the folder that executors share, and read again: what follows starts from there."""
-    path = f"{work_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    path = fresh_folder(df.sparkSession, "stored")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
