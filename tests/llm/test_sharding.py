@@ -43,7 +43,7 @@ def test_reruns_agree_and_seeds_differ(spark):
 
 def test_uniform(spark):
     """Over many seeds each row falls in each shard and slot alike, and neighbours part as often as chance says."""
-    n, shards, runs = 48, 4, 60
+    n, shards, runs = 48, 4, 24
     frame = spark.range(0, n, 1, 3)
     where, slots, together = np.zeros((n, shards)), np.zeros((n, n // shards)), 0
     for seed in range(runs):
