@@ -110,6 +110,17 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
+def repeated(df: DataFrame, copies: str, number: str | None = None) -> DataFrame:
+    """Each row as often as its column ``copies`` says; ``number`` names a column that counts them from 0.
+
+    Two steps, so that the arrays behind it stay short for rows with very many copies.
+    """
+    step, most = f"_{uuid.uuid4().hex}", F.lit(1 << 16)
+    from_, upto = F.col(step) * most, F.least((F.col(step) + 1) * most, F.col(copies)) - 1
+    df = df.withColumn(step, F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(copies) - 1) / most).cast("bigint"))))
+    return df.withColumn(number or step, F.explode(F.sequence(from_, upto))).drop(step)
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns as one struct, whatever their names."""
     return F.struct(*[df["`" + c.replace("`", "``") + "`"] for c in df.columns])

@@ -9,7 +9,9 @@ Documents are range-sorted by position.
 
 Prefix sums run in two levels: hash buckets of a source, whose offsets are summed over
 buckets, then rows inside a bucket; a source with most of the rows spreads over all tasks. The buckets are
-4,096 a source, and sixteen times as many wherever a bucket would hold more than BUCKET rows.
+4,096 a source, and sixteen times as many wherever a bucket would hold more than BUCKET rows. Rows of one source, id and
+size are alike to the mix and are one row with a number of copies until their places are known, so a repeated or
+missing id fills no bucket.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import checkpoint, n_words, whole_row
+from gridloom.llm.common import checkpoint, n_words, repeated, whole_row
 
 Knots = Sequence[tuple[float, float]]
 
@@ -89,8 +91,8 @@ def plan_mix(
     before a source's target is taken in part, so a source's sum is its target rounded down.
     ``positions`` are the training times of its passes. Null and blank texts have size 0, are never taken and
     have no positions; a null source is a source of its own; repeated rows each count; no rows give no rows.
-    With ``row`` each also carries its whole row, as ``_row``, and null ids are ordered by their texts. Without, the
-    sizes are checkpointed, so each text is read once.
+    With ``row`` each also carries its whole row, as ``_row``; null ids are dealt and ordered by their texts, and rows of a
+    repeated id inside a bucket stay separate. Without, the sizes are checkpointed, so each text is read once.
     """
     digits, count = 3, docs.count()
     while 16**digits * BUCKET < count:
@@ -103,16 +105,21 @@ def plan_mix(
     nameless = F.coalesce(F.md5(F.col("_row")[text_col]), F.lit("")) if row else F.lit("")
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), nameless)))
     rows = rows.select("id", "size", "source", key.alias("source_key"), order.alias("o"), F.substring(order, 1, digits).alias("bucket"), *carried)
-    if not row:
-        rows = checkpoint(rows)
-    buckets = rows.groupBy("source_key", "bucket").agg(F.sum("size").alias("n"), F.first("source").alias("source"))
+    if row:
+        rows = rows.withColumn("copies", F.lit(1).cast("bigint"))
+    else:
+        rows = checkpoint(rows.groupBy("source_key", "bucket", "o", "id", "size").agg(F.count("*").alias("copies"), F.first("source").alias("source")))
+    many = F.col("size") * F.col("copies")
+    buckets = rows.groupBy("source_key", "bucket").agg(F.sum(many).alias("n"), F.first("source").alias("source"))
     inside = W.partitionBy("source_key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = buckets.select("source_key", "bucket", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("offset"))
     sizes = buckets.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("n").alias("source_size"))
     wanted = offsets.join(targets(sizes, [integral(k) for k in schedules], repeats), "source_key")
     run = W.partitionBy("source_key", "bucket").orderBy("o", "id", "size").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.select("id", "size", "source_key", "bucket", F.coalesce(F.sum("size").over(run), F.lit(0)).alias("within"), *carried)
-    rows = rows.join(wanted, ["source_key", "bucket"]).withColumn("at", F.col("offset") + F.col("within"))
+    rows = rows.select("id", "size", "copies", "source_key", "bucket", F.coalesce(F.sum(many).over(run), F.lit(0)).alias("within"), *carried)
+    rows = rows.join(wanted, ["source_key", "bucket"])
+    rows = rows.withColumn("copy", F.lit(0).cast("bigint")) if row else repeated(rows, "copies", "copy")
+    rows = rows.withColumn("at", F.col("offset") + F.col("within") + F.col("copy") * F.col("size"))
     demand = F.floor("target").cast("long")
     taken = sum((F.least(F.greatest(demand - e * F.col("source_size") - F.col("at"), F.lit(0)), F.col("size")) for e in range(repeats)), F.lit(0))
     starts = F.filter(
