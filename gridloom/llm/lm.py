@@ -2,12 +2,13 @@
 
 P(w | v) = a(b) * c(v w) / c(v) + u(b) * c(w) / N + z(b) / (V + 1), where b is the bucket of log2 of the
 context's count c(v). The weights a, u, z of each bucket come from expectation-maximisation over
-bigrams held out of the counts, of which only a histogram of likelihood ratios, of a size that does not
-depend on the corpus, reaches the driver; ratios are rounded to a quarter of an octave there, so a ratio is off by at most
-2 ** (1 / 8), or 9 %, in the choice of weights (not in scores). The probabilities over the V known words and one
-unknown sum to 1.
+bigrams held out of the counts. Their estimates are exact functions of three counts (bigram, context, word), so the
+held-out tokens are added up by these counts into a table, and each round is one aggregate over it that
+sends one row a bucket to the driver. Shares are added as integers, so reruns agree to the last bit. The
+probabilities over the V known words and one unknown sum to 1.
 
-Counts travel packed. Documents are dealt to blocks of bounded bytes by a hash. A block sends its sorted
+Counts travel packed. Documents are dealt to blocks of bounded bytes by a hash of id and text; rows equal in both
+are one row with a number of copies from there on, so neither a hot id nor a hot row fills a block. A block sends its sorted
 distinct word and bigram hashes with their counts, cut into hash ranges, and answers come back in the order of
 each question, so they carry no keys. A frequent word is one entry a block, so no range is hot. Hashes
 have 64 bits (see hashing).
@@ -29,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import checkpoint, release, type_of
+from gridloom.llm.common import checkpoint, release, repeated, stored, temporary_tables, type_of
 from gridloom.llm.hashing import combine, word_hashes
 
 _U = np.uint64
 #: Fixed hashes of the start and the end of a text.
 START, END = _U(0x2545F4914F6CDD1D), _U(0x9E6C63D0876A9A47)
-#: Text bytes of a block; steps of an octave in the histogram of ratios; rounds of EM.
-BLOCK_BYTES, STEPS, ROUNDS = 16 << 20, 4, 60
+#: Text bytes of a block; rounds of EM at most; it ends once no weight moves by more than TOLERANCE.
+BLOCK_BYTES, ROUNDS, TOLERANCE = 16 << 20, 60, 1e-3
 #: One training document in so many is held out for the weights.
 HELD_OUT = 16
 
@@ -131,10 +132,12 @@ def _ask(table: pa.Table, ranges: int, together: int) -> pa.Table:
     """A block's keys and counts, a row for each level and coarse range."""
     block, family, kind = (table[c][0].as_py() for c in ("block", "family", "kind"))
     texts = [t or b"" for t in table["text"].cast(pa.binary()).to_pylist()]
-    _, _, uni, places, bi, pairs = _block_arrays(texts)
+    _, n, uni, places, bi, pairs = _block_arrays(texts)
+    copies = np.repeat(table["copies"].to_numpy(), n)
     rows: list[tuple] = []
     for level, keys, seen in ((1, uni, places), (2, bi, pairs)):
-        counts = np.bincount(seen, minlength=len(keys)) if kind != "score" else np.zeros(len(keys), np.int64)
+        # Sums of whole numbers, exact in doubles up to 2 ** 53.
+        counts = np.bincount(seen, copies, len(keys)).astype(np.int64) if kind != "score" else np.zeros(len(keys), np.int64)
         rows += [(level, r, family, block, kind, pack_sorted(keys[i:j]), _counts(counts[i:j])) for r, i, j in _cut(keys, ranges, together)]
     return _table(rows, ["level", "coarse", "family", "block", "kind", "keys", "counts"])
 
@@ -223,43 +226,56 @@ def _figures(docs: pa.Table, answers: pa.Table, column: str):
     return word, pair, context, n
 
 
-def _histogram(docs: pa.Table, answers: pa.Table, total: int, distinct: int) -> pa.Table:
-    """Held-out tokens by context bucket and binned log2 ratios of bigram and word estimates to the uniform one."""
-    empty = {"bucket": pa.array([], pa.int32()), "r2": pa.array([], pa.int32()), "r1": pa.array([], pa.int32()), "n": pa.array([], pa.int64())}
-    if not docs.num_rows or not answers.num_rows:
-        return pa.table(empty)
-    word, pair, context, _ = _figures(docs, answers, "early")
-    uniform = 1.0 / (distinct + 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        r2 = np.where(pair > 0, np.log2(pair / np.maximum(context, 1) / uniform), -np.inf)
-        r1 = np.where(word > 0, np.log2(word / max(total, 1) / uniform), -np.inf)
-    code = lambda r: np.where(np.isfinite(r), np.rint(np.where(np.isfinite(r), r, 0) * STEPS), -10_000).astype(np.int64)
-    rows, n = np.unique(np.stack([bucket_of(context).astype(np.int64), code(r2), code(r1)]), axis=1, return_counts=True)
-    return pa.table({"bucket": pa.array(rows[0], pa.int32()), "r2": pa.array(rows[1], pa.int32()), "r1": pa.array(rows[2], pa.int32()), "n": pa.array(n, pa.int64())})
-
+HELD = "bucket int, pair bigint, context bigint, word bigint, n bigint"
 
-def fit_weights(histogram: list[tuple[int, int, int, int]], rounds: int = ROUNDS) -> dict[int, tuple[float, float, float]]:
-    """EM for the weights (bigram, word, uniform) of each bucket from (bucket, r2, r1, n) rows.
 
-    One pseudo-token for each part keeps every weight above 0.
+def _held_counts(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    """Held-out tokens of a block by their counts without the held-out texts: of the bigram, its context and its word."""
+    names = [c.split()[0] for c in HELD.split(", ")]
+    types = [pa.int32()] + [pa.int64()] * 4
+    if not docs.num_rows or not answers.num_rows:
+        return pa.table([pa.array([], t) for t in types], names=names)
+    word, pair, context, n = _figures(docs, answers, "early")
+    order = np.lexsort((word, context, pair))
+    keys = np.stack([pair, context, word])[:, order]
+    starts = np.flatnonzero(np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(axis=0))))
+    many = np.add.reduceat(np.repeat(docs["copies"].to_numpy(), n)[order], starts)
+    pair, context, word = keys[:, starts]
+    return pa.table([pa.array(x, t) for x, t in zip((bucket_of(context), pair, context, word, many), types, strict=True)], names=names)
+
+
+def learn_weights(held: DataFrame, total: int, distinct: int, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> dict[int, tuple[float, float, float]]:
+    """EM for the weights (bigram, word, uniform) of each bucket from rows (bucket, pair, context, word, n).
+
+    One pseudo-token for each part keeps every weight above 0. ``total`` and ``distinct`` are the tokens and
+    words behind the counts. A round is one job; no held-out rows give no weights. The rows are read once a round, so
+    they should be stored.
     """
-    by: dict[int, list[tuple[int, int, int]]] = {}
-    for bucket, r2, r1, n in histogram:
-        by.setdefault(bucket, []).append((r2, r1, n))
-    out = {}
-    for bucket, rows in by.items():
-        r = np.asarray(rows, np.float64)
-        p = np.stack([np.where(r[:, 0] <= -9_999, 0.0, 2.0 ** (r[:, 0] / STEPS)), np.where(r[:, 1] <= -9_999, 0.0, 2.0 ** (r[:, 1] / STEPS)), np.ones(len(r))])
-        weights = np.full(3, 1 / 3)
-        for _ in range(rounds):
-            share = weights[:, None] * p
-            share /= share.sum(axis=0)
-            new = (share * r[:, 2]).sum(axis=1) + 1.0
-            weights = new / new.sum()
-        if bucket == 0:
-            weights = np.asarray([0.0, weights[1] + weights[0] / 2, weights[2] + weights[0] / 2])
-        out[bucket] = tuple(float(x) for x in weights)
-    return out
+    seen = {r["bucket"]: r["n"] for r in held.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
+    # Shares as integers: the finest steps whose sum over all tokens still fits a long.
+    steps = float(1 << max(0, min(40, 61 - sum(seen.values()).bit_length())))
+    uniform = 1.0 / (distinct + 1)
+    weights, moving = {b: np.full(3, 1 / 3) for b in seen}, sorted(seen)
+    for _ in range(rounds):
+        if not moving:
+            break
+        of = lambda part: F.get(F.array(*[F.lit(float(weights[b][part]) if b in weights else 0.0) for b in range(max(seen) + 1)]), F.col("bucket"))
+        parts = [of(0) * F.col("pair") / F.greatest("context", F.lit(1)), of(1) * F.col("word") / F.lit(float(max(total, 1))), of(2) * F.lit(uniform)]
+        share = lambda part: F.rint(part / (parts[0] + parts[1] + parts[2]) * F.col("n") * steps).cast("bigint")
+        sums = held.where(F.col("bucket").isin(moving)).groupBy("bucket").agg(F.sum(share(parts[0])).alias("pair"), F.sum(share(parts[1])).alias("word"))
+        still = []
+        for b, *given in sums.collect():
+            pair, word = (x / steps for x in given)
+            new = np.asarray([pair, word, max(seen[b] - pair - word, 0.0)]) + 1.0
+            new /= new.sum()
+            if np.abs(new - weights[b]).max() > tolerance:
+                still.append(b)
+            weights[b] = new
+        moving = sorted(still)
+    if 0 in weights:
+        a, u, z = weights[0]
+        weights[0] = np.asarray([0.0, u + a / 2, z + a / 2])
+    return {b: tuple(float(x) for x in w) for b, w in sorted(weights.items())}
 
 
 def weight_table(weights: dict[int, tuple[float, float, float]], buckets: int = 66) -> np.ndarray:
@@ -290,7 +306,7 @@ def _scores(docs: pa.Table, answers: pa.Table, total: int, distinct: int, weight
     columns = [
         docs["id"].combine_chunks(), pa.array([docs["kind"][0].as_py() == "score"] * many, pa.bool_()),
         pa.array(n, pa.int64()), pa.array(sums((word > 0).astype(np.int64)), pa.int64()), pa.array(np.full(many, total), pa.int64()),
-        pa.array(sums(base), pa.float64()), pa.array(sums(np.log10(p)), pa.float64()),
+        pa.array(sums(base), pa.float64()), pa.array(sums(np.log10(p)), pa.float64()), docs["copies"].combine_chunks(),
     ]
     return pa.table(columns, schema=schema)
 
@@ -321,12 +337,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranges = -(-total_blocks // together) * together
     place = family = F.lit(0)
     for k, n in blocks.items():
-        of_kind = F.pmod(F.xxhash64("id", F.length("text")), F.lit(n))
+        of_kind = F.pmod(F.xxhash64("id", "text"), F.lit(n))
         place = F.when(F.col("kind") == k, of_kind * 3 + number[k]).otherwise(place)
         family = F.when(F.col("kind") == k, F.floor(of_kind / together) * 3 + number[k]).otherwise(family)
     # A task is about one block: hashing to a fixed number of partitions would make tasks grow with the corpus.
     dealt = lambda df: df.repartition(total_blocks, "block")
     rows = dealt(rows.withColumns({"block": place.cast("bigint"), "family": family.cast("bigint")}))
+    rows = rows.groupBy("block", "family", "kind", "id", "text").agg(F.count("*").alias("copies"))
     asked = rows.groupBy("block").applyInArrow(lambda t: _ask(t, ranges, together), "level int, coarse int, family bigint, block bigint, kind string, keys binary, counts binary")
     questions = ["level", "coarse", "family"]
     merged = asked.groupBy(*questions).applyInArrow(lambda t: _merge(t, ranges, together), "level int, coarse int, fine int, family bigint, kind string, keys binary, counts binary")
@@ -340,18 +357,17 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     answers = answered.where("block >= 0").drop("sums")
     is_held = F.pmod("block", F.lit(3)) == number["held"]
     held_rows, held_answers = rows.where(F.col("kind") == "held"), dealt(answers.where(is_held).drop("known"))
-    histogram = held_rows.groupBy("block").cogroup(held_answers.groupBy("block")).applyInArrow(
-        lambda docs, told: _histogram(docs, told, early_total, early_distinct), "bucket int, r2 int, r1 int, n bigint"
-    )
     if weights is None:
-        binned = histogram.groupBy("bucket", "r2", "r1").agg(F.sum("n").alias("n")).collect()
-        weights = weight_table(fit_weights(sorted(tuple(r) for r in binned)))
+        counted = held_rows.groupBy("block").cogroup(held_answers.groupBy("block")).applyInArrow(_held_counts, HELD)
+        with temporary_tables(docs.sparkSession):
+            held_out = stored(counted.groupBy("bucket", "pair", "context", "word").agg(F.sum("n").alias("n")))
+            weights = weight_table(learn_weights(held_out, early_total, early_distinct))
     if not total:
         weights = np.tile([0.0, 0.0, 1.0], (len(weights), 1))
     kind_of_id = docs.select(id_col).limit(0).toArrow().schema.field(0).type
-    schema = pa.schema([("id", kind_of_id), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    schema = pa.schema([("id", kind_of_id), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("copies", pa.int64())])
     scored = rows.groupBy("block").cogroup(dealt(answers.drop("early")).groupBy("block")).applyInArrow(
         lambda docs, told: _scores(docs, told, total, distinct, weights, schema),
-        f"id {type_of(docs, id_col)}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+        f"id {type_of(docs, id_col)}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, copies bigint",
     )
-    return scored.withColumnRenamed("id", id_col)
+    return repeated(scored, "copies").drop("copies").withColumnRenamed("id", id_col)

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, components, dedup, hashing, lm, mixing, pii, quality, queries, secrets, token_counts, vector_dedup, warc
+from gridloom.llm import bpe, common, components, dedup, hashing, lm, mixing, pii, quality, queries, secrets, token_counts, vector_dedup, warc
 from tests.support.compare import check
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -172,10 +172,87 @@ def test_lm_brute_force(spark, mixed):
         assert given[i, len(w)] == pytest.approx(want)
 
 
-def test_lm_weights_sum_to_one():
-    w = lm.fit_weights([(0, -10_000, 4, 10), (3, 20, 4, 30), (3, -10_000, 8, 10)])
+def test_lm_weights_sum_to_one(spark):
+    held = spark.createDataFrame([(0, 0, 0, 4, 10), (3, 3, 4, 4, 30), (3, 0, 4, 8, 10)], lm.HELD)
+    w = lm.learn_weights(held, 100, 31)
     assert all(sum(x) == pytest.approx(1) for x in w.values()) and w[0][0] == 0 and w[3][0] > w[3][1]
     assert np.allclose(lm.weight_table(w).sum(axis=1), 1) and np.allclose(lm.weight_table({}).sum(axis=1), 1)
+    assert lm.learn_weights(held.limit(0), 0, 0) == {}
+
+
+def plain_lm(spark, rows):
+    """Weights by EM over every single held-out token, then the scores, all in plain Python."""
+    import collections
+    import zlib
+
+    tokens = [WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)})) + ["\n"] for _, t, _ in rows]
+    pairs = [list(zip(["start", *t], t, strict=False)) for t in tokens]
+    text_of = lambda i: "" if i is None else str(i)
+    learns = [zlib.crc32(text_of(i).encode()) % 5 != 1 for i, _, _ in rows]
+    ids = spark.createDataFrame([(n, text_of(i)) for n, (i, _, _) in enumerate(rows)], "n int, k string")
+    held = {r["n"] for r in ids.where(F.pmod(F.xxhash64(F.lit("held-out"), "k"), F.lit(lm.HELD_OUT)) == 0).collect()}
+
+    def counted(use):
+        words, bigrams = collections.Counter(), collections.Counter()
+        for n in use:
+            words.update(tokens[n])
+            bigrams.update(pairs[n])
+        contexts = collections.Counter(words)
+        contexts["start"] = words["\n"]
+        total = max(sum(words.values()), 1)
+
+        def estimates(v, x):
+            return bigrams[v, x] / max(contexts[v], 1), words[x] / total, 1 / (len(words) + 1), contexts[v].bit_length()
+
+        return estimates
+
+    early = counted([n for n in range(len(rows)) if learns[n] and n not in held])
+    by = collections.defaultdict(list)
+    for n in sorted(held):
+        if learns[n]:
+            for v, x in pairs[n]:
+                *p, bucket = early(v, x)
+                by[bucket].append(p)
+    weights = {}
+    for bucket, ps in by.items():
+        w = [1 / 3] * 3
+        for _ in range(lm.ROUNDS):
+            new = [1.0] * 3
+            for p in ps:
+                mix = [a * b for a, b in zip(w, p, strict=True)]
+                new = [x + m / sum(mix) for x, m in zip(new, mix, strict=True)]
+            new = [x / sum(new) for x in new]
+            done = max(abs(x - y) for x, y in zip(new, w, strict=True)) <= lm.TOLERANCE
+            w = new
+            if done:
+                break
+        weights[bucket] = w if bucket else [0.0, w[1] + w[0] / 2, w[2] + w[0] / 2]
+    table = lm.weight_table(weights)
+    full = counted([n for n in range(len(rows)) if learns[n]])
+    out = []
+    for n in range(len(rows)):
+        score = 0.0
+        for v, x in pairs[n]:
+            *p, bucket = full(v, x)
+            score += math.log10(sum(a * b for a, b in zip(table[bucket], p, strict=True)))
+        out.append((text_of(rows[n][0]), len(tokens[n]), score))
+    return sorted(out), len(weights)
+
+
+def test_lm_learned_weights_and_hot_rows(spark):
+    """Weights against EM by hand; most rows share an id, many have none, and some are equal in all columns."""
+    rng = random.Random(8)
+    zipf = [f"w{int(1 / (rng.random() + 1e-3))}" for _ in range(4000)]
+    text = lambda: " ".join(rng.choice(zipf) for _ in range(rng.randint(5, 40)))
+    rows = [(i, text(), "a") for i in range(150)] + [(7, text(), "a") for _ in range(300)] + [(None, text(), "a") for _ in range(150)]
+    rows += [(9, "same words in every copy", "a")] * 200 + [(None, None, "a")] * 20
+    got = lm.score_documents(docs(spark, rows), block_bytes=4000)
+    blocks = sorted(r["count"] for r in got.where("doc_id is distinct from 9").groupBy(F.spark_partition_id()).count().collect())
+    want, buckets = plain_lm(spark, rows)
+    have = sorted(("" if r["doc_id"] is None else str(r["doc_id"]), r["n_tokens"], r["score"]) for r in got.collect())
+    assert buckets > 4 and [h[:2] for h in have] == [w[:2] for w in want]
+    assert [h[2] for h in have] == pytest.approx([w[2] for w in want], rel=1e-6)
+    assert blocks[-1] < 4 * blocks[len(blocks) // 2]
 
 
 def test_pack_roundtrip():
@@ -273,6 +350,28 @@ def test_mixing(spark, mixed):
     assert stream.columns == [c.split()[0] for c in EXTRA.split(", ")]
 
 
+def test_mixing_of_repeated_ids(spark):
+    """Rows of one source, id and size are one row with copies; placed row by row the outcome is the same."""
+    rng = random.Random(4)
+    word = lambda: " ".join(["w"] * rng.randint(0, 6))
+    rows = [(7, word(), "a") for _ in range(400)] + [(i, word(), rng.choice("ab")) for i in range(100)] + [(3, "w w", None)] * 50
+    made = docs(spark, rows)
+    columns = ["doc_id", "size", "source_size", "target", "taken", "positions"]
+    by_copies = sorted(map(tuple, mixing.plan_mix(made).select(columns).collect()), key=repr)
+    assert len(by_copies) == 550 and by_copies == sorted(map(tuple, mixing.plan_mix(made, row=True).select(columns).collect()), key=repr)
+    nameless = docs(spark, [(None, r[1], r[2]) for r in rows])
+    out = mixing.plan_mix(nameless).collect()
+    assert len(out) == 550 and all(r["taken"] <= 3 * r["size"] for r in out)
+    for size in {r["source_size"] for r in out}:
+        mine = [r for r in out if r["source_size"] == size]
+        assert sum(r["taken"] for r in mine) == math.floor(mine[0]["target"])
+
+
+def test_repeated_in_two_steps(spark):
+    out = common.repeated(spark.createDataFrame([(1, 1), (2, 70_000)], "k int, n bigint"), "n", "at")
+    assert [tuple(r) for r in out.groupBy("k").agg(F.count("*"), F.min("at"), F.max("at"), F.countDistinct("at")).orderBy("k").collect()] == [(1, 1, 0, 0, 1), (2, 70_000, 0, 69_999, 70_000)]
+
+
 @pytest.mark.parametrize("knots", mixing.SCHEDULES)
 def test_inverse_of_schedules(spark, knots):
     for y in (0.0, 0.1, 0.5, 0.9, 1.0):
