@@ -70,7 +70,7 @@ _LABELS = "SELECT 'video-' || vec_id // 500 AS sequence, lpad(CAST(vec_id % 500
 
 
 def label_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sequence, frame, r, c, label) of all vectors: five frames of 10 x 10 pixels a sequence, with void pixels."""
+    """(sequence, frame, r, c, label) of all vectors: five frames of 10 x 10 pixels a sequence, with void pixels; the last frame may lack some."""
     i = F.col("vec_id")
     part = lambda x: F.floor(x).cast("int")
     label = F.when(i % 13 == 0, I.VOID).otherwise(F.col("label")).cast("int")
@@ -92,7 +92,7 @@ SELECT f.sequence, CAST(r // 2 AS INTEGER) AS r, CAST(c // 2 AS INTEGER) AS c, C
 def first_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC22, SCL10, IMG2: the first label image of every sequence at half its size, one-hot by its own classes."""
     folder = fresh_folder(spark, "first")
-    I.write_label_images(label_planes(spark, sf_dir), folder, bytes(768)).agg(F.sum("bytes")).collect()
+    I.write_label_images(label_planes(spark, sf_dir), folder, bytes(768), size=(10, 10)).agg(F.sum("bytes")).collect()
     soft = I.first_segmentation(I.label_images(spark, folder), 2, (10, 10))
     return soft.select("sequence", "r", "c", (F.array_position("soft", F.lit(1.0)) - 1).cast("int").alias("label"), F.size("soft").alias("classes"))
 

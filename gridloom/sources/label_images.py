@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 SIGNATURE, GREY, INDEXED = b"\x89PNG\r\n\x1a\n", 0, 3
 #: Fixed value: the label of pixels that count for nothing.
 VOID = 255
+#: A private chunk that other readers pass over: a packed bit a pixel, set where a frame has none.
+HOLES = b"hoLE"
 
 
 def chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
@@ -93,8 +95,19 @@ def decoded(data: bytes) -> tuple[np.ndarray, bytes, int]:
     return lines, palette, depth
 
 
-def encoded(labels: np.ndarray, palette: bytes, depth: int = 8, rule: int | None = None) -> bytes:
-    """An indexed image of a two-dimensional array of labels; ``rule`` is the filter of all lines, by default 0 to 4 in turn."""
+def holes_of(data: bytes, height: int, width: int) -> np.ndarray | None:
+    """A mask of the pixels that the image's frame does not have; None if it has all."""
+    packed = b"".join(body for kind, body in chunks(data) if kind == HOLES)
+    if not packed:
+        return None
+    bits = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8))
+    if len(bits) // 8 != -(-height * width // 8):
+        raise ValueError("too few or too many marks of holes")
+    return bits[: height * width].reshape(height, width).astype(bool)
+
+
+def encoded(labels: np.ndarray, palette: bytes, depth: int = 8, rule: int | None = None, holes: np.ndarray | None = None) -> bytes:
+    """An indexed image of a two-dimensional array of labels; ``rule`` is the filter of all lines, by default 0 to 4 in turn; ``holes`` marks pixels that are none."""
     if labels.ndim != 2 or labels.size == 0:
         raise ValueError("an image of labels has two dimensions and pixels")
     if depth not in (1, 2, 4, 8) or labels.min() < 0 or labels.max() >= 1 << depth:
@@ -113,24 +126,30 @@ def encoded(labels: np.ndarray, palette: bytes, depth: int = 8, rule: int | None
     lines = np.stack([np.concatenate(([r], (wide[k] - guesses[r][k]) & 255)) for k, r in enumerate(rules.tolist())]).astype(np.uint8)
     chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
     header = struct.pack(">IIBBBBB", width, height, depth, INDEXED, 0, 0, 0)
-    return SIGNATURE + chunk(b"IHDR", header) + chunk(b"PLTE", palette) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+    gaps = b"" if holes is None else chunk(HOLES, zlib.compress(np.packbits(holes).tobytes()))
+    return SIGNATURE + chunk(b"IHDR", header) + chunk(b"PLTE", palette) + gaps + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
 
 
-def write_label_images(pixels: DataFrame, folder: str, palette: bytes, depth: int = 8) -> DataFrame:
+def write_label_images(pixels: DataFrame, folder: str, palette: bytes, depth: int = 8, size: tuple[int, int] | None = None) -> DataFrame:
     """Write (sequence, frame, r, c, label) as folder/sequence/frame.png, an image a frame; gives (sequence, frame, bytes).
 
-    A frame is one group, as an image is one file. Pixels must fill a rectangle from (0, 0). Files appear whole under their names.
+    A frame is one group, as an image is one file. Pixels must fill a rectangle from (0, 0), unless ``size``, (height, width),
+    says how large all images are: pixels that a frame lacks are holes then, and come back as none. Files appear whole under their names.
     """
     from gridloom.sources.stores import write_bytes
 
     def run(table: pa.Table) -> pa.Table:
         r, c, x = (table[k].to_numpy() for k in ("r", "c", "label"))
-        image = np.full((int(r.max()) + 1, int(c.max()) + 1), -1, np.int64)
-        image[r, c] = x
         sequence, frame = table["sequence"][0].as_py(), table["frame"][0].as_py()
-        if (image < 0).any() or image.size != len(r):
+        height, width = size or (int(r.max()) + 1, int(c.max()) + 1)
+        if min(r.min(), c.min()) < 0 or r.max() >= height or c.max() >= width:
+            raise ValueError(f"{sequence}/{frame}: pixels outside of {height} x {width}")
+        image = np.full((height, width), -1, np.int64)
+        image[r, c] = x
+        holes = image < 0
+        if image.size - holes.sum() != len(r) or (size is None and holes.any()):
             raise ValueError(f"{sequence}/{frame}: pixels are missing or come twice")
-        data = encoded(image, palette, depth)
+        data = encoded(np.where(holes, 0, image), palette, depth, holes=holes if holes.any() else None)
         write_bytes(f"{folder}/{sequence}/{frame}.png", data)
         return pa.table({"sequence": [sequence], "frame": [frame], "bytes": pa.array([len(data)], pa.int64())})
 
@@ -139,7 +158,9 @@ def write_label_images(pixels: DataFrame, folder: str, palette: bytes, depth: in
 
 
 def label_images(spark: SparkSession, folder: str, sequences: list[str] | None = None) -> DataFrame:
-    """(sequence, frame, height, width, depth, colours, labels) of folder/sequence/frame.png; labels are all pixels by rows, as bytes.
+    """(sequence, frame, height, width, depth, colours, labels, holes) of folder/sequence/frame.png; labels are all pixels by rows, as bytes.
+
+    So are holes, 1 where the frame has no pixel, null if it has all.
 
     Spark lists and reads the files, from any store, so a broken file fails the task that holds it and says which it is.
     ``sequences`` are the folders to read, by default all.
@@ -151,24 +172,27 @@ def label_images(spark: SparkSession, folder: str, sequences: list[str] | None =
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
-                    image, palette, depth = decoded(content.as_py())
+                    data = content.as_py()
+                    image, palette, depth = decoded(data)
+                    holes = holes_of(data, *image.shape)
                 except (ValueError, zlib.error, struct.error) as error:
                     raise ValueError(f"{path}: {error}") from error
                 sequence, name = path.split("/")[-2:]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([sequence]), pa.array([name.removesuffix(".png")]), pa.array([image.shape[0]], pa.int32()), pa.array([image.shape[1]], pa.int32()), pa.array([depth], pa.int32()), pa.array([len(palette) // 3], pa.int32()), pa.array([image.tobytes()], pa.binary())],
-                    names=["sequence", "frame", "height", "width", "depth", "colours", "labels"],
+                    [pa.array([sequence]), pa.array([name.removesuffix(".png")]), pa.array([image.shape[0]], pa.int32()), pa.array([image.shape[1]], pa.int32()), pa.array([depth], pa.int32()), pa.array([len(palette) // 3], pa.int32()), pa.array([image.tobytes()], pa.binary()), pa.array([None if holes is None else holes.tobytes()], pa.binary())],
+                    names=["sequence", "frame", "height", "width", "depth", "colours", "labels", "holes"],
                 )
 
-    return files.mapInArrow(run, "sequence string, frame string, height int, width int, depth int, colours int, labels binary")
+    return files.mapInArrow(run, "sequence string, frame string, height int, width int, depth int, colours int, labels binary, holes binary")
 
 
 def pixels_of(images: DataFrame) -> DataFrame:
-    """(sequence, frame, r, c, label) of images of labels, by expressions."""
-    rows = images.select("sequence", "frame", "width", F.hex("labels").alias("h"), F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("r"))
+    """(sequence, frame, r, c, label) of images of labels, by expressions; holes give no rows."""
+    rows = images.select("sequence", "frame", "width", F.hex("labels").alias("h"), F.hex("holes").alias("o"), F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("r"))
     # A line at a time, two hex digits a pixel, so that no image is exploded from one long array.
-    line = F.substr("h", F.col("r") * F.col("width") * 2 + 1, F.col("width") * 2)
-    cut = rows.select("sequence", "frame", "r", F.posexplode(F.regexp_extract_all(line, F.lit(".."), F.lit(0))).alias("c", "x"))
+    line = lambda h: F.regexp_extract_all(F.substr(h, F.col("r") * F.col("width") * 2 + 1, F.col("width") * 2), F.lit(".."), F.lit(0))
+    held = F.when(F.col("o").isNull(), line("h")).otherwise(F.zip_with(line("h"), line("o"), lambda x, o: F.when(o == "00", x)))
+    cut = rows.select("sequence", "frame", "r", F.posexplode(held).alias("c", "x")).where("x is not null")
     return cut.select("sequence", "frame", "r", "c", F.conv("x", 16, 10).cast("int").alias("label"))
 
 
@@ -199,22 +223,22 @@ def first_segmentation(images: DataFrame, factor: int, size: tuple[int, int] | N
     """(sequence, r, c, soft): the first frame of every sequence by nearest neighbour at size / factor, its labels one-hot.
 
     ``size`` is (height, width); by default the shorter side becomes 224 and the longer keeps its share, down to a multiple of
-    ``factor``. Labels 0 to the sequence's greatest are the classes.
+    ``factor``. Labels 0 to the sequence's greatest are the classes. A new pixel whose source is a hole is none.
     """
-    first = images.groupBy("sequence").agg(F.min_by(F.struct("height", "width", "labels"), "frame").alias("i")).select("sequence", "i.*")
+    first = images.groupBy("sequence").agg(F.min_by(F.struct("height", "width", "labels", "holes"), "frame").alias("i")).select("sequence", "i.*")
     scaled = lambda a, b: F.floor(F.floor(F.lit(224.0) * a / b / factor) * factor).cast("int")
     h, w = F.col("height"), F.col("width")
     if size is None:
         new_h, new_w = F.when(w > h, F.lit(224)).otherwise(scaled(h, w)), F.when(w > h, scaled(w, h)).otherwise(F.lit(224))
     else:
         new_h, new_w = F.lit(size[0]), F.lit(size[1])
-    small = first.select("sequence", "height", "width", F.floor(new_h / factor).cast("int").alias("nh"), F.floor(new_w / factor).cast("int").alias("nw"), F.hex("labels").alias("x"))
+    small = first.select("sequence", "height", "width", F.floor(new_h / factor).cast("int").alias("nh"), F.floor(new_w / factor).cast("int").alias("nw"), F.hex("labels").alias("x"), F.hex("holes").alias("o"))
     lines = small.select("*", F.explode(F.sequence(F.lit(0), F.col("nh") - 1)).alias("r"))
     cells = lines.select("*", F.explode(F.sequence(F.lit(0), F.col("nw") - 1)).alias("c"))
     # The source is the pixel under the centre of the new one.
     from_r, from_c = F.floor((F.col("r") + 0.5) * h / F.col("nh")), F.floor((F.col("c") + 0.5) * w / F.col("nw"))
-    label = F.conv(F.substr("x", ((from_r * w + from_c) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
-    labelled = cells.select("sequence", "r", "c", label.alias("label"))
+    source = lambda h: F.substr(h, ((from_r * w + from_c) * 2 + 1).cast("int"), F.lit(2))
+    labelled = cells.where(F.col("o").isNull() | (source("o") == "00")).select("sequence", "r", "c", F.conv(source("x"), 16, 10).cast("int").alias("label"))
     most = labelled.groupBy(F.col("sequence").alias("of")).agg(F.max("label").alias("most"))
     soft = F.transform(F.sequence(F.lit(0), F.col("most")), lambda k: (k == F.col("label")).cast("double"))
     return labelled.join(most, F.col("sequence") == F.col("of")).select("sequence", "r", "c", soft.alias("soft"))

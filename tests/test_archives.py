@@ -8,9 +8,13 @@ import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.plans import catalogue  # noqa: F401
+from gridloom.plans.registry import ORACLES, QUERIES
 from gridloom.sinks import shards as K
 from gridloom.sources import arrays, stores
 from gridloom.sources import label_images as I
@@ -18,6 +22,7 @@ from gridloom.sources.arrays import ArraySource
 from gridloom.sources.npz_sink import write_arrays
 from gridloom.sources.shard_stream import ShardStream, ShardStreamReader
 from gridloom.streaming import pairs as P
+from tests.support.compare import check
 from tests.test_scans import samples
 
 MEMBERS = "name string, kind string, payload binary"
@@ -231,6 +236,19 @@ def test_first_segmentation_sizes(spark, tmp_path):
         assert s["soft"].index(1.0) == x[int((s["r"] + 0.5) * 8 / 14), int((s["c"] + 0.5) * 16 / 28)]
 
 
+def ragged(folder, n):
+    """Vectors of which the last frame of 100 has only some."""
+    rows = pa.table({"vec_id": np.arange(n), "embedding": [[1.0]] * n, "label": pa.array(np.arange(n) * 7 % 10, pa.int32())})
+    pq.write_table(rows, f"{folder}/embeddings.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("n", [505, 564, 1956])
+def test_first_segmentations_of_ragged_frames(spark, tmp_path, n):
+    folder = ragged(tmp_path, n)
+    assert check(QUERIES["first_segmentations"](spark, folder), ORACLES["first_segmentations"], folder) > 0
+
+
 @pytest.mark.parametrize("packed", [False, True])
 def test_array_archives(spark, tmp_path, packed):
     rng = np.random.default_rng(2)
