@@ -83,7 +83,7 @@ def label_image_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark, "labels")
     pixels = label_planes(spark, sf_dir)
     palette = bytes(v for k in range(256) for v in (k, 255 - k, k ^ 85))
-    I.write_label_images(pixels, folder, palette).agg(F.sum("bytes")).collect()
+    I.write_label_images(pixels, folder, palette, size=(10, 10)).agg(F.sum("bytes")).collect()
     return I.object_masks(I.read_results(spark, folder, pixels.select("sequence", "frame")))
 
 

@@ -249,6 +249,24 @@ def test_first_segmentations_of_ragged_frames(spark, tmp_path, n):
     assert check(QUERIES["first_segmentations"](spark, folder), ORACLES["first_segmentations"], folder) > 0
 
 
+@pytest.mark.parametrize("n", [505, 564, 1956])
+def test_label_images_of_ragged_frames(spark, tmp_path, n):
+    folder = ragged(tmp_path, n)
+    assert check(QUERIES["label_image_roundtrip"](spark, folder), ORACLES["label_image_roundtrip"], folder) == n
+
+
+def test_holes_of_images(spark, tmp_path):
+    rows = [("a", "00000", 1, 2, 7), ("a", "00000", 2, 0, I.VOID), ("b", "00000", 0, 0, 0)]
+    pixels = spark.createDataFrame(rows, "sequence string, frame string, r int, c int, label int")
+    I.write_label_images(pixels, str(tmp_path / "x"), bytes(768), size=(3, 5)).collect()
+    images = I.label_images(spark, str(tmp_path / "x"))
+    assert {(i["height"], i["width"], i["holes"].count(0)) for i in images.collect()} == {(3, 5, 2), (3, 5, 1)}
+    assert sorted(tuple(r) for r in I.pixels_of(images).collect()) == sorted(rows)
+    for wrong in (pixels.unionAll(pixels), pixels.withColumn("c", F.col("c") + 3)):
+        with pytest.raises(Exception, match="come twice|outside of"):
+            I.write_label_images(wrong, str(tmp_path / "y"), bytes(768), size=(3, 5)).collect()
+
+
 @pytest.mark.parametrize("packed", [False, True])
 def test_array_archives(spark, tmp_path, packed):
     rng = np.random.default_rng(2)
