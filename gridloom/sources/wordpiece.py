@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.text import normalise, pretokens
 
-#: Words whose ids a task remembers; a bound on memory only.
-KEPT = 500_000
+#: Words whose ids a task remembers, and items of lists (words or ids) that it takes up at once; bounds on memory only.
+KEPT, ITEMS = 1 << 17, 1 << 18
 _loaded: dict[int, Merges] = {}
 
 
@@ -31,6 +34,17 @@ def byte_of() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+def parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose lists in that column hold ITEMS items together, or of one row with more."""
+    ends = np.cumsum(pc.list_value_length(batch.column(column)).fill_null(0).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        done = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, done + ITEMS, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def decode_words(rows: DataFrame, key: str, ids: str = "ids", vocabulary: str | None = None) -> DataFrame:
     """(key, text): pieces joined, a blank after each word end, and bytes that are no UTF-8 replaced; null ids give an empty text."""
     vocabulary = vocabulary or default_vocabulary()
@@ -38,7 +52,7 @@ def decode_words(rows: DataFrame, key: str, ids: str = "ids", vocabulary: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = {i: p for p, i in json.loads(vocabulary)["model"]["vocab"].items()}
         to_byte = byte_of()
-        for batch in batches:
+        for batch in chain.from_iterable(parts(b, 1) for b in batches):
             out = []
             for own in batch.column(1).to_pylist():
                 words = "".join(pieces.get(i, "") for i in own or []).split("</w>")
@@ -63,6 +77,19 @@ class Merges:
         self.letters = {b: c for c, b in byte_of().items()}
         self.known: dict[str, list[int]] = {}
 
+    def lists(self, words: pa.Array) -> pa.Array:
+        """The ids of each list of words (null: none): each different word is looked up once, the rest are takes by position."""
+        coded = words.flatten().dictionary_encode()
+        found = [self.of(w) for w in coded.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
+        codes = coded.indices.to_numpy()
+        # Ends of the words among the ids to come; a word's ids stand together in ``ids``.
+        ends = np.concatenate(([0], np.cumsum(sizes[codes])))
+        places = np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], sizes[codes])
+        rows = np.concatenate(([0], np.cumsum(pc.list_value_length(words).fill_null(0).to_numpy(), dtype=np.int64)))
+        return pa.ListArray.from_arrays(pa.array(ends[rows], pa.int32()), pa.array(ids[places], pa.int32()))
+
     def of(self, word: str) -> list[int]:
         """Ids of a word that is not empty; symbols without an id are left out."""
         found = self.known.get(word)
@@ -94,7 +121,7 @@ class Merges:
 def encode_words(rows: DataFrame, key: str, text: str, vocabulary: str | None = None) -> DataFrame:
     """(key, ids array<int>) of texts: normalised and cut in pre-tokens by expressions, words merged in Arrow batches without a shuffle.
 
-    The vocabulary's JSON travels in the closure; null and blank texts give no ids.
+    The vocabulary's JSON travels in the closure; null and blank texts give no ids. A task takes up ITEMS words at once, or one text.
     """
     vocabulary = vocabulary or default_vocabulary()
 
@@ -103,9 +130,8 @@ def encode_words(rows: DataFrame, key: str, text: str, vocabulary: str | None =
         if at not in _loaded:
             _loaded[at] = Merges(vocabulary)
         merges = _loaded[at]
-        for batch in batches:
-            ids = [[i for w in words or () for i in merges.of(w)] for words in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
+        for batch in chain.from_iterable(parts(b, 1) for b in batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), merges.lists(batch.column(1))], names=[key, "ids"])
 
     words = rows.select(key, pretokens(normalise(F.col(text))).alias("_words"))
     return words.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, ids array<int>")

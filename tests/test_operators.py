@@ -174,6 +174,23 @@ def test_own_merges_are_the_library_s(spark):
     assert merges.merged("aaaaa") == [library.id_to_token(i) for i in library.encode("aaaaa", add_special_tokens=False).ids]
 
 
+def test_words_in_bounded_parts(monkeypatch):
+    """Runs of rows hold a bounded number of words, or one long text; ids are those of the words one by one."""
+    import pyarrow as pa
+
+    from gridloom.sources import wordpiece as B
+
+    monkeypatch.setattr(B, "ITEMS", 5)
+    rows = [["the", "cat"], None, [], ["a"] * 9, ["the"], ["sat", "naïve", "zzxqy", "the"], ["cat", "x" * 40], None, ["😀"]]
+    merges = B.Merges(B.default_vocabulary())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array([["left", "out"], *rows], pa.list_(pa.string()))], names=["id", "words"]).slice(1)
+    cut = list(B.parts(batch, 1))
+    assert [i for b in cut for i in b.column(0).to_pylist()] == list(range(1, 10))
+    assert all(b.num_rows == 1 or sum(len(w or ()) for w in b.column(1).to_pylist()) <= 5 for b in cut) and len(cut) == 4
+    assert [ids for b in cut for ids in merges.lists(b.column(1)).to_pylist()] == [[i for w in r or () for i in merges.of(w)] for r in rows]
+    assert list(B.parts(batch.slice(0, 0), 1)) == [] and merges.lists(batch.slice(0, 0).column(1)).to_pylist() == []
+
+
 def test_centre_square(spark):
     import numpy as np
 
