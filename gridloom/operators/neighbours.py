@@ -3,7 +3,8 @@
 Every context row belongs to the cell of its nearest pivot. A target first meets the nearest cells that together
 hold k rows, which bounds the distance of its k-th neighbour. Then it meets only those other cells that can hold a row within
 that distance: by the cell's least and greatest distance from its pivot, and by the planes half way between pivots. Large
-cells are cut into blocks, and so are the targets that ask for one cell, so a task has a bounded number of both.
+cells are cut into blocks, and so are the targets that ask for one cell, so a task has a bounded number of both. It compares
+them by tiles of TILE pairs.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from gridloom.session import stored
 DIGITS, SLACK = 9, 1e-6
 #: Pivots at the most, numbers in all pivots at the most, rows of a block of a cell, targets of a block.
 PIVOTS, PIVOT_CELLS, BLOCK, TARGETS = 4096, 1 << 21, 8192, 65_536
+#: Pairs of rows, or of rows and pivots, that a task compares at once; a bound on memory only.
+TILE = 1 << 20
 
 
 class Cells:
@@ -40,6 +43,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def _tiles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows that make TILE pairs at the most with ``width`` others."""
+    step = max(1, TILE // max(1, width))
+    return (batch.slice(i, step) for batch in batches for i in range(0, batch.num_rows, step))
+
+
 def _lists(mask: np.ndarray) -> pa.Array:
     """The marked columns of each row."""
     offsets = np.concatenate(([0], np.cumsum(mask.sum(axis=1))))
@@ -58,11 +67,10 @@ def pivot_cells(context: DataFrame, pivots: int | None = None) -> tuple[DataFram
         chosen = np.unique(chosen[: max(1, PIVOT_CELLS // chosen.shape[1])], axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                far = distances(_matrix(batch.column(1)), chosen)
-                cell = far.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(far[np.arange(len(cell)), cell])], names=["id", "v", "label", "cell", "far"])
+        for batch in _tiles(batches, len(chosen)):
+            far = distances(_matrix(batch.column(1)), chosen)
+            cell = far.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(far[np.arange(len(cell)), cell])], names=["id", "v", "label", "cell", "far"])
 
     kind = {c: context.schema[c].dataType.simpleString() for c in ("id", "label")}
     rows = stored(context.select("id", "v", "label").mapInArrow(run, f"id {kind['id']}, v array<double>, label {kind['label']}, cell int, far double"))
@@ -76,9 +84,7 @@ def _asked(targets: DataFrame, cells: Cells, k: int, second: bool) -> DataFrame:
     """(id, v, floor, cells): the nearest cells that hold k rows, or all others that can hold one as near as the k-th found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _tiles(batches, len(cells.pivots)):
             far = distances(_matrix(batch.column(1)), cells.pivots)
             order = np.argsort(far, axis=1, kind="stable")
             held = np.cumsum(cells.count[order], axis=1)
@@ -100,20 +106,31 @@ def _asked(targets: DataFrame, cells: Cells, k: int, second: bool) -> DataFrame:
     return stored(targets.mapInArrow(run, f"id {kind}, v array<double>, floor double, cells array<int>").where("size(cells) > 0"))
 
 
+def _hits(x: np.ndarray, y: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, similarity) of each row's k best of at least its floor, with ties; rounded only where that can count."""
+    s, least, near = x @ y.T, floor.copy(), 10.0**-DIGITS
+    hit = s >= (least - near)[:, None]
+    many = np.flatnonzero(np.count_nonzero(hit, axis=1) > k)
+    if len(many):
+        own = s[many]
+        least[many] = np.maximum(least[many], np.round(np.partition(own, own.shape[1] - k, axis=1)[:, own.shape[1] - k], DIGITS))
+        hit[many] = own >= (least[many] - near)[:, None]
+    a, b = np.nonzero(hit)
+    sim = np.round(s[a, b], DIGITS)
+    held = sim >= least[a]
+    return a[held], b[held], sim[held]
+
+
 def _best(k: int):
     def run(t: pa.Table, c: pa.Table) -> pa.Table:
         if not t.num_rows or not c.num_rows:
             return pa.table({"t": t["id"][:0], "near": c["cid"][:0], "label": c["label"][:0], "sim": pa.array([], pa.float64())})
-        x, y = _matrix(t["v"].combine_chunks()), _matrix(c["cv"].combine_chunks())
-        floor = np.round(t["floor"].to_numpy(zero_copy_only=False), DIGITS)
-        rows, cols, sims = [], [], []
-        for i in range(0, len(x), 2048):
-            s = np.round(x[i : i + 2048] @ y.T, DIGITS)
-            least = floor[i : i + 2048]
-            if s.shape[1] > k:
-                least = np.maximum(least, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
-            a, b = np.nonzero(s >= least[:, None])
-            rows.append(a + i), cols.append(b), sims.append(s[a, b])
+        y, floor = _matrix(c["cv"].combine_chunks()), np.round(t["floor"].to_numpy(zero_copy_only=False), DIGITS)
+        rows, cols, sims, done = [], [], [], 0
+        for tile in _tiles(t.select(["v"]).to_batches(), len(y)):
+            a, b, sim = _hits(_matrix(tile.column(0)), y, floor[done : done + tile.num_rows], k)
+            rows.append(a + done), cols.append(b), sims.append(sim)
+            done += tile.num_rows
         rows, cols = np.concatenate(rows), np.concatenate(cols)
         return pa.table({"t": t["id"].combine_chunks().take(pa.array(rows)), "near": c["cid"].combine_chunks().take(pa.array(cols)), "label": c["label"].combine_chunks().take(pa.array(cols)), "sim": np.concatenate(sims)})
 

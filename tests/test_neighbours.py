@@ -59,6 +59,40 @@ def test_hot_vector(spark, monkeypatch):
     assert got(N.nearest(frame(spark, x), frame(spark, y), 2, 9)[0]) == plain(x, y, 2)
 
 
+@pytest.mark.parametrize("tile", [1, 7, 1 << 20])
+def test_tiles(monkeypatch, tile):
+    """A group's best by tiles of any size, with ties and floors, as by all pairs at once."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(N, "TILE", tile)
+    rng = np.random.default_rng(8)
+    x, y = (unit(rng.integers(-2, 3, (c, 3)) + 0.25) for c in (70, 50))
+    floor = np.round(rng.choice([-2.0, 0.5, 1.0], 70), 9)
+    targets = pa.table({"id": np.arange(70), "v": x.tolist(), "floor": floor})
+    context = pa.table({"cid": np.arange(50), "cv": y.tolist(), "label": np.arange(50) % 3})
+    found = N._best(4)(pa.concat_tables([targets[:30], targets[30:]]), context)
+    wanted = {(i, j, s) for i, j, s in plain(x, y, 4) if s >= floor[i]}
+    assert set(zip(*(found[c].to_pylist() for c in ("t", "near", "sim")), strict=True)) == wanted
+
+
+def test_memory_of_a_group():
+    """A group of many targets is not compared at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    x = unit(np.random.default_rng(9).standard_normal((6000, 8)))
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 8).cast(pa.list_(pa.float64()))
+    targets = pa.table({"id": np.arange(6000), "v": lists, "floor": np.full(6000, -2.0)})
+    context = pa.table({"cid": np.arange(6000), "cv": lists, "label": np.zeros(6000, np.int64)})
+    tracemalloc.start()
+    found = N._best(3)(targets, context)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All pairs of 2,048 targets alone would take 98 MB.
+    assert found.num_rows == 18_000 and most < 60e6
+
+
 def test_no_rows(spark):
     some = frame(spark, unit(np.ones((3, 2))))
     for a, b in ((some, some.limit(0)), (some.limit(0), some)):
